@@ -88,20 +88,18 @@ def fn_mutants(v: Views) -> DataFrame:
     return mutation.attribute(v.mutated_functions(), v.file_mutants()).withColumn("description", F.col("type"))
 
 
-def fn_metrics(v: Views) -> DataFrame:
-    f = v.functions()
-    return metrics.function_metrics(
-        f,
-        v.facts(),
-        fn_coverage(v),
-        fn_mutation(v),
-        fn_mutants(v),
-        fn_states(v),
-        intervals.commits_touching(f, v.hunks()),
-        history.file_churn(v.commit_files(), AS_OF),
+def measured(v: Views) -> analyze.Inputs:
+    return analyze.from_measurements(
+        v.functions(), None, v.facts(), v.blocks(), v.file_mutants(), v.mutated_functions(), commit_files=v.commit_files(), hunks=v.hunks()
     )
 
 
+def fn_metrics(v: Views) -> DataFrame:
+    """The metrics table, written once: the queries below read it as a job
+    reads the table of a finished snapshot."""
+    return settle(analyze.function_table(measured(v), AS_OF), "functions")
+
+
 def packages_modules(v: Views) -> tuple[DataFrame, DataFrame]:
     return rollup.roll_up(fn_metrics(v), v.nodes(), history.directory_churn(v.commit_files(), AS_OF))
 
@@ -465,3 +463,1258 @@ def _(v: Views):
     return v.table("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 4 - 1).alias("baseline")).withColumn(
         "factor", scores.timeout_factor("baseline")
     )
+
+
+# --- metrics and grades -----------------------------------------------------
+
+_GRADES = "g_crap AS grade_crap, g_mut AS grade_mutation, g_cov AS grade_coverage, g_all AS grade_combined"
+
+
+@query(
+    "function_metrics",
+    sql(
+        f"""SELECT repo, id, cc, cognitive, loc, CAST(churn AS BIGINT) AS churn, 'function' AS churn_scope, stmts, covered, percent, crap, killed, survived,
+              not_covered, timed_out, score, CAST(testable AS BIGINT) AS testable, {_GRADES} FROM metric"""
+    ),
+)
+def _(v: Views):
+    return fn_metrics(v).drop("name", "parent", "file", "line", "end_line", "coverage_stale", "mutation_stale", "lines_known", "reached")
+
+
+@query(
+    "crap_scores",
+    sql("SELECT repo, id, crap, floor(crap * 10.0 + 0.5) / 10.0 AS crap1 FROM metric1"),
+)
+def _(v: Views):
+    m = v.facts().join(fn_coverage(v), ID, "left")
+    return m.select(*ID, scores.crap("cc", "stmts", "covered").alias("crap")).withColumn("crap1", scores.round1(F.col("crap")))
+
+
+@query(
+    "grade_bands",
+    sql(
+        """SELECT repo, mode, grade, CASE WHEN grade IS NULL THEN NULL WHEN grade >= 9 THEN 5 WHEN grade >= 7 THEN 4 WHEN grade >= 5 THEN 3 WHEN grade >= 3 THEN 2 ELSE 1 END AS band, count(*) AS functions
+           FROM (SELECT repo, unnest(['combined', 'crap', 'coverage', 'mutation']) AS mode, unnest([g_all, g_crap, g_cov, g_mut]) AS grade FROM metric) GROUP BY ALL"""
+    ),
+)
+def _(v: Views):
+    modes = F.explode(F.array(*[F.lit(m) for m in scores.GRADE_MODES]))
+    g = fn_metrics(v).withColumn("mode", modes).select("repo", "mode", scores.grade_by_mode("mode").alias("grade"))
+    band = F.when(F.col("grade").isNotNull(), scores.severity_band("grade"))
+    return g.groupBy("repo", "mode", "grade", band.alias("band")).agg(F.count("*").alias("functions"))
+
+
+@query(
+    "newly_stale",
+    sql(
+        """SELECT repo, id FROM metric1 JOIN func f USING (repo, id)
+           WHERE (stmts IS NOT NULL AND f.size % 3 = 1 OR killed IS NOT NULL AND f.size % 5 = 1)
+             AND NOT (f.size <= 25 AND (stmts IS NOT NULL AND f.size % 3 = 1))"""
+    ),
+)
+def _(v: Views):
+    """Bodies changed for some functions; small ones were stale before."""
+    f = v.facts().select(*ID, "cc", (F.col("loc") - 1).alias("size"))
+    c, m = fn_coverage(v).select(*ID, F.lit(True).alias("c")), fn_mutation(v).select(*ID, F.lit(True).alias("m"))
+    b = f.join(c, ID, "left").join(m, ID, "left")
+    now = b.select(
+        *ID, "cc", "size", (F.col("c") & (F.col("size") % 3 == 1)).alias("coverage_stale"), (F.col("m") & (F.col("size") % 5 == 1)).alias("mutation_stale")
+    )
+    before = now.where("size <= 25").withColumn("mutation_stale", F.lit(None).cast("boolean"))
+    return metrics.newly_stale(before, now)
+
+
+# --- history ----------------------------------------------------------------
+
+
+@query("function_churn", sql("SELECT repo, id, CAST(churn AS BIGINT) AS churn FROM fchurn"))
+def _(v: Views):
+    return intervals.commits_touching(v.functions(), v.hunks())
+
+
+@query("file_churn", sql("SELECT repo, file, churn FROM filechurn"))
+def _(v: Views):
+    return history.file_churn(v.commit_files(), AS_OF)
+
+
+@query("directory_churn", sql("SELECT repo, dir, churn FROM dirchurn"))
+def _(v: Views):
+    return history.directory_churn(v.commit_files(), AS_OF)
+
+
+@query(
+    "commit_log_text",
+    sql("SELECT repo, doc_id AS commit, trim(text, chr(32) || chr(9) || chr(13)) AS file FROM sline WHERE trim(text, chr(32) || chr(9) || chr(13)) <> ''"),
+)
+def _(v: Views):
+    """Each document read as the name list of one commit."""
+    return readers.parse_commit_files(v.documents().select("repo", F.col("doc_id").alias("commit"), "value"))
+
+
+@query(
+    "patch_text",
+    sql(
+        """SELECT repo, doc_id AS commit, 'p' || length(text) % 7 || '.go' AS file, n AS start, n + length(text) % 4 - CASE WHEN length(text) % 4 = 0 THEN 0 ELSE 1 END AS "end", length(text) % 4 = 0 AS deleted
+           FROM sline WHERE length(text) % 5 > 0"""
+    ),
+)
+def _(v: Views):
+    """Each document written as a patch: a file header and a hunk per line,
+    a deleted file for every fifth length."""
+    head = lambda t: F.when(F.length(t) % 5 == 0, F.lit("+++ /dev/null")).otherwise(
+        F.concat(F.lit("+++ b/p"), (F.length(t) % 7).cast("string"), F.lit(".go"))
+    )
+    hunk = lambda t, i: F.concat(
+        F.lit("\n@@ -1,2 +"),
+        (i + 1).cast("string"),
+        F.when(F.length(t) % 4 == 1, F.lit("")).otherwise(F.concat(F.lit(","), (F.length(t) % 4).cast("string"))),
+        F.lit(" @@ "),
+        t,
+        F.lit("\n+"),
+        t,
+    )
+    body = F.array_join(F.transform(F.split("value", "\n"), lambda t, i: F.concat(head(t), hunk(t, i))), "\n")
+    d = v.documents().select("repo", F.col("doc_id").alias("commit"), F.concat(F.lit("diff --git\n"), body).alias("value"))
+    return readers.parse_patches(d)
+
+
+@query(
+    "changed_functions",
+    sql(
+        """SELECT DISTINCT f.repo, f.id FROM func f WHERE f.file LIKE 'promo/%/large.go' OR EXISTS (SELECT 1 FROM hunk h WHERE h.repo = f.repo AND h.file = f.file
+             AND CASE WHEN h.del THEN h.s + 30 >= f.line AND h.s + 31 <= f.end_line ELSE h.s + 30 <= f.end_line AND h.e + 30 >= f.line END)"""
+    ),
+)
+def _(v: Views):
+    """Hunks shifted by 30 lines, and untracked files of one kind."""
+    h = v.hunks().withColumns({"start": F.col("start") + 30, "end": F.col("end") + 30})
+    f = v.functions()
+    return scopes.changed(f, h, f.where("file LIKE 'promo/%/large.go'").select("repo", "file").distinct())
+
+
+# --- roll-ups ---------------------------------------------------------------
+
+
+@query(
+    "package_rollup",
+    sql(
+        """SELECT p.repo, p.id AS package, p.name, p.dir, g_crap AS grade_crap, g_mut AS grade_mutation, g_cov AS grade_coverage, g_all AS grade_combined,
+             crap_max, crap_avg, worst, stmts, covered, percent, killed, survived, not_covered, timed_out, score,
+             coalesce(functions, 0) AS functions, coalesce(green, 0) AS green, coalesce(d.churn, 0) AS churn
+           FROM pkg p LEFT JOIN roll r ON r.repo = p.repo AND r.package = p.id LEFT JOIN dirchurn d ON d.repo = p.repo AND d.dir = p.dir"""
+    ),
+)
+def _(v: Views):
+    return packages_modules(v)[0].drop("coverage_stale", "mutation_stale", "coverage_error", "mutation_error")
+
+
+@query(
+    "module_rollup",
+    sql(
+        """SELECT repo, repo AS module, min(g_crap) AS grade_crap, min(g_mut) AS grade_mutation, min(g_cov) AS grade_coverage, min(g_all) AS grade_combined,
+             floor(max(crap) * 10.0 + 0.5) / 10.0 AS crap_max, floor(sum(crap) / count(crap) * 10.0 + 0.5) / 10.0 AS crap_avg,
+             arg_min(id, ROW(-coalesce(crap, -1.0), g_all, id)) AS worst, CAST(sum(stmts) AS BIGINT) AS stmts, CAST(sum(covered) AS BIGINT) AS covered,
+             floor(CAST(sum(covered) AS DOUBLE) / CAST(sum(stmts) AS DOUBLE) * 100.0 * 10.0 + 0.5) / 10.0 AS percent, count(*) AS functions, count(*) FILTER (g_all >= 9) AS green
+           FROM metric GROUP BY repo"""
+    ),
+)
+def _(v: Views):
+    return packages_modules(v)[1].drop(
+        "coverage_stale", "mutation_stale", "killed", "survived", "not_covered", "timed_out", "score"
+    )
+
+
+@query(
+    "worst_packages",
+    sql(
+        """SELECT * FROM (SELECT repo, package, crap_max, crap_avg, worst, percent, functions,
+              row_number() OVER (PARTITION BY repo ORDER BY crap_max DESC, package) AS position FROM roll WHERE crap_max IS NOT NULL) WHERE position <= 10"""
+    ),
+)
+def _(v: Views):
+    n = v.nodes()
+    # Ties on CRAP fall back to the grade without mutation here; CRAP decides.
+    return analyze.worst_packages(n, v.facts(), v.blocks()).select(
+        *SNAP, "package", "crap_max", "crap_avg", "worst", "percent", "functions", "position"
+    )
+
+
+@query(
+    "green_share",
+    sql("SELECT repo, package, green, functions, CAST(floor(green * 100 / functions) AS BIGINT) AS green_percent FROM roll"),
+)
+def _(v: Views):
+    return rollup.green_share(packages_modules(v)[0]).select(*SNAP, "package", "green", "functions", "green_percent")
+
+
+@query(
+    "group_rollup",
+    sql(
+        """SELECT repo, prefix, min(g_crap) AS grade_crap, min(g_mut) AS grade_mutation, min(g_cov) AS grade_coverage, min(g_all) AS grade_combined,
+             max(crap_max) AS crap_max, arg_min(worst, ROW(-crap_max, package)) FILTER (crap_max IS NOT NULL) AS worst, count(*) AS packages
+           FROM (SELECT *, split_part(package, '/', 2) AS prefix FROM roll) GROUP BY ALL"""
+    ),
+)
+def _(v: Views):
+    p = packages_modules(v)[0]
+    g = p.select(*SNAP, "package", F.substring_index("dir", "/", 1).alias("prefix"))
+    return rollup.group_roll_up(p, g)
+
+
+@query(
+    "scan_summary",
+    sql(
+        """SELECT repo, count(*) FILTER (kind = 'package') AS packages, count(*) FILTER (kind = 'func') AS functions, count(*) FILTER (kind = 'type') AS types,
+             CAST(coalesce(sum(CASE WHEN kind = 'package' THEN length(name) % 3 END), 0) AS BIGINT) AS package_errors FROM node GROUP BY repo"""
+    ),
+)
+def _(v: Views):
+    errors = F.filter(
+        F.array(F.lit("a"), F.lit("b")), lambda x, i: i < F.length("name") % 3
+    )
+    return rollup.scan_summary(v.nodes().withColumn("errors", errors))
+
+
+@query(
+    "package_error_lines",
+    sql("SELECT repo, id, unnest(range(length(name) % 3)) AS ord, name || ': ' || unnest(['a', 'b'][1:length(name) % 3]) AS error FROM pkg WHERE length(name) % 3 > 0"),
+)
+def _(v: Views):
+    errors = F.filter(F.array(F.lit("a"), F.lit("b")), lambda x, i: i < F.length("name") % 3)
+    return rollup.package_error_lines(v.nodes().withColumn("errors", errors))
+
+
+@query(
+    "graph_counts",
+    sql(
+        """SELECT repo, (SELECT count(*) FROM node n WHERE n.repo = r.repo) AS nodes, (SELECT count(*) FROM edge e WHERE e.repo = r.repo) AS edges,
+             (SELECT count(*) FROM func f WHERE f.repo = r.repo) AS metrics FROM (SELECT DISTINCT repo FROM func) r"""
+    ),
+)
+def _(v: Views):
+    return rollup.graph_counts(v.nodes(), v.edges(), v.facts())
+
+
+@query(
+    "latest_run",
+    sql("SELECT repo, strftime(max(ts), '%Y-%m-%d') AS ran_on FROM cfile GROUP BY repo"),
+)
+def _(v: Views):
+    runs = v.commit_files().select("repo", F.col("ts").alias("ran_at"))
+    return rollup.latest_run(runs).select("repo", F.date_format("ran_at", "yyyy-MM-dd").alias("ran_on"))
+
+
+@query(
+    "package_overview",
+    sql(
+        """SELECT r.repo, package, r.package[length(r.repo) + 2:] AS name, package NOT IN (SELECT f.parent FROM eff JOIN func f USING (repo, id)) AS pure,
+             g_crap AS grade_crap, g_mut AS grade_mutation, g_cov AS grade_coverage, g_all AS grade_combined, crap_max, percent, score,
+             regexp_extract(worst, '([^/]*)$', 1) AS riskiest, CASE WHEN package LIKE '%/promo/%' THEN 'tests failed' ELSE '' END AS problems FROM roll r"""
+    ),
+)
+def _(v: Views):
+    """Purity here is that of local effects only."""
+    m = fn_metrics(v)
+    errors = m.select("repo", F.col("parent").alias("package")).distinct().where("package LIKE '%/promo/%'").withColumn("error", F.lit("tests failed"))
+    p, _mod = rollup.roll_up(m, v.nodes(), coverage_errors=errors)
+    local = v.functions().select(*ID).join(v.effectful().withColumn("e", F.lit(True)), ID, "left").select(*ID, F.col("e").isNull().alias("pure"))
+    return rollup.overview(p, rollup.package_purity(v.nodes(), local)).withColumn("problems", F.array_join("problems", "; "))
+
+
+@query(
+    "outside_calls",
+    sql(
+        """SELECT a.repo, a.parent AS from_package, b.parent AS to_package, count(DISTINCT b.id) AS functions
+           FROM callx c JOIN func a ON a.repo = c.repo AND a.id = c.f JOIN func b ON b.repo = c.repo AND b.id = c.t WHERE a.parent <> b.parent GROUP BY ALL"""
+    ),
+)
+def _(v: Views):
+    return rollup.outside_counts(rollup.outside_calls(v.nodes(), v.edges()))
+
+
+# --- rankings ---------------------------------------------------------------
+
+for _metric, _col, _dir in [
+    ("crap", "crap", "DESC"),
+    ("cognitive", "CAST(cognitive AS DOUBLE)", "DESC"),
+    ("cc", "CAST(cc AS DOUBLE)", "DESC"),
+    ("coverage", "percent", "ASC"),
+    ("mutation", "score", "ASC"),
+]:
+
+    def _ranked(v: Views, metric: str = _metric):
+        m = fn_metrics(v)
+        top = ranking.rank_worst(m, metric, 25)
+        return top.join(ranking.not_measured(m, metric), SNAP)
+
+    query(
+        f"rank_worst_{_metric}",
+        sql(
+            f"""SELECT repo, id, value, false AS stale, position, n AS not_measured FROM (
+                  SELECT repo, id, {_col} AS value, row_number() OVER (PARTITION BY repo ORDER BY {_col} {_dir} NULLS LAST, id) AS position,
+                         count(*) FILTER ({_col} IS NULL) OVER (PARTITION BY repo) AS n FROM metric) WHERE value IS NOT NULL AND position <= 25"""
+        ),
+    )(_ranked)
+
+
+@query("rank_all_in_scope", sql("SELECT repo, id, crap AS value, false AS stale FROM metric WHERE crap IS NOT NULL AND file LIKE '%/large.go'"))
+def _(v: Views):
+    scope = v.functions().where("file LIKE '%/large.go'")
+    return ranking.rank_worst(fn_metrics(v), "crap", 0, scope)
+
+
+@query("risk_order", sql("SELECT repo, id, crap FROM metric"))
+def _(v: Views):
+    return ranking.by_risk(fn_metrics(v).select(*ID, "crap"))
+
+
+@query(
+    "riskiest_in_scope",
+    sql(
+        """SELECT repo, id, crap, position, greatest(n - 15, 0) AS more FROM (SELECT repo, id, crap, count(*) OVER (PARTITION BY repo) AS n,
+             row_number() OVER (PARTITION BY repo ORDER BY crap DESC NULLS LAST, id) AS position FROM metric) WHERE position <= 15"""
+    ),
+)
+def _(v: Views):
+    return ranking.riskiest_in_scope(fn_metrics(v))
+
+
+@query(
+    "map_order",
+    sql(
+        """SELECT repo, parent, id, position, greatest(n - 4, 0) AS more FROM (SELECT repo, parent, id, count(*) OVER (PARTITION BY repo, parent) AS n,
+             row_number() OVER (PARTITION BY repo, parent ORDER BY crap DESC NULLS FIRST, name, id) AS position FROM metric) WHERE position <= 4"""
+    ),
+)
+def _(v: Views):
+    return ranking.map_order(fn_metrics(v), 4).select(*SNAP, "parent", "id", "position", "more")
+
+
+@query(
+    "riskiest_with_reason",
+    sql(
+        """SELECT repo, parent, id, name, crap, g_crap AS grade, position, CASE WHEN crap IS NULL THEN 'coverage not measured' WHEN percent = 0 AND stmts > 0 THEN 'no tests run it'
+             WHEN coalesce(survived, 0) > 0 THEN survived || ' mutants survived' ELSE 'CC ' || cc END AS reason FROM (SELECT *,
+             row_number() OVER (PARTITION BY repo, parent ORDER BY crap DESC NULLS FIRST, name, id) AS position FROM metric) WHERE position <= 3"""
+    ),
+)
+def _(v: Views):
+    return ranking.riskiest(fn_metrics(v))
+
+
+_BARE = "SELECT repo, parent AS package, arg_min(name, ROW(-crap, name, id)) AS bare_name, arg_min(id, ROW(-crap, name, id)) AS bare FROM metric WHERE percent = 0 AND stmts > 0 GROUP BY ALL"
+
+
+@query(
+    "package_problems",
+    sql(
+        """SELECT repo, package, i - 1 AS ord, split_part(p, '|', 1) AS text, split_part(p, '|', 2) AS tone FROM (
+             SELECT repo, package, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT r.repo, r.package, list_filter([
+               CASE WHEN r.package LIKE '%/promo/%' THEN 'tests failed: coverage not measured|red' END,
+               CASE WHEN bare IS NOT NULL THEN bare_name || ' has no tests|red' END,
+               CASE WHEN r.score < 70 AND r.survived > 0 THEN r.survived || ' mutants survived|orange' END,
+               CASE WHEN r.crap_max > 8 AND r.worst IS NOT NULL AND bare IS DISTINCT FROM r.worst THEN f.name || ' · CRAP ' || format('{:.1f}', r.crap_max) || '|orange' END,
+               CASE WHEN r.killed IS NULL THEN 'mutation not measured yet|red' END], lambda x: x IS NOT NULL)[1:2] AS ps
+             FROM roll r LEFT JOIN bare b USING (repo, package) LEFT JOIN func f ON f.repo = r.repo AND f.id = r.worst))""",
+        bare=_BARE,
+    ),
+)
+def _(v: Views):
+    m = fn_metrics(v)
+    errors = m.select("repo", F.col("parent").alias("package")).distinct().where("package LIKE '%/promo/%'").withColumn("error", F.lit("tests failed"))
+    p, _mod = rollup.roll_up(m, v.nodes(), coverage_errors=errors)
+    return ranking.package_problems(p, m, limits(v))
+
+
+@query(
+    "function_chips",
+    sql(
+        """SELECT repo, id, i - 1 AS ord, split_part(p, '|', 1) AS text, split_part(p, '|', 2) AS tone FROM (
+             SELECT repo, id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT repo, id, list_filter([
+               CASE WHEN percent = 0 AND stmts > 0 THEN 'untested|red' END,
+               CASE WHEN crap > 8 THEN 'CRAP ' || format('{:.1f}', floor(crap * 10.0 + 0.5) / 10.0) || '|grade:' || g_crap END,
+               CASE WHEN survived > 0 THEN survived || ' survived|' || CASE WHEN survived > 2 THEN 'red' ELSE 'yellow' END END], lambda x: x IS NOT NULL) AS ps FROM metric))"""
+    ),
+)
+def _(v: Views):
+    return ranking.function_chips(fn_metrics(v), limits(v))
+
+
+# --- gate -------------------------------------------------------------------
+
+_RANGES = """SELECT repo, id, string_agg(CASE WHEN s = e THEN CAST(s AS VARCHAR) ELSE s || '–' || e END, ', ' ORDER BY s) AS ranges
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo, id ORDER BY s) AS i FROM urun) WHERE i <= 10 GROUP BY ALL"""
+_BREACH = """SELECT repo, id, 'cognitive' AS kind, CAST(cognitive AS DOUBLE) AS value, 15.0 AS lim, 'extract the nested block or invert conditions to flatten' AS hint FROM metric WHERE cognitive > 15
+  UNION ALL SELECT repo, id, 'crap', crap, 8.0, 'add tests for the uncovered branches, or split the function' FROM metric WHERE crap > 8
+  UNION ALL SELECT m.repo, m.id, 'coverage', percent, CASE WHEN m.file LIKE 'small/%/large.go' THEN 100.0 ELSE 80.0 END,
+      coalesce('add tests for lines ' || regexp_extract(m.file, '([^/]*)$', 1) || ':' || ranges, 'add tests for the uncovered lines')
+    FROM metric m LEFT JOIN tops t USING (repo, id) WHERE percent < CASE WHEN m.file LIKE 'small/%/large.go' THEN 100.0 ELSE 80.0 END
+  UNION ALL SELECT repo, id, 'mutation', score, 70.0, 'each survivor is one missing assertion' FROM metric WHERE score < 70"""
+
+
+def gate_tables(v: Views, fast: bool = False) -> dict[str, DataFrame]:
+    i = measured(v)
+    m = settle(analyze.function_table(i, AS_OF), "functions")
+    critical = v.functions().select("repo").distinct().withColumn("pattern", F.lit("small/**/large.go"))
+    return check.check(m, i.mutants, i.line_states, critical_paths=critical, fast=fast)
+
+
+@query("gate_breaches", sql('SELECT repo, id, regexp_extract(id, \'([^/]*)$\', 1) AS name, kind, value, CAST(lim AS DOUBLE) AS "limit", hint FROM breach', tops=_RANGES, breach=_BREACH))
+def _(v: Views):
+    return gate_tables(v)["breaches"]
+
+
+@query("gate_verdict", sql("SELECT f.repo, f.n AS functions, coalesce(b.n, 0) AS breaches, coalesce(b.n, 0) = 0 AS pass FROM (SELECT repo, count(*) AS n FROM func GROUP BY repo) f LEFT JOIN (SELECT repo, count(*) AS n FROM breach GROUP BY repo) b USING (repo)", tops=_RANGES, breach=_BREACH))
+def _(v: Views):
+    return gate_tables(v)["verdict"]
+
+
+@query("gate_fast_breaches", sql("SELECT repo, id, kind, value FROM breach WHERE kind IN ('cognitive', 'crap')", tops=_RANGES, breach=_BREACH))
+def _(v: Views):
+    return gate_tables(v, fast=True)["breaches"].select(*ID, "kind", "value")
+
+
+@query(
+    "gate_survivor_details",
+    sql(
+        """SELECT repo, id, position, detail FROM (SELECT a.repo, a.id, regexp_extract(a.file, '([^/]*)$', 1) || ':' || a.line || ' ' || a.type AS detail,
+             row_number() OVER (PARTITION BY a.repo, a.id ORDER BY a.line, a.col, a.type) AS position FROM amut a JOIN metric m USING (repo, id) WHERE a.status = 'LIVED' AND m.score < 70) WHERE position <= 5"""
+    ),
+)
+def _(v: Views):
+    return gate_tables(v)["details"]
+
+
+@query("gate_rows", sql("SELECT repo, id, regexp_extract(id, '([^/]*)$', 1) AS name, crap, percent AS coverage, score AS mutation, cognitive, false AS stale FROM metric"))
+def _(v: Views):
+    return gate_tables(v)["rows"]
+
+
+_MISSING = """SELECT repo, id, 'crap' AS metric, 'coverage not measured yet (run: check ' || regexp_extract(id, '([^/]*)$', 1) || ')' AS reason FROM metric WHERE crap IS NULL
+  UNION ALL SELECT repo, id, 'mutation', 'mutation not run since last change (run: mutate ' || regexp_extract(id, '([^/]*)$', 1) || ')' FROM metric WHERE killed IS NULL
+  UNION ALL SELECT repo, id, 'mutation', 'no mutant could run: ' || testable || ' not covered by tests' FROM metric WHERE killed IS NOT NULL AND score IS NULL AND testable > 0"""
+
+
+@query("gate_not_measured", sql("SELECT repo, id, metric, reason FROM missing", missing=_MISSING))
+def _(v: Views):
+    return gate_tables(v)["not_measured"].drop("name")
+
+
+@query(
+    "gate_not_measured_summary",
+    sql(
+        """SELECT repo, metric, count(*) AS functions, CASE metric WHEN 'crap' THEN 'coverage missing or stale (run the analysis with coverage)'
+             ELSE 'mutation not run, or no mutant could run (run the mutation tests)' END AS hint FROM missing GROUP BY ALL""",
+        missing=_MISSING,
+    ),
+)
+def _(v: Views):
+    return gate_tables(v)["summary"]
+
+
+@query("effective_thresholds", sql("SELECT repo, CAST(CASE WHEN repo LIKE '%1' THEN 5.0 ELSE 8.0 END AS DOUBLE) AS crap_max, CAST(15 AS BIGINT) AS cognitive_max, CAST(80.0 AS DOUBLE) AS coverage_min, CAST(CASE WHEN repo LIKE '%1' THEN 90.0 ELSE 70.0 END AS DOUBLE) AS mutation_min FROM (SELECT DISTINCT repo FROM func)"))
+def _(v: Views):
+    own = v.functions().select("repo").distinct().where("repo LIKE '%1'").select(
+        "repo", F.lit(5.0).alias("crap_max"), F.lit(None).cast("int").alias("cognitive_max"), F.lit(None).cast("double").alias("coverage_min"), F.lit(90.0).alias("mutation_min")
+    )
+    return scopes.with_effective_thresholds(v.functions(), own)
+
+
+# --- labels and prompts -----------------------------------------------------
+
+
+@query(
+    "label_rows",
+    sql(
+        """SELECT repo, id, CASE WHEN crap IS NULL THEN 'not measured' ELSE format('{:.1f}', floor(crap * 10.0 + 0.5) / 10.0) || '  (grade ' || g_crap || ')' END AS crap,
+             CAST(cc AS VARCHAR) AS cc, CAST(cognitive AS VARCHAR) AS cognitive,
+             CASE WHEN stmts IS NULL THEN 'not measured' WHEN percent IS NULL THEN 'no statements' ELSE regexp_replace(CAST(percent AS VARCHAR), '\\.0$', '') || '% (' || covered || ' of ' || stmts || ' statements)  (grade ' || g_cov || ')' END AS coverage,
+             CASE WHEN killed IS NULL THEN 'not measured' WHEN killed + survived + not_covered + timed_out = 0 THEN 'no mutation sites' WHEN score IS NULL THEN '— (' || not_covered || ' not covered)'
+               ELSE regexp_replace(CAST(score AS VARCHAR), '\\.0$', '') || '% (' || killed || ' killed, ' || survived || ' survived, ' || not_covered || ' not covered)  (grade ' || g_mut || ')' END AS mutation,
+             CAST(loc AS VARCHAR) AS lines, 'Churn (approx.): ' || churn AS churn,
+             g_all || ' of 10 (CRAP ' || g_crap || ', mutation ' || coalesce(CAST(g_mut AS VARCHAR), 'n/a') || ', coverage ' || g_cov || ')' AS grade FROM metric"""
+    ),
+)
+def _(v: Views):
+    return text.label_rows(fn_metrics(v))
+
+
+@query(
+    "node_labels",
+    sql(
+        """SELECT repo, id, CASE WHEN kind = 'func' AND exported THEN 'function · exported' WHEN kind = 'func' THEN 'function · unexported' WHEN kind = 'type' THEN 'type · ' || type_kind
+             WHEN kind = 'external' THEN 'external module' ELSE kind END AS label,
+             CASE WHEN file IS NULL THEN NULL WHEN end_line > line THEN file || ':' || line || '–' || end_line ELSE file || ':' || line END AS at,
+             CASE kind WHEN 'func' THEN ' · λ pure' WHEN 'package' THEN ' · effectful shell' ELSE '' END AS purity FROM node"""
+    ),
+)
+def _(v: Views):
+    pure = F.when(F.col("kind") == "func", F.lit(True)).when(F.col("kind") == "package", F.lit(False))
+    return v.nodes().withColumn("pure", pure).select(
+        *ID, text.kind_label().alias("label"), text.location("file", "line", "end_line").alias("at"), text.purity_label("kind", "pure").alias("purity")
+    )
+
+
+@query(
+    "fix_prompts",
+    sql(
+        """SELECT repo, id, 'Improve ' || short || ' (' || file || ':' || line || '). ' ||
+             CASE WHEN crap IS NULL THEN 'CRAP not measured' ELSE 'CRAP ' || format('{:.1f}', floor(crap * 10.0 + 0.5) / 10.0) || ' (target 8 or less)' END || ', CC ' || cc || ', cognitive ' || cognitive || ', ' ||
+             CASE WHEN stmts IS NULL THEN 'coverage not measured' WHEN percent IS NULL THEN 'no statements' ELSE 'coverage ' || regexp_replace(CAST(percent AS VARCHAR), '\\.0$', '') || '% (target 80%+)' END || ', ' ||
+             CASE WHEN killed IS NULL THEN 'mutation not measured' WHEN score IS NULL THEN 'mutation: no mutant ran (' || not_covered || ' not covered)'
+               ELSE 'mutation ' || regexp_replace(CAST(score AS VARCHAR), '\\.0$', '') || '% (target 70%+), ' || survived || ' surviving and ' || not_covered || ' not-covered mutants' END || '.' ||
+             coalesce(chr(10) || 'Surviving mutants: ' || sv || '.', '') || coalesce(chr(10) || 'Not covered: ' || base || ':' || ranges || '.', '') ||
+             chr(10) || 'Kill the survivors with focused tests first, then reduce complexity.' || chr(10) || 'Verify with: check ' || short AS prompt
+           FROM (SELECT *, regexp_extract(id, '([^/]*)$', 1) AS short, regexp_extract(file, '([^/]*)$', 1) AS base FROM metric)
+           LEFT JOIN (SELECT repo, id, string_agg(regexp_extract(file, '([^/]*)$', 1) || ':' || line || ' ' || type, '; ' ORDER BY line, col, type) AS sv FROM amut WHERE status = 'LIVED' GROUP BY ALL) USING (repo, id)
+           LEFT JOIN (SELECT repo, id, string_agg(CASE WHEN s = e THEN CAST(s AS VARCHAR) ELSE s || '–' || e END, ', ' ORDER BY s) AS ranges FROM urun GROUP BY ALL) USING (repo, id)
+           UNION ALL
+           SELECT p.repo, p.id, 'Improve package ' || p.name || ': CRAP max ' || coalesce(format('{:.1f}', crap_max), 'not measured') || ' (' || regexp_extract(worst, '([^/]*)$', 1) || '), ' ||
+             CASE WHEN stmts IS NULL THEN 'coverage not measured' WHEN percent IS NULL THEN 'no statements' ELSE 'coverage ' || regexp_replace(CAST(percent AS VARCHAR), '\\.0$', '') || '% (target 80%+)' END || ', ' ||
+             CASE WHEN killed IS NULL THEN 'mutation not measured' WHEN score IS NULL THEN 'mutation: no mutant ran (' || not_covered || ' not covered)'
+               ELSE 'mutation ' || regexp_replace(CAST(score AS VARCHAR), '\\.0$', '') || '% (target 70%+), ' || survived || ' surviving and ' || not_covered || ' not-covered mutants' END || '.' ||
+             chr(10) || 'Start with the riskiest function, kill surviving mutants with focused tests, then reduce complexity.' || chr(10) || 'Verify with: check ' || p.name
+           FROM pkg p JOIN roll r ON r.repo = p.repo AND r.package = p.id
+           UNION ALL SELECT repo, id, 'Review type ' || regexp_extract(id, '([^/]*)$', 1) || ' (' || file || ':' || line || ') and its usages.' || chr(10) || 'Verify with: check ' || regexp_extract(id, '([^/]*)$', 1) FROM node WHERE kind = 'type'
+           UNION ALL SELECT repo, id, 'List every place the code imports ' || name || '.' FROM node WHERE kind IN ('module', 'external')"""
+    ),
+)
+def _(v: Views):
+    i = measured(v)
+    m = settle(analyze.function_table(i, AS_OF), "functions")
+    p, _mod = rollup.roll_up(m, v.nodes())
+    placed = notes_for(v).where(F.lit(False))
+    return text.prompts(
+        v.nodes(), m, p, limits(v), mutation.survivors(i.mutants), coverage.state_runs(i.line_states, "uncovered"), placed
+    )
+
+
+def notes_for(v: Views) -> DataFrame:
+    return v.text_notes().withColumn("line", F.col("line_offset").cast("long")).withColumn("outdated", F.lit(False))
+
+
+@query(
+    "node_view",
+    sql(
+        """SELECT n.repo, n.id, n.kind, CASE WHEN n.line > 0 THEN n.line || '-' || greatest(n.line, n.end_line) END AS lines,
+             CASE WHEN n.kind = 'package' THEN n.name ELSE regexp_extract(n.id, '([^/]*)$', 1) END AS check_target,
+             m.crap, CAST(8.0 AS DOUBLE) AS crap_target, m.percent, CAST(80.0 AS DOUBLE) AS coverage_target, m.score, CAST(70.0 AS DOUBLE) AS mutation_target, coalesce(m.killed, 0) AS killed FROM node n LEFT JOIN metric m ON m.repo = n.repo AND m.id = n.id"""
+    ),
+)
+def _(v: Views):
+    return pages.node_view(v.nodes(), fn_metrics(v), limits(v)).select(
+        *ID, "kind", "lines", "check_target", "crap", "crap_target", "percent", "coverage_target", "score", "mutation_target", "killed"
+    )
+
+
+# --- scopes and nodes -------------------------------------------------------
+
+
+@query("nodes_by_kind", sql("SELECT repo, kind, id FROM node WHERE kind IN ('func', 'package')"))
+def _(v: Views):
+    n = v.nodes()
+    return scopes.functions(n).select(*SNAP, "kind", "id").unionByName(scopes.packages(n).select(*SNAP, "kind", "id"))
+
+
+@query(
+    "glob_match_urls",
+    sql(
+        """SELECT page_id, p NOT LIKE '%/%' OR regexp_matches(p, '^[^/]*$') AS top, regexp_matches(p, '^[^/]+/en/.*$') AS en, regexp_matches(p, '/[^/]*\\.html$') AS html,
+             regexp_matches(p, '^m\\.[^/]*/[a-f][^/]/') AS two, false AS bad FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)"""
+    ),
+)
+def _(v: Views):
+    p = F.regexp_replace("url", "^https?://", "")
+    d = v.table("pages").select("page_id", p.alias("p"))
+    g = paths.matches_glob
+    return d.select(
+        "page_id",
+        g("p", ["*"]).alias("top"),
+        g("p", ["*/en/**"]).alias("en"),
+        g("p", ["**/*/*.html"]).alias("html"),
+        g("p", ["m.*/[a-f]?/**"]).alias("two"),
+        g("p", ["*/[a-"]).alias("bad"),
+    )
+
+
+@query("excluded_files", sql("SELECT DISTINCT repo, file FROM func WHERE NOT (file LIKE 'large/%' OR file LIKE '%/brand1/small.go')"))
+def _(v: Views):
+    return scopes.excluded(v.functions(), ["large/**", "**/brand1/small.go"]).select("repo", "file").distinct()
+
+
+@query("files_matching_patterns", sql("SELECT DISTINCT repo, file FROM func WHERE file LIKE dir || '/%' AND file LIKE '%/' || CASE WHEN repo = 'repo0' THEN 'large' ELSE 'small' END || '.go'"))
+def _(v: Views):
+    pat = v.functions().select("repo").distinct().withColumn(
+        "pattern", F.when(F.col("repo") == "repo0", F.lit("**/large.go")).otherwise(F.lit("*/*/sm*.go"))
+    )
+    return scopes.files_matching(v.functions(), pat)
+
+
+@query("functions_in_files", sql("SELECT repo, id FROM func WHERE file LIKE '%/brand7/%'"))
+def _(v: Views):
+    f = v.functions()
+    return scopes.in_files(f, f.where("file LIKE '%/brand7/%'").select("repo", "file").distinct())
+
+
+@query("expand_scope", sql("SELECT repo, id FROM func WHERE dir LIKE '%/brand3' OR cc = 5"))
+def _(v: Views):
+    ids = scopes.packages(v.nodes()).where("name LIKE '%/brand3'").select(*ID)
+    ids = ids.unionByName(v.facts().where("cc = 5").select(*ID)).unionByName(v.nodes().where("kind = 'type'").select(*ID))
+    return scopes.expand(v.nodes(), ids)
+
+
+@query("packages_of_nodes", sql("SELECT DISTINCT repo, parent AS package FROM func WHERE cc = 5 UNION SELECT repo, id FROM pkg WHERE name LIKE 'promo/%'"))
+def _(v: Views):
+    ids = v.facts().where("cc = 5").select(*ID).unionByName(v.nodes().where("kind = 'package' AND name LIKE 'promo/%'").select(*ID))
+    return scopes.packages_of(v.nodes(), ids)
+
+
+@query("lines_of_code", sql("SELECT repo, id, loc FROM func"))
+def _(v: Views):
+    return scopes.with_loc(v.functions().select(*ID, "line", "end_line")).select(*ID, "loc")
+
+
+@query(
+    "path_derivations",
+    sql(
+        """SELECT repo, id, regexp_extract(id, '([^/]*)$', 1) AS short, CASE WHEN file IS NULL THEN NULL ELSE regexp_extract(file, '^(.*)/[^/]*$', 1) END AS dir,
+             CASE WHEN regexp_matches(id, '^.+\\.[^.]*$') THEN regexp_extract(id, '^(.+)\\.[^.]*$', 1) END AS owner,
+             CASE kind WHEN 'external' THEN split_part(id, '/', 2) ELSE regexp_extract(id, '([^/]*)$', 1) END AS module_short,
+             CASE kind WHEN 'external' THEN split_part(id, '/', 2) ELSE id END AS external_name FROM node"""
+    ),
+)
+def _(v: Views):
+    return v.nodes().select(
+        *ID,
+        paths.short("id").alias("short"),
+        paths.dirname("file").alias("dir"),
+        paths.method_owner("id").alias("owner"),
+        paths.module_short("id").alias("module_short"),
+        paths.external_name("id").alias("external_name"),
+    )
+
+
+@query(
+    "distinct_edges",
+    sql("SELECT repo, f AS \"from\", t AS \"to\", kind FROM rawcall UNION SELECT repo, f, t, kind FROM rawcall"),
+)
+def _(v: Views):
+    return scopes.distinct_edges(v.raw_calls())
+
+
+@query(
+    "edges_without_dangling",
+    sql(
+        """SELECT c.repo, c.f AS "from", c.t AS "to", c.kind FROM callx c JOIN func a ON a.repo = c.repo AND a.id = c.f
+           WHERE a.p_type <> 'PROMO' AND CASE WHEN c.kind = 'calls' THEN EXISTS (SELECT 1 FROM func b WHERE b.repo = c.repo AND b.id = c.t AND b.p_type <> 'PROMO')
+             ELSE EXISTS (SELECT 1 FROM pkg p WHERE p.repo = c.repo AND p.id || '.I' = regexp_extract(c.t, '^(.+)\\.[^.]*$', 1) AND p.name NOT LIKE 'promo/%')
+               OR EXISTS (SELECT 1 FROM pkg p WHERE p.repo = c.repo AND p.id = regexp_extract(c.t, '^(.+)\\.[^.]*$', 1) AND p.name NOT LIKE 'promo/%') END"""
+    ),
+)
+def _(v: Views):
+    """Promo packages are missing from the scan."""
+    n = v.nodes().where("NOT (coalesce(dir, '') LIKE 'promo/%')")
+    return scopes.without_dangling(v.calls(), n)
+
+
+@query(
+    "unique_node_ids",
+    sql(
+        """SELECT repo, CASE WHEN i = 1 THEN id WHEN j = 1 THEN id || '#' || base ELSE id || '#' || base || ':' || line END AS id, file, line FROM (
+             SELECT *, row_number() OVER (PARTITION BY repo, id, base, i = 1 ORDER BY file, line) AS j FROM (
+               SELECT repo, parent || '.init' AS id, file, line, regexp_extract(file, '([^/]*)$', 1) AS base, row_number() OVER (PARTITION BY repo, parent ORDER BY file, line) AS i FROM func))"""
+    ),
+)
+def _(v: Views):
+    """All functions of a package share one id."""
+    n = v.functions().withColumn("id", F.concat("parent", F.lit(".init")))
+    return scopes.unique_ids(n).select(*ID, "file", "line")
+
+
+@query("external_imports", sql("SELECT DISTINCT repo, importer AS \"from\", module AS \"to\", 'imports' AS kind, ext_name AS name FROM imppath"))
+def _(v: Views):
+    mods = v.external_modules().select("path", "module").distinct()
+    nodes, edges = scopes.external_imports(v.import_paths().drop("module"), mods)
+    return edges.join(nodes.select(*SNAP, F.col("id").alias("to"), "name"), SNAP + ["to"])
+
+
+@query("external_imports_stdlib", sql("SELECT DISTINCT repo, path AS id, path AS name FROM imppath WHERE ext_name LIKE '%1'"))
+def _(v: Views):
+    """Modules hidden, standard library shown: nations ending in 1 count as it."""
+    mods = v.external_modules().select("path", F.when(~F.col("ext_name").endswith("1"), F.col("module")).alias("module")).distinct()
+    nodes, _edges = scopes.external_imports(v.import_paths().drop("module"), mods, "hidden", True)
+    return nodes.select(*ID, "name")
+
+
+@query(
+    "body_fingerprint_groups",
+    sql(
+        """SELECT repo, count(*) AS functions, min(id) AS first FROM (SELECT repo, id, string_agg(rtrim(text), chr(10) ORDER BY n) AS body FROM sline
+             WHERE trim(text, chr(32) || chr(9) || chr(13)) <> '' AND NOT starts_with(trim(text, chr(32) || chr(9) || chr(13)), '//') GROUP BY ALL) GROUP BY repo, body"""
+    ),
+)
+def _(v: Views):
+    """Documents with equal lines share a fingerprint."""
+    h = scopes.fingerprints(v.text_functions(), v.source_lines())
+    return h.groupBy("repo", "body_hash").agg(F.count("*").alias("functions"), F.min("id").alias("first")).drop("body_hash")
+
+
+# --- search -----------------------------------------------------------------
+
+_Q = """SELECT repo, 'F' || k AS query FROM func UNION SELECT repo, name FROM pkg UNION SELECT repo, split_part(name, '/', 2) FROM pkg UNION SELECT repo, id FROM func WHERE cc = 3
+  UNION SELECT repo, 'T' FROM pkg UNION SELECT repo, p_name FROM func UNION SELECT repo, '' FROM pkg"""
+_HITS = "SELECT q.repo, q.query, n.id FROM q JOIN node n ON n.repo = q.repo AND (ends_with(n.id, '/' || q.query) OR ends_with(n.id, '.' || q.query)) WHERE q.query <> ''"
+
+
+def id_queries(v: Views) -> DataFrame:
+    f, p = v.part_functions().withColumn("snapshot_id", F.lit("s1")), scopes.packages(v.nodes())
+    parts = [
+        f.select(*SNAP, F.concat(F.lit("F"), F.col("k").cast("string")).alias("query")),
+        p.select(*SNAP, F.col("name").alias("query")),
+        p.select(*SNAP, F.substring_index("name", "/", -1).alias("query")),
+        v.facts().where("cc = 3").select(*SNAP, F.col("id").alias("query")),
+        p.select(*SNAP, F.lit("T").alias("query")),
+        f.select(*SNAP, F.col("p_name").alias("query")),
+        p.select(*SNAP, F.lit("").alias("query")),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+@query(
+    "resolve_ids",
+    sql(
+        """SELECT q.repo, q.query, CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN h.n IS NULL THEN 'not_found' WHEN h.n = 1 THEN 'unique' ELSE 'ambiguous' END AS status,
+             CASE WHEN e.id IS NOT NULL THEN q.query WHEN h.n = 1 THEN h.one END AS id, CASE WHEN e.id IS NOT NULL THEN 1 ELSE coalesce(h.n, 0) END AS matches
+           FROM q LEFT JOIN node e ON e.repo = q.repo AND e.id = q.query LEFT JOIN (SELECT repo, query, count(*) AS n, min(id) AS one FROM hits GROUP BY ALL) h ON h.repo = q.repo AND h.query = q.query""",
+        q=_Q,
+        hits=_HITS,
+    ),
+)
+def _(v: Views):
+    return search.resolve(v.nodes(), id_queries(v))
+
+
+@query("resolve_candidates", sql("SELECT repo, query, id, false AS exact FROM hits UNION ALL SELECT q.repo, q.query, n.id, true FROM q JOIN node n ON n.repo = q.repo AND n.id = q.query", q=_Q, hits=_HITS))
+def _(v: Views):
+    return search.candidates(v.nodes(), id_queries(v))
+
+
+@query(
+    "resolve_packages",
+    sql(
+        """SELECT q.repo, q.query, CASE WHEN p.id IS NOT NULL THEN 'directory' WHEN h.n IS NULL THEN 'not_found' WHEN h.n = 1 THEN 'unique' ELSE 'ambiguous' END AS status, coalesce(p.id, CASE WHEN h.n = 1 THEN h.one END) AS id
+           FROM q LEFT JOIN pkg p ON p.repo = q.repo AND './' || p.name = q.query LEFT JOIN (SELECT repo, query, count(*) AS n, min(id) AS one FROM hits GROUP BY ALL) h ON h.repo = q.repo AND h.query = q.query""",
+        q="SELECT repo, './' || name AS query FROM pkg UNION SELECT repo, split_part(name, '/', 2) FROM pkg",
+        hits="SELECT q.repo, q.query, n.id FROM q JOIN pkg n ON n.repo = q.repo AND ends_with(n.id, '/' || q.query)",
+    ),
+)
+def _(v: Views):
+    p = scopes.packages(v.nodes())
+    q = p.select(*SNAP, F.concat(F.lit("./"), "name").alias("query")).unionByName(
+        p.select(*SNAP, F.substring_index("name", "/", -1).alias("query"))
+    )
+    return search.resolve_packages(p, q)
+
+
+_TYPED = ["brand7", "b12", "F 99", "lbf", "EcoB1", "zzz"]
+
+
+@query(
+    "fuzzy_search",
+    sql(
+        """SELECT repo, query, id, kind, label, score, position FROM (SELECT *, row_number() OVER (PARTITION BY repo, query ORDER BY score, length(label), id) AS position FROM (
+             SELECT repo, query, id, kind, label, CASE WHEN instr(l, qq) > 0 THEN instr(l, qq) - 1 WHEN ok THEN 100 + gaps END AS score FROM walked)
+             WHERE score IS NOT NULL) WHERE position <= 8""",
+        recursive=True,
+        item="SELECT repo, id, kind, CASE WHEN kind = 'package' THEN name ELSE regexp_extract(id, '([^/]*)$', 1) END AS label FROM node WHERE kind IN ('func', 'package')",
+        pairs="SELECT *, lower(label) AS l, lower(replace(query, ' ', '')) AS qq FROM item, (SELECT unnest(['brand7', 'b12', 'F 99', 'lbf', 'EcoB1', 'zzz']) AS query)",
+        walk="""SELECT repo, query, id, kind, label, l, qq, 0 AS i, 0 AS p, 0 AS gaps, true AS ok FROM pairs
+          UNION ALL SELECT repo, query, id, kind, label, l, qq, i + 1, CASE WHEN nx > 0 THEN p + nx ELSE p END, gaps + CASE WHEN p > 0 THEN nx - 1 ELSE 0 END, ok AND nx > 0
+          FROM (SELECT *, instr(substr(l, p + 1), substr(qq, i + 1, 1)) AS nx FROM walk WHERE i < length(qq) AND ok)""",
+        walked="SELECT * FROM walk WHERE i = length(qq) OR NOT ok",
+    ),
+)
+def _(v: Views):
+    return search.fuzzy(v.nodes(), _TYPED)
+
+
+@query(
+    "glossary_lookup",
+    sql(
+        """SELECT repo, query, key AS term, CASE WHEN known THEN 'Keep ' || key || ' at 8 or less' END AS short FROM (
+             SELECT DISTINCT repo, p_name || '-' || upper(p_type) AS query, replace(p_name, ' ', '_') || '_' || lower(p_type) AS key, p_type <> 'PROMO' AS known FROM func)"""
+    ),
+)
+def _(v: Views):
+    """Part names and types as terms; those of type PROMO are unknown."""
+    p = v.part_functions()
+    q = p.select("repo", F.concat("p_name", F.lit("-"), "p_type").alias("query"))
+    key = F.concat(F.translate("p_name", " ", "_"), F.lit("_"), F.lower("p_type"))
+    t = F.lit("Keep ")
+    terms = p.where("p_type <> 'PROMO'").select(key.alias("term"), F.concat(t, key, F.lit(" at {crap_max} or less")).alias("short")).distinct()
+    terms = terms.withColumns({c: F.lit("") for c in ["title", "body", "good"]})
+    return search.lookup_terms(q, terms, limits(v)).select("repo", "query", "term", "short")
+
+
+# --- effects and graph ------------------------------------------------------
+
+_PURE = {
+    "facts0": """SELECT repo, id, q AS ord, CASE ls WHEN 'F' THEN 'call' ELSE CASE rf WHEN 'R' THEN 'read_var' WHEN 'N' THEN 'go' ELSE 'signature' END END AS kind,
+        (['os', 'fmt', 'net/url', 'time', 'context', 'strings'])[CAST(l_suppkey % 6 + 1 AS INTEGER)] AS package, (['Now', 'Println', 'Open', 'Err'])[CAST(l_suppkey % 4 + 1 AS INTEGER)] AS name FROM li""",
+}
+
+
+def effect_facts(v: Views) -> DataFrame:
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("l_suppkey") % len(xs) + 1).cast("int"))
+    other = F.when(F.col("l_returnflag") == "R", F.lit("read_var")).when(F.col("l_returnflag") == "N", F.lit("go")).otherwise(F.lit("signature"))
+    return v._lineitem_functions().select(
+        "repo",
+        F.lit("s1").alias("snapshot_id"),
+        "id",
+        F.col("l_quantity").cast("int").alias("ord"),
+        F.when(F.col("l_linestatus") == "F", F.lit("call")).otherwise(other).alias("kind"),
+        pick(["os", "fmt", "net/url", "time", "context", "strings"]).alias("package"),
+        pick(["Now", "Println", "Open", "Err"]).alias("name"),
+        F.lit(False).alias("has_receiver"),
+    )
+
+
+@query(
+    "local_effects",
+    sql(
+        """SELECT repo, id, min(ord) AS ord, reason FROM (SELECT repo, id, ord,
+             CASE WHEN kind = 'signature' AND package IN ('os', 'context') THEN 'uses ' || package || '.' || name
+                  WHEN kind = 'call' AND (package = 'os' OR package LIKE 'net/%' OR (package = 'time' AND name = 'Now') OR (package = 'fmt' AND name = 'Println')) THEN 'calls ' || package || '.' || name
+                  WHEN kind = 'read_var' AND NOT (name = 'Err' AND package <> 'fmt') THEN 'reads var ' || regexp_extract(package, '([^/]*)$', 1) || '.' || name
+                  WHEN kind = 'go' THEN 'go statement' END AS reason FROM facts0) WHERE reason IS NOT NULL GROUP BY ALL""",
+        **_PURE,
+    ),
+)
+def _(v: Views):
+    """Error variables are sentinels; that of one package is written."""
+    f = effect_facts(v)
+    errs = f.where("name = 'Err'").select(*SNAP, "package", "name").distinct()
+    return effects.local_effects(f, errs.where("package = 'fmt'"), errs)
+
+
+@query(
+    "interface_implementations",
+    sql(
+        """SELECT DISTINCT c.repo, c.t AS method, i.f || '.' || regexp_extract(c.t, '([^.]*)$', 1) AS implementation FROM callx c
+           JOIN impl i ON i.repo = c.repo AND i.t = regexp_extract(c.t, '^(.+)\\.[^.]*$', 1) WHERE c.kind = 'calls_dynamic'"""
+    ),
+)
+def _(v: Views):
+    return effects.implementations(v.edges())
+
+
+_SPREAD = {
+    "dep": """SELECT c.repo, c.f, c.t AS o FROM callx c WHERE EXISTS (SELECT 1 FROM func b WHERE b.repo = c.repo AND b.id = c.t)
+        UNION SELECT c.repo, c.f, m.implementation FROM callx c JOIN (SELECT DISTINCT c.repo, c.t AS method, i.f || '.' || regexp_extract(c.t, '([^.]*)$', 1) AS implementation FROM callx c
+           JOIN impl i ON i.repo = c.repo AND i.t = regexp_extract(c.t, '^(.+)\\.[^.]*$', 1) WHERE c.kind = 'calls_dynamic') m ON m.repo = c.repo AND m.method = c.t
+           WHERE c.kind = 'calls_dynamic'""",
+    "blind": """SELECT DISTINCT c.repo, c.f AS id FROM callx c WHERE c.kind = 'calls_dynamic' AND NOT EXISTS (SELECT 1 FROM func b WHERE b.repo = c.repo AND b.id = c.t)
+         AND NOT EXISTS (SELECT 1 FROM impl i WHERE i.repo = c.repo AND i.t = regexp_extract(c.t, '^(.+)\\.[^.]*$', 1))""",
+    "bad": """SELECT repo, id FROM seeds UNION SELECT d.repo, d.f FROM bad b JOIN dep d ON d.repo = b.repo AND d.o = b.id
+         WHERE d.f NOT IN (SELECT id FROM func WHERE cc = 4)""",
+}
+
+
+@query(
+    "purity",
+    sql(
+        "SELECT f.repo, f.id, b.id IS NULL AS pure FROM func f LEFT JOIN bad b ON b.repo = f.repo AND b.id = f.id",
+        recursive=True,
+        dep=_SPREAD["dep"],
+        blind=_SPREAD["blind"],
+        seeds="SELECT repo, id FROM eff UNION SELECT repo, id FROM blind WHERE id NOT IN (SELECT id FROM func WHERE cc = 4)",
+        bad=_SPREAD["bad"],
+    ),
+)
+def _(v: Views):
+    allow = v.facts().where("cc = 4").select(*ID)
+    return effects.propagate(v.nodes(), v.edges(), v.effectful(), allow).select(*ID, "pure")
+
+
+@query(
+    "package_purity",
+    sql(
+        "SELECT f.repo, f.parent AS package, bool_and(b.id IS NULL) AS pure FROM func f LEFT JOIN bad b ON b.repo = f.repo AND b.id = f.id GROUP BY ALL",
+        recursive=True,
+        bad="SELECT repo, id FROM eff UNION SELECT d.repo, d.f FROM bad b JOIN cyc d ON d.repo = b.repo AND d.t = b.id",
+    ),
+)
+def _(v: Views):
+    """Plain calls only, through cycles."""
+    calls = v.cyclic().withColumn("kind", F.lit("calls"))
+    p = effects.propagate(v.nodes(), calls, v.effectful())
+    return rollup.package_purity(v.nodes(), p)
+
+
+_REACH = "SELECT repo, f AS a, t AS b FROM {e} UNION SELECT r.repo, r.a, e.t FROM reach r JOIN {e} e ON e.repo = r.repo AND e.f = r.b"
+
+
+@query("acyclic_edges", sql('SELECT repo, f AS "from", t AS "to" FROM cyc c WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.repo = c.repo AND r.a = c.t AND r.b = c.f)', recursive=True, reach=_REACH.format(e="cyc")))
+def _(v: Views):
+    return graph.acyclic(v.cyclic())
+
+
+@query(
+    "backbone_edges",
+    sql(
+        """SELECT repo, f AS "from", t AS "to" FROM dag d WHERE NOT EXISTS (SELECT 1 FROM dag m JOIN reach r ON r.repo = m.repo AND r.a = m.t AND r.b = d.t
+             WHERE m.repo = d.repo AND m.f = d.f AND m.t <> d.t)""",
+        recursive=True,
+        reach=_REACH.format(e="dag"),
+    ),
+)
+def _(v: Views):
+    return graph.backbone(v.dag())
+
+
+_DEPTH = "SELECT DISTINCT repo, f AS node, 0 AS d FROM dag a WHERE NOT EXISTS (SELECT 1 FROM dag b WHERE b.repo = a.repo AND b.t = a.f) UNION SELECT x.repo, e.t, x.d + 1 FROM depth x JOIN dag e ON e.repo = x.repo AND e.f = x.node"
+
+
+@query(
+    "longest_path_ranks",
+    sql(
+        """SELECT f.repo, f.id AS node, coalesce(r.rank, (SELECT max(d) + 1 FROM depth m WHERE m.repo = f.repo)) AS rank FROM func f
+           LEFT JOIN (SELECT repo, node, max(d) AS rank FROM depth GROUP BY ALL) r ON r.repo = f.repo AND r.node = f.id""",
+        recursive=True,
+        depth=_DEPTH,
+    ),
+)
+def _(v: Views):
+    return graph.rank_groups(v.functions(), v.dag())
+
+
+@query(
+    "primary_entry",
+    sql(
+        """SELECT repo, arg_min(a, ROW(-n, a)) AS entry, max(n) AS reached FROM (SELECT repo, a, count(DISTINCT b) AS n FROM reach x
+             WHERE NOT EXISTS (SELECT 1 FROM dag d WHERE d.repo = x.repo AND d.t = x.a) GROUP BY ALL) GROUP BY repo""",
+        recursive=True,
+        reach=_REACH.format(e="dag"),
+    ),
+)
+def _(v: Views):
+    return graph.primary_entry(v.dag())
+
+
+@query("related_nodes", sql("SELECT repo, f AS node, t AS neighbour FROM cyc UNION SELECT repo, t, f FROM cyc"))
+def _(v: Views):
+    return graph.related(v.cyclic())
+
+
+# --- pages ------------------------------------------------------------------
+
+_NEIGH = """SELECT e.repo, e.f AS id, CASE WHEN e.kind IN ('calls', 'calls_dynamic') THEN 'callees' ELSE e.kind END AS relation, e.t AS other FROM edge e JOIN node n ON n.repo = e.repo AND n.id = e.f
+  UNION ALL SELECT e.repo, e.t, CASE e.kind WHEN 'imports' THEN 'imported_by' WHEN 'implements' THEN 'implemented_by' ELSE 'callers' END, e.f FROM edge e JOIN node n ON n.repo = e.repo AND n.id = e.t
+  UNION ALL SELECT n.repo, n.parent, 'children', n.id FROM node n JOIN node p ON p.repo = n.repo AND p.id = n.parent
+  UNION ALL SELECT t.repo, t.id, 'methods', f.id FROM node t JOIN node f ON f.repo = t.repo AND f.kind = 'func' AND f.parent = t.parent AND f.recv = t.name WHERE t.kind = 'type'"""
+
+
+@query("node_neighbours", sql("SELECT * FROM neigh", neigh=_NEIGH))
+def _(v: Views):
+    return pages.neighbours(v.nodes(), v.edges())
+
+
+@query(
+    "neighbour_counts",
+    sql(
+        "SELECT n.repo, n.id, n.kind, "
+        + ", ".join(f"count(*) FILTER (x.relation = '{r}') AS {r}" for r in pages.RELATIONS)
+        + " FROM node n LEFT JOIN neigh x ON x.repo = n.repo AND x.id = n.id GROUP BY ALL",
+        neigh=_NEIGH,
+    ),
+)
+def _(v: Views):
+    return pages.neighbour_counts(v.nodes(), pages.neighbours(v.nodes(), v.edges()))
+
+
+@query(
+    "function_view",
+    sql(
+        """SELECT DISTINCT c.repo, c.f AS id, 'callees' AS relation, c.t AS other FROM callx c JOIN func b ON b.repo = c.repo AND b.id = c.t
+           UNION SELECT DISTINCT c.repo, c.t, 'callers', c.f FROM callx c JOIN func b ON b.repo = c.repo AND b.id = c.t"""
+    ),
+)
+def _(v: Views):
+    return pages.function_view(v.nodes(), v.edges())
+
+
+@query("type_view", sql("SELECT x.* FROM neigh x JOIN node n ON n.repo = x.repo AND n.id = x.id WHERE n.kind = 'type' AND relation IN ('methods', 'implements', 'implemented_by')", neigh=_NEIGH))
+def _(v: Views):
+    return pages.type_view(v.nodes(), v.edges())
+
+
+@query("package_of_node", sql("SELECT n.repo, n.id, p.id AS package FROM node n JOIN pkg p ON p.repo = n.repo AND p.id = CASE WHEN n.kind = 'package' THEN n.id ELSE n.parent END"))
+def _(v: Views):
+    return pages.package_of(v.nodes())
+
+
+@query("worst_package", sql("SELECT repo, repo AS module, arg_min(parent, ROW(-coalesce(crap, -1.0), g_all, id)) AS package FROM metric GROUP BY repo"))
+def _(v: Views):
+    return pages.worst_package(v.nodes(), packages_modules(v)[1])
+
+
+_BOX = "SELECT repo, id AS package, 'group:' || split_part(name, '/', 1) AS box FROM pkg"
+
+
+@query(
+    "module_view",
+    sql(
+        """SELECT DISTINCT i.repo, a.box AS "from", coalesce(b.box, i.t) AS "to", b.box IS NULL AS external FROM imp i JOIN box a ON a.repo = i.repo AND a.package = i.f
+           LEFT JOIN box b ON b.repo = i.repo AND b.package = i.t WHERE coalesce(b.box, i.t) <> a.box""",
+        box=_BOX,
+    ),
+)
+def _(v: Views):
+    return pages.module_view(v.nodes(), v.edges())
+
+
+@query(
+    "module_view_of_group",
+    sql(
+        """SELECT DISTINCT i.repo, i.f AS "from", i.t AS "to", p.id IS NULL AS external FROM imp i LEFT JOIN pkg p ON p.repo = i.repo AND p.id = i.t AND p.name LIKE 'promo/%'
+           WHERE i.f LIKE i.repo || '/promo/%' AND (p.id IS NOT NULL OR i.t LIKE 'example.org/%')"""
+    ),
+)
+def _(v: Views):
+    return pages.module_view(v.nodes(), v.edges(), "promo")
+
+
+_TOP4 = "SELECT repo, parent, id FROM (SELECT repo, parent, id, row_number() OVER (PARTITION BY repo, parent ORDER BY cc DESC, name, id) AS i FROM func) WHERE i <= 4"
+
+
+@query(
+    "package_view",
+    sql(
+        """SELECT DISTINCT c.repo, a.parent AS package, c.f AS "from", c.t AS "to", 'call' AS arrow FROM callx c JOIN top4 a ON a.repo = c.repo AND a.id = c.f JOIN top4 b ON b.repo = c.repo AND b.id = c.t WHERE a.parent = b.parent
+           UNION SELECT c.repo, a.parent, c.f, b.parent, 'outside' FROM callx c JOIN top4 a ON a.repo = c.repo AND a.id = c.f JOIN func b ON b.repo = c.repo AND b.id = c.t WHERE a.parent <> b.parent""",
+        top4=_TOP4,
+    ),
+)
+def _(v: Views):
+    m = v.functions().join(v.facts(), ID).withColumn("crap", F.col("cc").cast("double"))
+    return pages.package_view(v.nodes(), v.edges(), m, shown=4)
+
+
+@query(
+    "shown_outside_calls",
+    sql(
+        """SELECT DISTINCT c.repo, a.parent AS from_package, b.parent AS to_package, b.id AS function FROM callx c JOIN top4 a ON a.repo = c.repo AND a.id = c.f
+           JOIN func b ON b.repo = c.repo AND b.id = c.t WHERE a.parent <> b.parent""",
+        top4=_TOP4,
+    ),
+)
+def _(v: Views):
+    m = v.functions().join(v.facts(), ID).withColumn("crap", F.col("cc").cast("double"))
+    return pages.shown_outside(v.nodes(), v.edges(), m, shown=4)
+
+
+@query("home_group", sql("SELECT repo, id AS package, split_part(name, '/', 1) AS prefix FROM pkg"))
+def _(v: Views):
+    return pages.home_group(v.nodes())
+
+
+# --- source and notes -------------------------------------------------------
+
+
+@query("source_lines", sql("SELECT repo, file, n, text FROM sline"))
+def _(v: Views):
+    return readers.split_lines(v.documents().select(*SNAP, "file", "value"))
+
+
+@query("open_notes", sql("SELECT repo, target, count(*) AS notes FROM tnote WHERE NOT resolved GROUP BY ALL"))
+def _(v: Views):
+    return notes.open_notes(v.text_notes()).groupBy("repo", "target").agg(F.count("*").alias("notes"))
+
+
+_TRIM = "trim(text, chr(32) || chr(9) || chr(13) || chr(10))"
+
+
+@query(
+    "place_notes",
+    sql(
+        """SELECT t.repo, t.id, coalesce(t.at, least(t.off, greatest(s.size - 1, 0))) + 1 AS line, t.at IS NULL AS outdated FROM (
+             SELECT n.repo, n.id, n.target, n.off, arg_min(l.i, ROW(abs(l.i - n.off), l.i)) AS at FROM tnote n LEFT JOIN trimmed l ON l.repo = n.repo AND l.id = n.target AND l.t = n.line_text GROUP BY ALL) t
+           JOIN (SELECT repo, id, count(*) AS size FROM sline GROUP BY ALL) s ON s.repo = t.repo AND s.id = t.target""",
+        trimmed=f"SELECT repo, id, n - 1 AS i, {_TRIM} AS t FROM sline",
+    ),
+)
+def _(v: Views):
+    lines = intervals.lines_of(v.text_functions(), v.source_lines()).select(
+        *ID, (F.col("n") - F.col("base")).alias("offset"), "text", "base"
+    )
+    return notes.place(v.text_notes(), lines).select(*ID, "line", "outdated")
+
+
+@query(
+    "scope_notes",
+    sql("SELECT repo, target AS id, target AS name, CAST(off AS BIGINT) AS line, author, text FROM tnote WHERE NOT resolved AND CAST(regexp_extract(target, 'D(.*)$', 1) AS BIGINT) IN (SELECT doc_id FROM labels)"),
+)
+def _(v: Views):
+    """Notes on documents that have a label."""
+    d = v.table("labels").select(F.col("doc_id"))
+    scope = v.documents().join(d, "doc_id", "left_semi").select(*SNAP, F.concat("repo", F.lit(".D"), F.col("doc_id").cast("string")).alias("id"))
+    return gate.scope_notes(notes_for(v), scope)
+
+
+@query(
+    "annotated_uncovered_runs",
+    sql(
+        """SELECT repo, id, CAST(min(line) AS BIGINT) AS n, 'Never run by tests' AS title, CASE WHEN max(line) > min(line) THEN 'lines ' || min(line) || '–' || max(line) END AS why FROM (
+             SELECT *, sum(CASE WHEN state <> 'uncovered' THEN 1 ELSE 0 END) OVER (PARTITION BY repo, id ORDER BY line ROWS UNBOUNDED PRECEDING) AS g FROM tstate)
+           WHERE state = 'uncovered' GROUP BY repo, id, g"""
+    ),
+)
+def _(v: Views):
+    return annotations_of(v).where("kind = 'not_covered'").select(*ID, "n", "title", "why")
+
+
+def text_mutants(v: Views) -> DataFrame:
+    """A surviving mutant on every line of even length, two on some."""
+    l = v.source_lines()
+    doc = F.regexp_extract("file", r"/d([0-9]+)\.go$", 1)
+    base = l.where(F.length("text") % 2 == 0).select(
+        *SNAP,
+        F.concat("repo", F.lit(".D"), doc).alias("id"),
+        F.col("n").alias("line"),
+        F.explode(F.sequence(F.lit(1), F.length("text") % 3 + 1)).alias("col"),
+    )
+    return base.select("*", F.lit("INVERT_LOGICAL").alias("type"), F.lit("LIVED").alias("status"), F.concat(F.lit("m"), F.col("col").cast("string")).alias("description"))
+
+
+def annotations_of(v: Views) -> DataFrame:
+    spans = v.text_functions().select(*ID, "file", "line", "end_line")
+    m = text_mutants(v)
+    lines = annotate.stated_lines(spans, v.source_lines(), v.text_states(), m)
+    placed = v.text_notes().where("NOT resolved").withColumn("line", F.expr("cast(regexp_extract(id, '_([0-9]+)$', 1) as long)")).withColumn("outdated", F.lit(False))
+    return annotate.annotations(lines, m, placed)
+
+
+@query(
+    "annotated_survivors_and_notes",
+    sql(
+        """SELECT repo, id, n, 'survived' AS kind, CASE c WHEN 1 THEN '1 mutant survived' ELSE c || ' mutants survived' END AS title, array_to_string(['m1', 'm2', 'm3'][1:c], '   ·   ') AS detail,
+             CASE WHEN length(text) % 5 = 0 THEN 'No test separates the two sides of this && / ||.' ELSE 'note ' || length(text) END AS why FROM (SELECT *, length(text) % 3 + 1 AS c FROM sline WHERE length(text) % 2 = 0)
+           UNION ALL SELECT repo, id, n, 'note', 'Note from ' || CASE WHEN length(text) % 2 = 0 THEN 'you' ELSE 'agent' END, NULL, 'note ' || length(text) FROM sline WHERE length(text) % 5 > 0"""
+    ),
+)
+def _(v: Views):
+    return annotations_of(v).where("kind <> 'not_covered'").select(*ID, "n", "kind", "title", "detail", "why")
+
+
+@query("stated_lines", sql("SELECT l.repo, l.id, l.n, l.text, s.state, CASE WHEN length(l.text) % 2 = 0 THEN length(l.text) % 3 + 1 ELSE 0 END AS survived FROM sline l LEFT JOIN tstate s ON s.repo = l.repo AND s.id = l.id AND s.line = l.n"))
+def _(v: Views):
+    spans = v.text_functions().select(*ID, "file", "line", "end_line")
+    return annotate.stated_lines(spans, v.source_lines(), v.text_states(), text_mutants(v))
+
+
+# --- events -----------------------------------------------------------------
+
+
+@query(
+    "edit_payloads",
+    sql(
+        """SELECT event_id, unnest(list_distinct(fs)) AS file FROM (SELECT event_id, list_filter([ 'a/' || event_type || '.go', CASE WHEN user_id % 2 = 0 THEN 'b/u' || user_id || '_test.go' ELSE 'b/u' || user_id || '.go' END], lambda x: x NOT LIKE '%\\_test.go' ESCAPE '\\') AS fs FROM events)"""
+    ),
+)
+def _(v: Views):
+    e = v.table("events")
+    second = F.concat(F.lit("b/u"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 2 == 0, F.lit("_test.go")).otherwise(F.lit(".go")))
+    first = F.concat(F.lit("a/"), "event_type", F.lit(".go"))
+    doc = F.to_json(
+        F.struct(F.lit("/w").alias("cwd"), F.struct(first.alias("file_path"), F.array(F.struct(second.alias("file_path")), F.struct(first.alias("file_path"))).alias("edits")).alias("tool_input"))
+    )
+    return readers.parse_edit_events(e.select("event_id", doc.alias("value")))
+
+
+@query("failed_test_packages", sql("SELECT DISTINCT 'u' || user_id AS repo, 'pkg/p' || json_extract_string(props, '$.k') AS package FROM events WHERE event_type = 'error'"))
+def _(v: Views):
+    e = v.table("events")
+    pkg = F.concat(F.lit("pkg/p"), F.get_json_object("props", "$.k"))
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("FAIL\t"), pkg, F.lit("\t0.4s"))).otherwise(F.concat(F.lit("ok  \t"), pkg, F.lit("\t0.1s")))
+    return readers.failed_packages(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("repo"), line.alias("value")))
+
+
+@query("relevant_changes", sql("SELECT repo, file, op, count(*) AS n FROM ev WHERE file LIKE '%.go' AND file NOT LIKE '%\\_test.go' ESCAPE '\\' AND op <> 'chmod' GROUP BY ALL"))
+def _(v: Views):
+    return feeds.relevant(v.edit_events()).groupBy("repo", "file", "op").agg(F.count("*").alias("n"))
+
+
+@query(
+    "change_batches",
+    sql(
+        """SELECT repo, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last, count(*) AS events FROM (
+             SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY repo ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
+               SELECT repo, ts, coalesce(ts >= lag(ts) OVER (PARTITION BY repo ORDER BY ts) + INTERVAL 6 HOUR, true) AS gap FROM ev WHERE file LIKE '%.go' AND file NOT LIKE '%\\_test.go' ESCAPE '\\' AND op <> 'chmod')) GROUP BY repo, s"""
+    ),
+)
+def _(v: Views):
+    f = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return feeds.change_batches(v.edit_events(), "6 hours").select(
+        "repo", F.date_format("first", f).alias("first"), F.date_format("last", f).alias("last"), "events"
+    )
+
+
+_SESS = """SELECT repo, min(ms) AS first, max(ms) AS last FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY repo ORDER BY ms ROWS UNBOUNDED PRECEDING) AS s FROM (
+    SELECT repo, epoch_us(ts) // 1000 AS ms, coalesce(epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY repo ORDER BY ts) > 60000, true) AS gap FROM ev)) GROUP BY repo, s"""
+
+
+@query("liveness_changes", sql("SELECT repo AS client, first AS ms, true AS connected FROM sess UNION ALL SELECT repo, last + 60000, false FROM sess", sess=_SESS))
+def _(v: Views):
+    return feeds.liveness_changes(v.activity()).select("client", F.unix_millis("ts").alias("ms"), "connected")
+
+
+@query("liveness_at", sql("SELECT repo AS client, max(ts) >= TIMESTAMP '2024-01-20 11:59:00' AS connected FROM ev WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY repo"))
+def _(v: Views):
+    return feeds.liveness_at(v.activity(), "2024-01-20 12:00:00").select("client", "connected")
+
+
+# --- contract ---------------------------------------------------------------
+
+
+@query(
+    "contract_problems",
+    sql(
+        """SELECT repo, source, path, message FROM (
+             SELECT 'r' AS repo, lang AS source, '$.nodes[' || doc_id || '].kind' AS path, 'unknown kind' AS message FROM documents WHERE n_chars % 7 = 0
+             UNION ALL SELECT 'r', lang, '$.nodes[' || doc_id || '].line', 'must be at least 1' FROM documents WHERE n_chars % 7 <> 0 AND n_chars % 5 = 0
+             UNION ALL SELECT 'r', lang, '$.nodes[' || doc_id || '].file', 'must be relative to the root' FROM documents WHERE n_chars % 7 <> 0 AND n_chars % 3 = 0
+             UNION ALL SELECT 'r', d.lang, '$.edges[' || d.doc_id || '].to', 'no such node' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.lang = d.lang AND x.doc_id = d.doc_id + 1)
+             UNION ALL SELECT 'r', lang, '$.metrics["n' || doc_id || '"].coverage.percent', 'must be within 0 and 100' FROM documents WHERE n_chars % 1000 > 100
+             UNION ALL SELECT 'r', lang, '$.nodes[' || doc_id || '].id', 'already used by another graph' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
+    ),
+)
+def _(v: Views):
+    """A language is a source, a document a node; its size decides what is
+    wrong with it."""
+    d = v.table("documents").select(
+        F.lit("r").alias("repo"), F.lit("s1").alias("snapshot_id"), F.col("lang").alias("source"), F.col("doc_id").alias("i"), "n_chars"
+    )
+    key = [*SNAP, "source", "i"]
+    n = F.col("n_chars")
+    nid = F.concat(F.lit("n"), F.col("i").cast("string"))
+    bad_kind = n % 7 == 0
+    ns = d.select(
+        *key,
+        F.array(F.lit("id")).alias("keys"),
+        nid.alias("id"),
+        F.when(bad_kind, F.lit("klass")).otherwise(F.lit("func")).alias("kind"),
+        nid.alias("name"),
+        F.lit(None).cast("string").alias("parent"),
+        F.when(n % 3 == 0, F.lit("../a.py")).otherwise(F.lit("a.py")).alias("file"),
+        F.when(n % 5 == 0, F.lit(0)).otherwise(F.lit(3)).alias("line"),
+        F.lit(9).alias("end_line"),
+    )
+    es = d.select(*key, nid.alias("from"), F.concat(F.lit("n"), (F.col("i") + 1).cast("string")).alias("to"), F.lit("calls").alias("kind"))
+    ms = d.select(
+        *SNAP, "source", nid.alias("id"), F.array(F.lit("cc")).alias("keys"), F.lit(1).alias("cc"), F.lit(2).alias("stmts"), F.lit(1).alias("covered"), (n % 1000).cast("double").alias("percent"), F.lit(50.0).alias("score")
+    )
+    taken = v.table("labels").select(F.lit("r").alias("repo"), F.lit("s1").alias("snapshot_id"), F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("id"))
+    return contract.problems(ns, es, ms, taken)

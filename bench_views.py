@@ -11,6 +11,8 @@ the same derivation in ANSI SQL. Every view covers its whole source table.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,44 +43,69 @@ TYPES = [
 ]
 
 
+def view(fn):
+    """Build each derived table once per ``Views``."""
+
+    @functools.wraps(fn)
+    def once(self: Views) -> DataFrame:
+        if fn.__name__ not in self._built:
+            self._built[fn.__name__] = fn(self)
+        return self._built[fn.__name__]
+
+    return once
+
+
 class Views:
     """Derived tables of one data folder; each is a lazy DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir
+        self._built: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A supplied table. A file that Spark reads as fewer pieces than there
+        are cores is spread first; a large table is left as it is."""
+        key = f"table:{name}"
+        if key not in self._built:
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            cores = self.spark.sparkContext.defaultParallelism
+            if name in ("lineitem", "orders", "documents") and df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+            self._built[key] = df
+        return self._built[key]
 
     # --- structure ---------------------------------------------------------
 
+    @view
     def part_functions(self) -> DataFrame:
         p = self.table("part")
         size = F.col("p_size").cast("int")
         k = (F.col("p_partkey") % REPO_SIZE).cast("int")
         method = F.col("p_name").startswith("red ")
-        return (
-            p.withColumn("repo", F.concat(F.lit("repo"), F.expr(f"p_partkey div {REPO_SIZE}").cast("string")))
-            .withColumn("k", k)
-            .withColumn("size", size)
-            .withColumn(
-                "pkg_name", F.concat(F.lower("p_type"), F.lit("/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
-            )
-            .withColumn("parent", F.concat("repo", F.lit("/"), "pkg_name"))
-            .withColumn("recv", F.when(method, F.lit("T")))
-            .withColumn(
-                "name", F.concat(F.when(method, F.lit("T.")).otherwise(F.lit("")), F.lit("F"), F.col("k").cast("string"))
-            )
-            .withColumn("id", F.concat("parent", F.lit("."), "name"))
-            .withColumn(
-                "file",
-                F.concat("pkg_name", F.when(F.col("size") > 25, F.lit("/large.go")).otherwise(F.lit("/small.go"))),
-            )
-            .withColumn("line", F.col("k") * 60 + 3)
-            .withColumn("end_line", F.col("line") + F.col("size"))
+        repo = F.concat(F.lit("repo"), F.expr(f"p_partkey div {REPO_SIZE}").cast("string"))
+        pkg = F.concat(F.lower("p_type"), F.lit("/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
+        name = F.concat(F.when(method, F.lit("T.")).otherwise(F.lit("")), F.lit("F"), k.cast("string"))
+        parent = F.concat(repo, F.lit("/"), pkg)
+        line = k * 60 + 3
+        return p.select(
+            "p_partkey",
+            "p_type",
+            "p_name",
+            repo.alias("repo"),
+            k.alias("k"),
+            size.alias("size"),
+            pkg.alias("pkg_name"),
+            parent.alias("parent"),
+            F.when(method, F.lit("T")).alias("recv"),
+            name.alias("name"),
+            F.concat(parent, F.lit("."), name).alias("id"),
+            F.concat(pkg, F.when(size > 25, F.lit("/large.go")).otherwise(F.lit("/small.go"))).alias("file"),
+            line.alias("line"),
+            (line + size).alias("end_line"),
         )
 
+    @view
     def functions(self) -> DataFrame:
         return self.part_functions().select(
             "repo",
@@ -98,6 +125,7 @@ class Views:
             F.lit(None).cast("string").alias("type_kind"),
         )
 
+    @view
     def facts(self) -> DataFrame:
         return self.part_functions().select(
             "repo",
@@ -108,6 +136,7 @@ class Views:
             (F.col("size") + 1).alias("loc"),
         )
 
+    @view
     def nodes(self) -> DataFrame:
         """Functions, their packages, one struct and one interface type per
         package, a module per repository, and external modules."""
@@ -177,6 +206,7 @@ class Views:
         )
         return f.unionByName(pk).unionByName(mod).unionByName(types).unionByName(ext)
 
+    @view
     def external_modules(self) -> DataFrame:
         """A supplier's nation is an external module: ``path, module``."""
         n = self.table("nation")
@@ -190,10 +220,12 @@ class Views:
             name.alias("ext_name"),
         )
 
+    @view
     def _lineitem_functions(self) -> DataFrame:
         p = self.part_functions()
         return self.table("lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
 
+    @view
     def import_paths(self) -> DataFrame:
         """A package imports the suppliers of its parts: ``importer, path``."""
         li = self._lineitem_functions().select("repo", F.col("parent").alias("importer"), "l_suppkey").distinct()
@@ -201,6 +233,7 @@ class Views:
             "repo", F.lit("s1").alias("snapshot_id"), "importer", "path", "module"
         )
 
+    @view
     def raw_calls(self) -> DataFrame:
         """Function k calls function 2k + l_linenumber of its repository; with
         l_quantity 50 the call goes the other way. Half of the calls are
@@ -226,19 +259,23 @@ class Views:
             back.alias("back"),
         )
 
+    @view
     def calls(self) -> DataFrame:
         r = self.raw_calls()
         through = (F.col("kind") == "calls_dynamic") & F.instr("to", ".T.").cast("boolean")
         to = F.when(through, F.replace("to", F.lit(".T."), F.lit(".I."))).otherwise(F.col("to"))
         return r.withColumn("to", to).select(*SNAP, "from", "to", "kind").distinct()
 
+    @view
     def dag(self) -> DataFrame:
         """Forward calls only: a graph without cycles."""
         return self.raw_calls().where("NOT back").select(*SNAP, "from", "to").distinct()
 
+    @view
     def cyclic(self) -> DataFrame:
         return self.raw_calls().select(*SNAP, "from", "to").distinct()
 
+    @view
     def implements(self) -> DataFrame:
         """A package with a large part has a type that implements its interface."""
         p = self.part_functions()
@@ -254,6 +291,7 @@ class Views:
             .distinct()
         )
 
+    @view
     def imports(self) -> DataFrame:
         """Packages import what their functions call, and external modules."""
         f = self.functions().select(*SNAP, "id", "parent")
@@ -269,9 +307,11 @@ class Views:
         )
         return inner.unionByName(outer).distinct()
 
+    @view
     def edges(self) -> DataFrame:
         return self.calls().unionByName(self.implements()).unionByName(self.imports())
 
+    @view
     def effectful(self) -> DataFrame:
         """Largest small parts have effects of their own."""
         p = self.part_functions()
@@ -279,6 +319,7 @@ class Views:
 
     # --- measurements ------------------------------------------------------
 
+    @view
     def blocks(self) -> DataFrame:
         """Packages of type PROMO were not in the run; parts named ``small …``
         have no statements."""
@@ -301,6 +342,7 @@ class Views:
             )
         )
 
+    @view
     def file_mutants(self) -> DataFrame:
         """Packages of type LARGE were never mutated."""
         q = F.col("l_quantity").cast("int")
@@ -325,9 +367,11 @@ class Views:
             )
         )
 
+    @view
     def mutated_functions(self) -> DataFrame:
         return self.functions().where("NOT startswith(dir, 'large/')")
 
+    @view
     def hunks(self) -> DataFrame:
         """A line item changes ``l_linenumber − 1`` lines of its part's file
         (none: a deletion) in the commit of its order."""
@@ -344,6 +388,7 @@ class Views:
             (n == 0).alias("deleted"),
         )
 
+    @view
     def commit_files(self) -> DataFrame:
         o = self.table("orders").select(
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp").alias("ts")
@@ -354,6 +399,7 @@ class Views:
 
     # --- text --------------------------------------------------------------
 
+    @view
     def documents(self) -> DataFrame:
         return self.table("documents").select(
             F.col("source").alias("repo"),
@@ -363,12 +409,14 @@ class Views:
             "doc_id",
         )
 
+    @view
     def source_lines(self) -> DataFrame:
         d = self.documents()
         return d.select("repo", "snapshot_id", "file", F.posexplode(F.split("value", "\n")).alias("_i", "text")).select(
             "repo", "snapshot_id", "file", (F.col("_i") + 1).cast("int").alias("n"), "text"
         )
 
+    @view
     def text_functions(self) -> DataFrame:
         """A document is one function over all of its lines."""
         d = self.documents()
@@ -385,6 +433,7 @@ class Views:
             F.lit(0).alias("doc_line"),
         )
 
+    @view
     def text_states(self) -> DataFrame:
         """Line states of documents from the length of the line."""
         n = F.length("text") % 4
@@ -397,6 +446,7 @@ class Views:
             .where("state IS NOT NULL")
         )
 
+    @view
     def text_notes(self) -> DataFrame:
         """Every line of a document has a note that remembers it some lines
         further down; a line of length 3 mod 4 is remembered with other text."""
@@ -417,6 +467,7 @@ class Views:
 
     # --- events ------------------------------------------------------------
 
+    @view
     def edit_events(self) -> DataFrame:
         e = self.table("events")
         k = F.get_json_object("props", "$.k")
@@ -430,6 +481,7 @@ class Views:
             F.when(F.col("event_type") == "error", F.lit("chmod")).otherwise(F.lit("write")).alias("op"),
         )
 
+    @view
     def activity(self) -> DataFrame:
         return self.table("events").select(
             F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("client"), F.col("ts").cast("timestamp").alias("ts")

@@ -47,12 +47,14 @@ CTE["node"] = """
  UNION ALL SELECT repo, id || '.' || t, 'type', t, id, dir, dir || '/types.go', 1, 9, NULL, NULL, NULL,
         CASE WHEN t = 'I' THEN 'interface' ELSE 'struct' END FROM pkg, (VALUES ('T'), ('I')) v(t)
  UNION ALL SELECT DISTINCT repo, module, 'external', ext_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM imppath"""
+CTE["call0"] = """
+ SELECT DISTINCT a.repo, a.id, a.k * 2 + ln AS tk, l_quantity, l_linestatus
+ FROM (SELECT DISTINCT l_partkey, CAST(l_linenumber AS INTEGER) AS ln, l_quantity, l_linestatus FROM lineitem) JOIN func a ON l_partkey = a.p_partkey"""
 CTE["rawcall"] = """
  SELECT DISTINCT a.repo, CASE WHEN l_quantity = 50 THEN b.id ELSE a.id END AS f,
         CASE WHEN l_quantity = 50 THEN a.id ELSE b.id END AS t,
         CASE WHEN l_linestatus = 'F' THEN 'calls' ELSE 'calls_dynamic' END AS kind, l_quantity = 50 AS back
- FROM lineitem JOIN func a ON l_partkey = a.p_partkey
-      JOIN func b ON b.repo = a.repo AND b.k = a.k * 2 + CAST(l_linenumber AS INTEGER)"""
+ FROM call0 a JOIN func b ON b.repo = a.repo AND b.k = a.tk"""
 CTE["callx"] = """
  SELECT DISTINCT repo, f, CASE WHEN kind = 'calls_dynamic' THEN replace(t, '.T.', '.I.') ELSE t END AS t, kind FROM rawcall"""
 CTE["dag"] = "SELECT DISTINCT repo, f, t FROM rawcall WHERE NOT back"
@@ -188,7 +190,10 @@ def sql(final: str, recursive: bool = False, **extra: str) -> str:
     seen: dict[str, None] = {}
     for text in [*extra.values(), final]:
         _needs(text, seen)
-    parts = [f"{n} AS ({CTE[n].strip()})" for n in seen] + [f"{n} AS ({t.strip()})" for n, t in extra.items()]
-    parts = [p.replace(" AS (", " AS MATERIALIZED (", 1) if not recursive else p for p in parts]
+    def one(name: str, text: str) -> str:
+        itself = recursive and re.search(rf"\b{name}\b", text)
+        return f"{name} AS {'' if itself else 'MATERIALIZED '}({text.strip()})"
+
+    parts = [one(n, CTE[n]) for n in seen] + [one(n, t) for n, t in extra.items()]
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join(parts) + "\n" + final.strip() if parts else final.strip()

@@ -208,7 +208,8 @@ def joined_survivors(survivors: DataFrame, files: DataFrame, sep: str = "; ") ->
     ``files``: ``…, id, file``."""
     base = F.substring_index("file", "/", -1)
     return (
-        survivors.join(files.select(*ID, "file"), ID)
+        survivors.select(*ID, "line", "col", "type", "description")
+        .join(files.select(*ID, "file"), ID)
         .select(
             *ID,
             F.struct(

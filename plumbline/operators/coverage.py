@@ -53,9 +53,10 @@ def relativize(blocks: DataFrame, modules: DataFrame) -> DataFrame:
     return blocks.join(named, FILE).withColumn("file", F.col("_rel")).drop("_rel")
 
 
-def _inside(funcs: DataFrame, blocks: DataFrame) -> DataFrame:
+def spans_inside(funcs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Per function: the distinct line spans of blocks inside it, with the
-    statements and hits of all blocks on the span."""
+    statements and hits of all blocks on the span. Coverage and line states
+    both start from it, so a job that needs both settles it once."""
     hit = F.col("count") > 0
     spans = (
         merge_blocks(blocks)
@@ -70,7 +71,7 @@ def _inside(funcs: DataFrame, blocks: DataFrame) -> DataFrame:
     return contained_spans(funcs, spans)
 
 
-def function_coverage(funcs: DataFrame, blocks: DataFrame) -> DataFrame:
+def function_coverage(funcs: DataFrame, blocks: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """Statement coverage per function.
 
     No row for a function whose file the profile does not mention (not
@@ -78,7 +79,7 @@ def function_coverage(funcs: DataFrame, blocks: DataFrame) -> DataFrame:
     but no block lies inside.
     """
     sums = (
-        _inside(funcs, blocks)
+        (spans_inside(funcs, blocks) if spans is None else spans)
         .groupBy(*ID)
         .agg(
             F.sum("stmts").alias("stmts"),
@@ -103,10 +104,10 @@ def function_coverage(funcs: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
-def line_states(funcs: DataFrame, blocks: DataFrame) -> DataFrame:
+def line_states(funcs: DataFrame, blocks: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """State of every line a block inside a function overlaps."""
-    spans = _inside(funcs, blocks).where("start_line <= end_line")
-    lines = spans.withColumn("line", F.explode(F.sequence("start_line", "end_line")))
+    inside = spans_inside(funcs, blocks) if spans is None else spans
+    lines = inside.where("start_line <= end_line").withColumn("line", F.explode(F.sequence("start_line", "end_line")))
     return (
         lines.groupBy(*ID, "line")
         .agg(F.bool_or("ran").alias("ran"), F.bool_or("missed").alias("missed"))

@@ -123,7 +123,8 @@ def survivor_details(breach_rows: DataFrame, mutants: DataFrame, files: DataFram
     """The first survivors of functions with a mutation breach:
     ``…, id, position, detail``. ``files``: ``…, id, file``."""
     hit = breach_rows.where("kind = 'mutation'").select(*ID)
-    lived = mutants.where(F.col("status") == LIVED).join(hit, ID, "left_semi")
+    lived = mutants.where(F.col("status") == LIVED).select(*ID, "line", "col", "type", "description")
+    lived = lived.join(hit, ID, "left_semi")
     top = first_per(lived, ID, ["line", "col", "type", "description"], shown)
     text = F.concat(
         F.substring_index("file", "/", -1), F.lit(":"), F.col("line").cast("string"), F.lit(" "), F.col("description")

@@ -88,27 +88,24 @@ def touches(start: Column, end: Column, deleted: Column, line: Column, end_line:
 
 
 def hunk_slices(hunks: DataFrame, by: list[str]) -> DataFrame:
-    """Hunks clipped to each slice they cross, without duplicates.
+    """Hunks clipped to each slice they cross.
 
-    Clipping keeps the number of distinct hunks in a slice small however many
-    hunks fall on it, and changes no answer: a function is clipped to the same
-    slice by the join.
+    Clipping changes no answer, since the join clips a function to the same
+    slice, and leaves few distinct hunks in a slice however many fall on it.
     """
     lo, hi = F.col("_slice") * SLICE, F.col("_slice") * SLICE + (SLICE - 1)
-    # A deletion after the last line of a slice still needs its own slice only.
     return (
         hunks.select(*FILE, *by, "start", "end", F.coalesce("deleted", F.lit(False)).alias("deleted"))
         .withColumn("_slice", _slices(F.col("start"), F.col("end")))
         .withColumn("start", F.when(F.col("deleted"), F.col("start")).otherwise(F.greatest(F.col("start"), lo)))
         .withColumn("end", F.when(F.col("deleted"), F.col("end")).otherwise(F.least(F.col("end"), hi)))
-        .distinct()
     )
 
 
 def touched_functions(funcs: DataFrame, hunks: DataFrame) -> DataFrame:
     """Functions that any hunk touches: ``repo, snapshot_id, id``."""
     f = function_slices(funcs)
-    h = hunk_slices(hunks, []).withColumnsRenamed({c: f"_h_{c}" for c in FILE})
+    h = hunk_slices(hunks, []).distinct().withColumnsRenamed({c: f"_h_{c}" for c in FILE})
     cond = (
         (f["repo"] == h["_h_repo"])
         & (f["snapshot_id"] == h["_h_snapshot_id"])

@@ -11,6 +11,7 @@ from plumbline.operators import coverage as cov
 from plumbline.operators import mutation as mut
 from plumbline.operators import effects, history, intervals, metrics, ranking, rollup, scopes
 from plumbline.schemas import MODULE, SNAP
+from plumbline.session import settle
 
 
 @dataclass
@@ -18,7 +19,7 @@ class Inputs:
     """Tables of one or many snapshots. None means it was not measured."""
 
     nodes: DataFrame
-    edges: DataFrame
+    edges: DataFrame | None
     facts: DataFrame
     coverage: DataFrame
     line_states: DataFrame
@@ -34,21 +35,33 @@ class Inputs:
 
 
 def from_measurements(
-    nodes: DataFrame, edges: DataFrame, facts: DataFrame, blocks: DataFrame, file_mutants: DataFrame, **more
+    nodes: DataFrame,
+    edges: DataFrame | None,
+    facts: DataFrame,
+    blocks: DataFrame,
+    file_mutants: DataFrame,
+    mutated: DataFrame | None = None,
+    **more,
 ) -> Inputs:
-    """Inputs from a profile and engine reports of the same snapshots."""
+    """Inputs from a profile and engine reports of the same snapshots.
+
+    Line states and mutants are tables of the snapshot that several later
+    steps read, so they are written once here.
+    """
     funcs = scopes.functions(nodes)
-    attributed = mut.attribute(funcs, file_mutants)
-    if "description" not in attributed.columns:
-        attributed = attributed.withColumn("description", F.col("type"))
+    spans = settle(cov.spans_inside(funcs, blocks), "spans")
+    found = mut.attribute(mutated if mutated is not None else funcs, file_mutants)
+    if "description" not in found.columns:
+        found = found.withColumn("description", F.col("type"))
+    mutants = settle(found.select(*SNAP, "id", "line", "col", "type", "status", "description"), "mutants")
     return Inputs(
         nodes=nodes,
         edges=edges,
         facts=facts,
-        coverage=cov.function_coverage(funcs, blocks),
-        line_states=cov.line_states(funcs, blocks),
-        mutation=mut.tally(funcs, file_mutants),
-        mutants=attributed.select(*SNAP, "id", "line", "col", "type", "status", "description"),
+        coverage=cov.function_coverage(funcs, blocks, spans),
+        line_states=settle(cov.line_states(funcs, blocks, spans), "line-states"),
+        mutation=mut.count_mutants(mutated if mutated is not None else funcs, mutants),
+        mutants=mutants,
         **more,
     )
 
@@ -58,26 +71,28 @@ def effect_rows(nodes: DataFrame) -> DataFrame:
     return scopes.functions(nodes).where(F.size("effects") > 0).select(*SNAP, "id")
 
 
-def analyze(i: Inputs, as_of: str | None = None, months: int = 12) -> dict[str, DataFrame]:
-    """All derived tables: ``functions`` (metrics), ``packages``, ``modules``,
-    ``purity``, ``package_purity``."""
+def function_table(i: Inputs, as_of: str | None = None, months: int = 12) -> DataFrame:
+    """The metrics of every function."""
     funcs = scopes.functions(i.nodes)
     by_function = None if i.hunks is None else intervals.commits_touching(funcs, i.hunks)
     by_file = None if i.commit_files is None else history.file_churn(i.commit_files, as_of, months)
-    by_dir = None if i.commit_files is None else history.directory_churn(i.commit_files, as_of, months)
-    functions = metrics.function_metrics(
+    return metrics.function_metrics(
         funcs, i.facts, i.coverage, i.mutation, i.mutants, i.line_states, by_function, by_file, i.given
     )
+
+
+def analyze(i: Inputs, as_of: str | None = None, months: int = 12) -> dict[str, DataFrame]:
+    """All derived tables: ``functions`` (metrics), ``packages``, ``modules``,
+    and, with edges, ``purity`` and ``package_purity``."""
+    by_dir = None if i.commit_files is None else history.directory_churn(i.commit_files, as_of, months)
+    functions = settle(function_table(i, as_of, months), "functions")
     packages, modules = rollup.roll_up(functions, i.nodes, by_dir, i.coverage_errors, i.mutation_errors)
-    local = effect_rows(i.nodes) if i.local_effects is None else i.local_effects
-    purity = effects.propagate(i.nodes, i.edges, local, i.allow)
-    return {
-        "functions": functions,
-        "packages": packages,
-        "modules": modules,
-        "purity": purity,
-        "package_purity": rollup.package_purity(i.nodes, purity),
-    }
+    out = {"functions": functions, "packages": packages, "modules": modules}
+    if i.edges is not None:
+        local = effect_rows(i.nodes) if i.local_effects is None else i.local_effects
+        out["purity"] = effects.propagate(i.nodes, i.edges, local, i.allow)
+        out["package_purity"] = rollup.package_purity(i.nodes, out["purity"])
+    return out
 
 
 def worst_packages(
