@@ -1308,7 +1308,7 @@ def _(v: Views):
     ),
 )
 def _(v: Views):
-    return effects.implementations(v.edges())
+    return effects.implementations(v.stored("edges"))
 
 
 _SPREAD = {
@@ -1336,7 +1336,7 @@ _SPREAD = {
 )
 def _(v: Views):
     allow = v.facts().where("cc = 4").select(*ID)
-    return effects.propagate(v.nodes(), v.edges(), v.effectful(), allow).select(*ID, "pure")
+    return effects.propagate(v.stored("nodes"), v.stored("edges"), v.effectful(), allow).select(*ID, "pure")
 
 
 @query(
@@ -1349,9 +1349,9 @@ def _(v: Views):
 )
 def _(v: Views):
     """Plain calls only, through cycles."""
-    calls = v.cyclic().withColumn("kind", F.lit("calls"))
-    p = effects.propagate(v.nodes(), calls, v.effectful())
-    return rollup.package_purity(v.nodes(), p)
+    calls = v.stored("cyclic").withColumn("kind", F.lit("calls"))
+    p = effects.propagate(v.stored("nodes"), calls, v.effectful())
+    return rollup.package_purity(v.stored("nodes"), p)
 
 
 _REACH = "SELECT repo, f AS a, t AS b FROM {e} UNION SELECT r.repo, r.a, e.t FROM reach r JOIN {e} e ON e.repo = r.repo AND e.f = r.b"
@@ -1359,7 +1359,7 @@ _REACH = "SELECT repo, f AS a, t AS b FROM {e} UNION SELECT r.repo, r.a, e.t FRO
 
 @query("acyclic_edges", sql('SELECT repo, f AS "from", t AS "to" FROM cyc c WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.repo = c.repo AND r.a = c.t AND r.b = c.f)', recursive=True, reach=_REACH.format(e="cyc")))
 def _(v: Views):
-    return graph.acyclic(v.cyclic())
+    return graph.acyclic(v.stored("cyclic"))
 
 
 @query(
@@ -1372,7 +1372,7 @@ def _(v: Views):
     ),
 )
 def _(v: Views):
-    return graph.backbone(v.dag())
+    return graph.backbone(v.stored("dag"))
 
 
 _DEPTH = "SELECT DISTINCT repo, f AS node, 0 AS d FROM dag a WHERE NOT EXISTS (SELECT 1 FROM dag b WHERE b.repo = a.repo AND b.t = a.f) UNION SELECT x.repo, e.t, x.d + 1 FROM depth x JOIN dag e ON e.repo = x.repo AND e.f = x.node"
@@ -1388,7 +1388,7 @@ _DEPTH = "SELECT DISTINCT repo, f AS node, 0 AS d FROM dag a WHERE NOT EXISTS (S
     ),
 )
 def _(v: Views):
-    return graph.rank_groups(v.functions(), v.dag())
+    return graph.rank_groups(v.functions(), v.stored("dag"))
 
 
 @query(
@@ -1401,12 +1401,12 @@ def _(v: Views):
     ),
 )
 def _(v: Views):
-    return graph.primary_entry(v.dag())
+    return graph.primary_entry(v.stored("dag"))
 
 
 @query("related_nodes", sql("SELECT repo, f AS node, t AS neighbour FROM cyc UNION SELECT repo, t, f FROM cyc"))
 def _(v: Views):
-    return graph.related(v.cyclic())
+    return graph.related(v.stored("cyclic"))
 
 
 # --- pages ------------------------------------------------------------------
@@ -1419,7 +1419,7 @@ _NEIGH = """SELECT e.repo, e.f AS id, CASE WHEN e.kind IN ('calls', 'calls_dynam
 
 @query("node_neighbours", sql("SELECT * FROM neigh", neigh=_NEIGH))
 def _(v: Views):
-    return pages.neighbours(v.nodes(), v.edges())
+    return pages.neighbours(v.stored("nodes"), v.stored("edges"))
 
 
 @query(
@@ -1432,7 +1432,7 @@ def _(v: Views):
     ),
 )
 def _(v: Views):
-    return pages.neighbour_counts(v.nodes(), pages.neighbours(v.nodes(), v.edges()))
+    return pages.neighbour_counts(v.stored("nodes"), pages.neighbours(v.stored("nodes"), v.stored("edges")))
 
 
 @query(
@@ -1443,22 +1443,22 @@ def _(v: Views):
     ),
 )
 def _(v: Views):
-    return pages.function_view(v.nodes(), v.edges())
+    return pages.function_view(v.stored("nodes"), v.stored("edges"))
 
 
 @query("type_view", sql("SELECT x.* FROM neigh x JOIN node n ON n.repo = x.repo AND n.id = x.id WHERE n.kind = 'type' AND relation IN ('methods', 'implements', 'implemented_by')", neigh=_NEIGH))
 def _(v: Views):
-    return pages.type_view(v.nodes(), v.edges())
+    return pages.type_view(v.stored("nodes"), v.stored("edges"))
 
 
 @query("package_of_node", sql("SELECT n.repo, n.id, p.id AS package FROM node n JOIN pkg p ON p.repo = n.repo AND p.id = CASE WHEN n.kind = 'package' THEN n.id ELSE n.parent END"))
 def _(v: Views):
-    return pages.package_of(v.nodes())
+    return pages.package_of(v.stored("nodes"))
 
 
 @query("worst_package", sql("SELECT repo, repo AS module, arg_min(parent, ROW(-coalesce(crap, -1.0), g_all, id)) AS package FROM metric GROUP BY repo"))
 def _(v: Views):
-    return pages.worst_package(v.nodes(), packages_modules(v)[1])
+    return pages.worst_package(v.stored("nodes"), packages_modules(v)[1])
 
 
 _BOX = "SELECT repo, id AS package, 'group:' || split_part(name, '/', 1) AS box FROM pkg"
@@ -1473,7 +1473,7 @@ _BOX = "SELECT repo, id AS package, 'group:' || split_part(name, '/', 1) AS box
     ),
 )
 def _(v: Views):
-    return pages.module_view(v.nodes(), v.edges())
+    return pages.module_view(v.stored("nodes"), v.stored("edges"))
 
 
 @query(
@@ -1484,7 +1484,7 @@ def _(v: Views):
     ),
 )
 def _(v: Views):
-    return pages.module_view(v.nodes(), v.edges(), "promo")
+    return pages.module_view(v.stored("nodes"), v.stored("edges"), "promo")
 
 
 _TOP4 = "SELECT repo, parent, id FROM (SELECT repo, parent, id, row_number() OVER (PARTITION BY repo, parent ORDER BY cc DESC, name, id) AS i FROM func) WHERE i <= 4"
@@ -1500,7 +1500,7 @@ _TOP4 = "SELECT repo, parent, id FROM (SELECT repo, parent, id, row_number() OVE
 )
 def _(v: Views):
     m = v.functions().join(v.facts(), ID).withColumn("crap", F.col("cc").cast("double"))
-    return pages.package_view(v.nodes(), v.edges(), m, shown=4)
+    return pages.package_view(v.stored("nodes"), v.stored("edges"), m, shown=4)
 
 
 @query(
@@ -1513,12 +1513,12 @@ def _(v: Views):
 )
 def _(v: Views):
     m = v.functions().join(v.facts(), ID).withColumn("crap", F.col("cc").cast("double"))
-    return pages.shown_outside(v.nodes(), v.edges(), m, shown=4)
+    return pages.shown_outside(v.stored("nodes"), v.stored("edges"), m, shown=4)
 
 
 @query("home_group", sql("SELECT repo, id AS package, split_part(name, '/', 1) AS prefix FROM pkg"))
 def _(v: Views):
-    return pages.home_group(v.nodes())
+    return pages.home_group(v.stored("nodes"))
 
 
 # --- source and notes -------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.schemas import SNAP
+from plumbline.session import settle
 
 AS_OF = "2001-08-01 00:00:00"
 REPO_SIZE = 1000
@@ -75,6 +76,13 @@ class Views:
             self._built[key] = df
         return self._built[key]
 
+    def stored(self, name: str) -> DataFrame:
+        """A derived table written once, as a job finds it on disk."""
+        key = f"stored:{name}"
+        if key not in self._built:
+            self._built[key] = settle(getattr(self, name)(), name)
+        return self._built[key]
+
     # --- structure ---------------------------------------------------------
 
     @view

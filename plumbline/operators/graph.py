@@ -7,6 +7,8 @@ shared folder and the next one starts from what was new in it.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,20 +88,82 @@ def _reach_back(edges: DataFrame, start: DataFrame) -> DataFrame:
     return rounds.all().select(*NODE)
 
 
-def cyclic_edges(edges: DataFrame) -> DataFrame:
+# Graphs of at most this many edges are searched for cycles inside one task.
+SMALL_GRAPH = 50_000
+
+
+def _components(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Strongly connected component of each node of one small graph."""
+    order = np.argsort(src, kind="stable")
+    targets = dst[order]
+    first = np.searchsorted(src[order], np.arange(n + 1))
+    index, low, comp = np.full(n, -1), np.zeros(n, dtype=int), np.full(n, -1)
+    open_nodes: list[int] = []
+    seen = 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        path = [[root, first[root]]]
+        while path:
+            node, at = path[-1]
+            if index[node] < 0:
+                index[node] = low[node] = seen
+                seen += 1
+                open_nodes.append(node)
+            if at < first[node + 1]:
+                path[-1][1] += 1
+                nxt = targets[at]
+                if index[nxt] < 0:
+                    path.append([nxt, first[nxt]])
+                elif comp[nxt] < 0:
+                    low[node] = min(low[node], index[nxt])
+                continue
+            path.pop()
+            if path:
+                low[path[-1][0]] = min(low[path[-1][0]], low[node])
+            if low[node] == index[node]:
+                while comp[node] < 0:
+                    comp[open_nodes.pop()] = node
+    return comp
+
+
+def _cycles_of_one(edges: pd.DataFrame) -> pd.DataFrame:
+    codes, _ = pd.factorize(pd.concat([edges["from"], edges["to"]], ignore_index=True))
+    src, dst = codes[: len(edges)], codes[len(edges) :]
+    comp = _components(src, dst, int(codes.max()) + 1)
+    return edges[comp[src] == comp[dst]]
+
+
+def cyclic_edges(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """Edges whose ends reach each other, self-loops included.
 
+    Most repositories have a small graph: those of at most ``small`` edges go
+    to one task each, all in one shuffle. Larger ones are searched together,
+    round by round, over the whole cluster.
+    """
+    arrows = settle(_arrows(edges), "arrows")
+    size = arrows.groupBy(*SNAP).agg(F.count("*").alias("_n"))
+    few = size.where(F.col("_n") <= small).select(*SNAP)
+    schema = arrows.schema
+    quick = arrows.join(few, SNAP, "left_semi").groupBy(*SNAP).applyInPandas(_cycles_of_one, schema)
+    large = size.where(F.col("_n") > small).select(*SNAP)
+    if large.isEmpty():
+        return quick
+    return quick.unionByName(_cyclic_by_rounds(settle(arrows.join(large, SNAP, "left_semi"), "large")))
+
+
+def _cyclic_by_rounds(arrows: DataFrame) -> DataFrame:
+    """Cycle search over graphs of any size.
+
     After peeling, each pass labels nodes with the largest id that reaches
     them; a node that keeps its own id is the root of a component, which is
     what reaches it back within its label. Edges between labels or out of a
     finished component are on no cycle that remains.
     """
-    spark = edges.sparkSession
-    arrows = settle(_arrows(edges), "arrows")
     loops = arrows.where(F.col("from") == F.col("to"))
     core = _peel(arrows.where(F.col("from") != F.col("to")))
-    found = Rounds(spark, "cyclic")
-    found.add(loops)
+    found = Rounds(arrows.sparkSession, "cyclic")
+    found.add(loops.select(*EDGE))
     while not core.isEmpty():
         ends = _as(core, "from").unionByName(_as(core, "to")).distinct()
         color = _spread_max(core, ends.withColumn("color", F.col("node")))
@@ -117,14 +181,14 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
     return found.all().select(*EDGE).distinct()
 
 
-def acyclic(edges: DataFrame) -> DataFrame:
+def acyclic(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """The edges that are on no cycle.
 
     Which edge of a cycle a depth-first walk drops depends on the walk, so
     all edges inside a cycle go; without cycles nothing but self-loops does.
     """
     arrows = _arrows(edges)
-    return settle(arrows.join(cyclic_edges(edges), EDGE, "left_anti"), "acyclic")
+    return settle(arrows.join(cyclic_edges(edges, small), EDGE, "left_anti"), "acyclic")
 
 
 def ranks(dag: DataFrame) -> DataFrame:
