@@ -42,9 +42,8 @@ def _json(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -
 def _text(spark: SparkSession, path: str, keys: list[str], **options) -> DataFrame:
     return (
         spark.read.schema(_with_keys(VALUE, keys))
-        .options(**options)
         .option("basePath", path)
-        .text(path)
+        .text(path, **options)
         .withColumn("path", F.col("_metadata.file_path"))
     )
 
@@ -414,11 +413,20 @@ def split_lines(files: DataFrame) -> DataFrame:
     )
 
 
+_TREE = r"/repo=([^/]+)/snapshot_id=([^/]+)/(.*)$"
+
+
 def read_source_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Source trees below ``repo=…/snapshot_id=…/`` as numbered lines."""
-    rows = _text(spark, path, SNAP, wholetext=True, recursiveFileLookup=False, pathGlobFilter="*")
-    rel = F.regexp_extract("path", r"snapshot_id=[^/]+/(.*)$", 1)
-    return split_lines(rows.withColumn("file", F.url_decode(rel)))
+    """Source trees below ``repo=…/snapshot_id=…/`` as numbered lines.
+
+    The tree's own folders are no partitions, so the keys come from the file
+    path; a filter on them still skips files before they are opened.
+    """
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    where = F.col("_metadata.file_path")
+    names = ["repo", "snapshot_id", "file"]
+    part = [F.url_decode(F.regexp_extract(where, _TREE, i + 1)).alias(n) for i, n in enumerate(names)]
+    return split_lines(rows.select(*part, "value"))
 
 
 def line_range(source_lines: DataFrame, file: str, first: int, last: int) -> DataFrame:
