@@ -37,7 +37,7 @@ from plumbline.operators import (
 )
 from plumbline.plans import analyze, check
 from plumbline.schemas import SNAP
-from plumbline.session import settle
+from plumbline.session import settle, tune
 from plumbline.sources import readers
 from plumbline.streaming import feeds
 
@@ -49,7 +49,7 @@ ID = SNAP + ["id"]
 def query(name: str, oracle: str | None = None):
     def add(fn: Callable[[Views], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return flat(fn(Views(spark, sf_dir)))
+            return flat(fn(Views(tune(spark), sf_dir)))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -73,11 +73,11 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def fn_coverage(v: Views) -> DataFrame:
-    return coverage.function_coverage(v.functions(), v.blocks())
+    return coverage.function_coverage(v.stored("functions"), v.blocks())
 
 
 def fn_states(v: Views) -> DataFrame:
-    return coverage.line_states(v.functions(), v.blocks())
+    return coverage.line_states(v.stored("functions"), v.blocks())
 
 
 def fn_mutation(v: Views) -> DataFrame:
@@ -90,7 +90,7 @@ def fn_mutants(v: Views) -> DataFrame:
 
 def measured(v: Views) -> analyze.Inputs:
     return analyze.from_measurements(
-        v.functions(), None, v.facts(), v.blocks(), v.file_mutants(), v.mutated_functions(), commit_files=v.commit_files(), hunks=v.hunks()
+        v.stored("functions"), None, v.stored("facts"), v.blocks(), v.file_mutants(), v.mutated_functions(), commit_files=v.commit_files(), hunks=v.hunks()
     )
 
 
@@ -105,7 +105,7 @@ def packages_modules(v: Views) -> tuple[DataFrame, DataFrame]:
 
 
 def limits(v: Views) -> DataFrame:
-    return scopes.with_effective_thresholds(v.functions(), None)
+    return scopes.with_effective_thresholds(v.stored("functions"), None)
 
 
 # --- coverage ---------------------------------------------------------------
@@ -176,7 +176,7 @@ def _(v: Views):
     belong to a module outside."""
     host = F.when(F.col("file").startswith("medium/"), F.lit("other.org/m/")).otherwise(F.lit("example.com/m/"))
     b = v.blocks().withColumn("file", F.concat(host, "file"))
-    mods = v.functions().select(*SNAP).distinct()
+    mods = v.stored("functions").select(*SNAP).distinct()
     mods = mods.select(*SNAP, F.lit("example.com/m").alias("module"), F.lit(".").alias("dir")).unionByName(
         mods.select(*SNAP, F.lit("example.com/m/small").alias("module"), F.lit("sub").alias("dir"))
     )
@@ -214,7 +214,7 @@ def _(v: Views):
 def cov_cache(v: Views) -> tuple[DataFrame, DataFrame]:
     """Results cached when bodies were other: hash of the size over 20."""
     then = F.when(F.col("cc") > 8, F.col("body_hash")).otherwise(F.lit("old"))
-    f = v.functions().join(v.facts().select(*ID, "cc"), ID)
+    f = v.stored("functions").join(v.stored("facts").select(*ID, "cc"), ID)
     cache = f.join(fn_coverage(v).select(*ID, "stmts", "covered"), ID).select(
         "repo", "id", then.alias("body_hash"), F.lit(None).cast("timestamp").alias("ran_at"), "stmts", "covered"
     )
@@ -235,7 +235,7 @@ def cov_cache(v: Views) -> tuple[DataFrame, DataFrame]:
 def _(v: Views):
     """Functions moved down by 100 lines since: lines follow them."""
     cache, lines = cov_cache(v)
-    moved = v.functions().withColumn("line", F.col("line") + 100)
+    moved = v.stored("functions").withColumn("line", F.col("line") + 100)
     cov, states = coverage.resolve_coverage(moved, cache, lines)
     s = states.groupBy(*ID).agg(F.count("*").alias("lines"), F.min("line").alias("first_line"))
     return cov.join(s, ID, "left").select(
@@ -253,7 +253,7 @@ def _(v: Views):
 )
 def _(v: Views):
     """Small packages ran, standard ones failed, others were not run."""
-    f = v.functions()
+    f = v.stored("functions")
     cov = fn_coverage(v)
     old = cov.select("repo", "id", F.lit("old").alias("body_hash"), F.lit(None).cast("timestamp").alias("ran_at"), (F.col("stmts") + 1000).alias("stmts"), "covered")
     none = v.spark.createDataFrame([], "repo string, package string, error string")
@@ -355,7 +355,7 @@ def _(v: Views):
 )
 def _(v: Views):
     cache, cached = mutation_cache(v)
-    moved = v.functions().withColumn("line", F.col("line") + 100)
+    moved = v.stored("functions").withColumn("line", F.col("line") + 100)
     mu, mutants = mutation.resolve_mutation(moved, cache, cached)
     n = mutants.groupBy(*ID).agg(F.count("*").alias("mutants"), F.min("line").alias("first_line"))
     return mu.join(n, ID, "left").select(
@@ -364,7 +364,7 @@ def _(v: Views):
 
 
 def mutation_cache(v: Views) -> tuple[DataFrame, DataFrame]:
-    f = v.mutated_functions().join(v.facts().select(*ID, "cc"), ID)
+    f = v.mutated_functions().join(v.stored("facts").select(*ID, "cc"), ID)
     then = F.when(F.col("cc") > 8, F.col("body_hash")).otherwise(F.lit("old"))
     cache = f.join(fn_mutation(v), ID).select(
         "repo", F.col("parent").alias("package"), "id", then.alias("body_hash"), "killed", "survived", "not_covered", "timed_out"
@@ -401,14 +401,14 @@ def _(v: Views):
 
 
 def plan_inputs(v: Views):
-    m = v.functions().select(*ID, "parent").join(v.facts(), ID).join(fn_coverage(v), ID, "left").withColumn(
+    m = v.stored("functions").select(*ID, "parent").join(v.stored("facts"), ID).join(fn_coverage(v), ID, "left").withColumn(
         "crap", scores.crap("cc", "stmts", "covered")
     )
     pk = scopes.packages(v.nodes())
     cache, _ = mutation_cache(v)
     runs = pk.select("repo", F.col("id").alias("package"), F.to_timestamp(F.lit(AS_OF)).alias("ran_at"), F.lit(None).cast("string").alias("error"))
-    current = mutation.current_packages(pk, v.functions(), cache, runs)
-    return pk, v.functions(), m, current
+    current = mutation.current_packages(pk, v.stored("functions"), cache, runs)
+    return pk, v.stored("functions"), m, current
 
 
 _PLAN = {
@@ -486,7 +486,7 @@ def _(v: Views):
     sql("SELECT repo, id, crap, floor(crap * 10.0 + 0.5) / 10.0 AS crap1 FROM metric1"),
 )
 def _(v: Views):
-    m = v.facts().join(fn_coverage(v), ID, "left")
+    m = v.stored("facts").join(fn_coverage(v), ID, "left")
     return m.select(*ID, scores.crap("cc", "stmts", "covered").alias("crap")).withColumn("crap1", scores.round1(F.col("crap")))
 
 
@@ -514,7 +514,7 @@ def _(v: Views):
 )
 def _(v: Views):
     """Bodies changed for some functions; small ones were stale before."""
-    f = v.facts().select(*ID, "cc", (F.col("loc") - 1).alias("size"))
+    f = v.stored("facts").select(*ID, "cc", (F.col("loc") - 1).alias("size"))
     c, m = fn_coverage(v).select(*ID, F.lit(True).alias("c")), fn_mutation(v).select(*ID, F.lit(True).alias("m"))
     b = f.join(c, ID, "left").join(m, ID, "left")
     now = b.select(
@@ -529,7 +529,7 @@ def _(v: Views):
 
 @query("function_churn", sql("SELECT repo, id, CAST(churn AS BIGINT) AS churn FROM fchurn"))
 def _(v: Views):
-    return intervals.commits_touching(v.functions(), v.hunks())
+    return intervals.commits_touching(v.stored("functions"), v.hunks())
 
 
 @query("file_churn", sql("SELECT repo, file, churn FROM filechurn"))
@@ -588,7 +588,7 @@ def _(v: Views):
 def _(v: Views):
     """Hunks shifted by 30 lines, and untracked files of one kind."""
     h = v.hunks().withColumns({"start": F.col("start") + 30, "end": F.col("end") + 30})
-    f = v.functions()
+    f = v.stored("functions")
     return scopes.changed(f, h, f.where("file LIKE 'promo/%/large.go'").select("repo", "file").distinct())
 
 
@@ -634,7 +634,7 @@ def _(v: Views):
 def _(v: Views):
     n = v.nodes()
     # Ties on CRAP fall back to the grade without mutation here; CRAP decides.
-    return analyze.worst_packages(n, v.facts(), v.blocks()).select(
+    return analyze.worst_packages(n, v.stored("facts"), v.blocks()).select(
         *SNAP, "package", "crap_max", "crap_avg", "worst", "percent", "functions", "position"
     )
 
@@ -692,7 +692,7 @@ def _(v: Views):
     ),
 )
 def _(v: Views):
-    return rollup.graph_counts(v.nodes(), v.edges(), v.facts())
+    return rollup.graph_counts(v.nodes(), v.edges(), v.stored("facts"))
 
 
 @query(
@@ -717,7 +717,7 @@ def _(v: Views):
     m = fn_metrics(v)
     errors = m.select("repo", F.col("parent").alias("package")).distinct().where("package LIKE '%/promo/%'").withColumn("error", F.lit("tests failed"))
     p, _mod = rollup.roll_up(m, v.nodes(), coverage_errors=errors)
-    local = v.functions().select(*ID).join(v.effectful().withColumn("e", F.lit(True)), ID, "left").select(*ID, F.col("e").isNull().alias("pure"))
+    local = v.stored("functions").select(*ID).join(v.effectful().withColumn("e", F.lit(True)), ID, "left").select(*ID, F.col("e").isNull().alias("pure"))
     return rollup.overview(p, rollup.package_purity(v.nodes(), local)).withColumn("problems", F.array_join("problems", "; "))
 
 
@@ -759,7 +759,7 @@ for _metric, _col, _dir in [
 
 @query("rank_all_in_scope", sql("SELECT repo, id, crap AS value, false AS stale FROM metric WHERE crap IS NOT NULL AND file LIKE '%/large.go'"))
 def _(v: Views):
-    scope = v.functions().where("file LIKE '%/large.go'")
+    scope = v.stored("functions").where("file LIKE '%/large.go'")
     return ranking.rank_worst(fn_metrics(v), "crap", 0, scope)
 
 
@@ -855,7 +855,7 @@ _BREACH = """SELECT repo, id, 'cognitive' AS kind, CAST(cognitive AS DOUBLE) AS
 def gate_tables(v: Views, fast: bool = False) -> dict[str, DataFrame]:
     i = measured(v)
     m = settle(analyze.function_table(i, AS_OF), "functions")
-    critical = v.functions().select("repo").distinct().withColumn("pattern", F.lit("small/**/large.go"))
+    critical = v.stored("functions").select("repo").distinct().withColumn("pattern", F.lit("small/**/large.go"))
     return check.check(m, i.mutants, i.line_states, critical_paths=critical, fast=fast)
 
 
@@ -914,10 +914,10 @@ def _(v: Views):
 
 @query("effective_thresholds", sql("SELECT repo, CAST(CASE WHEN repo LIKE '%1' THEN 5.0 ELSE 8.0 END AS DOUBLE) AS crap_max, CAST(15 AS BIGINT) AS cognitive_max, CAST(80.0 AS DOUBLE) AS coverage_min, CAST(CASE WHEN repo LIKE '%1' THEN 90.0 ELSE 70.0 END AS DOUBLE) AS mutation_min FROM (SELECT DISTINCT repo FROM func)"))
 def _(v: Views):
-    own = v.functions().select("repo").distinct().where("repo LIKE '%1'").select(
+    own = v.stored("functions").select("repo").distinct().where("repo LIKE '%1'").select(
         "repo", F.lit(5.0).alias("crap_max"), F.lit(None).cast("int").alias("cognitive_max"), F.lit(None).cast("double").alias("coverage_min"), F.lit(90.0).alias("mutation_min")
     )
-    return scopes.with_effective_thresholds(v.functions(), own)
+    return scopes.with_effective_thresholds(v.stored("functions"), own)
 
 
 # --- labels and prompts -----------------------------------------------------
@@ -1039,39 +1039,39 @@ def _(v: Views):
 
 @query("excluded_files", sql("SELECT DISTINCT repo, file FROM func WHERE NOT (file LIKE 'large/%' OR file LIKE '%/brand1/small.go')"))
 def _(v: Views):
-    return scopes.excluded(v.functions(), ["large/**", "**/brand1/small.go"]).select("repo", "file").distinct()
+    return scopes.excluded(v.stored("functions"), ["large/**", "**/brand1/small.go"]).select("repo", "file").distinct()
 
 
 @query("files_matching_patterns", sql("SELECT DISTINCT repo, file FROM func WHERE file LIKE dir || '/%' AND file LIKE '%/' || CASE WHEN repo = 'repo0' THEN 'large' ELSE 'small' END || '.go'"))
 def _(v: Views):
-    pat = v.functions().select("repo").distinct().withColumn(
+    pat = v.stored("functions").select("repo").distinct().withColumn(
         "pattern", F.when(F.col("repo") == "repo0", F.lit("**/large.go")).otherwise(F.lit("*/*/sm*.go"))
     )
-    return scopes.files_matching(v.functions(), pat)
+    return scopes.files_matching(v.stored("functions"), pat)
 
 
 @query("functions_in_files", sql("SELECT repo, id FROM func WHERE file LIKE '%/brand7/%'"))
 def _(v: Views):
-    f = v.functions()
+    f = v.stored("functions")
     return scopes.in_files(f, f.where("file LIKE '%/brand7/%'").select("repo", "file").distinct())
 
 
 @query("expand_scope", sql("SELECT repo, id FROM func WHERE dir LIKE '%/brand3' OR cc = 5"))
 def _(v: Views):
     ids = scopes.packages(v.nodes()).where("name LIKE '%/brand3'").select(*ID)
-    ids = ids.unionByName(v.facts().where("cc = 5").select(*ID)).unionByName(v.nodes().where("kind = 'type'").select(*ID))
+    ids = ids.unionByName(v.stored("facts").where("cc = 5").select(*ID)).unionByName(v.nodes().where("kind = 'type'").select(*ID))
     return scopes.expand(v.nodes(), ids)
 
 
 @query("packages_of_nodes", sql("SELECT DISTINCT repo, parent AS package FROM func WHERE cc = 5 UNION SELECT repo, id FROM pkg WHERE name LIKE 'promo/%'"))
 def _(v: Views):
-    ids = v.facts().where("cc = 5").select(*ID).unionByName(v.nodes().where("kind = 'package' AND name LIKE 'promo/%'").select(*ID))
+    ids = v.stored("facts").where("cc = 5").select(*ID).unionByName(v.nodes().where("kind = 'package' AND name LIKE 'promo/%'").select(*ID))
     return scopes.packages_of(v.nodes(), ids)
 
 
 @query("lines_of_code", sql("SELECT repo, id, loc FROM func"))
 def _(v: Views):
-    return scopes.with_loc(v.functions().select(*ID, "line", "end_line")).select(*ID, "loc")
+    return scopes.with_loc(v.stored("functions").select(*ID, "line", "end_line")).select(*ID, "loc")
 
 
 @query(
@@ -1127,7 +1127,7 @@ def _(v: Views):
 )
 def _(v: Views):
     """All functions of a package share one id."""
-    n = v.functions().withColumn("id", F.concat("parent", F.lit(".init")))
+    n = v.stored("functions").withColumn("id", F.concat("parent", F.lit(".init")))
     return scopes.unique_ids(n).select(*ID, "file", "line")
 
 
@@ -1172,7 +1172,7 @@ def id_queries(v: Views) -> DataFrame:
         f.select(*SNAP, F.concat(F.lit("F"), F.col("k").cast("string")).alias("query")),
         p.select(*SNAP, F.col("name").alias("query")),
         p.select(*SNAP, F.substring_index("name", "/", -1).alias("query")),
-        v.facts().where("cc = 3").select(*SNAP, F.col("id").alias("query")),
+        v.stored("facts").where("cc = 3").select(*SNAP, F.col("id").alias("query")),
         p.select(*SNAP, F.lit("T").alias("query")),
         f.select(*SNAP, F.col("p_name").alias("query")),
         p.select(*SNAP, F.lit("").alias("query")),
@@ -1335,7 +1335,7 @@ _SPREAD = {
     ),
 )
 def _(v: Views):
-    allow = v.facts().where("cc = 4").select(*ID)
+    allow = v.stored("facts").where("cc = 4").select(*ID)
     return effects.propagate(v.stored("nodes"), v.stored("edges"), v.effectful(), allow).select(*ID, "pure")
 
 
@@ -1388,7 +1388,7 @@ _DEPTH = "SELECT DISTINCT repo, f AS node, 0 AS d FROM dag a WHERE NOT EXISTS (S
     ),
 )
 def _(v: Views):
-    return graph.rank_groups(v.functions(), v.stored("dag"))
+    return graph.rank_groups(v.stored("functions"), v.stored("dag"))
 
 
 @query(
@@ -1499,7 +1499,7 @@ _TOP4 = "SELECT repo, parent, id FROM (SELECT repo, parent, id, row_number() OVE
     ),
 )
 def _(v: Views):
-    m = v.functions().join(v.facts(), ID).withColumn("crap", F.col("cc").cast("double"))
+    m = v.stored("functions").join(v.stored("facts"), ID).withColumn("crap", F.col("cc").cast("double"))
     return pages.package_view(v.stored("nodes"), v.stored("edges"), m, shown=4)
 
 
@@ -1512,7 +1512,7 @@ def _(v: Views):
     ),
 )
 def _(v: Views):
-    m = v.functions().join(v.facts(), ID).withColumn("crap", F.col("cc").cast("double"))
+    m = v.stored("functions").join(v.stored("facts"), ID).withColumn("crap", F.col("cc").cast("double"))
     return pages.shown_outside(v.stored("nodes"), v.stored("edges"), m, shown=4)
 
 

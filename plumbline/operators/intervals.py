@@ -14,12 +14,18 @@ from pyspark.sql import functions as F
 from plumbline.schemas import SNAP
 from plumbline.session import replicated, salted
 
-SLICE = 128
+# Lines per slice, as a power of two.
+SLICE_BITS = 7
+SLICE = 1 << SLICE_BITS
 FILE = SNAP + ["file"]
 
 
+def slice_of(line: Column | str) -> Column:
+    return F.shiftright(line, SLICE_BITS)
+
+
 def _slices(start: Column, end: Column) -> Column:
-    return F.explode(F.sequence(F.floor(start / F.lit(SLICE)), F.floor(end / F.lit(SLICE))))
+    return F.explode(F.sequence(slice_of(start), slice_of(end)))
 
 
 def function_slices(funcs: DataFrame) -> DataFrame:
@@ -37,7 +43,7 @@ def contained_spans(funcs: DataFrame, spans: DataFrame) -> DataFrame:
     A contained span starts inside the function, so only the slice of its
     first line can match and no pair appears twice.
     """
-    s = spans.withColumn("_slice", F.floor(F.col("start_line") / F.lit(SLICE)))
+    s = spans.withColumn("_slice", slice_of("start_line"))
     f = function_slices(funcs).withColumnRenamed("end_line", "_to")
     return (
         s.join(f, FILE + ["_slice"])
@@ -50,7 +56,7 @@ def owners(funcs: DataFrame, points: DataFrame) -> DataFrame:
     """The function around each distinct (file, line); the first id wins where
     functions overlap. Lines outside every function are absent."""
     p = points.select(*FILE, F.col("line").alias("at")).distinct()
-    p = p.withColumn("_slice", F.floor(F.col("at") / F.lit(SLICE)))
+    p = p.withColumn("_slice", slice_of("at"))
     return (
         p.join(function_slices(funcs), FILE + ["_slice"])
         .where(F.col("at").between(F.col("line"), F.col("end_line")))
@@ -73,7 +79,7 @@ def lines_of(spans: DataFrame, source_lines: DataFrame) -> DataFrame:
     """Source lines of each span: ``…, id, n, text, base``, where ``base`` is
     the span's first line. Spans may overlap; each gets its own lines."""
     s = function_slices(spans)
-    t = source_lines.select(*FILE, "n", "text").withColumn("_slice", F.floor(F.col("n") / F.lit(SLICE)))
+    t = source_lines.select(*FILE, "n", "text").withColumn("_slice", slice_of("n"))
     return (
         t.join(s, FILE + ["_slice"])
         .where(F.col("n").between(F.col("line"), F.col("end_line")))

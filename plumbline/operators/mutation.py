@@ -89,11 +89,14 @@ def describe(mutants: DataFrame, source_lines: DataFrame, salts: int = 8) -> Dat
     """Adds ``description``: ``token → replacement``, or the bare type where
     the type, the line or the token is unknown.
 
-    One line may carry many mutants, so the text of a line is looked up on a
-    salted key.
+    Only lines that hold a mutant are kept of the source. One line may carry
+    many mutants, so its text is then looked up on a salted key.
     """
     spark = mutants.sparkSession
-    text = replicated(source_lines.select(*FILE, F.col("n").alias("line"), "text"), salts)
+    place = FILE + ["line"]
+    held = mutants.select(*place).distinct()
+    text = source_lines.select(*FILE, F.col("n").alias("line"), "text").join(held, place, "left_semi")
+    text = replicated(text, salts)
     lines = salted(mutants, salts, F.col("col"), F.col("type"), F.col("status"))
     table = F.broadcast(replacement_table(spark))
     return (

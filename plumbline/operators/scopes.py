@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import paths
-from plumbline.operators.intervals import touched_functions, with_owner
+from plumbline.operators.intervals import lines_of, touched_functions
 from plumbline.operators.ordered import running_total
 from plumbline.schemas import CALLS_DYNAMIC, EXTERNAL, FUNC, IMPORTS, PACKAGE, SNAP
 
@@ -189,17 +189,16 @@ def fingerprints(funcs: DataFrame, source_lines: DataFrame) -> DataFrame:
     are combined by XOR, an aggregate that merges in any order, so no function
     body is gathered. Equality is by line text, not by syntax tree.
     """
-    lines = source_lines.withColumnRenamed("n", "line")
-    inside = with_owner(funcs, lines, ["line"])
+    inside = lines_of(funcs, source_lines)
     text = paths.strip("text")
     kept = inside.where((text != "") & ~text.startswith("//"))
-    numbered = running_total(kept, ID, "line", F.lit(1), "_n")
-    digest = F.sha2(F.concat_ws(":", F.col("_n").cast("string"), F.rtrim("text")), 256)
+    numbered = running_total(kept.select(*ID, "n", "text"), ID, "n", F.lit(1), "_k")
+    digest = F.sha2(F.concat_ws(":", F.col("_k").cast("string"), F.rtrim("text")), 256)
     parts = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("long") for i in range(4)]
     combined = numbered.select(*ID, *[p.alias(f"_p{i}") for i, p in enumerate(parts)]).groupBy(*ID).agg(
-        F.count("*").alias("_k"), *[F.bit_xor(f"_p{i}").alias(f"_p{i}") for i in range(4)]
+        F.count("*").alias("_lines"), *[F.bit_xor(f"_p{i}").alias(f"_p{i}") for i in range(4)]
     )
-    cols = ["_k"] + [f"_p{i}" for i in range(4)]
+    cols = ["_lines"] + [f"_p{i}" for i in range(4)]
     return combined.select(
         *ID, F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("-", *[F.col(c).cast("string") for c in cols]), 256)).alias("body_hash")
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,24 +60,26 @@ class _Liveness(StatefulProcessor):
         self.last = handle.getValueState("last", "ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pings = sorted(int(t.value // 1_000_000) for frame in rows for t in frame["ts"])
+        frames = [f["ts"].to_numpy().astype("datetime64[ms]").astype("int64") for f in rows]
+        pings = np.unique(np.concatenate(frames))
         last = self.last.get()[0] if self.last.exists() else None
         limit = ALIVE_SECONDS * 1000
-        out = []
-        for ms in pings:
-            if last is not None and ms <= last:
-                continue
-            if last is None:
-                out.append((key[0], pd.Timestamp(ms, unit="ms"), True))
-            elif ms - last > limit:
-                out.append((key[0], pd.Timestamp(last + limit, unit="ms"), False))
-                out.append((key[0], pd.Timestamp(ms, unit="ms"), True))
-            last = ms
+        known = pings if last is None else pings[pings > last]
+        line = known if last is None else np.concatenate([[last], known])
+        # Positions after which the client was silent for too long.
+        cut = np.flatnonzero(np.diff(line) > limit)
+        gone, back = line[cut] + limit, line[cut + 1]
+        if last is None:
+            back = np.concatenate([line[:1], back])
+        out = pd.DataFrame({"ts": np.concatenate([gone, back]), "connected": [False] * len(gone) + [True] * len(back)})
+        out.insert(0, "client", key[0])
+        out["ts"] = pd.to_datetime(out["ts"], unit="ms")
+        last = int(line[-1])
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.last.update((last,))
         self.handle.registerTimer(last + limit)
-        yield pd.DataFrame(out, columns=["client", "ts", "connected"])
+        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0]
