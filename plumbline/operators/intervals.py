@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.schemas import SNAP
-from plumbline.session import replicated, salted
+from plumbline.session import spread_join
 
 # Lines per slice, as a power of two.
 SLICE_BITS = 7
@@ -65,14 +65,13 @@ def owners(funcs: DataFrame, points: DataFrame) -> DataFrame:
     )
 
 
-def with_owner(funcs: DataFrame, rows: DataFrame, spread: list[str], salts: int = 8) -> DataFrame:
+def with_owner(funcs: DataFrame, rows: DataFrame, spread: list[str], salts: int = 1) -> DataFrame:
     """Rows (``file``, ``line`` …) with the ``id`` of their function.
 
-    Rows are spread over ``salts`` by ``spread``: one line may hold a large
-    part of all rows, while the owner side has one row per line.
+    Owners are found for distinct lines, so a line that holds a large part of
+    all rows meets the functions once.
     """
-    own = replicated(owners(funcs, rows), salts)
-    return salted(rows, salts, *[F.col(c) for c in spread]).join(own, FILE + ["line", "_salt"]).drop("_salt")
+    return spread_join(rows, owners(funcs, rows), FILE + ["line"], spread, salts)
 
 
 def lines_of(spans: DataFrame, source_lines: DataFrame) -> DataFrame:
@@ -122,16 +121,15 @@ def touched_functions(funcs: DataFrame, hunks: DataFrame) -> DataFrame:
     return f.join(h, cond, "left_semi").select(*SNAP, "id").distinct()
 
 
-def commits_touching(funcs: DataFrame, hunks: DataFrame, salts: int = 16) -> DataFrame:
+def commits_touching(funcs: DataFrame, hunks: DataFrame, salts: int = 1) -> DataFrame:
     """Number of commits with a hunk in each function's range: ``…, id, churn``.
 
-    Every function gets a row; none of its commits is 0. Hunks are salted by
-    commit because one slice of one file may carry a large part of history.
+    Every function gets a row, 0 without a commit. The distinct count is taken
+    in two steps, first per function and commit.
     """
-    h = salted(hunk_slices(hunks, ["commit"]), salts, F.col("commit"))
-    f = replicated(function_slices(funcs), salts)
+    h, f = hunk_slices(hunks, ["commit"]), function_slices(funcs)
     hit = (
-        h.join(f, FILE + ["_slice", "_salt"])
+        spread_join(h, f, FILE + ["_slice"], ["commit"], salts)
         .where(touches(F.col("start"), F.col("end"), F.col("deleted"), F.col("line"), F.col("end_line")))
         .select(*SNAP, "id", "commit")
     )

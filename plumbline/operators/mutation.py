@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scores import mutation_score, run_efficacy
 from plumbline.operators.intervals import FILE, owners, with_owner
 from plumbline.schemas import COUNTED, KILLED, LIVED, NOT_COVERED, SNAP, TIMED_OUT
-from plumbline.session import replicated, salted
+from plumbline.session import spread_join
 
 ID = SNAP + ["id"]
 
@@ -85,22 +85,20 @@ def token_at(text: Column | str, col: Column | str) -> Column:
     return F.when(tok != "", tok)
 
 
-def describe(mutants: DataFrame, source_lines: DataFrame, salts: int = 8) -> DataFrame:
+def describe(mutants: DataFrame, source_lines: DataFrame, salts: int = 1) -> DataFrame:
     """Adds ``description``: ``token → replacement``, or the bare type where
     the type, the line or the token is unknown.
 
-    Only lines that hold a mutant are kept of the source. One line may carry
-    many mutants, so its text is then looked up on a salted key.
+    Only lines that hold a mutant are kept of the source before texts meet
+    mutants.
     """
     spark = mutants.sparkSession
     place = FILE + ["line"]
     held = mutants.select(*place).distinct()
     text = source_lines.select(*FILE, F.col("n").alias("line"), "text").join(held, place, "left_semi")
-    text = replicated(text, salts)
-    lines = salted(mutants, salts, F.col("col"), F.col("type"), F.col("status"))
     table = F.broadcast(replacement_table(spark))
     return (
-        lines.join(text, FILE + ["line", "_salt"], "left")
+        spread_join(mutants, text, place, ["col", "type", "status"], salts, "left")
         .withColumn("token", token_at("text", "col"))
         .join(table, ["type", "token"], "left")
         .withColumn(
@@ -109,7 +107,7 @@ def describe(mutants: DataFrame, source_lines: DataFrame, salts: int = 8) -> Dat
                 F.concat("token", F.lit(" → "), "replacement")
             ),
         )
-        .drop("_salt", "text", "token", "replacement")
+        .drop("text", "token", "replacement")
     )
 
 

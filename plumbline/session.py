@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Runtime SQL settings the jobs are designed for. They are ordinary session
@@ -108,11 +108,18 @@ class Rounds:
         return self.spark.read.schema(schema).parquet(self.folder)
 
 
-def salted(df: DataFrame, salts: int, *by: Column) -> DataFrame:
-    """Spread rows of equal key over ``salts`` slices, by other columns."""
-    return df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+def spread_join(
+    rows: DataFrame, few: DataFrame, keys: list[str], by: list[str], salts: int = 1, how: str = "inner"
+) -> DataFrame:
+    """Join many rows to a side with few rows per key.
 
-
-def replicated(df: DataFrame, salts: int) -> DataFrame:
-    """The counterpart of :func:`salted` for the side with few rows per key."""
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    Adaptive execution splits a partition that one key makes too large, into
+    as many pieces as its size asks for, and broadcasts ``few`` when it is
+    small. Where it is switched off, ``salts`` > 1 spreads the rows of each
+    key by the columns ``by`` and lists ``few`` once per salt.
+    """
+    if salts <= 1:
+        return rows.join(few, keys, how)
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
