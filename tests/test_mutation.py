@@ -126,3 +126,17 @@ def test_testable_not_covered(spark):
     st = spark.createDataFrame([("r", "s", "case", 71), ("r", "s", "uncovered", 71), ("r", "s", "uncovered", 90), ("r", "s", "never", 71)], key + "line int")
     got = dict(pairs(mutation.testable_not_covered(mu, cov, m, st), "id", "testable"))
     assert got == {"case": 0, "uncovered": 1, "never": 1, "unknown": 1, "nocov": 1}
+
+
+def test_a_hot_line_is_attributed_the_same_with_salts(spark):
+    """Most mutants sit on one line."""
+    f = funcs(spark, ("p.a", "p", "a.go", 1, 300, "h"), ("p.b", "p", "a.go", 301, 310, "h"))
+    rnd = random.Random(9)
+    rows = [("a.go", 150 if i % 3 else rnd.randint(1, 320), i % 50, f"T{i % 7}", "LIVED") for i in range(900)]
+    m = mutants(spark, *rows)
+    from plumbline.operators.intervals import with_owner
+
+    want = sorted((("p.a" if r[1] <= 300 else "p.b"), *r[1:4]) for r in rows if r[1] <= 310)
+    for salts in [1, 4]:
+        got = with_owner(f, m, ["col", "type"], salts)
+        assert pairs(got, "id", "line", "col", "type") == sorted(want, key=repr)
