@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import packing, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,28 @@ def tokenizer_file() -> str:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file()).drop("fill")
+
+
+@query
+def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, read back and listed."""
+    out = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op2_warc_index_merge"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS h FROM p),
+b AS (
+  SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + (((instr('0123456789abcdef', substr(h, 1 + (5 * i) // 4, 1)) - 1) * 16
+          + greatest(instr('0123456789abcdef', substr(h, 2 + (5 * i) // 4, 1)) - 1, 0))
+          // (2 ** (3 - (5 * i) % 4))::BIGINT % 32)::INT, 1)), '') AS payload_digest
+  FROM d),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM b)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM m
+"""
