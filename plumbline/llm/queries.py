@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, warc
+from . import langid, lines, packing, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,39 @@ FROM m
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand, or nearly stand, earlier."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "kept_lines", "text")
+
+
+SQL["op7_line_dedup"] = r"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, pos, string_split(text, chr(10))[pos] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)),
+c AS MATERIALIZED (
+  SELECT line, min((doc_id, pos)) AS first, row_number() OVER () AS id FROM l
+  WHERE regexp_matches(line, '[^\s]') GROUP BY line),
+v AS MATERIALIZED (
+  SELECT id, first, p, substr(line, 1, p - 1) || substr(line, p + 1) AS cut
+  FROM (SELECT id, first, line, unnest(range(1, length(line) + 1)) AS p FROM c WHERE length(line) >= 20)),
+s AS (SELECT cut, p, min(first) AS f FROM v GROUP BY cut, p HAVING count(*) > 1),
+near AS (
+  SELECT v.id, s.f AS f FROM v JOIN s USING (cut, p) WHERE s.f < v.first
+  UNION ALL SELECT v.id, c.first FROM v JOIN c ON c.line = v.cut WHERE c.first < v.first AND length(c.line) >= 20
+  UNION ALL SELECT c.id, v.first FROM v JOIN c ON c.line = v.cut WHERE v.first < c.first AND length(c.line) >= 20),
+t AS (SELECT c.line, least(c.first, coalesce(n.f, c.first)) AS t FROM c LEFT JOIN (SELECT id, min(f) AS f FROM near GROUP BY id) n USING (id)),
+k AS (
+  SELECT l.doc_id, l.pos, l.line, t.t IS NULL OR (l.doc_id, l.pos) <= t.t AS keep
+  FROM l LEFT JOIN t USING (line)),
+g AS (
+  SELECT doc_id, count(*)::INT AS n_lines, count(*) FILTER (keep)::INT AS kept_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '') AS text
+  FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(g.n_lines, 0) AS n_lines, coalesce(g.kept_lines, 0) AS kept_lines,
+  CASE WHEN d.text IS NULL THEN NULL ELSE g.text END AS text
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
