@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lines, packing, warc
+from . import langid, lines, ngrams, packing, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,33 @@ SELECT d.doc_id, coalesce(g.n_lines, 0) AS n_lines, coalesce(g.kept_lines, 0) AS
   CASE WHEN d.text IS NULL THEN NULL ELSE g.text END AS text
 FROM documents d LEFT JOIN g USING (doc_id)
 """
+
+
+@query
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate class and its number of links."""
+    out = ngrams.near_classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "copies", "text_links", "n_links")
+
+
+SQL["op4_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\t-\r ]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM w),
+n AS MATERIALIZED (SELECT w.doc_id, count(s.g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+i AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT a, b, i = x.n AND i = y.n AS same FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * i >= 4 * (x.n + y.n - i)
+  UNION ALL SELECT x.doc_id, y.doc_id, true FROM n x JOIN n y ON x.n = 0 AND y.n = 0 AND x.doc_id <> y.doc_id),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a),
+k AS MATERIALIZED (SELECT n.doc_id, least(n.doc_id, min(p.b)) AS k FROM n LEFT JOIN p ON p.a = n.doc_id AND p.same GROUP BY n.doc_id)
+SELECT n.doc_id, c.class_id, 1 + count(p.b) FILTER (p.same) AS copies,
+  count(DISTINCT kb.k) FILTER (NOT p.same) AS text_links, count(p.b) AS n_links
+FROM n JOIN c USING (doc_id) LEFT JOIN p ON p.a = n.doc_id LEFT JOIN k kb ON kb.doc_id = p.b
+GROUP BY n.doc_id, c.class_id
+"""
