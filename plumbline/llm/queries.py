@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, lines, ngrams, packing, warc
+from . import langid, lines, mixing, ngrams, packing, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +126,55 @@ SELECT n.doc_id, c.class_id, 1 + count(p.b) FILTER (p.same) AS copies,
 FROM n JOIN c USING (doc_id) LEFT JOIN p ON p.a = n.doc_id LEFT JOIN k kb ON kb.doc_id = p.b
 GROUP BY n.doc_id, c.class_id
 """
+
+
+# The mixture of the query: domains are runs of numbered sources.
+WEIGHTS = {"domain": {"web": 4, "news": 2, "books": 3, "other": 1}, "lang": {"en": 4, "de": 2, "es": 2, "fr": 2}}
+DOMAIN = """case when try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) < 5 then 'web'
+  when try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) < 10 then 'news'
+  when try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) < 15 then 'books' else 'other' end"""
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, mixed to the weights, with at most three epochs of a leaf."""
+    return mixing.mix(table(spark, sf_dir, "documents"), F.expr(DOMAIN), 0.5, 3, WEIGHTS, only_counts=True)
+
+
+def _fill(level: str, parent: str, weights: str) -> str:
+    key = f"{parent}, {level}" if parent else level
+    part = f"PARTITION BY {parent}" if parent else ""
+    got = f"got_{parent.split(', ')[-1]}" if parent else "got"
+    return f"""
+cap_{level} AS (SELECT {key}, sum(tokens * 3)::HUGEINT AS cap FROM leaves GROUP BY ALL),
+w_{level} AS (SELECT c.*, g.budget, {weights} AS w FROM cap_{level} c {f"JOIN {got} g USING ({parent})" if parent else "CROSS JOIN got g"}),
+u_{level} AS (SELECT *,
+  coalesce(sum(cap) OVER ({part} ORDER BY cap::DOUBLE / w::DOUBLE, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+  sum(w) OVER ({part} ORDER BY cap::DOUBLE / w::DOUBLE, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
+  FROM w_{level}),
+f_{level} AS (SELECT *, cap * open_w <= w * (budget - used) AS is_full FROM u_{level}),
+got_{level} AS (SELECT {key}, CASE WHEN is_full THEN cap ELSE
+    (w * (budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({part}))) // sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ({part}) END AS budget
+  FROM f_{level}),"""
+
+
+SQL["op3_mixing"] = f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    CASE WHEN n < 5 THEN 'web' WHEN n < 10 THEN 'news' WHEN n < 15 THEN 'books' ELSE 'other' END AS domain,
+    coalesce(len(regexp_extract_all(text, '\S+')), 0)::BIGINT AS tokens
+  FROM (SELECT *, try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS n FROM documents)),
+leaves AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0),
+got AS (SELECT floor(sum(tokens)::DOUBLE * 0.5)::HUGEINT AS budget FROM leaves),
+{_fill("domain", "", "CASE domain WHEN 'web' THEN 4 WHEN 'news' THEN 2 WHEN 'books' THEN 3 ELSE 1 END::HUGEINT")}
+{_fill("lang", "domain", "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'es' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END::HUGEINT")}
+{_fill("source", "domain, lang", "1::HUGEINT")}
+b AS (SELECT l.*, (g.budget // l.tokens)::BIGINT AS whole, (g.budget % l.tokens)::BIGINT AS rest FROM leaves l JOIN got_source g USING (domain, lang, source)),
+k AS (SELECT d.*, b.whole, b.rest, md5('1:' || b.whole::VARCHAR || ':' || coalesce(d.doc_id::VARCHAR, '')) AS key
+  FROM d JOIN b USING (domain, lang, source)),
+s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM k),
+e AS (SELECT *, unnest(range(0, whole + CASE WHEN start < rest THEN 1 ELSE 0 END)) AS epoch FROM s)
+SELECT doc_id, domain, lang, source, epoch::INT AS epoch, tokens,
+  CASE WHEN epoch = whole THEN least(tokens, rest - start) ELSE tokens END::BIGINT AS kept_tokens
+FROM e
+"""
