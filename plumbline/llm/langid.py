@@ -216,12 +216,13 @@ def predict(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred and score."""
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["lang_pred string", "score double"])
+    read = [*keep, *(["text"] if "text" not in keep else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alpha = letters()
         for b in batches:
             pred, score = [], []
-            for text in b.column(b.num_columns - 1).to_pylist():
+            for text in b.column(read.index("text")).to_pylist():
                 n = counts(text or "", alpha) if model["langs"] else None
                 if n is None:
                     pred.append(UNKNOWN)
@@ -233,13 +234,22 @@ def predict(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
                 pred.append(model["langs"][k])
                 score.append(float(p[k]))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"]
+                [*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"]
             )
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text_")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`").cast(types[c]) for c in read)).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, **how) -> DataFrame:
     """Learn from the rows that are not held out and predict all: doc_id, held_out, lang_pred, score."""
     d = docs.select(F.col("doc_id").cast("long"), "text", "lang").withColumn("held_out", held_out())
     return predict(d, train(d.where(~F.col("held_out")), **how), "doc_id", "held_out")
+
+
+def known_language(docs: DataFrame, least: float = 0.5, **how) -> DataFrame:
+    """``docs`` whose language is known with at least this probability; a null lang is filled in."""
+    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    d = docs.select(*(F.col(f"`{c}`") for c in own))
+    model = train(d.where(~held_out()), **how)
+    out = predict(d, model, *own).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*(F.col(f"`{c}`") for c in own))
