@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, ngrams, packing, warc
+from . import langid, lines, mixing, ngrams, packing, sketches, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,32 @@ SELECT doc_id, domain, lang, source, epoch::INT AS epoch, tokens,
   CASE WHEN epoch = whole THEN least(tokens, rest - start) ELSE tokens END::BIGINT AS kept_tokens
 FROM e
 """
+
+
+@query
+def op6_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return sketches.fingerprints(table(spark, sf_dir, "documents")).drop("containment_edited")
+
+
+def _sketch(words: str) -> str:
+    grams = f"""CASE WHEN {words} = '' THEN [] WHEN len(string_split({words}, ' ')) < 5 THEN [{words}]
+      ELSE list_transform(range(1, len(string_split({words}, ' ')) - 3), lambda i: array_to_string(string_split({words}, ' ')[i:i + 4], ' ')) END"""
+    return f"list_sort(list_distinct(list_filter(list_transform({grams}, lambda g: substr(md5(g), 1, 12)), lambda h: h < '4')))"
+
+
+SQL["op6_scaled_fingerprints"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
+x AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next FROM t),
+e AS (SELECT *, left(text, n_chars - n_chars // 2) || left(next, n_chars // 2) AS edited FROM x),
+w AS MATERIALIZED (SELECT doc_id, n_chars, edited,
+  trim(regexp_replace(text, '\\s+', ' ', 'g')) AS w, trim(regexp_replace(edited, '\\s+', ' ', 'g')) AS ew,
+  trim(regexp_replace(next, '\\s+', ' ', 'g')) AS nw FROM e),
+s AS MATERIALIZED (SELECT *, {_sketch("w")} AS s, {_sketch("ew")} AS es, {_sketch("nw")} AS ns FROM w),
+i AS (SELECT *, len(list_intersect(s, es)) AS i, len(list_intersect(s, ns)) AS j FROM s)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
+  md5(w) || ':' || array_to_string(s, '') AS fingerprint, md5(ew) || ':' || array_to_string(es, '') AS edited_fingerprint,
+  CASE WHEN w = ew THEN 1.0 WHEN len(s) + len(es) = 0 THEN 0.0 ELSE i::DOUBLE / (len(s) + len(es) - i) END::DOUBLE AS near_edited,
+  CASE WHEN w = nw THEN 1.0 WHEN len(s) + len(ns) = 0 THEN 0.0 ELSE j::DOUBLE / (len(s) + len(ns) - j) END::DOUBLE AS near_next
+FROM i
+"""
