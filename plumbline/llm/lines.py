@@ -10,14 +10,17 @@ result does not depend on an order of removal.
    the step and is at most half of the length. One edit leaves one of the two parts
    as it was and changes the length by one at most, so lines of a pair share a key.
    One aggregation over the keys leaves those that two different lines share.
-2. Neighbourhood. Lines that have such a key (*suspects*) emit all variants
-   with one character deleted, as hashed keys. Two kinds of equal variants are
+2. Windows. Lines that have such a key (*suspects*) give the hash of all but one
+   of eight windows, for each window; where two different lines share one, the edit can
+   only be in that window.
+3. Neighbourhood. In those windows suspects emit all variants with one character
+   deleted, as hashed keys, and every suspect emits itself. Two kinds of equal variants are
    joined: with the deletion at the same place (a replacement), where all lines of
    a key are within one edit of each other, and a variant equal to a whole line
    (an insertion). Lines of a key are compared with its earliest, never with
    each other.
-3. The edit distance of every line and the earlier one found for it is verified.
-4. Dropped lines leave their documents.
+4. The edit distance of every line and the earlier one found for it is verified.
+5. Dropped lines leave their documents.
 
 Defined results: null text is kept as null; lines without a visible character
 always stay and match nothing; lines under ``min_chars`` characters match only
@@ -98,28 +101,47 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))).view(np.int64)
 
 
-def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the whole line (place -1) and of every variant with one character deleted."""
+def variant_keys(line: str, windows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the whole line (place -1) and of the variants with a character of the windows (start, end) deleted."""
     c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     n = len(c)
     power = np.cumprod(np.full(n, BASE, np.uint64))
     before = np.concatenate([[np.uint64(0)], np.cumsum(c * power)])
-    cut = before[:-1] + (before[-1] - before[1:]) * UNDO
-    return np.concatenate([mixed(before[-1:]), mixed(cut)]), np.arange(-1, n, dtype=np.int32)
+    at = np.unique(np.concatenate([np.arange(a, min(b, n)) for a, b in windows]))
+    cut = before[at] + (before[-1] - before[at + 1]) * UNDO
+    return np.concatenate([mixed(before[-1:]), mixed(cut)]), np.concatenate([[-1], at]).astype(np.int32)
 
 
 def variants(suspects: DataFrame) -> DataFrame:
-    """The deletion neighbourhood of lines (h1, h2, ord, line): key, place, and the line's id and place."""
+    """The deletion neighbourhood of lines (h1, h2, ord, line, windows): key, place, and the line's id and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in VARIANTS.replace("(32,0)", "").split(", ")]
         for b in batches:
-            for i, line in enumerate(b.column(3).to_pylist()):
-                key, place = variant_keys(line)
+            for i, (line, windows) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                key, place = variant_keys(line, [(w["a"], w["b"]) for w in windows])
                 same = pa.array(np.full(len(key), i))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), *(b.column(k).take(same) for k in range(3))], names)
 
-    return suspects.select("h1", "h2", "ord", "line").mapInArrow(run, VARIANTS)
+    return suspects.select("h1", "h2", "ord", "line", "windows").mapInArrow(run, VARIANTS)
+
+
+def window_keys() -> str:
+    """For each of eight windows: its bounds and the hash of the line without it."""
+    one = lambda b: (
+        f"transform(sequence(0, 7), j -> struct(xxhash64(left(line, j * {b}), right(line, (7 - j) * {b}), {b}, j) as part,"
+        f" j * {b} as a, n - (7 - j) * {b} as b))"
+    )
+    b = f"cast(n div {STEP} as int)"
+    return f"inline(case when n % {STEP} = 0 then concat({one(b)}, {one(f'({b} - 1)')}) else {one(b)} end)"
+
+
+def with_windows(suspects: DataFrame) -> DataFrame:
+    """The suspects that share all but a window with another, and those windows."""
+    w = suspects.withColumn("n", F.length("line")).select("h1", "h2", F.expr(window_keys()))
+    hot = w.groupBy("part").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("part")
+    found = w.join(hot, "part", "left_semi").groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("windows"))
+    return suspects.join(found, ["h1", "h2"])
 
 
 def near_lines(docs: DataFrame, parts: DataFrame, min_chars: int) -> DataFrame:
@@ -132,6 +154,7 @@ def near_lines(docs: DataFrame, parts: DataFrame, min_chars: int) -> DataFrame:
         exploded(docs).select("h1", "h2", "ord", "line").join(found, ["h1", "h2", "ord"], "left_semi").dropDuplicates(["h1", "h2"]),
         "suspects",
     )
+    suspects = settle(with_windows(suspects), "near-suspects")
     v = settle(variants(suspects), "line-variants")
     first = v.where("place >= 0").groupBy("key", "place").agg(F.min(F.struct("ord", "h1", "h2")).alias("e"), F.count(F.lit(1)).alias("n"))
     clique = v.join(first.where("n > 1").select("key", "place", "e"), ["key", "place"]).where("ord > e.ord")
