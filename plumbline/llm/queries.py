@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, ngrams, packing, sketches, warc
+from . import langid, lines, mixing, ngrams, packing, sketches, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,49 @@ SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
   CASE WHEN w = nw THEN 1.0 WHEN len(s) + len(ns) = 0 THEN 0.0 ELSE j::DOUBLE / (len(s) + len(ns) - j) END::DOUBLE AS near_next
 FROM i
 """
+
+
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the stated rules, else by the mined ones."""
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES).drop("confidence")
+
+
+SQL["op9_url_filters"] = r"""
+WITH p AS MATERIALIZED (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    list_distinct(regexp_extract_all(lower(coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '')), '[\p{L}\p{N}]+')) AS items
+  FROM pages),
+rules(h, q, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+s AS (
+  SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS v
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id),
+l AS MATERIALIZED (
+  SELECT p.page_id, p.items, max((coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)::INT) AS bad
+  FROM p JOIN labels ON labels.doc_id = p.page_id GROUP BY ALL),
+n AS (SELECT count(*) AS n, sum(bad) AS bad FROM l),
+i AS MATERIALIZED (SELECT page_id, bad, unnest(items) AS t FROM l),
+c AS (
+  SELECT [t] AS x, count(*) AS n, sum(bad) AS b FROM i GROUP BY ALL
+  UNION ALL SELECT [a.t, b.t], count(*), sum(a.bad) FROM i a JOIN i b ON a.page_id = b.page_id AND a.t < b.t GROUP BY ALL
+  UNION ALL SELECT [a.t, b.t, c.t], count(*), sum(a.bad) FROM i a JOIN i b ON a.page_id = b.page_id AND a.t < b.t
+    JOIN i c ON c.page_id = a.page_id AND b.t < c.t GROUP BY ALL),
+m AS (
+  SELECT x FROM c, n WHERE c.b >= greatest(0.002 * n.n, least(20, n.n)) AND c.b >= 0.5 * c.n
+    AND (c.b / c.n) / (n.bad / n.n) >= 1.5),
+f AS (SELECT DISTINCT page_id FROM p JOIN m ON list_has_all(items, x))
+SELECT p.page_id, host, path, rule, CASE WHEN s.rule IS NOT NULL THEN v WHEN f.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN s USING (page_id) LEFT JOIN f USING (page_id)
+"""
