@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, ngrams, packing, sketches, urls, warc
+from . import langid, lines, mixing, neighbours, ngrams, packing, sketches, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,3 +253,9 @@ f AS (SELECT DISTINCT page_id FROM p JOIN m ON list_has_all(items, x))
 SELECT p.page_id, host, path, rule, CASE WHEN s.rule IS NOT NULL THEN v WHEN f.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN s USING (page_id) LEFT JOIN f USING (page_id)
 """
+
+
+@query
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
