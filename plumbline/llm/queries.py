@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, neighbours, ngrams, packing, sketches, urls, warc
+from . import langid, lines, mixing, neighbours, ngrams, packing, quality, sketches, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,3 +259,9 @@ FROM p LEFT JOIN s USING (page_id) LEFT JOIN f USING (page_id)
 def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every twentieth vector."""
     return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the co-trained quality classifier."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
