@@ -194,7 +194,7 @@ def sampled(docs: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: i
             words = [text_features(t or "", table).astype(np.int32) for t in text]
             meta = [meta_features(x, s, len(t or "")).astype(np.int32) for x, s, t in zip(lang, source, text, strict=True)]
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(g), pa.array(words, ints), pa.array(meta, ints)], ["draw", "good", "words", "meta"])
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(g, pa.int32()), pa.array(words, ints), pa.array(meta, ints)], ["draw", "good", "words", "meta"])
 
     text = [F.col(c).cast("string") for c in ("text", "lang", "source")]
     # the sample is bounded by its two parameters
