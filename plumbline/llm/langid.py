@@ -212,10 +212,10 @@ def train(
     return {"langs": names, "idf": idf.astype(np.float32), "weights": (w / t).astype(np.float32), "temperature": t}
 
 
-def predict(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, model: dict, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the language found and its probability, called ``names``."""
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{names[0]} string", f"{names[1]} double"])
     read = [*keep, *(["text"] if "text" not in keep else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def predict(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
                 pred.append(model["langs"][k])
                 score.append(float(p[k]))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"]
+                [*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, *names]
             )
 
     return docs.select(*(F.col(f"`{c}`").cast(types[c]) for c in read)).mapInArrow(run, schema)
@@ -248,8 +248,8 @@ def identify(docs: DataFrame, **how) -> DataFrame:
 
 def known_language(docs: DataFrame, least: float = 0.5, **how) -> DataFrame:
     """``docs`` whose language is known with at least this probability; a null lang is filled in."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    d = docs.select(*(F.col(f"`{c}`") for c in own))
-    model = train(d.where(~held_out()), **how)
-    out = predict(d, model, *own).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*(F.col(f"`{c}`") for c in own))
+    model = train(docs.where(~held_out()), **how)
+    out = predict(docs, model, *docs.columns, names=("_lang_found_", "_score_found_"))
+    out = out.where((F.col("_lang_found_") != UNKNOWN) & (F.col("_score_found_") >= least))
+    lang = F.coalesce("lang", "_lang_found_").alias("lang")
+    return out.select(*(lang if c == "lang" else F.col(f"`{c}`") for c in docs.columns))

@@ -187,28 +187,27 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     equal = shared.where("h2 is not null")
     near = near_lines(docs, shared.where("h2 is null"), min_chars)
     first = settle(equal.unionByName(near).groupBy("h1", "h2").agg(F.min("first").alias("first")), "first-lines")
-    rows = exploded(docs.withColumns({"_did": F.col("doc_id"), "_th": F.xxhash64("text")}), "_did", "_th")
+    rows = exploded(docs.withColumns({"_did": F.col("doc_id"), "_th": F.xxhash64(F.col("text").cast("string"))}), "_did", "_th")
     gone = rows.select("_did", "_th", "h1", "h2", "ord", "pos").join(small(first, 48), ["h1", "h2"]).where("ord > first")
     return gone.groupBy("_did", "_th").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """``docs`` with deduplicated text, and n_lines, kept_lines.
-
-    Columns of ``docs`` named like these three, or starting with an underscore
-    and named ``_did``, ``_th`` or ``_gone``, are replaced.
-    """
-    own = [c for c in docs.columns if c not in ("_did", "_th", "_gone", "n_lines", "kept_lines")]
-    d = docs.select(*own)
-    gone = dropped_lines(d.select("doc_id", "text"), min_chars).withColumnRenamed("gone", "_gone")
-    gone = gone.select(F.struct(F.coalesce(F.col("_did").cast("string"), F.lit("")), "_th").alias("_k"), "_gone")
-    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(F.col("text").cast("string")))
-    out = d.withColumn("_k", key).join(gone, "_k", "left")
-    lines = "split(cast(text as string), '\\n')"
-    kept = f"transform(array_except(sequence(0, size({lines}) - 1), _gone), i -> {lines}[i])"
+    """``docs`` with deduplicated text, and n_lines and kept_lines (which replace columns of those names)."""
+    gone = dropped_lines(docs.select("doc_id", "text"), min_chars)
+    gone = gone.select(F.struct(F.coalesce(F.col("_did").cast("string"), F.lit("")), "_th").alias("k"), "gone")
+    text = F.col("text").cast("string")
+    d = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        text.alias("text"),
+        F.split(text, "\n").alias("lines"),
+        F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(text)).alias("k"),
+    )
+    out = d.join(gone, "k", "left")
+    kept = "transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i])"
+    own = [c for c in docs.columns if c not in ("n_lines", "kept_lines")]
     return out.select(
-        *(F.col(f"`{c}`") for c in own if c != "text"),
-        F.expr(f"if(_gone is null, text, concat_ws('\\n', {kept}))").alias("text"),
-        F.expr(f"coalesce(size({lines}), 0)").alias("n_lines"),
-        F.expr(f"coalesce(size({lines}) - coalesce(size(_gone), 0), 0)").alias("kept_lines"),
-    ).withColumn("n_lines", F.expr("if(text is null, 0, n_lines)")).withColumn("kept_lines", F.expr("if(text is null, 0, kept_lines)"))
+        *(F.expr(f"if(gone is null, text, concat_ws('\\n', {kept}))").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in own),
+        F.expr("if(text is null, 0, size(lines))").alias("n_lines"),
+        F.expr("if(text is null, 0, size(lines) - if(gone is null, 0, size(gone)))").alias("kept_lines"),
+    )

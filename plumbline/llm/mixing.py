@@ -37,7 +37,8 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def placed(docs: DataFrame, domain: Column) -> DataFrame:
+def placed(docs: DataFrame, domain: Column | str) -> DataFrame:
+    domain = F.expr(domain) if isinstance(domain, str) else domain
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     return docs.withColumns({"_domain": name(domain), "_lang": name(F.col("lang")), "_source": name(F.col("source"))})
 
@@ -123,14 +124,14 @@ def plan(slim: DataFrame, budget: int | float, max_epochs: int, weights: dict[st
 
 def mix(
     docs: DataFrame,
-    domain: Column,
+    domain: Column | str,
     budget: int | float = 0.5,
     max_epochs: int = 3,
     weights: dict[str, dict[str, int]] | None = None,
     seed: int = 1,
     only_counts: bool = False,
 ) -> DataFrame:
-    """The chosen rows of ``docs``, once per epoch: its columns, epoch, whole (false for the cut document).
+    """The chosen rows of ``docs`` (``domain``: a column or an expression), once per epoch: its columns, epoch, whole (false for the cut document).
 
     ``budget`` is a number of tokens or a fraction of all. ``weights`` has whole
     numbers by level ("domain", "lang", "source") and name. With ``only_counts``
@@ -138,7 +139,10 @@ def mix(
     """
     slim = settle(placed(docs, domain).select("doc_id", *LEVELS, tokens(F.col("text")).alias("tokens")), "token-counts")
     p = small(plan(slim, budget, max_epochs, weights or {}, seed), 160)
-    rows = (slim if only_counts else placed(docs, domain)).join(p, list(LEVELS))
+    if not only_counts:
+        d = placed(docs, domain)
+        slim = d.select("doc_id", *LEVELS, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = slim.join(p, list(LEVELS))
     key = draw(seed, F.col("whole"))
     rows = rows.withColumn("_part", F.when(key < F.col("cut"), 1).when(key == F.col("cut"), 2).otherwise(0))
     rows = rows.withColumn("_n", F.expr("whole + if(_part > 0, 1, 0)")).where("_n > 0")
@@ -153,4 +157,4 @@ def mix(
             F.when(cut, F.least("tokens", "cut_tokens")).otherwise(F.col("tokens")).alias("kept_tokens"),
         )
     own = [c for c in docs.columns if c not in ("epoch", "cut_document")]
-    return rows.select(*(F.col(f"`{c}`") for c in own), "epoch", cut.alias("cut_document"))
+    return rows.select(*(F.col(f"row.`{c}`") for c in own), "epoch", cut.alias("cut_document"))

@@ -290,14 +290,16 @@ def near_classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), width: in
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each near-duplicate class: its smallest doc_id's first row."""
     found = settle(near_classes(docs, **how).select("doc_id", "th", "first_of_class"), "near-classes")
-    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(F.col("text").cast("string")))
-    drop = settle(
-        found.where("not first_of_class").select(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "th").alias("_k")).distinct(), "dropped"
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    d = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        name.alias("d"),
+        F.struct(name.alias("d"), F.xxhash64(F.col("text").cast("string")).alias("th")).alias("k"),
     )
-    kept = docs.withColumn("_k", key).join(small(drop, 48), "_k", "left_anti")
-    again = settle(found.where("first_of_class").groupBy("doc_id").count().where("count > 1").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d")), "repeated")
+    drop = settle(found.where("not first_of_class").select(F.struct(name.alias("d"), "th").alias("k")).distinct(), "dropped")
+    kept = d.join(small(drop, 48), "k", "left_anti")
+    again = settle(found.where("first_of_class").groupBy("doc_id").count().where("count > 1").select(name.alias("d")), "repeated")
     if not again.isEmpty():  # rows that repeat the naming document: one of them stays
-        kept = kept.withColumn("_d", F.col("_k.col1"))
-        some = kept.join(again, "_d", "left_semi").dropDuplicates(["_d"])
-        kept = kept.join(again, "_d", "left_anti").unionByName(some).drop("_d")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+        some = kept.join(again, "d", "left_semi").dropDuplicates(["d"])
+        kept = kept.join(again, "d", "left_anti").unionByName(some)
+    return kept.select(*(F.col(f"row.`{c}`") for c in docs.columns))

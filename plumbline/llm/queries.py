@@ -158,7 +158,7 @@ got_{level} AS (SELECT {key}, CASE WHEN is_full THEN cap ELSE
   FROM f_{level}),"""
 
 
-SQL["op3_mixing"] = f"""
+SQL["op3_mixing"] = rf"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     CASE WHEN n < 5 THEN 'web' WHEN n < 10 THEN 'news' WHEN n < 15 THEN 'books' ELSE 'other' END AS domain,
