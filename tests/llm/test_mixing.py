@@ -25,10 +25,10 @@ def share(children, budget):
     return out
 
 
-def expected(rows, fraction, epochs, weights, seed=1):
+def expected(rows, fraction, epochs, weights, seed=1, domain=lambda s: "a" if s in ("src0", "src1") else "b"):
     leaf = defaultdict(list)
     for d, t, lang, source in rows:
-        leaf["a" if source in ("src0", "src1") else "b", lang or "", source or ""].append((d, len((t or "").split())))
+        leaf[domain(source), lang or "", source or ""].append((d, len((t or "").split())))
     tokens = {k: sum(n for _, n in v) for k, v in leaf.items() if sum(n for _, n in v)}
     got = {(): int(sum(tokens.values()) * fraction)}
     for level, name in enumerate(("domain", "lang", "source")):
