@@ -1,14 +1,17 @@
 """Structure of directed graphs, for many repositories at once.
 
-Edges are ``repo, snapshot_id, from, to``. Each algorithm is a loop whose
-rounds are joins over the whole edge table; every round is written to the
-shared folder and the next one starts from what was new in it.
+Edges are ``repo, snapshot_id, from, to``. Nodes are numbered by a hash of
+repository, snapshot and name; an algorithm is a state per node (number) that
+moves along the edges of all repositories at once. A step is one join with the
+edges, which do not move, and one shuffle of the state: a node sends to itself
+over a loop what it keeps. Several steps make one job, whose result is written
+to the shared folder; what is finished leaves the state and the edges there.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,176 +41,156 @@ def related(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return both.distinct()
 
 
-def _peel(edges: DataFrame) -> DataFrame:
-    """Drops edges that lie on no cycle because a source has nothing before it
-    or a target nothing after it, until none is left to drop."""
-    size = edges.count()
-    while size:
-        into = _as(edges, "to").distinct().withColumnRenamed("node", "from")
-        outof = _as(edges, "from").distinct().withColumnRenamed("node", "to")
-        edges = settle(
-            edges.join(into, SNAP + ["from"], "left_semi").join(outof, SNAP + ["to"], "left_semi").select(*EDGE),
-            "core",
-        )
-        left = edges.count()
-        if left == size:
-            break
-        size = left
-    return edges
+# Steps that one written round makes.
+STEPS = 6
 
 
-def _spread_max(edges: DataFrame, label: DataFrame) -> DataFrame:
-    """Every node takes the largest label that reaches it: ``…, node, color``."""
-    rounds = Rounds(edges.sparkSession, "colors")
-    front = rounds.add(label)
-    while not front.isEmpty():
-        best = rounds.all().groupBy(*NODE).agg(F.max("color").alias("_best"))
-        offer = (
-            edges.join(front.withColumnRenamed("node", "from"), SNAP + ["from"])
-            .groupBy(*SNAP, F.col("to").alias("node"))
-            .agg(F.max("color").alias("color"))
-        )
-        better = offer.join(best, NODE, "left").where("_best IS NULL OR color > _best")
-        front = rounds.add(better.select(*NODE, "color"))
-    return settle(rounds.all().groupBy(*NODE).agg(F.max("color").alias("color")), "colors-done")
-
-
-def _reach_back(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Nodes from which a start node is reached over the edges, itself included."""
-    rounds = Rounds(edges.sparkSession, "back")
-    front = rounds.add(start.select(*NODE))
-    while not front.isEmpty():
-        seen = rounds.all().select(*NODE)
-        new = (
-            edges.join(front.withColumnRenamed("node", "to"), SNAP + ["to"])
-            .select(*SNAP, F.col("from").alias("node"))
-            .distinct()
-            .join(seen, NODE, "left_anti")
+def _number(end: str) -> F.Column:
+    return F.xxhash64(*SNAP, F.col(f"`{end}`"))
+
+
+def _numbered(edges: DataFrame) -> DataFrame:
+    """Distinct arrows with the numbers ``a`` and ``b`` of their ends."""
+    return _arrows(edges).withColumns({"a": _number("from"), "b": _number("to")})
+
+
+def _ways(edges: DataFrame, both: bool = False) -> DataFrame:
+    """Where a node's state goes: ``node, next, way`` (1 on, -1 back, 0 itself)."""
+    on = edges.selectExpr("a as node", "b as next", "1 as way")
+    if both:
+        on = on.unionByName(edges.selectExpr("b as node", "a as next", "-1 as way"))
+    ends = edges.selectExpr("a as node").unionByName(edges.selectExpr("b as node")).distinct()
+    return settle(on.unionByName(ends.selectExpr("node", "node as next", "0 as way")), "ways")
+
+
+def _steps(state: DataFrame, step: Callable[[DataFrame], DataFrame], label: str, times: int = STEPS) -> DataFrame:
+    for _ in range(times):
+        state = step(state)
+    return settle(state, label)
+
+
+def _extremes(edges: DataFrame, turn: int) -> DataFrame:
+    """Per node the largest label that reaches it (``f``) and that it reaches (``g``).
+
+    Labels are numbers hashed anew in each turn, so no order of names is bad.
+    """
+    ways = _ways(edges, both=True)
+    label = F.xxhash64("node", F.lit(turn))
+    state = ways.where("way = 0").select("node", label.alias("f"), label.alias("g"))
+    total = None
+    while True:
+        state = _steps(
+            state,
+            lambda x: ways.join(x, "node")  # noqa: B023
+            .groupBy(F.col("next").alias("node"))
+            .agg(F.max(F.expr("if(way >= 0, f, null)")).alias("f"), F.max(F.expr("if(way <= 0, g, null)")).alias("g")),
+            "extremes",
         )
-        front = rounds.add(new)
-    return rounds.all().select(*NODE)
-
-
-# Graphs of at most this many edges are searched for cycles inside one task.
-SMALL_GRAPH = 50_000
-
-
-def _components(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
-    """Strongly connected component of each node of one small graph."""
-    order = np.argsort(src, kind="stable")
-    targets = dst[order]
-    first = np.searchsorted(src[order], np.arange(n + 1))
-    index, low, comp = np.full(n, -1), np.zeros(n, dtype=int), np.full(n, -1)
-    open_nodes: list[int] = []
-    seen = 0
-    for root in range(n):
-        if index[root] >= 0:
-            continue
-        path = [[root, first[root]]]
-        while path:
-            node, at = path[-1]
-            if index[node] < 0:
-                index[node] = low[node] = seen
-                seen += 1
-                open_nodes.append(node)
-            if at < first[node + 1]:
-                path[-1][1] += 1
-                nxt = targets[at]
-                if index[nxt] < 0:
-                    path.append([nxt, first[nxt]])
-                elif comp[nxt] < 0:
-                    low[node] = min(low[node], index[nxt])
-                continue
-            path.pop()
-            if path:
-                low[path[-1][0]] = min(low[path[-1][0]], low[node])
-            if low[node] == index[node]:
-                while comp[node] < 0:
-                    comp[open_nodes.pop()] = node
-    return comp
-
-
-def _cycles_of_one(edges: pd.DataFrame) -> pd.DataFrame:
-    codes, _ = pd.factorize(pd.concat([edges["from"], edges["to"]], ignore_index=True))
-    src, dst = codes[: len(edges)], codes[len(edges) :]
-    comp = _components(src, dst, int(codes.max()) + 1)
-    return edges[comp[src] == comp[dst]]
-
-
-def cyclic_edges(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+        # labels only grow, so equal sums mean that nothing has changed
+        now = state.agg(F.sum(F.col("f").cast("decimal(20,0)")), F.sum(F.col("g").cast("decimal(20,0)"))).first()
+        if now == total:
+            return state
+        total = now
+
+
+def cyclic_edges(edges: DataFrame) -> DataFrame:
     """Edges whose ends reach each other, self-loops included.
 
-    Most repositories have a small graph: those of at most ``small`` edges go
-    to one task each, all in one shuffle. Larger ones are searched together,
-    round by round, over the whole cluster.
-    """
-    arrows = settle(_arrows(edges), "arrows")
-    size = arrows.groupBy(*SNAP).agg(F.count("*").alias("_n"))
-    few = size.where(F.col("_n") <= small).select(*SNAP)
-    schema = arrows.schema
-    quick = arrows.join(few, SNAP, "left_semi").groupBy(*SNAP).applyInPandas(_cycles_of_one, schema)
-    large = size.where(F.col("_n") > small).select(*SNAP)
-    if large.isEmpty():
-        return quick
-    return quick.unionByName(_cyclic_by_rounds(settle(arrows.join(large, SNAP, "left_semi"), "large")))
-
-
-def _cyclic_by_rounds(arrows: DataFrame) -> DataFrame:
-    """Cycle search over graphs of any size.
-
-    After peeling, each pass labels nodes with the largest id that reaches
-    them; a node that keeps its own id is the root of a component, which is
-    what reaches it back within its label. Edges between labels or out of a
-    finished component are on no cycle that remains.
+    In a turn all nodes learn the largest label before and behind them. Where both
+    are the same, the node is in one component with the label's own node; nodes
+    of one component always agree in both, so edges between nodes that differ
+    are on no cycle. What is left undecided goes into the next turn.
     """
-    loops = arrows.where(F.col("from") == F.col("to"))
-    core = _peel(arrows.where(F.col("from") != F.col("to")))
-    found = Rounds(arrows.sparkSession, "cyclic")
-    found.add(loops.select(*EDGE))
+    arrows = settle(_numbered(edges), "arrows")
+    found = [arrows.where("a = b")]
+    core, turn = settle(arrows.where("a <> b").select("a", "b"), "core"), 0
     while not core.isEmpty():
-        ends = _as(core, "from").unionByName(_as(core, "to")).distinct()
-        color = _spread_max(core, ends.withColumn("color", F.col("node")))
-        of = color.withColumnRenamed("node", "from").withColumnRenamed("color", "_cf")
-        to = color.withColumnRenamed("node", "to").withColumnRenamed("color", "_ct")
+        at = _extremes(core, turn)
         same = settle(
-            core.join(of, SNAP + ["from"]).join(to, SNAP + ["to"]).where("_cf = _ct").select(*EDGE), "same-color"
+            core.join(at.selectExpr("node as a", "f", "g"), "a")
+            .join(at.selectExpr("node as b", "f as f2", "g as g2"), "b")
+            .where("f = f2 and g = g2")
+            .selectExpr("a", "b", "f = g as cyclic"),
+            "same-extremes",
+        )
+        found.append(arrows.join(same.where("cyclic"), ["a", "b"], "left_semi"))
+        core, turn = _trim(same.where("not cyclic").select("a", "b")), turn + 1
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.select(*EDGE)
+
+
+def _trim(edges: DataFrame) -> DataFrame:
+    """Without edges from a node that nothing reaches or to one that reaches nothing, two steps deep."""
+    for _ in range(2):
+        edges = edges.join(edges.selectExpr("b as a").distinct(), "a", "left_semi").join(
+            edges.selectExpr("a as b").distinct(), "b", "left_semi"
         )
-        members = _reach_back(same, color.where("node = color"))
-        inside = members.withColumnRenamed("node", "from")
-        also = members.withColumnRenamed("node", "to")
-        found.add(same.join(inside, SNAP + ["from"], "left_semi").join(also, SNAP + ["to"], "left_semi").select(*EDGE))
-        rest = same.join(inside, SNAP + ["from"], "left_anti").join(also, SNAP + ["to"], "left_anti")
-        core = _peel(settle(rest.select(*EDGE), "rest"))
-    return found.all().select(*EDGE).distinct()
+    return settle(edges.select("a", "b"), "core")
 
 
-def acyclic(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+def acyclic(edges: DataFrame) -> DataFrame:
     """The edges that are on no cycle.
 
     Which edge of a cycle a depth-first walk drops depends on the walk, so
     all edges inside a cycle go; without cycles nothing but self-loops does.
     """
     arrows = _arrows(edges)
-    return settle(arrows.join(cyclic_edges(edges, small), EDGE, "left_anti"), "acyclic")
+    return settle(arrows.join(cyclic_edges(edges), EDGE, "left_anti"), "acyclic")
+
+
+def _peeled(dag: DataFrame) -> DataFrame:
+    """Longest path to each node (``node, rank``) of numbered edges, by in-degree.
+
+    A node sends its rank on once, when everything before it has done so. Nodes
+    on or behind a cycle never come to that and have no row.
+    """
+    ways = _ways(dag)
+    into = dag.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("open"))
+    state = (
+        ways.where("way = 0").select("node").join(into, "node", "left").selectExpr("node", "coalesce(open, 0L) as open", "0 as rank", "false as sent")
+    )
+    done: list[DataFrame] = []
+    while True:
+        mine = ways if not done else ways.join(state.select("node"), "node", "left_semi")
+        state = _steps(
+            state,
+            lambda x: mine.join(x, "node")  # noqa: B023
+            .where("way = 0 or (open = 0 and not sent)")
+            .groupBy(F.col("next").alias("node"))
+            .agg(
+                F.sum(F.expr("if(way = 0, open, -1L)")).alias("open"),
+                F.max(F.expr("rank + way")).alias("rank"),
+                F.max(F.expr("way = 0 and open = 0")).alias("sent"),
+            ),
+            "peeled",
+        )
+        sent = state.where("sent").select("node", "rank")
+        if sent.isEmpty():
+            break
+        done.append(sent)
+        state = state.where("not sent")
+    out = done[0] if done else dag.selectExpr("a as node", "0 as rank").limit(0)
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def ranks(dag: DataFrame) -> DataFrame:
     """Longest path from an entry (a node nothing points to): ``…, node, rank``.
 
-    Round i holds the nodes at the end of some path of i edges; the last round
-    a node appears in is its rank.
+    Edges on a cycle count for nothing, as if the caller had dropped them; a
+    node left without edges is an entry.
     """
-    dag = _arrows(dag)
-    entries = _as(dag, "from").distinct().join(_as(dag, "to").distinct(), NODE, "left_anti")
-    rounds = Rounds(dag.sparkSession, "ranks")
-    front = rounds.add(entries)
-    while not front.isEmpty():
-        front = rounds.add(
-            dag.join(front.withColumnRenamed("node", "from"), SNAP + ["from"])
-            .select(*SNAP, F.col("to").alias("node"))
-            .distinct()
-        )
-    return settle(rounds.all().groupBy(*NODE).agg(F.max("round").alias("rank")), "ranks-done")
+    edges = settle(_numbered(dag), "dag")
+    r = _peeled(edges)
+    ends = settle(_as(edges, "from").unionByName(_as(edges, "to")).distinct().withColumn("_n", _number("node")), "ends")
+    rank = settle(r.withColumnRenamed("node", "_n"), "ranks-found")
+    if not ends.join(rank, "_n", "left_anti").isEmpty():  # a cycle: without its edges
+        edges = settle(_numbered(acyclic(edges)), "dag")
+        rank = settle(_peeled(edges).withColumnRenamed("node", "_n"), "ranks-found")
+    return ends.join(rank, "_n", "left").select(*NODE, F.coalesce("rank", F.lit(0)).alias("rank"))
 
 
 def rank_groups(nodes: DataFrame, dag: DataFrame) -> DataFrame:
@@ -227,8 +210,9 @@ def backbone(edges: DataFrame) -> DataFrame:
     """Edges without a longer path beside them; edges of cycles are kept.
 
     An edge a→b can only be redundant when the ranks of its ends differ by two
-    or more. For those alone, the search walks from a through nodes that rank
-    below its furthest such target.
+    or more. The sources of those alone are followed, packed by how far they
+    must look; nodes send once, in the order of their ranks, and no word of
+    sources goes beyond the furthest target it is asked about.
     """
     arrows = settle(_arrows(edges), "arrows")
     dag = acyclic(arrows)
@@ -239,29 +223,45 @@ def backbone(edges: DataFrame) -> DataFrame:
         ),
         "ranked",
     )
-    suspects = ranked.where("rt - rf >= 2").select(*EDGE, "rt")
-    bound = suspects.groupBy(*SNAP, "from").agg(F.max("rt").alias("top"))
-    step = ranked.select(*SNAP, F.col("from").alias("at"), F.col("to").alias("next"), "rt")
-    pair = [*SNAP, "from", "at", "top"]
-    rounds = Rounds(edges.sparkSession, "beside")
-    start = ranked.join(bound, SNAP + ["from"]).where("rt < top").select(*SNAP, "from", F.col("to").alias("at"), "top")
-    front = settle(start, "beside-start")
-    first = True
-    while first or not front.isEmpty():
-        new = (
-            front.join(step, SNAP + ["at"])
-            .where("rt <= top")
-            .select(*SNAP, "from", F.col("next").alias("at"), "top", "rt")
-            .distinct()
-        )
-        if not first:
-            new = new.join(rounds.all().select(*SNAP, "from", "at"), SNAP + ["from", "at"], "left_anti")
-        first = False
-        written = rounds.add(new.select(*pair, "rt"))
-        front = written.where("rt < top").select(*pair)
-    hidden = suspects.join(
-        rounds.all().select(*SNAP, "from", F.col("at").alias("to")).distinct(), EDGE, "left_semi"
+    suspects = settle(ranked.where("rt - rf >= 2").select(*EDGE, _number("from").alias("a"), _number("to").alias("b"), "rt"), "suspects")
+    # Sources of suspects, numbered by how far they have to look and packed, BITS to a word.
+    tops = suspects.groupBy("a").agg(F.max("rt").alias("top"))
+    source = settle(tops.orderBy("top").withColumn("_i", F.monotonically_increasing_id()), "sources").selectExpr(
+        "a", "top", f"_i div {BITS} as word", f"cast(_i % {BITS} as int) as bit"
     )
+    reach = source.groupBy("word").agg(F.max("top").alias("top"))
+    state = source.drop("top").join(reach, "word").selectExpr(
+        "a as node", "word", "top", "0 as rank", "shiftleft(1L, bit) as own", "0L as reached", "0L as beside"
+    )
+    ways = ranked.select(_number("from").alias("node"), _number("to").alias("next"), "rf", "rt", F.lit(1).alias("way"))
+    stay = r.select(_number("node").alias("node"), _number("node").alias("next"), F.col("rank").alias("rf"), F.col("rank").alias("rt"), F.lit(0).alias("way"))
+    ways = settle(ways.unionByName(stay), "ranked-ways")
+    depth = suspects.agg(F.max("rt")).first()[0] or 0
+    found = []
+    for low in range(0, depth + 1, STEPS):
+        part = ways.where(F.col("rf") >= low)
+        for k in range(low, low + STEPS):
+            # Nodes of rank k know all sources that reach them, and send: a source itself
+            # reaches the next node directly, what reached the sender reaches it beside that.
+            state = (
+                part.join(state.drop("rank"), "node")
+                .where(f"way = 0 or (rf = {k} and rt <= top)")
+                .groupBy(F.col("next").alias("node"), "word")
+                .agg(
+                    F.max("top").alias("top"),
+                    F.max("rt").alias("rank"),
+                    F.bit_or(F.expr("if(way = 0, own, 0L)")).alias("own"),
+                    F.bit_or(F.expr("if(way = 0, reached, reached | own)")).alias("reached"),
+                    F.bit_or(F.expr("if(way = 0, beside, reached)")).alias("beside"),
+                )
+            )
+        state = settle(state, "reached")
+        found.append(state.where((F.col("rank") < low + STEPS) & (F.col("beside") != 0)).selectExpr("node as b", "word", "beside"))
+        state = state.where(F.col("rank") >= low + STEPS)
+    beside = found[0]
+    for x in found[1:]:
+        beside = beside.unionByName(x)
+    hidden = suspects.join(source.drop("top"), "a").join(beside, ["b", "word"]).where("(beside & shiftleft(1L, bit)) <> 0")
     return arrows.join(hidden.select(*EDGE), EDGE, "left_anti")
 
 

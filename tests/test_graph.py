@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import random
 
-import pytest
-
 from conftest import pairs
 from plumbline.operators import graph
 
@@ -43,14 +41,13 @@ def frame(spark, graphs):
     return spark.createDataFrame([(r, "s", a, b) for r, es in graphs.items() for a, b in sorted(es)], EDGES)
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_acyclic(spark, small):
-    graphs = {"a": make(1, 14, 22, False), "b": make(2, 9, 12, True), "c": {("x", "x"), ("x", "y")}}
+def test_acyclic(spark):
+    graphs = {"a": make(1, 14, 22, False), "b": make(2, 9, 12, True), "c": {("x", "x"), ("x", "y")}, "d": make(5, 40, 70, False)}
     want = []
     for r, es in graphs.items():
         to = reach(es)
         want += [(r, a, b) for a, b in es if a not in to[b] and a != b]
-    assert pairs(graph.acyclic(frame(spark, graphs), small), "repo", "from", "to") == sorted(want, key=repr)
+    assert pairs(graph.acyclic(frame(spark, graphs)), "repo", "from", "to") == sorted(want, key=repr)
 
 
 def test_backbone_ranks_entry(spark):
@@ -91,3 +88,14 @@ def test_reach_counts_over_word_borders(spark):
     src = df.selectExpr("repo", "snapshot_id", "`from` as node")
     got = dict(pairs(graph.reach_counts(df, src), "node", "reached"))
     assert got == {f"s{i:03d}": 2 for i in range(150)} | {"hub": 1}
+
+
+def test_ranks_end_on_a_cycle(spark):
+    es = {("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("x", "x")}
+    assert pairs(graph.ranks(frame(spark, {"r": es})), "node", "rank") == [("a", 0), ("b", 1), ("c", 0), ("d", 1), ("e", 2), ("x", 0)]
+
+
+def test_long_chain_with_shortcuts(spark):
+    es = {(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)} | {("n00", "n09"), ("n03", "n20"), ("n19", "n20")}
+    got = pairs(graph.backbone(frame(spark, {"r": es})), "from", "to")
+    assert got == sorted((f"n{i:02d}", f"n{i + 1:02d}") for i in range(20))
