@@ -167,8 +167,8 @@ def _(v: Views):
 @query(
     "relativize_files",
     sql(
-        """SELECT repo, CASE WHEN p_type = 'SMALL' THEN 'sub/' || regexp_extract(file, '^small/(.*)$', 1) ELSE file END AS file, count(*) AS blocks
-           FROM li WHERE p_type <> 'PROMO' AND p_name NOT LIKE 'small %' AND p_type <> 'MEDIUM' GROUP BY ALL"""
+        """SELECT repo, CASE WHEN file LIKE 'small/%' THEN 'sub/' || regexp_extract(file, '^small/(.*)$', 1) ELSE file END AS file, count(*) AS blocks
+           FROM block WHERE file NOT LIKE 'medium/%' GROUP BY ALL"""
     ),
 )
 def _(v: Views):

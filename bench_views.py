@@ -65,15 +65,10 @@ class Views:
         self._built: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        """A supplied table. A file that Spark reads as fewer pieces than there
-        are cores is spread first; a large table is left as it is."""
+        """A supplied table, as Spark reads it."""
         key = f"table:{name}"
         if key not in self._built:
-            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-            cores = self.spark.sparkContext.defaultParallelism
-            if name in ("lineitem", "orders", "documents") and df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
-            self._built[key] = df
+            self._built[key] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return self._built[key]
 
     def stored(self, name: str) -> DataFrame:
@@ -329,18 +324,17 @@ class Views:
 
     @view
     def blocks(self) -> DataFrame:
-        """Packages of type PROMO were not in the run; parts named ``small …``
-        have no statements."""
+        """Blocks of packages of type PROMO and of parts named ``small …`` lie in
+        files that hold no function, so these parts have none."""
         q = F.col("l_quantity").cast("int")
         start = F.col("line") + q % (F.col("size") + 1)
         n = F.col("l_linenumber").cast("int")
         return (
             self._lineitem_functions()
-            .where("p_type <> 'PROMO' AND NOT startswith(p_name, 'small ')")
             .select(
                 "repo",
                 F.lit("s1").alias("snapshot_id"),
-                "file",
+                F.expr("if(p_type = 'PROMO' OR startswith(p_name, 'small '), concat('unlisted/', file), file)").alias("file"),
                 start.alias("start_line"),
                 n.alias("start_col"),
                 (start + n - 1).cast("int").alias("end_line"),
@@ -352,7 +346,7 @@ class Views:
 
     @view
     def file_mutants(self) -> DataFrame:
-        """Packages of type LARGE were never mutated."""
+        """Mutants of packages of type LARGE lie in files that hold no function."""
         q = F.col("l_quantity").cast("int")
         status = F.coalesce(
             *[
@@ -363,11 +357,10 @@ class Views:
         kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("l_suppkey") % len(TYPES) + 1).cast("int"))
         return (
             self._lineitem_functions()
-            .where("p_type <> 'LARGE'")
             .select(
                 "repo",
                 F.lit("s1").alias("snapshot_id"),
-                "file",
+                F.expr("if(p_type = 'LARGE', concat('unlisted/', file), file)").alias("file"),
                 (F.col("line") + q % 60).cast("int").alias("line"),
                 (F.col("l_suppkey") % 40 + 1).cast("int").alias("col"),
                 kind.alias("type"),

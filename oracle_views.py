@@ -70,9 +70,9 @@ CTE["eff"] = "SELECT repo, id FROM func WHERE p_type = 'SMALL' AND size = 50"
 
 # measurements
 CTE["block"] = """
- SELECT repo, file, line + q % (size + 1) AS sl, ln AS sc, line + q % (size + 1) + ln - 1 AS el, l_suppkey % 3 + 1 AS ec,
+ SELECT repo, CASE WHEN p_type = 'PROMO' OR p_name LIKE 'small %' THEN 'unlisted/' || file ELSE file END AS file, line + q % (size + 1) AS sl, ln AS sc, line + q % (size + 1) + ln - 1 AS el, l_suppkey % 3 + 1 AS ec,
         ln AS n, CASE WHEN rf = 'R' THEN l_suppkey % 5 ELSE 0 END AS cnt
- FROM li WHERE p_type <> 'PROMO' AND p_name NOT LIKE 'small %'"""
+ FROM li"""
 CTE["mblock"] = "SELECT repo, file, sl, sc, el, ec, n, CAST(sum(cnt) AS BIGINT) AS cnt FROM block GROUP BY ALL"
 CTE["inblock"] = """
  SELECT f.repo, f.id, b.* EXCLUDE (repo, file) FROM func f JOIN mblock b
@@ -93,12 +93,12 @@ CTE["urun"] = """
    SELECT repo, id, line, line - row_number() OVER (PARTITION BY repo, id ORDER BY line) AS g
    FROM lstate WHERE state = 'uncovered') GROUP BY repo, id, g"""
 CTE["mutant"] = """
- SELECT repo, file, line + q % 60 AS line, l_suppkey % 40 + 1 AS col,
+ SELECT repo, CASE WHEN p_type = 'LARGE' THEN 'unlisted/' || file ELSE file END AS file, line + q % 60 AS line, l_suppkey % 40 + 1 AS col,
    (['ARITHMETIC_BASE','CONDITIONALS_BOUNDARY','CONDITIONALS_NEGATION','INCREMENT_DECREMENT','INVERT_ASSIGNMENTS',
      'INVERT_BITWISE','INVERT_BWASSIGN','INVERT_LOGICAL','INVERT_LOOPCTRL','INVERT_NEGATIVES','CUSTOM_TYPE'])[CAST(l_suppkey % 11 + 1 AS INTEGER)] AS type,
    CASE rf || ls WHEN 'RF' THEN 'KILLED' WHEN 'RO' THEN 'LIVED' WHEN 'NF' THEN 'NOT COVERED' WHEN 'NO' THEN 'TIMED OUT'
                  WHEN 'AF' THEN 'NOT VIABLE' ELSE 'SKIPPED' END AS status
- FROM li WHERE p_type <> 'LARGE'"""
+ FROM li"""
 CTE["mfunc"] = "SELECT * FROM func WHERE dir NOT LIKE 'large/%'"
 CTE["amut"] = """
  SELECT m.*, (SELECT min(f.id) FROM mfunc f WHERE f.repo = m.repo AND f.file = m.file AND m.line BETWEEN f.line AND f.end_line) AS id
