@@ -189,27 +189,42 @@ def train(
         docs.select(F.col("text").cast("string"), "lang", draw.alias("draw"), (draw < share[F.col("lang")] * (1 << 30)).alias("sampled")).mapInArrow(extract, LEARNED),
         "langid-features",
     )
+    n = found.where("feature is not null").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(BINS + 1)
-    for k, v in found.where("feature is not null").groupBy("feature").agg(F.sum("df")).collect():
-        df[k] = v
-    total, df = df[-1], df[:-1]
-    idf = np.log((1 + total) / (1 + df)) + 1
-    sample = found.where("lang is not null").select("lang", "draw", "at", "n").toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])
+    df[n["feature"].to_numpy()] = n["df"].to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     names = sorted({r["lang"] for r in langs})
-    rows, y = [], []
-    for lang, at, n in zip(sample["lang"], sample["at"], sample["n"], strict=True):
-        at, n = at.values.to_numpy(), n.values.to_numpy()
-        x = (1 + np.log(n)) * idf[at]
-        rows.append((at, x / np.sqrt(x @ x)))
-        y.append(names.index(lang.as_py()))
-    y = np.array(y, int)
-    if not rows:
+    # the bounded sample meets in one task, not in the driver
+    sample = found.where("lang is not null").select("lang", "draw", "at", "n").repartition(1)
+    fitted = sample.mapInArrow(fitter(names, idf, (epochs, alpha, beta, l1, l2, seed)), "weights binary, t double").toArrow()
+    if not fitted.num_rows:
         return {"langs": []}
-    check = np.arange(len(rows)) % 5 == 4  # kept from the fit for the calibration
-    fit = [r for r, c in zip(rows, check, strict=True) if not c]
-    w = fit_ftrl(fit, y[~check], len(names), epochs, alpha, beta, l1, l2, seed)
-    t = temperature(logits([r for r, c in zip(rows, check, strict=True) if c], w), y[check])
-    return {"langs": names, "idf": idf.astype(np.float32), "weights": (w / t).astype(np.float32), "temperature": t}
+    w = np.frombuffer(fitted["weights"][0].as_py(), np.float32).reshape(len(names), BINS + 1)
+    return {"langs": names, "idf": idf.astype(np.float32), "weights": w, "temperature": fitted["t"][0].as_py()}
+
+
+def fitter(names: list[str], idf: np.ndarray, how: tuple):
+    """The fit of one task: the sample's features in, weights over the temperature out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(d, lang, at, n) for b in batches for lang, d, at, n in zip(*b.columns, strict=True)]
+        got.sort(key=lambda r: (r[0].as_py(), r[1].as_py()))
+        rows, y = [], []
+        for _, lang, at, n in got:
+            at, n = at.values.to_numpy(), n.values.to_numpy()
+            x = (1 + np.log(n)) * idf[at]
+            rows.append((at, x / np.sqrt(x @ x)))
+            y.append(names.index(lang.as_py()))
+        if not rows:
+            return
+        y = np.array(y, int)
+        check = np.arange(len(rows)) % 5 == 4  # kept from the fit for the calibration
+        fit = [r for r, c in zip(rows, check, strict=True) if not c]
+        w = fit_ftrl(fit, y[~check], len(names), *how)
+        t = temperature(logits([r for r, c in zip(rows, check, strict=True) if c], w), y[check])
+        yield pa.RecordBatch.from_arrays([pa.array([(w / t).astype(np.float32).tobytes()]), pa.array([t])], ["weights", "t"])
+
+    return run
 
 
 def predict(docs: DataFrame, model: dict, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
