@@ -201,26 +201,29 @@ def update_coverage_cache(
     states: DataFrame,
     ran: DataFrame,
     failed: DataFrame,
-    at: Column,
+    at: Column | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A run over the packages ``ran``: their old rows go, the functions of
     the clean ones come in (zero statements where nothing was measured), the
     failed ones keep only their error. Other packages stay as they are.
 
-    ``ran``: ``repo, package``; ``failed``: ``repo, package, error``.
+    ``ran``: ``repo, package`` and, unless ``at`` says when all of them ran,
+    ``ran_at``; ``failed``: ``repo, package, error``.
     """
     pkg = ["repo", "package"]
+    when = F.col("ran_at") if at is None else at
+    times = ran.select(*pkg, when.alias("ran_at")).distinct()
     ran = ran.select(*pkg).distinct()
     failed = failed.join(ran, pkg, "left_semi").select(*pkg, "error").where("error <> ''")
     clean = ran.join(failed, pkg, "left_anti")
     fresh_f = funcs.select(*ID, F.col("parent").alias("package"), "body_hash", F.col("line").alias("_base")).join(
         clean, pkg, "left_semi"
     )
-    fresh = fresh_f.join(measured.select(*ID, "stmts", "covered"), ID, "left").select(
+    fresh = fresh_f.join(times, pkg).join(measured.select(*ID, "stmts", "covered"), ID, "left").select(
         "repo",
         "id",
         "body_hash",
-        at.alias("ran_at"),
+        "ran_at",
         F.coalesce("stmts", F.lit(0)).cast("long").alias("stmts"),
         F.coalesce("covered", F.lit(0)).cast("long").alias("covered"),
     )

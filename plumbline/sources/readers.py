@@ -211,6 +211,9 @@ def parse_profile_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         fields.alias("f"),
     )
     well_formed = F.col("file").isNotNull() & (F.size("f") == 6) & F.forall("f", lambda x: x.rlike(_INT))
+    # digits alone may still be too many: the last number is a long, the others are ints
+    fits = F.forall(F.slice("f", 1, 5), lambda x: x.try_cast("int").isNotNull()) & F.get("f", 5).try_cast("long").isNotNull()
+    well_formed = well_formed & fits
     bad = parsed.where(~well_formed).select(
         *src,
         "value",
@@ -234,8 +237,8 @@ def parse_profile_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select(
             *keys,
             "file",
-            *[F.col("f")[i].cast("int").alias(n) for i, n in enumerate(names)],
-            F.col("f")[5].cast("long").alias("count"),
+            *[F.get("f", i).try_cast("int").alias(n) for i, n in enumerate(names)],
+            F.get("f", 5).try_cast("long").alias("count"),
         )
     )
     return blocks, rejected
@@ -245,13 +248,24 @@ def read_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return parse_profile_lines(_text(spark, path, SNAP))
 
 
-def read_mutation_reports(spark: SparkSession, path: str, run_dir: Column | None = None) -> DataFrame:
-    """Mutants of engine reports, with file names relative to the root.
+def _unreadable(raw: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """Files that are no JSON of the kind, one row each: ``…, path, reason``."""
+    # Spark does not answer queries about the broken part alone, so a field is read too.
+    field = next(c for c in raw.columns if c not in (*keys, "_broken", "path"))
+    read = F.coalesce(F.to_json(F.struct(field)), F.lit("")) != "-"
+    return raw.where(F.col("_broken").isNotNull() & read).select(*keys, "path", F.lit(f"not a {what}").alias("reason"))
+
+
+def read_mutation_reports(
+    spark: SparkSession, path: str, run_dir: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(mutants, rejected)`` of engine reports, file names relative to the root.
     ``run_dir``: directory the engine ran in, as a column of the row (default:
     the ``dir=<name>`` folder with ``__`` for slashes)."""
-    raw = _json(spark, path, S.MUTATION_REPORT_JSON, [*SNAP, "dir"]).where("_broken IS NULL")
+    read = _json(spark, path, S.MUTATION_REPORT_JSON, [*SNAP, "dir"])
+    raw = read.where("_broken IS NULL")
     base = run_dir if run_dir is not None else F.replace(F.coalesce("dir", F.lit(".")), F.lit("__"), F.lit("/"))
-    return (
+    mutants = (
         raw.withColumn("_dir", base)
         .select(*SNAP, "_dir", F.explode("files").alias("f"))
         .select(
@@ -263,14 +277,14 @@ def read_mutation_reports(spark: SparkSession, path: str, run_dir: Column | None
             *SNAP, "file", F.col("m.line").alias("line"), F.col("m.column").alias("col"), F.col("m.type").alias("type"), F.col("m.status").alias("status")
         )
     )
+    return mutants, _unreadable(read, SNAP, "mutation report")
 
 
 def read_mutation_caches(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Committed mutation results: ``results``, ``mutants`` and ``runs``.
-    Files of another schema version count as empty."""
-    raw = _json(spark, path, S.MUTATION_CACHE_JSON, ["repo"]).where(
-        (F.col("schema") == S.MUTATION_CACHE_VERSION) & F.col("_broken").isNull()
-    )
+    """Committed mutation results: ``results``, ``mutants``, ``runs`` and the
+    ``rejected`` files. Files of another schema version count as empty."""
+    read = _json(spark, path, S.MUTATION_CACHE_JSON, ["repo"])
+    raw = read.where((F.col("schema") == S.MUTATION_CACHE_VERSION) & F.col("_broken").isNull())
     fn = raw.select("repo", "package", F.explode("functions").alias("id", "e"))
     counts = ["killed", "survived", "not_covered", "timed_out"]
     return {
@@ -288,6 +302,7 @@ def read_mutation_caches(spark: SparkSession, path: str) -> dict[str, DataFrame]
             "repo", "package", "id", "m.*"
         ),
         "runs": raw.select("repo", "package", "ran_at", F.when(F.col("error") != "", F.col("error")).alias("error")),
+        "rejected": _unreadable(read, ["repo"], "mutation cache"),
     }
 
 
@@ -339,9 +354,11 @@ COMMIT_MARK = "\0commit"
 
 def _commits(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     rows = _text(spark, path, keys, lineSep=COMMIT_MARK)
-    # The log names no commits: the place in the log identifies one.
-    place = F.concat_ws(":", F.xxhash64("path").cast("string"), F.monotonically_increasing_id().cast("string"))
-    return rows.where(paths.strip("value") != "").select(*keys, place.alias("commit"), "value")
+    # The log names no commits: its file, its text and a number among equal texts
+    # identify one, however the file is split.
+    n = rows.where(paths.strip("value") != "").groupBy(*keys, "path", "value").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.concat_ws(":", F.xxhash64("path").cast("string"), F.xxhash64("value").cast("string"), F.col("_i").cast("string"))
+    return n.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*keys, place.alias("commit"), "value")
 
 
 def parse_commit_files(commits: DataFrame) -> DataFrame:
@@ -376,12 +393,13 @@ def parse_patches(patches: DataFrame) -> DataFrame:
     sections = F.slice(F.split("value", r"(?:^|\n)\+\+\+ "), 2, 2147483647)
     head = F.substring_index("_s", "\n", 1)
     span = F.split("_h", ",")
-    start = span[0].cast("int")
-    count = F.coalesce(F.get(span, 1).cast("int"), F.lit(1))
+    start = F.get(span, 0).try_cast("int")
+    count = F.when(F.size(span) > 1, F.get(span, 1).try_cast("int")).otherwise(F.lit(1))
     return (
         patches.select(*keys, F.explode(sections).alias("_s"))
         .select(*keys, head.alias("_head"), F.explode(F.regexp_extract_all("_s", F.lit(_HUNK), 1)).alias("_h"))
         .where("_head <> '/dev/null' AND _head <> ''")
+        .where(start.isNotNull() & count.isNotNull())
         .select(
             *keys,
             F.regexp_replace("_head", "^b/", "").alias("file"),
@@ -433,10 +451,11 @@ def line_range(source_lines: DataFrame, file: str, first: int, last: int) -> Dat
     return source_lines.where((F.col("file") == file) & F.col("n").between(first, last))
 
 
-def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, S.NOTE_JSON, ["repo"]).where("_broken IS NULL").select(
-        "repo", *[f.name for f in S.NOTE_JSON.fields]
-    )
+def read_notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(notes, rejected)`` of note files."""
+    read = _json(spark, path, S.NOTE_JSON, ["repo"])
+    notes = read.where("_broken IS NULL").select("repo", *[f.name for f in S.NOTE_JSON.fields])
+    return notes, _unreadable(read, ["repo"], "note file")
 
 
 def parse_edit_events(events: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from plumbline import schemas as S
 from plumbline.operators.coverage import update_coverage_cache
@@ -13,50 +17,60 @@ from plumbline.schemas import SNAP
 from plumbline.session import settle
 
 MANIFEST = "_committed"
-MANIFEST_SCHEMA = StructType([StructField(c, StringType()) for c in SNAP])
-# Row order inside a table's files.
-ORDER = {"nodes": ["id"], "edges": ["from", "to", "kind"]}
+WRITE = StructField("write_id", StringType())
+MANIFEST_SCHEMA = StructType([*(StructField(c, StringType()) for c in SNAP), WRITE, StructField("written", LongType())])
+# Row order inside a table's files; these columns also split a large repository.
+ORDER = ["id", "from", "to", "kind", "file", "line", "start_line", "start", "n"]
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str) -> None:
-    """Write all tables of some snapshots, then their manifest rows.
+    """Write all tables of some snapshots as a new version, then their manifest rows.
 
-    Readers see a snapshot only through the manifest, which is written last.
-    Rows are range-partitioned by key, so a large repository is written by
-    many tasks and every file is sorted.
+    Nothing that is there is touched: the version has folders of its own, and
+    readers take for each snapshot the newest version in the manifest, which is
+    written last. So they see all tables of one version or none, and a table
+    without rows is empty in the new version, whatever the old one had.
     """
     spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
     for name, df in tables.items():
-        order = ORDER.get(name, [c for c in ["id"] if c in df.columns])
+        order = [c for c in ORDER if c in df.columns]
         (
-            df.repartitionByRange(*SNAP, *order)
+            df.withColumn(WRITE.name, F.lit(version))
+            .repartitionByRange(*SNAP, *order)
             .sortWithinPartitions(*SNAP, *order)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*SNAP)
+            .write.mode("append")
+            .partitionBy(WRITE.name, *SNAP)
             .parquet(f"{root}/{name}")
         )
     done = tables["snapshots"] if "snapshots" in tables else next(iter(tables.values()))
-    written = done.select(*SNAP).distinct()
-    known = committed(spark, root)
-    if known is not None:
-        written = written.join(known, SNAP, "left_anti")
+    written = done.select(*SNAP).distinct().withColumns({WRITE.name: F.lit(version), "written": F.lit(time.time_ns())})
     written.coalesce(1).write.mode("append").parquet(f"{root}/{MANIFEST}")
 
 
-def committed(spark: SparkSession, root: str) -> DataFrame | None:
-    """Committed snapshots, or None before the first one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{MANIFEST}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The files of a folder, or None where there is no folder yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/{MANIFEST}").distinct()
+
+
+def committed(spark: SparkSession, root: str) -> DataFrame | None:
+    """Committed snapshots with their newest version, or None before the first one."""
+    found = _stored(spark, f"{root}/{MANIFEST}", MANIFEST_SCHEMA)
+    return None if found is None else found.groupBy(*SNAP).agg(F.max_by(WRITE.name, "written").alias(WRITE.name))
 
 
 def read_table(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
-    """A table, limited to committed snapshots."""
+    """A table, limited to the newest versions of committed snapshots."""
     done = committed(spark, root)
-    rows = spark.read.schema(schema).parquet(f"{root}/{name}")
-    return rows.where(F.lit(False)) if done is None else rows.join(done, SNAP, "left_semi")
+    rows = _stored(spark, f"{root}/{name}", StructType([*schema.fields, WRITE])) if done is not None else None
+    if rows is None:
+        return spark.createDataFrame([], schema)
+    return rows.join(done, [*SNAP, WRITE.name], "left_semi").select(*schema.fieldNames())
 
 
 def write_cache(df: DataFrame, path: str, touched: DataFrame) -> None:
@@ -66,8 +80,10 @@ def write_cache(df: DataFrame, path: str, touched: DataFrame) -> None:
     repos = touched.select("repo").distinct()
     rows = df.join(repos, "repo", "left_semi")
     blank = repos.select("repo", *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != "repo"])
+    order = [c for c in ORDER if c in rows.columns]
     (
         rows.unionByName(blank)
+        .repartitionByRange("repo", *order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("repo")
@@ -77,14 +93,14 @@ def write_cache(df: DataFrame, path: str, touched: DataFrame) -> None:
 
 def read_cache(spark: SparkSession, path: str, schema: StructType, key: str = "id") -> DataFrame:
     """Cache rows; empty before the first write."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    rows = _stored(spark, path, schema)
+    if rows is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).where(F.col(key).isNotNull()).select(*schema.fieldNames())
+    return rows.where(F.col(key).isNotNull()).select(*schema.fieldNames())
 
 
 def update_coverage_caches(
-    spark: SparkSession, root: str, funcs: DataFrame, measured: DataFrame, states: DataFrame, ran: DataFrame, failed: DataFrame, at
+    spark: SparkSession, root: str, funcs: DataFrame, measured: DataFrame, states: DataFrame, ran: DataFrame, failed: DataFrame, at=None
 ) -> None:
     """Apply a coverage run to the stored caches of its repositories."""
     stored = [

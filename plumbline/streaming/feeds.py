@@ -167,6 +167,12 @@ def newly_stale_feed(
     return metrics.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _latest(results: DataFrame) -> DataFrame:
+    """The rows of each package's latest run, of those that came in together."""
+    pkg = ["repo", "package"]
+    return results.join(results.groupBy(*pkg).agg(F.max("ran_at").alias("ran_at")), [*pkg, "ran_at"], "left_semi")
+
+
 def coverage_upkeep(
     results: DataFrame, root: str, funcs: DataFrame, checkpoint: str, **trigger
 ) -> StreamingQuery:
@@ -177,9 +183,9 @@ def coverage_upkeep(
 
     def apply(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
-        b = batch.persist()
+        b = _latest(batch).persist()
         try:
-            ran = b.select("repo", "package").distinct()
+            ran = b.groupBy("repo", "package").agg(F.max("ran_at").alias("ran_at"))
             failed = b.where("error IS NOT NULL").groupBy("repo", "package").agg(F.max("error").alias("error"))
             measured = (
                 b.where("id IS NOT NULL")
@@ -187,9 +193,8 @@ def coverage_upkeep(
                 .agg(F.max("stmts").alias("stmts"), F.max("covered").alias("covered"))
             )
             states = b.where("line IS NOT NULL").select(*S.SNAP, "id", "line", "state").distinct()
-            at = F.lit(b.agg(F.max("ran_at")).first()[0])
             touched = funcs.join(b.select(*S.SNAP).distinct(), S.SNAP, "left_semi")
-            update_coverage_caches(spark, root, touched, measured, states, ran, failed, at)
+            update_coverage_caches(spark, root, touched, measured, states, ran, failed)
         finally:
             b.unpersist()
 
@@ -206,7 +211,7 @@ def mutation_upkeep(
 
     def apply(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
-        b = batch.persist()
+        b = _latest(batch).persist()
         try:
             outcome = b.groupBy("repo", "package").agg(
                 F.max("engine").alias("engine"),

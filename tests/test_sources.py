@@ -64,15 +64,61 @@ def test_write_and_read_back(spark, tmp_path):
     nodes = writers.read_table(spark, root, "nodes", S.NODES)
     assert nodes.count() == 6 and writers.committed(spark, root).count() == 2
     # Rows without a manifest entry stay invisible.
-    extra = t["nodes"].withColumn("repo", F.lit("z"))
-    extra.write.mode("append").partitionBy("repo", "snapshot_id").parquet(f"{root}/nodes")
+    extra = t["nodes"].withColumns({"repo": F.lit("z"), "write_id": F.lit("unfinished")})
+    extra.write.mode("append").partitionBy("write_id", "repo", "snapshot_id").parquet(f"{root}/nodes")
     assert writers.read_table(spark, root, "nodes", S.NODES).count() == 6
+    # So does a rewrite of a committed snapshot before its manifest row.
+    again = t["nodes"].where("repo = 'a'").withColumns({"id": F.lit("new"), "write_id": F.lit("half")})
+    again.write.mode("append").partitionBy("write_id", "repo", "snapshot_id").parquet(f"{root}/nodes")
+    assert writers.read_table(spark, root, "nodes", S.NODES).where("id = 'new'").count() == 0
+
+
+def test_a_rewrite_with_an_empty_table_empties_it(spark, tmp_path):
+    put(tmp_path / "in" / "repo=a" / "snapshot_id=1", "snapshot.json", SNAPSHOT)
+    t = readers.read_snapshots(spark, str(tmp_path / "in"))
+    root = str(tmp_path / "out")
+    assert writers.read_table(spark, root, "edges", S.EDGES).count() == 0
+    writers.write_snapshot({k: t[k] for k in ["nodes", "edges", "snapshots"]}, root)
+    assert writers.read_table(spark, root, "edges", S.EDGES).count() > 0
+    writers.write_snapshot({"nodes": t["nodes"], "edges": t["edges"].limit(0), "snapshots": t["snapshots"]}, root)
+    assert writers.read_table(spark, root, "edges", S.EDGES).count() == 0
+    assert writers.read_table(spark, root, "nodes", S.NODES).count() == 3
+
+
+def test_broken_files_are_returned(spark, tmp_path):
+    for folder in ("rep/repo=a/snapshot_id=1/dir=p", "mc/repo=a", "n/repo=a"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "x.json").write_text("no json {")
+    found = {
+        "mutation report": readers.read_mutation_reports(spark, str(tmp_path / "rep"))[1],
+        "mutation cache": readers.read_mutation_caches(spark, str(tmp_path / "mc"))["rejected"],
+        "note file": readers.read_notes(spark, str(tmp_path / "n"))[1],
+    }
+    for what, rejected in found.items():
+        assert pairs(rejected, "repo", "reason") == [("a", f"not a {what}")]
+
+
+def test_numbers_that_do_not_fit_reject_their_profile_alone(spark):
+    rows = [("r", "p", "mode: set"), ("r", "p", "a.go:1.1,99999999999.2 1 1"), ("q", "p", "mode: set"), ("q", "p", "b.go:1.1,2.2 1 99999999999")]
+    blocks, rejected = readers.parse_profile_lines(spark.createDataFrame(rows, "repo string, path string, value string"))
+    assert pairs(rejected, "repo", "reason") == [("r", "not a number")]
+    assert pairs(blocks, "repo", "file", "count") == [("q", "b.go", 99999999999)]
+    patch = "+++ b/x.go\n@@ -1 +99999999999,2 @@\n@@ -1 +3,2 @@\n"
+    hunks = readers.parse_patches(spark.createDataFrame([("r", patch)], "repo string, value string"))
+    assert pairs(hunks, "file", "start", "end") == [("x.go", 3, 4)]
+
+
+def test_commit_ids_are_the_same_in_every_read(spark, tmp_path):
+    (tmp_path / "repo=a").mkdir()
+    (tmp_path / "repo=a" / "log").write_text("\0commit\nx.go\n\0commit\nx.go\ny.go\n\0commit\nx.go\n")
+    first, second = (pairs(readers.read_commit_logs(spark, str(tmp_path)), "commit", "file") for _ in range(2))
+    assert first == second and len({c for c, _ in first}) == 3 and len(first) == 4
 
 
 def test_mutation_files(spark, tmp_path):
     report = {"go_module": "m", "files": [{"file_name": "a.go", "mutations": [{"type": "X", "status": "LIVED", "line": 3, "column": 4}]}, {"file_name": "../q/./b.go", "mutations": []}]}
     put(tmp_path / "rep" / "repo=a" / "snapshot_id=1" / "dir=internal__p", "r.json", report)
-    got = readers.read_mutation_reports(spark, str(tmp_path / "rep"))
+    got, _ = readers.read_mutation_reports(spark, str(tmp_path / "rep"))
     assert pairs(got, "repo", "file", "line", "col", "status") == [("a", "internal/p/a.go", 3, 4, "LIVED")]
     entry = {"body_hash": "h", "engine": "g", "engine_version": "1", "ran_at": "2024-01-01T00:00:00Z", "counts": {"killed": 2, "survived": 1, "not_covered": 0, "timed_out": 0}, "mutants": [{"line_offset": 2, "col": 1, "type": "X", "status": "LIVED", "description": "d"}]}
     cache = {"schema": 1, "package": "m/p", "engine": "g", "engine_version": "1", "ran_at": "2024-01-02T00:00:00Z", "functions": {"m/p.f": entry}}
@@ -94,7 +140,7 @@ def test_coverage_cache_notes_logs_sources(spark, tmp_path):
     assert pairs(t["lines"], "line_offset", "state") == [(1, "covered"), (2, "uncovered")]
     assert pairs(t["errors"], "package", "error") == [("m/q", "failed")]
     put(tmp_path / "n" / "repo=a", "notes.json", [{"id": "n1", "target": "m/p.f", "line_offset": 2, "line_text": "x", "author": "user", "text": "t", "created": "2024-01-01T00:00:00Z", "resolved": False}])
-    assert pairs(readers.read_notes(spark, str(tmp_path / "n")), "repo", "id", "line_offset") == [("a", "n1", 2)]
+    assert pairs(readers.read_notes(spark, str(tmp_path / "n"))[0], "repo", "id", "line_offset") == [("a", "n1", 2)]
     put(tmp_path / "t" / "repo=a" / "snapshot_id=1", "t.log", "ok  \tm/p\t0.1s\nFAIL\tm/q\t0.4s\nFAIL\nFAIL\tm/r [build failed]\nFAIL\tm/q\t0.4s\n")
     assert pairs(readers.read_test_logs(spark, str(tmp_path / "t")), "package") == [("m/q",), ("m/r",)]
     put(tmp_path / "src" / "repo=a" / "snapshot_id=1" / "p", "a.go", "package p\n\nfunc f() {\n}\n")

@@ -108,6 +108,24 @@ def test_coverage_upkeep(spark, tmp_path):
     assert pairs(lines, "id", "line_offset") == [("m/z.f", 0)]
 
 
+def test_upkeep_takes_the_latest_of_runs_that_come_together(spark, tmp_path):
+    f = spark.createDataFrame([("r", "s", "m/p.f", "m/p", 10, "h"), ("r", "s", "m/q.g", "m/q", 1, "h")], FUNCS)
+    root, src = str(tmp_path / "store"), str(tmp_path / "in")
+    rows = [
+        ("r", "s", "m/p", "tests failed", at(0), None, None, None, None, None),
+        ("r", "s", "m/p", None, at(5), "m/p.f", 3, 1, 12, "covered"),
+        ("r", "s", "m/q", None, at(2), "m/q.g", 9, 9, 2, "covered"),
+        ("r", "s", "m/q", None, at(3), "m/q.g", 4, 2, 3, "uncovered"),
+    ]
+    spark.createDataFrame(rows, RESULT).coalesce(1).write.parquet(src)
+    feeds.coverage_upkeep(spark.readStream.schema(RESULT).parquet(src), root, f, str(tmp_path / "cp"), availableNow=True).awaitTermination()
+    cache = writers.read_cache(spark, f"{root}/coverage_cache", S.COVERAGE_CACHE)
+    assert pairs(cache, "id", "stmts", "covered", "ran_at") == [("m/p.f", 3, 1, at(5)), ("m/q.g", 4, 2, at(3))]
+    assert writers.read_cache(spark, f"{root}/coverage_errors", S.COVERAGE_ERRORS, "package").count() == 0
+    lines = writers.read_cache(spark, f"{root}/coverage_cache_lines", S.COVERAGE_CACHE_LINES)
+    assert pairs(lines, "id", "line_offset", "state") == [("m/p.f", 2, "covered"), ("m/q.g", 2, "uncovered")]
+
+
 MRESULT = "repo string, snapshot_id string, package string, engine string, engine_version string, ran_at timestamp, error string, id string, line int, col int, type string, status string, description string"
 
 
