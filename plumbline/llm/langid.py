@@ -146,7 +146,7 @@ def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in LEARNED.split(", ")]
     types = (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
     none = lambda k: [None] * k
-    for b in batches:
+    for b in (x.slice(lo, 512) for x in batches for lo in range(0, x.num_rows, 512)):
         for text, lang, draw, sampled in zip(*(c.to_pylist() for c in b.columns), strict=True):
             n = counts(text or "", alpha)
             if n is None:
@@ -235,7 +235,7 @@ def predict(docs: DataFrame, model: dict, *keep: str, names: tuple[str, str] = (
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alpha = letters()
-        for b in batches:
+        for b in (x.slice(lo, 512) for x in batches for lo in range(0, x.num_rows, 512)):
             pred, score = [], []
             for text in b.column(read.index("text")).to_pylist():
                 n = counts(text or "", alpha) if model["langs"] else None

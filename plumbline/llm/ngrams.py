@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         shingle = Shingler(width)
-        for b in batches:
+        for b in (x.slice(lo, 512) for x in batches for lo in range(0, x.num_rows, 512)):
             k, n, found = [], [], []
             for text in b.column(2).to_pylist():
                 s = shingle(text or "")

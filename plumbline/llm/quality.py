@@ -166,7 +166,7 @@ def co_train(
             given[other][pool] = np.where(p >= sure, 1, np.where(p <= 1 - sure, 0, -1))
     both = np.column_stack([raw([v[i] for i in rest], w) * s[0] + s[1] for v, w, s in zip(views, model, scale, strict=True)])
     mixed = logistic(both, y[rest])
-    return {"weights": model, "scale": scale, "mixed": mixed}
+    return {"weights": [w.astype(np.float32) for w in model], "scale": scale, "mixed": mixed}
 
 
 FEATURES = "draw long, good int, words array<int>, meta array<int>"
@@ -189,7 +189,7 @@ def sampled(docs: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = kinds()
-        for b in batches:
+        for b in (x.slice(lo, 512) for x in batches for lo in range(0, x.num_rows, 512)):
             d, g, text, lang, source = (c.to_pylist() for c in b.columns)
             words = [text_features(t or "", table).astype(np.int32) for t in text]
             meta = [meta_features(x, s, len(t or "")).astype(np.int32) for x, s, t in zip(lang, source, text, strict=True)]
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: dict, keep_at: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = kinds()
-        for b in batches:
+        for b in (x.slice(lo, 512) for x in batches for lo in range(0, x.num_rows, 512)):
             ids, text, lang, source = b.column(0), *(c.to_pylist() for c in b.columns[1:])
             out = np.zeros((3, len(text)))
             for i, (t, x, s) in enumerate(zip(text, lang, source, strict=True)):
