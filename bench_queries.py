@@ -614,14 +614,14 @@ def _(v: Views):
         """SELECT repo, repo AS module, min(g_crap) AS grade_crap, min(g_mut) AS grade_mutation, min(g_cov) AS grade_coverage, min(g_all) AS grade_combined,
              floor(max(crap) * 10.0 + 0.5) / 10.0 AS crap_max, floor(sum(crap) / count(crap) * 10.0 + 0.5) / 10.0 AS crap_avg,
              arg_min(id, ROW(-coalesce(crap, -1.0), g_all, id)) AS worst, CAST(sum(stmts) AS BIGINT) AS stmts, CAST(sum(covered) AS BIGINT) AS covered,
-             floor(CAST(sum(covered) AS DOUBLE) / CAST(sum(stmts) AS DOUBLE) * 100.0 * 10.0 + 0.5) / 10.0 AS percent, count(*) AS functions, count(*) FILTER (g_all >= 9) AS green
+             floor(CAST(sum(covered) AS DOUBLE) / CAST(sum(stmts) AS DOUBLE) * 100.0 * 10.0 + 0.5) / 10.0 AS percent, count(*) AS functions, count(*) FILTER (g_all >= 9) AS green,
+             CAST(sum(killed) AS BIGINT) AS killed, CAST(sum(survived) AS BIGINT) AS survived, CAST(sum(not_covered) AS BIGINT) AS not_covered, CAST(sum(timed_out) AS BIGINT) AS timed_out,
+             CASE WHEN sum(killed) + sum(timed_out) + sum(survived) > 0 THEN floor(CAST(sum(killed) + sum(timed_out) AS DOUBLE) / CAST(sum(killed) + sum(timed_out) + sum(survived) AS DOUBLE) * 100.0 * 10.0 + 0.5) / 10.0 END AS score
            FROM metric GROUP BY repo"""
     ),
 )
 def _(v: Views):
-    return packages_modules(v)[1].drop(
-        "coverage_stale", "mutation_stale", "killed", "survived", "not_covered", "timed_out", "score"
-    )
+    return packages_modules(v)[1].drop("coverage_stale", "mutation_stale")
 
 
 @query(
@@ -998,13 +998,44 @@ def notes_for(v: Views) -> DataFrame:
     sql(
         """SELECT n.repo, n.id, n.kind, CASE WHEN n.line > 0 THEN n.line || '-' || greatest(n.line, n.end_line) END AS lines,
              CASE WHEN n.kind = 'package' THEN n.name ELSE regexp_extract(n.id, '([^/]*)$', 1) END AS check_target,
-             m.crap, CAST(8.0 AS DOUBLE) AS crap_target, m.percent, CAST(80.0 AS DOUBLE) AS coverage_target, m.score, CAST(70.0 AS DOUBLE) AS mutation_target, coalesce(m.killed, 0) AS killed FROM node n LEFT JOIN metric m ON m.repo = n.repo AND m.id = n.id"""
+             m.crap, CAST(8.0 AS DOUBLE) AS crap_target, m.crap_max, m.crap_avg, regexp_extract(m.worst, '([^/]*)$', 1) AS worst,
+             m.percent, CAST(80.0 AS DOUBLE) AS coverage_target, m.score, CAST(70.0 AS DOUBLE) AS mutation_target,
+             coalesce(m.killed, 0) AS killed, coalesce(m.survived, 0) AS survived, coalesce(m.not_covered, 0) AS not_covered
+           FROM node n LEFT JOIN scored m ON m.repo = n.repo AND m.id = n.id""",
+        whole="""SELECT repo, floor(max(crap) * 10.0 + 0.5) / 10.0 AS crap_max, floor(sum(crap) / count(crap) * 10.0 + 0.5) / 10.0 AS crap_avg,
+             arg_min(id, ROW(-coalesce(crap, -1.0), g_all, id)) AS worst, CAST(sum(stmts) AS BIGINT) AS stmts, CAST(sum(covered) AS BIGINT) AS covered,
+             CAST(sum(killed) AS BIGINT) AS killed, CAST(sum(survived) AS BIGINT) AS survived, CAST(sum(not_covered) AS BIGINT) AS not_covered,
+             CAST(sum(timed_out) AS BIGINT) AS timed_out FROM metric GROUP BY repo""",
+        scored="""SELECT repo, id, crap, NULL AS crap_max, NULL AS crap_avg, NULL AS worst, percent, score, killed, survived, not_covered FROM metric
+             UNION ALL SELECT repo, package, NULL, crap_max, crap_avg, worst, percent, score, killed, survived, not_covered FROM roll
+             UNION ALL SELECT repo, repo, NULL, crap_max, crap_avg, worst,
+               CASE WHEN stmts > 0 THEN floor(CAST(covered AS DOUBLE) / CAST(stmts AS DOUBLE) * 100.0 * 10.0 + 0.5) / 10.0 END,
+               CASE WHEN killed + timed_out + survived > 0 THEN
+                 floor(CAST(killed + timed_out AS DOUBLE) / CAST(killed + timed_out + survived AS DOUBLE) * 100.0 * 10.0 + 0.5) / 10.0 END,
+               killed, survived, not_covered FROM whole""",
     ),
 )
 def _(v: Views):
-    return pages.node_view(v.nodes(), fn_metrics(v), limits(v)).select(
-        *ID, "kind", "lines", "check_target", "crap", "crap_target", "percent", "coverage_target", "score", "mutation_target", "killed"
-    )
+    m = settle(fn_metrics(v), "functions")
+    return pages.node_view(v.nodes(), m, limits(v), *rollup.roll_up(m, v.nodes())).select(
+        *ID, "kind", "lines", "check_target", "crap", "crap_target", "crap_max", "crap_avg", "worst", "percent", "coverage_target",
+        "score", "mutation_target", "killed", "survived", "not_covered",
+    )
+
+
+@query(
+    "node_ranges",
+    sql(
+        """SELECT r.repo, r.id, r.state, r.s AS start, r.e AS "end",
+             regexp_extract(f.file, '([^/]*)$', 1) || ':' || CASE WHEN s = e THEN CAST(s AS VARCHAR) ELSE s || '–' || e END AS text
+           FROM runs r JOIN func f ON f.repo = r.repo AND f.id = r.id""",
+        runs="""SELECT repo, id, state, min(line) AS s, max(line) AS e FROM (
+             SELECT repo, id, state, line, line - row_number() OVER (PARTITION BY repo, id, state ORDER BY line) AS g
+             FROM lstate WHERE state IN ('uncovered', 'partial')) GROUP BY repo, id, state, g""",
+    ),
+)
+def _(v: Views):
+    return pages.node_ranges(v.stored("functions"), fn_states(v))
 
 
 # --- scopes and nodes -------------------------------------------------------

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import paths
+from plumbline.functions.text import range_text
+from plumbline.operators.coverage import state_runs
 from plumbline.operators.ranking import map_order
 from plumbline.operators.rollup import outside_calls
 from plumbline.schemas import CALLS, CALLS_DYNAMIC, EXTERNAL, FUNC, IMPLEMENTS, IMPORTS, MODULE, PACKAGE, SNAP, TYPE
@@ -223,8 +225,39 @@ def home_group(nodes: DataFrame, limit: int = MAX_PACKAGES) -> DataFrame:
     )
 
 
-def node_view(nodes: DataFrame, metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Scores of every function beside the limits of its repository."""
+SCORES = [
+    "crap",
+    "crap_max",
+    "crap_avg",
+    "worst",
+    "cc",
+    "cognitive",
+    "percent",
+    "coverage_stale",
+    "score",
+    "mutation_stale",
+    "killed",
+    "survived",
+    "not_covered",
+    "churn",
+    "grade_crap",
+    "grade_mutation",
+    "grade_coverage",
+    "grade_combined",
+    "coverage_error",
+    "mutation_error",
+]
+
+
+def node_view(
+    nodes: DataFrame,
+    metrics: DataFrame,
+    thresholds: DataFrame,
+    packages: DataFrame | None = None,
+    modules: DataFrame | None = None,
+) -> DataFrame:
+    """Scores of every node beside the limits of its repository: of functions
+    from ``metrics``, of packages and modules from their roll-ups."""
     lines = F.when(
         F.col("line") > 0, F.concat_ws("-", F.col("line"), F.greatest("line", F.coalesce("end_line", "line")))
     )
@@ -235,28 +268,35 @@ def node_view(nodes: DataFrame, metrics: DataFrame, thresholds: DataFrame) -> Da
         F.col("coverage_min").alias("coverage_target"),
         F.col("mutation_min").alias("mutation_target"),
     )
-    m = metrics.select(
-        *ID,
-        "crap",
-        "cc",
-        "cognitive",
-        "percent",
-        "coverage_stale",
-        "score",
-        "mutation_stale",
-        "killed",
-        "survived",
-        "not_covered",
-        "churn",
-        "grade_crap",
-        "grade_mutation",
-        "grade_coverage",
-        "grade_combined",
-    )
+
+    def scored(df: DataFrame, key: str) -> DataFrame:
+        return df.select(*SNAP, F.col(key).alias("id"), *(c for c in SCORES if c in df.columns))
+
+    m = scored(metrics, "id")
+    for df, key in ((packages, "package"), (modules, "module")):
+        if df is not None:
+            m = m.unionByName(scored(df, key), allowMissingColumns=True)
+    m = m.withColumns({c: F.lit(None).cast("string") for c in SCORES if c not in m.columns})
     target = F.when(F.col("kind") == PACKAGE, F.col("name")).otherwise(paths.short("id"))
     return (
         nodes.select(*ID, "kind", "name", "file", lines.alias("lines"), target.alias("check_target"))
         .join(m, ID, "left")
         .join(th, "repo", "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in ["killed", "survived", "not_covered"]})
+        .withColumn("worst", paths.short("worst"))
+    )
+
+
+def node_ranges(nodes: DataFrame, line_states: DataFrame) -> DataFrame:
+    """Uncovered and partly covered lines of functions, one row per range:
+    ``…, id, state, start, end, text`` (``file.go:3–5``)."""
+    runs = [
+        state_runs(line_states, state).select(*ID, F.lit(state).alias("state"), "start", "end") for state in ("uncovered", "partial")
+    ]
+    base = F.substring_index("file", "/", -1)
+    return (
+        runs[0]
+        .unionByName(runs[1])
+        .join(nodes.select(*ID, base.alias("_base")), ID)
+        .select(*ID, "state", "start", "end", F.concat("_base", F.lit(":"), range_text("start", "end")).alias("text"))
     )
