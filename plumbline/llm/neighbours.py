@@ -25,6 +25,7 @@ smaller id; with few candidates all are returned; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ def clean(vectors: DataFrame) -> DataFrame:
     return v.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1))})
 
 
-def nearest(x: np.ndarray, k: int, rows: int = 1_024) -> np.ndarray:
+def nearest(x: np.ndarray, k: int, rows: int = 256) -> np.ndarray:
     """Indexes of the k vectors of largest inner product with each, itself left out."""
     out = []
     for i in range(0, len(x), rows):
@@ -183,6 +184,22 @@ def fit(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.97, hidden: in
     return model
 
 
+def fitter(parts: int, k: int, recall: float, seed: int):
+    """The fit of one task: the sample's vectors in, the index model out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        t = pa.Table.from_batches(batches).sort_by([("draw", "ascending"), ("vec_id", "ascending")])
+        x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x, parts, k, recall, seed=seed))], pa.binary())], ["model"])
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        return run(got) if got else iter(())
+
+    return some
+
+
 def assign(rows: DataFrame, model: dict, several: bool) -> DataFrame:
     """``rows`` (…, v last) with their most probable part, or all parts a query is sent to."""
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
@@ -241,9 +258,12 @@ def search(
 ) -> DataFrame:
     """The k nearest rows found for each row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
     v = settle(clean(vectors), "vectors")
-    sample = v.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()["v"]
-    x = sample.combine_chunks().flatten().to_numpy().reshape(len(sample), -1) if len(sample) else np.zeros((0, 1))
-    model = fit(x, parts, k, recall, seed=seed)
+    sample = v.select(F.xxhash64(F.lit(seed), "vec_id").alias("draw"), "vec_id", "v").orderBy("draw", "vec_id").limit(sample_rows)
+    # the bounded sample meets in one task, not in the driver
+    fitted = settle(sample, "vector-sample").repartition(1).mapInArrow(fitter(parts, k, recall, seed), "model binary").first()
+    if fitted is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    model = pickle.loads(fitted[0])
     same = F.dense_rank().over(W.partitionBy("h1", "h2").orderBy("vec_id"))
     candidates = v.withColumn("n", same).where(F.col("n") <= k + 1).select("vec_id", "v")
     queries = v.where(F.col("vec_id") % every == 0)
