@@ -983,7 +983,7 @@ def _(v: Views):
     i = measured(v)
     m = settle(analyze.function_table(i, AS_OF), "functions")
     p, _mod = rollup.roll_up(m, v.nodes())
-    placed = notes_for(v).where(F.lit(False))
+    placed = notes_for(v)
     return text.prompts(
         v.nodes(), m, p, limits(v), mutation.survivors(i.mutants), coverage.state_runs(i.line_states, "uncovered"), placed
     )

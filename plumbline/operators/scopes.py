@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import paths
+from plumbline.functions.paths import glob_regex
 from plumbline.operators.intervals import lines_of, touched_functions
 from plumbline.operators.ordered import running_total
 from plumbline.schemas import CALLS_DYNAMIC, EXTERNAL, FUNC, IMPORTS, PACKAGE, SNAP
@@ -34,7 +35,7 @@ def excluded(rows: DataFrame, patterns: list[str], column: str = "file") -> Data
 def _regex_column(pattern: Column) -> Column:
     @F.pandas_udf("string")
     def compiled(p: pd.Series) -> pd.Series:
-        return p.map(paths.glob_regex)
+        return p.map(glob_regex)
 
     return compiled(pattern)
 

@@ -82,17 +82,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 class Rounds:
     """The written rounds of an iteration: ``<folder>/round=<i>``."""
 
-    def __init__(self, spark: SparkSession, label: str, limit: int = 100_000):
+    def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.folder = new_folder(spark, label)
-        self.limit = limit
         self.count = 0
         self.schema = None
 
     def add(self, df: DataFrame) -> DataFrame:
         """Write one round and read it back."""
-        if self.count >= self.limit:
-            raise RuntimeError(f"no fixed point after {self.limit} rounds in {self.folder}")
         if self.schema is None:
             self.schema = df.schema
         path = f"{self.folder}/round={self.count}"
