@@ -261,7 +261,7 @@ def identify(docs: DataFrame, **how) -> DataFrame:
     return predict(d, train(d.where(~F.col("held_out")), **how), "doc_id", "held_out")
 
 
-def known_language(docs: DataFrame, least: float = 0.5, **how) -> DataFrame:
+def known_language(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
     """``docs`` whose language is known with at least this probability; a null lang is filled in."""
     model = train(docs.where(~held_out()), **how)
     out = predict(docs, model, *docs.columns, names=("_lang_found_", "_score_found_"))
