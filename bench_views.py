@@ -65,10 +65,13 @@ class Views:
         self._built: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        """A supplied table, as Spark reads it."""
+        """A supplied table. One rule for all: fewer files than cores are spread
+        over the cores, since a file may be a single piece to read."""
         key = f"table:{name}"
         if key not in self._built:
-            self._built[key] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            cores = self.spark.sparkContext.defaultParallelism
+            self._built[key] = df.repartition(cores) if len(df.inputFiles()) < cores else df
         return self._built[key]
 
     def stored(self, name: str) -> DataFrame:
