@@ -9,8 +9,9 @@ last a logistic regression over both calibrated views, fitted on labelled rows t
 seen, scores every whole document.
 
 A document is good if its quality label is not 0 and its toxic label is not 1.
-The fit sees a bounded sample by a hash of the id: ``labelled_rows`` labelled and
-``pool_rows`` unlabelled documents. Scoring is one pass over the documents without a shuffle.
+The first fit sees a bounded sample of the labelled documents by a hash of the id (``labelled_rows``), in
+one task. Each round is one pass over the written features of all unlabelled documents, in which tasks
+learn apart and their changes are averaged per feature. Scoring is one pass over the documents without a shuffle.
 
 Defined results: a text without a visible character scores 0; a label row with
 both labels null is none; of rows that label a document twice the worse counts; without labels,
@@ -20,12 +21,14 @@ doc_id is scored but not learned from; an empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,23 +100,27 @@ def meta_features(lang: str | None, source: str | None, n_chars: int) -> np.ndar
     return np.unique([zlib.crc32(x.encode("utf-8", "surrogatepass")) % (META_BINS - 1) for x in names] + [META_BINS - 1])
 
 
-def fit_ftrl(rows: list[np.ndarray], y: np.ndarray, bins: int, epochs: int, alpha: float, l1: float, l2: float, seed: int) -> np.ndarray:
-    """Weights of a logistic regression on present features; the bias (last) is not penalised."""
-    z, n = np.zeros(bins), np.zeros(bins)
+def ftrl_weights(z: np.ndarray, n: np.ndarray, alpha: float, l1: float, l2: float) -> np.ndarray:
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((1 + np.sqrt(n)) / alpha + l2))
 
-    def weights(at: np.ndarray | slice) -> np.ndarray:
-        zi = z[at]
-        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((1 + np.sqrt(n[at])) / alpha + l2))
 
+def learn(z: np.ndarray, n: np.ndarray, rows: list[np.ndarray], y: np.ndarray, epochs: int, alpha: float, l1: float, l2: float, seed: int) -> None:
+    """A logistic regression on present features goes on learning: its state (z, n) is changed in place."""
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
             at = rows[i]
-            w = weights(at)
+            w = ftrl_weights(z[at], n[at], alpha, l1, l2)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y[i]
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
-    return weights(slice(None))
+
+
+def fit_ftrl(rows: list[np.ndarray], y: np.ndarray, bins: int, epochs: int, alpha: float, l1: float, l2: float, seed: int) -> np.ndarray:
+    """Weights of a logistic regression on present features."""
+    z, n = np.zeros(bins), np.zeros(bins)
+    learn(z, n, rows, y, epochs, alpha, l1, l2, seed)
+    return ftrl_weights(z, n, alpha, l1, l2)
 
 
 def raw(rows: list[np.ndarray], w: np.ndarray) -> np.ndarray:
@@ -141,7 +148,7 @@ def sigmoid(s: np.ndarray) -> np.ndarray:
 def co_train(
     views: list[list[np.ndarray]], y: np.ndarray, bins: list[int], rounds: int, sure: float, epochs: int, seed: int, penalties: list[tuple[float, float, float]]
 ) -> dict:
-    """``views`` of the same documents; y is 1, 0, or -1 where unlabelled."""
+    """The method on one machine. ``views`` of the same documents; y is 1, 0, or -1 where unlabelled."""
     known = np.flatnonzero(y >= 0)
     held = known[np.arange(len(known)) % 4 == 3]
     fit_y = y.copy()
@@ -169,55 +176,146 @@ def co_train(
     return {"weights": [w.astype(np.float32) for w in model], "scale": scale, "mixed": mixed}
 
 
-FEATURES = "draw long, good int, words array<int>, meta array<int>"
+FEATURES = "doc_id long, words array<int>, meta array<int>"
+VIEWS = ("words", "meta")
+BINS = (TEXT_BINS, META_BINS)
+PENALTIES = ((1.0, 4.0, 0.01), (0.2, 1.0, 1.0))
+State = tuple[np.ndarray, np.ndarray]
 
 
-def sampled(docs: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: int, seed: int) -> DataFrame:
-    """Features of the bounded sample: labelled documents (good 1 or 0) and unlabelled ones (-1)."""
+def features(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """draw, good (1, 0, or -1 where unlabelled), words and meta of every document with an id, written once."""
     good = (F.coalesce("quality", F.lit(1)) != 0) & (F.coalesce("toxic", F.lit(0)) != 1)
     marks = (
         labels.where("doc_id is not null and (quality is not null or toxic is not null)")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min(good.cast("int")).alias("good"))
     )
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rows = settle(ids.join(marks, "doc_id", "left").select("doc_id", F.coalesce("good", F.lit(-1)).alias("good")), "quality-labels")
-    n = {r["known"]: r["n"] for r in rows.groupBy((F.col("good") >= 0).alias("known")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.when(F.col("good") >= 0, min(1.0, labelled_rows / n.get(True, 1))).otherwise(min(1.0, pool_rows / n.get(False, 1)))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
-    picked = settle(rows.withColumn("draw", draw).where(F.col("draw") < share * (1 << 30)), "quality-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = kinds()
         for b in (x.slice(lo, 512) for x in batches for lo in range(0, x.num_rows, 512)):
-            d, g, text, lang, source = (c.to_pylist() for c in b.columns)
+            text, lang, source = (c.to_pylist() for c in b.columns[1:])
             words = [text_features(t or "", table).astype(np.int32) for t in text]
             meta = [meta_features(x, s, len(t or "")).astype(np.int32) for x, s, t in zip(lang, source, text, strict=True)]
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(g, pa.int32()), pa.array(words, ints), pa.array(meta, ints)], ["draw", "good", "words", "meta"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, ints), pa.array(meta, ints)], ["doc_id", *VIEWS])
 
     text = [F.col(c).cast("string") for c in ("text", "lang", "source")]
-    # the sample is bounded by its two parameters
-    return docs.join(F.broadcast(picked), "doc_id").select("draw", "good", *text).mapInArrow(run, FEATURES)
+    found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), *text).mapInArrow(run, FEATURES)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)).alias("draw")
+    return settle(found.join(marks, "doc_id", "left").select(draw, F.coalesce("good", F.lit(-1)).alias("good"), *VIEWS), "quality-features")
+
+
+def lists(column: pa.Array) -> list[np.ndarray]:
+    return np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
+
+
+def labelled(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """Labels and views of the sample in the order of its draw."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return np.zeros(0, int), [[], []]
+    t = pa.Table.from_batches(got).sort_by([("draw", "ascending"), ("good", "ascending")])
+    return t["good"].to_numpy().astype(int), [lists(t[c].combine_chunks()) for c in VIEWS]
+
+
+def in_one_task(sample: DataFrame, f: Callable[[np.ndarray, list[list[np.ndarray]]], object]) -> object:
+    """What ``f`` makes of the bounded labelled sample, which meets in one task and not in the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(*labelled(batches)))], pa.binary())], ["made"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "made binary").first()[0])
+
+
+def first_fit(epochs: int, seed: int) -> Callable:
+    """Both views' states from the labelled rows that are not held out, or the only kind of label."""
+
+    def run(y: np.ndarray, views: list[list[np.ndarray]]) -> list[State] | float:
+        if len(set(y.tolist())) < 2 or len(y) < 16:
+            return float(min(y.tolist(), default=1))
+        use = np.flatnonzero(np.arange(len(y)) % 4 != 3)
+        states = [(np.zeros(b), np.zeros(b)) for b in BINS]
+        for s, rows, how in zip(states, views, PENALTIES, strict=True):
+            learn(*s, [rows[i] for i in use], y[use], epochs, *how, seed)
+        return states
+
+    return run
+
+
+def calibrate(weights: list[np.ndarray]) -> Callable:
+    """The views' scales and their mixture, from the two halves of the held-out labelled rows."""
+
+    def run(y: np.ndarray, views: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+        held = np.arange(3, len(y), 4)
+        half, rest = held[::2], held[1::2]
+        s = [raw(rows, w) for rows, w in zip(views, weights, strict=True)]
+        scale = [logistic(x[half][:, None], y[half]) for x in s]
+        return scale, logistic(np.column_stack([x[rest] * c[0] + c[1] for x, c in zip(s, scale, strict=True)]), y[rest])
+
+    return run
+
+
+def taught(found: DataFrame, first: list[State], weights: list[np.ndarray], scale: list[np.ndarray], sure: float, epochs: int, seed: int) -> list[State]:
+    """States after each view has learned from what the other is sure about, over all unlabelled documents.
+
+    Each task goes on from the labelled rows' states. Per feature, the changes of the
+    tasks that met it are averaged by what they learned, so one that a single task knows counts in full.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states = [(z.copy(), n.copy()) for z, n in first]
+        for b in (x.slice(lo, 4096) for x in batches for lo in range(0, x.num_rows, 4096)):
+            views = [lists(c) for c in b.columns]
+            for me, other in ((0, 1), (1, 0)):
+                p = sigmoid(raw(views[me], weights[me]) * scale[me][0] + scale[me][1])
+                use = np.flatnonzero((p >= sure) | (p <= 1 - sure))
+                learn(*states[other], [views[other][i] for i in use], (p[use] >= sure).astype(int), epochs, *PENALTIES[other], seed)
+        for k, ((z, n), (z0, n0)) in enumerate(zip(states, first, strict=True)):
+            dz, dn = z - z0, n - n0
+            at = np.flatnonzero(dn > 0)
+            cols = [np.full(len(at), k, np.int32), at.astype(np.int32), dn[at], dn[at] * dz[at], dn[at] * dn[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["view", "feature", "dn", "z", "n"])
+
+    made = found.where("good = -1").select(*VIEWS).mapInArrow(run, "view int, feature int, dn double, z double, n double")
+    # decimal sums do not depend on the order of the tasks; at most one row per feature comes back
+    total = [F.sum(F.col(c).cast("decimal(28,12)")).cast("double").alias(c) for c in ("dn", "z", "n")]
+    t = made.groupBy("view", "feature").agg(*total).where("dn > 0").toArrow()
+    states = []
+    for k, (z, n) in enumerate(first):
+        mine = t.filter(pc.equal(t["view"], k))
+        at, dn = mine["feature"].to_numpy(), mine["dn"].to_numpy()
+        z, n = z.copy(), n.copy()
+        z[at] += mine["z"].to_numpy() / dn
+        n[at] += mine["n"].to_numpy() / dn
+        states.append((z, n))
+    return states
 
 
 def train(
     docs: DataFrame,
     labels: DataFrame,
     labelled_rows: int = 8_000,
-    pool_rows: int = 4_000,
     rounds: int = 2,
     sure: float = 0.95,
     epochs: int = 4,
     seed: int = 5,
 ) -> dict:
-    t = sampled(docs, labels, labelled_rows, pool_rows, seed).toArrow().sort_by([("draw", "ascending"), ("good", "ascending")])
-    y = t["good"].to_numpy().astype(int)
-    kinds_seen = set(y[y >= 0].tolist())
-    if len(kinds_seen) < 2 or (y >= 0).sum() < 16:
-        return {"constant": float(min(kinds_seen, default=1))}
-    views = [[x.values.to_numpy() for x in t[c]] for c in ("words", "meta")]
-    return co_train(views, y, [TEXT_BINS, META_BINS], rounds, sure, epochs, seed, [(1.0, 4.0, 0.01), (0.2, 1.0, 1.0)])
+    found = features(docs, labels, seed)
+    known = found.where("good >= 0")
+    share = min(1.0, labelled_rows / max(1, known.count()))
+    sample = settle(known.where(F.col("draw") < share * (1 << 30)), "quality-sample")
+    first = in_one_task(sample, first_fit(epochs, seed))
+    if isinstance(first, float):
+        return {"constant": first}
+    states = first
+    for turn in range(rounds + 1):
+        weights = [ftrl_weights(*s, *how) for s, how in zip(states, PENALTIES, strict=True)]
+        scale, mixed = in_one_task(sample, calibrate(weights))
+        if turn < rounds:
+            states = taught(found, first, weights, scale, sure, epochs, seed)
+    return {"weights": [w.astype(np.float32) for w in weights], "scale": scale, "mixed": mixed}
 
 
 def score(docs: DataFrame, model: dict, keep_at: float = 0.5) -> DataFrame:

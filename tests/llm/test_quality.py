@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from plumbline.llm import quality
 
@@ -58,3 +59,22 @@ def test_held_out_accuracy_and_defined_results(spark, messy, messy_rows, empty):
 def test_without_labels(spark, messy):
     out = quality.classify(messy, spark.createDataFrame([], LABELS)).collect()
     assert {r.score for r in out} == {0.0, 1.0}
+
+
+def test_all_unlabelled_documents_teach(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    # the unlabelled documents that a sample by a hash of the id would take last
+    draw = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30))
+    last = {r.id for r in spark.range(400, 6_000).orderBy(draw.desc()).limit(60).collect()}
+    for i in range(6_000):
+        bad = i % 2
+        text = " ".join(rng.choice(("vile", "nasty", "junk") if bad else ("plain", "clear", "sound")) for _ in range(12))
+        # a source that only these show
+        rows.append((i, text, "en", f"only{bad}" if i in last else f"src{i % 6}", 0, "k", 1, "t", "l", 2))
+        if i < 400:
+            labels.append((i, 1 - bad, 0, "x"))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    model = quality.train(df, spark.createDataFrame(labels, LABELS))
+    at = lambda bad: quality.zlib.crc32(f"s:only{bad}".encode()) % (quality.META_BINS - 1)
+    assert model["weights"][1][at(0)] > 0 > model["weights"][1][at(1)]
