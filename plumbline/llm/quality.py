@@ -204,7 +204,8 @@ def features(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
     text = [F.col(c).cast("string") for c in ("text", "lang", "source")]
     found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), *text).mapInArrow(run, FEATURES)
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)).alias("draw")
-    return settle(found.join(marks, "doc_id", "left").select(draw, F.coalesce("good", F.lit(-1)).alias("good"), *VIEWS), "quality-features")
+    # one kind of join at every size, so that disk grows in proportion
+    return settle(found.join(marks.hint("merge"), "doc_id", "left").select(draw, F.coalesce("good", F.lit(-1)).alias("good"), *VIEWS), "quality-features")
 
 
 def lists(column: pa.Array) -> list[np.ndarray]:
