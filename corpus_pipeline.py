@@ -34,8 +34,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight tenths of the tokens, mixed to the weights, with at most two epochs of a leaf."""
-    return mixing.mix(docs, F.expr(DOMAIN), 0.8, 2, WEIGHTS).select(*COLUMNS)
+    """Eight tenths of the tokens, mixed to the weights, with at most two epochs of a leaf; a cut document keeps its first words."""
+    out = mixing.mix(docs, F.expr(DOMAIN), 0.8, 2, WEIGHTS)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

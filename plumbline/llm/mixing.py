@@ -37,6 +37,11 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its n-th word, its white space as it was."""
+    return F.array_join(F.slice(F.split(text, r"(?<=\S)(?=\s)"), F.lit(1), n.cast("int")), "")
+
+
 def placed(docs: DataFrame, domain: Column | str) -> DataFrame:
     domain = F.expr(domain) if isinstance(domain, str) else domain
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -131,7 +136,9 @@ def mix(
     seed: int = 1,
     only_counts: bool = False,
 ) -> DataFrame:
-    """The chosen rows of ``docs`` (``domain``: a column or an expression), once per epoch: its columns, epoch, whole (false for the cut document).
+    """The chosen rows of ``docs`` (``domain``: a column or an expression), once per epoch: its columns, epoch, cut_document.
+
+    The text of a cut document ends with the last word its leaf has budget for.
 
     ``budget`` is a number of tokens or a fraction of all. ``weights`` has whole
     numbers by level ("domain", "lang", "source") and name. With ``only_counts``
@@ -157,4 +164,6 @@ def mix(
             F.when(cut, F.least("tokens", "cut_tokens")).otherwise(F.col("tokens")).alias("kept_tokens"),
         )
     own = [c for c in docs.columns if c not in ("epoch", "cut_document")]
-    return rows.select(*(F.col(f"row.`{c}`") for c in own), "epoch", cut.alias("cut_document"))
+    text = F.col("row.`text`").cast("string")
+    kept = F.when(cut & (tokens(text) > F.col("cut_tokens")), first_words(text, F.col("cut_tokens"))).otherwise(text).alias("text")
+    return rows.select(*(kept if c == "text" else F.col(f"row.`{c}`") for c in own), "epoch", cut.alias("cut_document"))

@@ -82,3 +82,19 @@ def test_a_sibling_takes_a_shortage_before_the_other_domain(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     out = mixing.mix(df, DOMAIN, 200, 1, {}, only_counts=True).groupBy("source").agg(F.sum("kept_tokens").alias("n")).collect()
     assert {r.source: r.n for r in out} == {"src0": 10, "src1": 90, "other": 100}
+
+
+def test_a_cut_document_ends_with_its_leaf_s_budget(spark):
+    long = " \n" + "\t ".join(f"é{i}" for i in range(100_000)) + "  "
+    rows = [(1, long, "en", "src0"), (2, "b " * 30, "en", "src1"), (3, " c  d ", "en", "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for budget in (50, 77, 3_000):
+        out = mixing.mix(df, DOMAIN, budget, 1).collect()
+        kept = mixing.mix(df, DOMAIN, budget, 1, only_counts=True).collect()
+        n = {r.doc_id: r.kept_tokens for r in kept}
+        assert {r.doc_id: len(r.text.split()) for r in out} == n and any(r.cut_document for r in out)
+        for r in out:
+            text = rows[r.doc_id - 1][1]
+            words = text.split()
+            assert text.startswith(r.text) and r.text.split() == words[: n[r.doc_id]]
+            assert r.text == text if n[r.doc_id] == len(words) else r.text.endswith(words[n[r.doc_id] - 1])

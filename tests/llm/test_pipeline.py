@@ -75,3 +75,15 @@ def test_stages_equal_brute_force(spark):
     at = {r.sequence_id for r in out}
     assert len(at) <= -(-sum(r.length for r in out) // 2048) + 2
     assert packing.encoder(tokenizer_file())("") == []
+
+
+def test_the_mixing_stage_passes_cut_texts_on(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    before = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    domain = lambda s: ("web", "news", "books", "other")[min(3, int(s.removeprefix("src")) // 5)]
+    want = test_mixing.expected(before, 0.8, 2, WEIGHTS, domain=domain)
+    text = {r[0]: r[1] for r in before}
+    cut = lambda t, n: t if len(t.split()) <= n else re.match(r"\s*" + r"\s+".join([r"\S+"] * n), t)[0]
+    got = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, str(DATA)).collect()
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in got) == Counter((r[0], c := cut(text[r[0]], r[-1]), len(c)) for r in want)
+    assert any(r.text != text[r.doc_id] for r in got)
