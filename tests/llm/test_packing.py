@@ -83,3 +83,16 @@ def test_messy_documents(spark, messy, messy_rows, empty):
 def test_many_blocks_keep_all(spark, messy, messy_rows):
     out = packing.pack_documents(messy, tokenizer_file(), max_tokens=64, block=20).collect()
     check(out, [(r[0], r[1]) for r in messy_rows], 64)
+
+
+def test_added_tokens_have_their_own_ids():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_file())
+    encode = packing.encoder(tokenizer_file())
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+    rng = random.Random(2)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "a", "\n", "word", "<|", "é", "12"]
+    for _ in range(300):
+        t = "".join(rng.choice(parts) for _ in range(20))
+        assert encode(t) == tok.encode(t, add_special_tokens=False).ids
