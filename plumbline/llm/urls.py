@@ -59,19 +59,26 @@ def stated(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def mine(
-    labelled: DataFrame, support: float = 0.002, least_pages: int = 20, confidence: float = 0.5, lift: float = 1.5, most_tokens: int = 3
+    labelled: DataFrame, support: float = 0.002, least_pages: int = 20, confidence: float = 0.5, lift: float = 1.5
 ) -> DataFrame:
-    """Rules from ``labelled`` (items: array of tokens, bad: boolean): antecedent, n, confidence, index token."""
+    """Rules from ``labelled`` (items: array of tokens, bad: boolean): antecedent, n, confidence, index token.
+
+    A rule that is as sure without one of its tokens is left to the shorter one, which fires wherever it would.
+    """
     rows = settle(labelled.select(F.when(F.col("bad"), F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items")), "transactions")
     empty = "antecedent array<string>, n int, confidence double, token string"
     n = rows.count()
     if not n:
         return labelled.sparkSession.createDataFrame([], empty)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least_pages / n)), minConfidence=confidence).fit(rows)
-    found = model.associationRules.where(
-        (F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= most_tokens) & (F.col("lift") >= lift)
+    found = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.col("lift") >= lift))
+    found = settle(found.select(F.array_sort("antecedent").alias("antecedent"), F.size("antecedent").alias("n"), "confidence"), "mined-rules")
+    less = found.select("antecedent", "confidence", F.explode("antecedent").alias("t")).select(
+        "antecedent", "confidence", F.expr("array_remove(antecedent, t)").alias("less")
     )
-    found = settle(found.select("antecedent", F.size("antecedent").alias("n"), "confidence"), "mined-rules")
+    short = found.select(F.col("antecedent").alias("less"), F.col("confidence").alias("short_confidence"))
+    covered = less.join(short, "less").where("short_confidence >= confidence").select("antecedent").distinct()
+    found = found.join(covered, "antecedent", "left_anti")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rare = found.select("antecedent", "n", "confidence", F.explode("antecedent").alias("token")).join(single, "token")
     return (

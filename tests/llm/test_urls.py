@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 from plumbline.llm import urls
@@ -63,3 +64,15 @@ def test_the_plan_is_native(spark):
     out = urls.judge(frame(spark, [(1, "http://a.org/")]), spark.createDataFrame([(1, 0, 1)], LABELS), URL_RULES)
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_pattern_that_only_four_tokens_together_tell(spark):
+    # three of the four are bad on two pages of five only
+    texts = ["/".join(f"{'bad' if v < 2 else 'ok'}{k}" for k, v in enumerate(c)) for c in itertools.product(range(5), repeat=4)]
+    rows = [(i, f"http://a.net/{t}/{i}") for i, t in enumerate(texts * 3)]
+    blocked = {i for i, u in rows if u.count("bad") == 4}
+    labels = spark.createDataFrame([(i, 0 if i in blocked else 1, None) for i, _ in rows], LABELS)
+    out = urls.judge(frame(spark, rows), labels, URL_RULES).collect()
+    assert {r.page_id for r in out if r.verdict == "block"} == blocked
+    known = spark.createDataFrame([(u.split("//")[1].replace(".", "/").split("/"), i in blocked) for i, u in rows], "items array<string>, bad boolean")
+    assert [r.antecedent for r in urls.mine(known).collect()] == [["bad0", "bad1", "bad2", "bad3"]]
