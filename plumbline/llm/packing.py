@@ -47,25 +47,61 @@ def byte_letters() -> dict[str, bytes]:
     return {chr(b): bytes([b]) for b in shown} | {chr(256 + k): bytes([b]) for k, b in enumerate(hidden)}
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Text to the ids of a byte-level BPE ``tokenizers`` file.
+# White space as the pattern's \\s has it, in runs too long for its look-ahead.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
-    The file's vocabulary is numbered in the order of its merges, so it is also
-    a table of ranks; the rank encoder gives the same ids five times as fast.
-    The file's added tokens are cut out of a text first and have their own ids.
-    """
-    import tiktoken
 
+def byte_level(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ranks and added tokens of a byte-level BPE ``tokenizers`` file.
+
+    A file whose ids are not ranks, or that changes a text before it is cut, is
+    refused: its ids would differ from those of the library.
+    """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     added = spec.get("added_tokens", [])
     if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
         raise ValueError(f"added tokens that are more than their text: {path}")
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
+        raise ValueError(f"not a plain byte-level file: {path}")
+    if not before.get("use_regex", True) or model.get("type") != "BPE" or model.get("ignore_merges") or model.get("dropout"):
+        raise ValueError(f"not a plain byte-level BPE: {path}")
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [model["vocab"][a + b] for a, b in pairs]
+    if any(x >= y for x, y in zip(order, order[1:], strict=False)):
+        raise ValueError(f"ids do not follow the merges: {path}")
     special = {t["content"]: t["id"] for t in added}
     letter = byte_letters()
-    ranks = {b"".join(map(letter.__getitem__, w)): i for w, i in spec["model"]["vocab"].items() if w not in special}
-    plain = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    if not special:
+    ranks = {b"".join(map(letter.__getitem__, w)): i for w, i in model["vocab"].items() if w not in special}
+    return ranks, special
+
+
+def encoder(path: str, added: bool = True) -> Callable[[str], list[int]]:
+    """Text to the ids of a byte-level BPE ``tokenizers`` file.
+
+    The file's vocabulary is numbered in the order of its merges, so it is also
+    a table of ranks; the rank encoder gives the same ids five times as fast.
+    The file's added tokens are cut out of a text first and have their own ids,
+    or with ``added`` false are text like any other. Long runs of white space
+    are cut off before the pattern sees them, at the places where it cuts.
+    """
+    import tiktoken
+
+    ranks, special = byte_level(path)
+    coding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ordinary = coding.encode_ordinary
+
+    def plain(text: str) -> list[int]:
+        ids, lo = [], 0
+        for m in LONG_BLANKS.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1  # the last blank goes with the next word
+            ids += ordinary(text[lo : m.start()])
+            ids += coding._encode_single_piece(text[m.start() : end])
+            lo = end
+        return ids + ordinary(text[lo:]) if lo else ordinary(text)
+
+    if not special or not added:
         return plain
     marks = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))))
 
