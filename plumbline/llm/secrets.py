@@ -151,42 +151,55 @@ def pairs(text: str) -> list[tuple[str, list[Literal | str]]]:
     return out
 
 
+def short(name: str) -> str:
+    return re.split(r"->|::|\.", name)[-1]
+
+
 def found(text: str) -> list[tuple[str, int, int, str, float]]:
-    """Literals of sensitive targets: kind, start, end, the target's name, score."""
+    """Literals of sensitive targets: kind, start, end, the target's name, score.
+
+    The most sensitive targets go first, so a constant is followed once only,
+    for the target that says most about it.
+    """
     told = pairs(text)
     constants: dict[str, list[Literal | str]] = {}
     for name, value in told:
-        constants.setdefault(re.split(r"->|::|\.", name)[-1], value)
+        constants.setdefault(short(name), value)
 
-    def literals(value: list[Literal | str], seen: frozenset[str]) -> Iterator[tuple[Literal, bool]]:
-        known = False
+    def parts(value: list[Literal | str]) -> tuple[list[Literal], list[str]]:
+        """The literals of a value and the constants that it names."""
+        own, named, known = [], [], False
         for x in value:
             if isinstance(x, str):
-                short = re.split(r"->|::|\.", x)[-1]
-                known = short in constants and short not in seen
-                if known:
-                    yield from ((y, True) for y, _ in literals(constants[short], seen | {short}))
+                known = short(x) in constants
+                named += [short(x)] * known
             elif not known or x[2]:
                 known = False
-                yield x, False
-                for hole in HOLE.finditer(text, x[0], x[1]):
-                    short = hole[1] or hole[2]
-                    if short in constants and short not in seen:
-                        yield from ((y, True) for y, _ in literals(constants[short], seen | {short}))
+                own.append(x)
+                named += [h[1] or h[2] for h in HOLE.finditer(text, x[0], x[1]) if (h[1] or h[2]) in constants]
+        return own, named
 
-    known_names: dict[str, float] = {}
+    how = {name: sensitivity(name) for name, _ in told}
     best: dict[tuple[int, int], tuple[str, int, int, str, float]] = {}
-    for name, value in told:
-        if name not in known_names:
-            known_names[name] = sensitivity(name)
-        how = known_names[name]
-        if how < LEAST:
-            continue
-        for (a, b, quoted), flows in literals(value, frozenset([re.split(r"->|::|\.", name)[-1]])):
-            score = how * substance(text[a:b], quoted)
-            old = best.get((a, b))
-            if score >= LEAST and (not old or (score, not flows) > (old[4], old[0] == "literal")):
-                best[a, b] = ("flow" if flows else "literal", a, b, name, score)
+
+    def offer(kind: str, literals: list[Literal], name: str) -> None:
+        for lo, hi, quoted in literals:
+            score = how[name] * substance(text[lo:hi], quoted)
+            old = best.get((lo, hi))
+            if score >= LEAST and (not old or (score, kind == "literal") > (old[4], old[0] == "literal")):
+                best[lo, hi] = (kind, lo, hi, name, score)
+
+    followed: set[str] = set()
+    for name, value in sorted((x for x in told if how[x[0]] >= LEAST), key=lambda x: -how[x[0]]):
+        own, open_ = parts(value)
+        offer("literal", own, name)
+        while open_:
+            c = open_.pop()
+            if c not in followed:
+                followed.add(c)
+                own, more = parts(constants[c])
+                offer("flow", own, name)
+                open_ += more
     return list(best.values())
 
 
