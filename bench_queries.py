@@ -1370,6 +1370,52 @@ def _(v: Views):
     return effects.propagate(v.stored("nodes"), v.stored("edges"), v.effectful(), allow).select(*ID, "pure")
 
 
+@query("purity_after_change", SQL["purity"])
+def _(v: Views):
+    """Derived from the purity of an earlier snapshot, which had more calls, no allow list and no interface calls."""
+    earlier = v.stored("cyclic").withColumn("kind", F.lit("calls")).unionByName(v.stored("edges").where("kind <> 'calls_dynamic'"), allowMissingColumns=True)
+    earlier = earlier.select(*SNAP, "from", "to", "kind")
+    old = effects.effect_inputs(v.stored("nodes"), earlier, v.effectful())
+    before = settle(effects.propagate(v.stored("nodes"), earlier, v.effectful()), "purity-before")
+    allow = v.stored("facts").where("cc = 4").select(*ID)
+    now = effects.effect_inputs(v.stored("nodes"), v.stored("edges"), v.effectful(), allow)
+    return effects.repropagate(before, old[1:], *now).select(*ID, "pure")
+
+
+_LAST = "regexp_extract({}, '([^/]*)$', 1)"
+
+
+@query(
+    "purity_reasons",
+    sql(
+        f"""SELECT f.repo, f.id, CASE WHEN r.d > 0 THEN
+              CASE m.kind WHEN 'calls' THEN 'calls ' || {_LAST.format("m.t")} || ' (effectful)'
+                WHEN 'calls_dynamic' THEN 'may call ' || {_LAST.format("m.t")} || ' (effectful)'
+                ELSE 'calls ' || {_LAST.format("m.t")} || ' through an interface' END
+              WHEN r.d = 0 AND e.id IS NULL THEN 'calls ' || {_LAST.format("u.t")} || ' through an interface' END AS reason, r.d AS round
+            FROM func f LEFT JOIN rnd r ON r.repo = f.repo AND r.id = f.id LEFT JOIN eff e ON e.repo = f.repo AND e.id = f.id
+            LEFT JOIN blind_at u ON u.repo = f.repo AND u.id = f.id
+            LEFT JOIN (SELECT repo, f, x.t AS t, x.kind AS kind FROM (SELECT d.repo, d.f, min(struct_pack(t := d.t, kind := d.kind)) AS x FROM kdep d JOIN rnd a ON a.repo = d.repo AND a.id = d.f
+              JOIN rnd b ON b.repo = d.repo AND b.id = d.o WHERE b.d = a.d - 1 GROUP BY ALL)) m ON m.repo = f.repo AND m.f = f.id""",
+        recursive=True,
+        dep=_SPREAD["dep"],
+        kdep="""SELECT c.repo, c.f, c.t, c.kind, c.t AS o FROM callx c WHERE EXISTS (SELECT 1 FROM func b WHERE b.repo = c.repo AND b.id = c.t)
+          UNION SELECT c.repo, c.f, c.t, 'interface', i.f || '.' || regexp_extract(c.t, '([^.]*)$', 1) FROM callx c
+          JOIN impl i ON i.repo = c.repo AND i.t = regexp_extract(c.t, '^(.+)\\.[^.]*$', 1) WHERE c.kind = 'calls_dynamic'
+            AND NOT EXISTS (SELECT 1 FROM func b WHERE b.repo = c.repo AND b.id = c.t)""",
+        blind=_SPREAD["blind"],
+        blind_at="""SELECT c.repo, c.f AS id, min(c.t) AS t FROM callx c WHERE c.kind = 'calls_dynamic' AND NOT EXISTS (SELECT 1 FROM func b WHERE b.repo = c.repo AND b.id = c.t)
+          AND NOT EXISTS (SELECT 1 FROM impl i WHERE i.repo = c.repo AND i.t = regexp_extract(c.t, '^(.+)\\.[^.]*$', 1)) GROUP BY ALL""",
+        seeds="SELECT repo, id FROM eff UNION SELECT repo, id FROM blind",
+        way="SELECT repo, id, 0 AS d FROM seeds UNION SELECT d.repo, d.f, b.d + 1 FROM way b JOIN dep d ON d.repo = b.repo AND d.o = b.id WHERE b.d < 100",
+        rnd="SELECT repo, id, min(d) AS d FROM way GROUP BY ALL",
+    ),
+)
+def _(v: Views):
+    """Why each function is effectful, and how far from an effect."""
+    return effects.propagate(v.stored("nodes"), v.stored("edges"), v.effectful()).select(*ID, "reason", "round")
+
+
 @query(
     "package_purity",
     sql(

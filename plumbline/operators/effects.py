@@ -150,34 +150,42 @@ def _reason(kind: str, to: str):
     )
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, effectful: DataFrame, allow: DataFrame | None = None) -> DataFrame:
-    """Purity of every function: ``…, id, pure, reason, round``.
-
-    ``effectful``: functions with local effects; ``allow``: functions that are
-    pure whatever they do. All rules ask for the existence of one effectful
-    callee, so the fixed point is a search from the effectful functions
-    against the direction of calls. Each round is written to the shared folder
-    and only extends the last round's new functions. ``reason`` names the
-    smallest edge of the round that marked a function (NULL: its own effects).
-    """
-    spark = nodes.sparkSession
+def effect_inputs(
+    nodes: DataFrame, edges: DataFrame, effectful: DataFrame, allow: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What effects spread over: functions (``…, id``), dependencies (``…, from,
+    to, kind, on``: whoever may get an effect, and from where) and seeds (``…,
+    id, reason``: effectful whatever they call; NULL: by themselves)."""
     funcs = nodes.where(F.col("kind") == FUNC).select(*ID).distinct()
     open_ids = funcs if allow is None else funcs.join(allow.select(*ID), ID, "left_anti")
     deps, unknown = _dependencies(funcs, edges)
     markable = open_ids.withColumnRenamed("id", "from")
-    deps = settle(deps.join(markable, SNAP + ["from"], "left_semi"), "effect-edges")
-    seeds = open_ids.join(effectful.select(*ID).distinct(), ID, "left_semi").withColumn(
-        "reason", F.lit(None).cast("string")
-    )
+    deps = deps.join(markable, SNAP + ["from"], "left_semi")
+    own = open_ids.join(effectful.select(*ID).distinct(), ID, "left_semi").withColumn("reason", F.lit(None).cast("string"))
     blind = (
         unknown.join(markable, SNAP + ["from"], "left_semi")
         .groupBy(*SNAP, F.col("from").alias("id"))
         .agg(F.min("to").alias("to"))
-        .join(seeds.select(*ID), ID, "left_anti")
+        .join(own.select(*ID), ID, "left_anti")
         .select(*ID, F.concat(F.lit("calls "), paths.short("to"), F.lit(" through an interface")).alias("reason"))
     )
-    rounds = Rounds(spark, "effects")
-    front = rounds.add(seeds.unionByName(blind))
+    return funcs, deps, own.unionByName(blind)
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, effectful: DataFrame, allow: DataFrame | None = None) -> DataFrame:
+    """Purity of every function: ``…, id, pure, reason, round``.
+
+    ``effectful``: functions with local effects; ``allow``: functions that are
+    pure whatever they do. All rules ask for the existence of one effectful
+    callee, so the fixed point is a search from the effectful functions
+    against the direction of calls. Each round is written to the shared folder
+    and only extends the last round's new functions. ``reason`` names the
+    smallest edge of the round that marked a function (NULL: its own effects).
+    """
+    funcs, deps, seeds = effect_inputs(nodes, edges, effectful, allow)
+    deps = settle(deps, "effect-edges")
+    rounds = Rounds(nodes.sparkSession, "effects")
+    front = rounds.add(seeds)
     while not front.isEmpty():
         marked = rounds.all().select(*ID)
         hit = (
@@ -189,3 +197,114 @@ def propagate(nodes: DataFrame, edges: DataFrame, effectful: DataFrame, allow: D
         front = rounds.add(new)
     marked = rounds.all()
     return funcs.join(marked, ID, "left").select(*ID, F.col("round").isNull().alias("pure"), "reason", "round")
+
+
+RID = ["repo", "id"]
+MARK = RID + ["round", "reason"]
+
+
+def _on(marks: DataFrame, name: str = "at") -> DataFrame:
+    return marks.select("repo", F.col("id").alias("on"), F.col("round").alias(name))
+
+
+def repropagate(
+    before: DataFrame, old: tuple[DataFrame, DataFrame], funcs: DataFrame, deps: DataFrame, seeds: DataFrame
+) -> DataFrame:
+    """Purity after a change, from the purity before it: as ``propagate``.
+
+    ``before`` is the result for each repository's last snapshot, ``old`` its
+    dependencies and seeds; ``funcs, deps, seeds`` are ``effect_inputs`` of the
+    next snapshot of the repositories that changed. Nothing of another
+    repository is read beyond its key. Delete, then derive again:
+
+    * A mark stands while the function is a seed or depends on a marked function
+      of a lower round. Where a seed or a dependency went, that is asked again;
+      a mark without such a support goes, and asks those that lean on it.
+    * New seeds, new dependencies on a standing mark, and functions that lost
+      their mark but still depend on one start a search as in ``propagate``.
+
+    Only functions around changes are asked, each once for every support that it
+    loses. ``pure`` is that of a run from scratch; ``round`` is one more than that of some
+    function it depends on, not always of the nearest, and ``reason`` names an
+    edge to one of the lowest round among those that marked it.
+    """
+    spark = funcs.sparkSession
+    touched = settle(funcs.select("repo").distinct(), "changed-repositories")
+    # always true; with a predicate on this side, the folders of other repositories are pruned
+    here = touched.where("repo >= ''")
+    here = F.broadcast(here) if touched.count() <= 100_000 else here
+    arrow = ["repo", "from", "on"]
+    old_deps = settle(old[0].join(here, "repo", "left_semi").select(*arrow).distinct(), "old-dependencies")
+    old_seeds = old[1].join(here, "repo", "left_semi").select(*RID)
+    deps = settle(deps.select("repo", "from", "to", "kind", "on"), "dependencies")
+    seeds = settle(seeds.select(*RID, "reason"), "seeds")
+    names = settle(funcs.select(*RID), "functions")
+    marks = settle(
+        before.where(~F.col("pure")).join(here, "repo", "left_semi").select(*MARK).join(names, RID, "left_semi"), "marks"
+    )
+    arrows = deps.select(*arrow).distinct()
+    gained = settle(arrows.join(old_deps, arrow, "left_anti"), "gained")
+    lost = old_deps.join(arrows, arrow, "left_anti").select("repo", F.col("from").alias("id"))
+    lost = lost.unionByName(old_seeds.join(seeds, RID, "left_anti"))
+
+    # delete
+    deleted = Rounds(spark, "unmarked")
+    asked = marks.select(*RID, "round").join(lost.distinct(), RID, "left_semi").join(seeds, RID, "left_anti")
+    gone = None
+    while gone is None or not gone.isEmpty():
+        asked = settle(asked, "asked")
+        out = asked if gone is None else asked.join(deleted.all().select(*RID), RID, "left_anti")
+        held = (
+            deps.join(out.select("repo", F.col("id").alias("from"), "round"), ["repo", "from"])
+            .join(_on(marks), ["repo", "on"])
+            .where("at < round")
+            .select("repo", F.col("from").alias("id"), "on")
+        )
+        if gone is not None:
+            held = held.join(deleted.all().select("repo", F.col("id").alias("on")), ["repo", "on"], "left_anti")
+        gone = deleted.add(out.join(held.select(*RID).distinct(), RID, "left_anti"))
+        asked = (
+            deps.join(_on(gone), ["repo", "on"])
+            .select("repo", F.col("from").alias("id"), "at")
+            .join(marks, RID)
+            .where("round > at")
+            .select(*RID, "round")
+            .distinct()
+            .join(seeds, RID, "left_anti")
+        )
+    none = deleted.all().select(*RID)
+    stand = marks.join(none, RID, "left_anti")
+    # a mark that is a seed now needs no support any more
+    stand = settle(
+        stand.join(seeds.select(*RID, F.col("reason").alias("_r"), F.lit(True).alias("_seed")), RID, "left").select(
+            *RID, F.expr("if(_seed, 0, round)").alias("round"), F.expr("if(_seed, _r, reason)").alias("reason")
+        ),
+        "standing",
+    )
+
+    # derive again
+    found = Rounds(spark, "marked-again")
+    asks = gained.select("repo", F.col("from").alias("id")).unionByName(none).distinct().join(stand, RID, "left_anti")
+    edge = F.min(F.struct(F.col("at"), F.col("to"), F.col("kind"))).alias("_e")
+    marked = [*RID, (F.col("_e.at") + 1).alias("round"), _reason("_e.kind", "_e.to").alias("reason")]
+    start = seeds.join(stand, RID, "left_anti").select(*RID, F.lit(0).alias("round"), "reason")
+    again = (
+        deps.join(asks.select("repo", F.col("id").alias("from")), ["repo", "from"], "left_semi")
+        .join(_on(stand), ["repo", "on"])
+        .groupBy("repo", F.col("from").alias("id"))
+        .agg(edge)
+        .join(seeds, RID, "left_anti")
+        .select(*marked)
+    )
+    front = found.add(start.unionByName(again))
+    while not front.isEmpty():
+        known = stand.select(*RID).unionByName(found.all().select(*RID))
+        hit = deps.join(_on(front), ["repo", "on"]).groupBy("repo", F.col("from").alias("id")).agg(edge)
+        front = found.add(hit.join(known, RID, "left_anti").select(*marked))
+    new = spark.read.schema(found.schema).parquet(f"{found.folder}/round=*")
+    now = stand.unionByName(new)
+    return (
+        funcs.select(*SNAP, "id")
+        .join(now, RID, "left")
+        .select(*ID, F.col("round").isNull().alias("pure"), "reason", "round")
+    )
