@@ -7,6 +7,7 @@ Everything iterative writes its rounds as Parquet below the cluster's
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,24 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
 
 
+def sweep_intermediates(spark: SparkSession, older_than_seconds: float = 7 * 24 * 3600.0) -> list[str]:
+    """Remove the written intermediates of jobs that ended long ago: those folders of
+    ``settle`` and ``Rounds`` in which nothing has changed for the given time,
+    which must exceed the longest job. Returns their names."""
+    from plumbline.sources.store import Files
+
+    root = f"{shared_folder(spark)}/plumbline"
+    files = Files(spark, root)
+    limit = time.time_ns() // 1_000_000 - int(older_than_seconds * 1000)
+    old = []
+    for name, changed in files.children(root):
+        newest = max([changed, *(at for _, at in files.children(f"{root}/{name}"))])
+        if newest <= limit:
+            files.remove(f"{root}/{name}")
+            old.append(name)
+    return sorted(old)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and the planner knows the real size of what it reads."""

@@ -1,134 +1,110 @@
-"""Writers: snapshots that become visible at once, and caches per repository."""
+"""Writers: snapshots and caches, in tables that change together (``store``)."""
 
 from __future__ import annotations
 
-import time
-import uuid
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from plumbline import schemas as S
 from plumbline.operators.coverage import update_coverage_cache
 from plumbline.operators.mutation import record_run
 from plumbline.schemas import SNAP
 from plumbline.session import settle
+from plumbline.sources.store import Store, Version
 
-MANIFEST = "_committed"
-WRITE = StructField("write_id", StringType())
-MANIFEST_SCHEMA = StructType([*(StructField(c, StringType()) for c in SNAP), WRITE, StructField("written", LongType())])
-# Row order inside a table's files; these columns also split a large repository.
-ORDER = ["id", "from", "to", "kind", "file", "line", "start_line", "start", "n"]
 
+def snapshot_store(spark: SparkSession, root: str) -> Store:
+    return Store(spark, root, tuple(SNAP))
 
-def write_snapshot(tables: dict[str, DataFrame], root: str) -> None:
-    """Write all tables of some snapshots as a new version, then their manifest rows.
 
-    Nothing that is there is touched: the version has folders of its own, and
-    readers take for each snapshot the newest version in the manifest, which is
-    written last. So they see all tables of one version or none, and a table
-    without rows is empty in the new version, whatever the old one had.
+def write_snapshot(tables: dict[str, DataFrame], root: str) -> Version:
+    """Write all tables of some snapshots as one commit.
+
+    Nothing that is there is touched, and readers see all tables of one version
+    or none; a table without rows is empty in the new version, whatever the old one
+    had. Of two writers of one snapshot the one that commits later counts,
+    whatever their clocks say.
     """
-    spark = next(iter(tables.values())).sparkSession
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        order = [c for c in ORDER if c in df.columns]
-        (
-            df.withColumn(WRITE.name, F.lit(version))
-            .repartitionByRange(*SNAP, *order)
-            .sortWithinPartitions(*SNAP, *order)
-            .write.mode("append")
-            .partitionBy(WRITE.name, *SNAP)
-            .parquet(f"{root}/{name}")
-        )
     done = tables["snapshots"] if "snapshots" in tables else next(iter(tables.values()))
-    written = done.select(*SNAP).distinct().withColumns({WRITE.name: F.lit(version), "written": F.lit(time.time_ns())})
-    written.coalesce(1).write.mode("append").parquet(f"{root}/{MANIFEST}")
-
-
-def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
-    """The files of a folder, or None where there is no folder yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    keys = done.select(*SNAP).distinct()
+    return snapshot_store(done.sparkSession, root).update(lambda _: (tables, keys))
 
 
 def committed(spark: SparkSession, root: str) -> DataFrame | None:
-    """Committed snapshots with their newest version, or None before the first one."""
-    found = _stored(spark, f"{root}/{MANIFEST}", MANIFEST_SCHEMA)
-    return None if found is None else found.groupBy(*SNAP).agg(F.max_by(WRITE.name, "written").alias(WRITE.name))
+    """Committed snapshots with their newest write, or None before the first one."""
+    return snapshot_store(spark, root).live()
 
 
 def read_table(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
     """A table, limited to the newest versions of committed snapshots."""
-    done = committed(spark, root)
-    rows = _stored(spark, f"{root}/{name}", StructType([*schema.fields, WRITE])) if done is not None else None
-    if rows is None:
-        return spark.createDataFrame([], schema)
-    return rows.join(done, [*SNAP, WRITE.name], "left_semi").select(*schema.fieldNames())
-
-
-def write_cache(df: DataFrame, path: str, touched: DataFrame) -> None:
-    """Replace the cache rows of the touched repositories (``repo``), leaving
-    other repositories' folders alone. A touched repository always has a row,
-    if only an empty one, so that its old rows cannot stay behind."""
-    repos = touched.select("repo").distinct()
-    rows = df.join(repos, "repo", "left_semi")
-    blank = repos.select("repo", *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != "repo"])
-    order = [c for c in ORDER if c in rows.columns]
-    (
-        rows.unionByName(blank)
-        .repartitionByRange("repo", *order)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("repo")
-        .parquet(path)
-    )
+    return snapshot_store(spark, root).read(name, schema)
 
 
 def read_cache(spark: SparkSession, path: str, schema: StructType, key: str = "id") -> DataFrame:
     """Cache rows; empty before the first write."""
-    rows = _stored(spark, path, schema)
-    if rows is None:
-        return spark.createDataFrame([], schema)
-    return rows.where(F.col(key).isNotNull()).select(*schema.fieldNames())
+    root, _, name = path.rstrip("/").rpartition("/")
+    return Store(spark, root).read(name, schema).where(F.col(key).isNotNull())
+
+
+def _update(
+    store: Store,
+    tables: list[tuple[str, StructType]],
+    touched: DataFrame,
+    apply: Callable[..., tuple[DataFrame, ...]],
+    epoch: tuple[str, int] | None,
+) -> None:
+    """Replace the touched repositories' rows by what ``apply`` makes of them."""
+
+    def build(base: Version) -> tuple[dict[str, DataFrame], DataFrame]:
+        old = [store.read(n, s, base).join(touched, "repo", "left_semi") for n, s in tables]
+        new = [settle(df.select(*s.fieldNames()), n) for df, (n, s) in zip(apply(*old), tables, strict=True)]
+        return {n: df.join(touched, "repo", "left_semi") for df, (n, _) in zip(new, tables, strict=True)}, touched
+
+    store.update(build, epoch)
 
 
 def update_coverage_caches(
-    spark: SparkSession, root: str, funcs: DataFrame, measured: DataFrame, states: DataFrame, ran: DataFrame, failed: DataFrame, at=None
+    spark: SparkSession,
+    root: str,
+    funcs: DataFrame,
+    measured: DataFrame,
+    states: DataFrame,
+    ran: DataFrame,
+    failed: DataFrame,
+    at=None,
+    epoch: tuple[str, int] | None = None,
 ) -> None:
-    """Apply a coverage run to the stored caches of its repositories."""
+    """Apply a coverage run to the stored caches of its repositories, in one commit.
+
+    After a conflict with another writer the run is applied to the newer caches;
+    an ``epoch`` (stream, number) that was committed before changes nothing."""
     stored = [
-        ("coverage_cache", S.COVERAGE_CACHE, "id"),
-        ("coverage_cache_lines", S.COVERAGE_CACHE_LINES, "id"),
-        ("coverage_errors", S.COVERAGE_ERRORS, "package"),
+        ("coverage_cache", S.COVERAGE_CACHE),
+        ("coverage_cache_lines", S.COVERAGE_CACHE_LINES),
+        ("coverage_errors", S.COVERAGE_ERRORS),
     ]
     touched = ran.select("repo").distinct()
-    old = [read_cache(spark, f"{root}/{n}", s, k).join(touched, "repo", "left_semi") for n, s, k in stored]
-    new = update_coverage_cache(*old, funcs, measured, states, ran, failed, at)
-    # All three are computed before the first folder is replaced.
-    kept = [settle(df.select(*s.fieldNames()), n) for df, (n, s, _) in zip(new, stored)]
-    for df, (name, _, _) in zip(kept, stored):
-        write_cache(df, f"{root}/{name}", touched)
+    apply = lambda *old: update_coverage_cache(*old, funcs, measured, states, ran, failed, at)
+    _update(Store(spark, root), stored, touched, apply, epoch)
 
 
 def update_mutation_caches(
-    spark: SparkSession, root: str, funcs: DataFrame, mutation: DataFrame, mutants: DataFrame, outcome: DataFrame
+    spark: SparkSession,
+    root: str,
+    funcs: DataFrame,
+    mutation: DataFrame,
+    mutants: DataFrame,
+    outcome: DataFrame,
+    epoch: tuple[str, int] | None = None,
 ) -> None:
-    """Apply a mutation run to the stored caches of its repositories."""
+    """Apply a mutation run to the stored caches of its repositories, as ``update_coverage_caches`` does."""
     stored = [
-        ("mutation_cache", S.MUTATION_CACHE, "id"),
-        ("mutation_cache_mutants", S.MUTATION_CACHE_MUTANTS, "id"),
-        ("mutation_runs", S.MUTATION_RUNS, "package"),
+        ("mutation_cache", S.MUTATION_CACHE),
+        ("mutation_cache_mutants", S.MUTATION_CACHE_MUTANTS),
+        ("mutation_runs", S.MUTATION_RUNS),
     ]
     touched = outcome.select("repo").distinct()
-    old = [read_cache(spark, f"{root}/{n}", s, k).join(touched, "repo", "left_semi") for n, s, k in stored]
-    new = record_run(*old, funcs, mutation, mutants, outcome)
-    kept = [settle(df.select(*s.fieldNames()), n) for df, (n, s, _) in zip(new, stored)]
-    for df, (name, _, _) in zip(kept, stored):
-        write_cache(df, f"{root}/{name}", touched)
+    _update(Store(spark, root), stored, touched, lambda *old: record_run(*old, funcs, mutation, mutants, outcome), epoch)

@@ -174,14 +174,15 @@ def _latest(results: DataFrame) -> DataFrame:
 
 
 def coverage_upkeep(
-    results: DataFrame, root: str, funcs: DataFrame, checkpoint: str, **trigger
+    results: DataFrame, root: str, funcs: DataFrame, checkpoint: str, name: str = "coverage", **trigger
 ) -> StreamingQuery:
     """Keep stored coverage caches current from a stream of run results:
     ``repo, snapshot_id, package, error, ran_at, id, stmts, covered, line,
     state`` (one row per measured line; ``id`` NULL for a package that ran
-    without measured functions)."""
+    without measured functions). A micro-batch that is played again, under the
+    stream's ``name``, changes nothing."""
 
-    def apply(batch: DataFrame, _epoch: int) -> None:
+    def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         b = _latest(batch).persist()
         try:
@@ -194,7 +195,7 @@ def coverage_upkeep(
             )
             states = b.where("line IS NOT NULL").select(*S.SNAP, "id", "line", "state").distinct()
             touched = funcs.join(b.select(*S.SNAP).distinct(), S.SNAP, "left_semi")
-            update_coverage_caches(spark, root, touched, measured, states, ran, failed)
+            update_coverage_caches(spark, root, touched, measured, states, ran, failed, epoch=(name, epoch))
         finally:
             b.unpersist()
 
@@ -202,14 +203,14 @@ def coverage_upkeep(
 
 
 def mutation_upkeep(
-    results: DataFrame, root: str, funcs: DataFrame, checkpoint: str, **trigger
+    results: DataFrame, root: str, funcs: DataFrame, checkpoint: str, name: str = "mutation", **trigger
 ) -> StreamingQuery:
     """Keep stored mutation caches current from a stream of run results:
     ``repo, snapshot_id, package, engine, engine_version, ran_at, error, id,
     line, col, type, status, description`` (one row per mutant; ``id`` NULL for
-    a package without mutants)."""
+    a package without mutants). Replays change nothing, as above."""
 
-    def apply(batch: DataFrame, _epoch: int) -> None:
+    def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         b = _latest(batch).persist()
         try:
@@ -225,7 +226,7 @@ def mutation_upkeep(
             mutants = b.where("id IS NOT NULL AND line IS NOT NULL").select(
                 *S.SNAP, "id", "line", "col", "type", "status", "description"
             )
-            update_mutation_caches(spark, root, touched, count_mutants(touched, mutants), mutants, outcome)
+            update_mutation_caches(spark, root, touched, count_mutants(touched, mutants), mutants, outcome, (name, epoch))
         finally:
             b.unpersist()
 
