@@ -575,7 +575,31 @@ def _(v: Views):
     )
     body = F.array_join(F.transform(F.split("value", "\n"), lambda t, i: F.concat(head(t), hunk(t, i))), "\n")
     d = v.documents().select("repo", F.col("doc_id").alias("commit"), F.concat(F.lit("diff --git\n"), body).alias("value"))
-    return readers.parse_patches(d)
+    return readers.parse_patches(d)[0]
+
+
+_BAD_HUNK = {0: "@@ -1,2 +3,99999999999 @@", 1: "@@ -1,2 @@", 2: "@@ -1 +2147483640,90 @@"}
+
+
+@query(
+    "patch_rejects",
+    sql(
+        """SELECT repo, doc_id AS commit, 'p' || length(text) % 7 || '.go' AS file, ['@@ -1,2 +3,99999999999 @@', '@@ -1,2 @@', '@@ -1 +2147483640,90 @@'][length(text) % 3 + 1] AS value,
+             ['not a number', 'not a hunk', 'not a line range'][length(text) % 3 + 1] AS reason FROM sline WHERE length(text) % 5 > 0
+           UNION ALL SELECT DISTINCT repo, doc_id, NULL, '@@ -1 +1 @@', 'no file header' FROM sline"""
+    ),
+)
+def _(v: Views):
+    """Each document written as a damaged patch: a hunk before any header, then a bad and a good hunk per line."""
+    size = lambda t: F.length(t)
+    head = lambda t: F.when(size(t) % 5 == 0, F.lit("+++ /dev/null")).otherwise(
+        F.concat(F.lit("+++ b/p"), (size(t) % 7).cast("string"), F.lit(".go"))
+    )
+    bad = lambda t: F.element_at(F.array(*[F.lit(x) for x in _BAD_HUNK.values()]), (size(t) % 3 + 1).cast("int"))
+    part = lambda t: F.concat(head(t), F.lit("\n"), bad(t), F.lit("\n@@ -1 +1 @@ "), t, F.lit("\n+"), t)
+    body = F.array_join(F.transform(F.split("value", "\n"), part), "\n")
+    d = v.documents().select("repo", F.col("doc_id").alias("commit"), F.concat(F.lit("@@ -1 +1 @@\n"), body).alias("value"))
+    return readers.parse_patches(d)[1]
 
 
 @query(

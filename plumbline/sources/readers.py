@@ -8,13 +8,15 @@ rows instead of failing the job or vanishing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from plumbline import schemas as S
 from plumbline.functions import paths
+from plumbline.operators import ordered
 from plumbline.schemas import SNAP
+from plumbline.session import settle
 
 ID = SNAP + ["id"]
 
@@ -379,45 +381,85 @@ def read_commit_logs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-_HUNK = r"(?m)^@@ [ \t]*[^ \t\n]+[ \t]+\+([0-9]+(?:,[0-9]+)?)(?=[ \t\r\n]|$)"
+_HUNK = r"^@@ [ \t]*[^ \t\n]+[ \t]+\+([0-9]+(?:,[0-9]+)?)(?=[ \t\r\n]|$)"
 
 
-def parse_patches(patches: DataFrame) -> DataFrame:
-    """Patches without context (``…, value``) as new-side line ranges:
-    ``…, file, start, end, deleted``.
+def _hunks(marked: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Hunk lines below their headers (``keys, _head, _line``) as ranges, and those that are none."""
+    span = F.split(F.regexp_extract("_line", _HUNK, 1), ",")
+    start = F.get(span, 0).try_cast("int")
+    count = F.when(F.size(span) > 1, F.get(span, 1).try_cast("int")).otherwise(F.lit(1))
+    rows = marked.where("_head IS NULL OR (_head <> '/dev/null' AND _head <> '')").select(
+        *keys, F.regexp_replace("_head", "^b/", "").alias("file"), "_line", start.alias("start"), count.alias("_count")
+    )
+    reason = (
+        F.when(F.col("file").isNull(), "no file header")
+        .when(F.regexp_extract("_line", _HUNK, 1) == "", "not a hunk")
+        .when(F.col("start").isNull() | F.col("_count").isNull(), "not a number")
+        .when(F.col("start").cast("long") + F.col("_count") - 1 > 2147483647, "not a line range")
+    )
+    rows = rows.withColumn("reason", reason)
+    end = F.when(F.col("_count") == 0, F.col("start")).otherwise(F.col("start") + F.col("_count") - 1)
+    good = rows.where("reason IS NULL").select(*keys, "file", "start", end.alias("end"), (F.col("_count") == 0).alias("deleted"))
+    return good, rows.where("reason IS NOT NULL").select(*keys, "file", F.col("_line").alias("value"), "reason")
+
+
+def parse_patches(patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patches without context, one per row (``…, value``), as new-side line ranges:
+    ``…, file, start, end, deleted``, and the hunks that cannot be read:
+    ``…, file, value, reason``.
 
     A ``+++`` header names the file of the hunks below it; a deleted file has
     none. A count of 0 is a pure deletion after ``start``.
     """
     keys = [c for c in patches.columns if c not in ("value", "path")]
-    sections = F.slice(F.split("value", r"(?:^|\n)\+\+\+ "), 2, 2147483647)
-    head = F.substring_index("_s", "\n", 1)
-    span = F.split("_h", ",")
-    start = F.get(span, 0).try_cast("int")
-    count = F.when(F.size(span) > 1, F.get(span, 1).try_cast("int")).otherwise(F.lit(1))
-    return (
-        patches.select(*keys, F.explode(sections).alias("_s"))
-        .select(*keys, head.alias("_head"), F.explode(F.regexp_extract_all("_s", F.lit(_HUNK), 1)).alias("_h"))
-        .where("_head <> '/dev/null' AND _head <> ''")
-        .where(start.isNotNull() & count.isNotNull())
-        .select(
-            *keys,
-            F.regexp_replace("_head", "^b/", "").alias("file"),
-            start.alias("start"),
-            F.when(count == 0, start).otherwise(start + count - 1).alias("end"),
-            (count == 0).alias("deleted"),
-        )
+    sections = F.split("value", r"(?:^|\n)\+\+\+ ")
+    named = F.posexplode(sections).alias("_n", "_s")
+    head = F.when(F.col("_n") > 0, F.substring_index("_s", "\n", 1))
+    lines = F.regexp_extract_all("_s", F.lit(r"(?m)^(@@[^\n]*)"), 1)
+    marked = patches.select(*keys, named).select(*keys, head.alias("_head"), F.explode(lines).alias("_line"))
+    return _hunks(marked, keys)
+
+
+def _marks(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of patches that say where others belong, by file and place: ``…, path, pos, value``.
+
+    Files are read in splits, so a large patch is read by many tasks. A line's
+    place is the start of its split and its number there among such lines, which
+    are longer than the numbers' steps.
+    """
+    keep = F.col("value").startswith("+++ ") | F.col("value").startswith("@@") | F.col("value").startswith(COMMIT_MARK)
+    full = StructType([StructField("value", StringType()), *[StructField(k, StringType()) for k in SNAP]])
+    lines = spark.read.schema(full).option("basePath", path).text(path)
+    lines = lines.select(*SNAP, "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"))
+    found = settle(lines.where(keep).withColumn("_row", F.monotonically_increasing_id()), "patch-marks")
+    number = F.row_number().over(Window.partitionBy("path", "_at").orderBy("_row"))
+    return found.select(*SNAP, "path", (F.col("_at") + number - 1).alias("pos"), "value")
+
+
+def _read_patches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Hunks and rejected ones of patch files, with the place of the commit above them."""
+    value, keys = F.col("value"), [*SNAP, "path"]
+    head = F.when(value.startswith("+++ "), F.substring("value", 5, 2147483647)).when(value.startswith(COMMIT_MARK), F.lit("\0"))
+    marks = ordered.running_last(_marks(spark, path), keys, "pos", head, "_head")
+    marks = ordered.running_last(marks, keys, "pos", F.when(value.startswith(COMMIT_MARK), F.col("pos")), "_commit")
+    place = F.when(F.col("_commit").isNotNull(), F.concat_ws(":", F.xxhash64("path").cast("string"), F.col("_commit").cast("string")))
+    lines = marks.where(value.startswith("@@")).select(
+        *keys, place.alias("commit"), F.when(F.col("_head") != "\0", F.col("_head")).alias("_head"), value.alias("_line")
     )
+    return _hunks(lines, [*keys, "commit"])
 
 
-def read_diffs(spark: SparkSession, path: str) -> DataFrame:
-    """Work-tree diffs against a base: hunks without a commit."""
-    return parse_patches(_text(spark, path, SNAP, wholetext=True)).withColumn("commit", F.lit(None).cast("string"))
+def read_diffs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Work-tree diffs against a base: hunks without a commit, and those that cannot be read."""
+    hunks, rejected = _read_patches(spark, path)
+    return hunks.drop("path").withColumn("commit", F.lit(None).cast("string")), rejected.drop("commit")
 
 
-def read_log_patches(spark: SparkSession, path: str) -> DataFrame:
-    """Logs with patches: hunks per commit."""
-    return parse_patches(_commits(spark, path, SNAP))
+def read_log_patches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Logs with patches: hunks per commit, and those that cannot be read."""
+    hunks, rejected = _read_patches(spark, path)
+    return hunks.drop("path").where("commit IS NOT NULL"), rejected
 
 
 # --- text, notes, events ----------------------------------------------------

@@ -40,7 +40,7 @@ PATCH = """diff --git a/p/a.go b/p/a.go
 
 def test_patch_text(spark):
     d = spark.createDataFrame([("r", "s", PATCH)], "repo string, snapshot_id string, value string")
-    assert pairs(readers.parse_patches(d), "file", "start", "end", "deleted") == [
+    assert pairs(readers.parse_patches(d)[0], "file", "start", "end", "deleted") == [
         ("p/a.go", 29, 29, False), ("p/a.go", 40, 40, True), ("p/a.go", 49, 51, False)
     ]
 
@@ -49,11 +49,44 @@ def test_log_patches(spark, tmp_path):
     folder = tmp_path / "logs" / "repo=x" / "snapshot_id=s"
     folder.mkdir(parents=True)
     (folder / "log.txt").write_text("\0commit\n\n+++ b/a.go\n@@ -20,0 +21,2 @@\n+a\n\0commit\n\n+++ b/a.go\n@@ -5 +5 @@\n+b\n")
-    h = readers.read_log_patches(spark, str(tmp_path / "logs"))
+    h, _ = readers.read_log_patches(spark, str(tmp_path / "logs"))
     assert pairs(h, "repo", "snapshot_id", "file", "start", "end") == [("x", "s", "a.go", 21, 22), ("x", "s", "a.go", 5, 5)]
     assert h.select("commit").distinct().count() == 2
 
 
+def test_patches_are_read_in_splits(spark, tmp_path):
+    """Headers and commits are carried over the splits of a file; bad hunks come back with their reason."""
+    folder = tmp_path / "logs" / "repo=x" / "snapshot_id=007"
+    folder.mkdir(parents=True)
+    text, want, bad = [], [], 0
+    for c in range(40):
+        text.append("\0commit\n")
+        text += ["@@ -1 +1 @@\n"] if c % 10 == 0 else []  # before any header of this commit
+        bad += c % 10 == 0
+        for f in range(3):
+            text.append(f"+++ b/f{f}.go\n" if f < 2 else "+++ /dev/null\n")
+            for k in range(6):
+                text.append(f"@@ -1 +{c * 10 + k + 1},{k} @@ func\n+{'x' * 30}\n")
+                want += [(f"f{f}.go", c * 10 + k + 1, k == 0)] if f < 2 else []
+        text.append("@@ -1 oops\n")  # below a deleted file: nothing
+        text.append("+++ b/g.go\n@@ -1 +1,x @@\n")
+        bad += 1
+    (folder / "log.txt").write_text("".join(text))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        hunks, rejected = readers.read_log_patches(spark, str(tmp_path / "logs"))
+        assert pairs(hunks, "file", "start", "deleted") == sorted(want, key=repr)
+        assert hunks.select("commit").distinct().count() == 40
+        per = hunks.groupBy("commit").count().select("count").distinct().collect()
+        assert [r["count"] for r in per] == [12]
+        assert rejected.count() == bad and {r.reason for r in rejected.collect()} == {"no file header", "not a hunk"}
+        diffs, _ = readers.read_diffs(spark, str(tmp_path / "logs"))
+        assert diffs.where("commit is not null or snapshot_id <> '007'").count() == 0 and diffs.count() == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def touch(h, a, b):
     start, end, deleted = h
     return start >= a and start + 1 <= b if deleted else start <= b and end >= a

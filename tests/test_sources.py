@@ -104,7 +104,8 @@ def test_numbers_that_do_not_fit_reject_their_profile_alone(spark):
     assert pairs(rejected, "repo", "reason") == [("r", "not a number")]
     assert pairs(blocks, "repo", "file", "count") == [("q", "b.go", 99999999999)]
     patch = "+++ b/x.go\n@@ -1 +99999999999,2 @@\n@@ -1 +3,2 @@\n"
-    hunks = readers.parse_patches(spark.createDataFrame([("r", patch)], "repo string, value string"))
+    hunks, bad = readers.parse_patches(spark.createDataFrame([("r", patch)], "repo string, value string"))
+    assert pairs(bad, "repo", "file", "value", "reason") == [("r", "x.go", "@@ -1 +99999999999,2 @@", "not a number")]
     assert pairs(hunks, "file", "start", "end") == [("x.go", 3, 4)]
 
 
