@@ -15,8 +15,9 @@ all rows is no window and texts are never shuffled for it.
 
 Defined results: null text has no tokens; null domain, language or source is
 the empty name; names without a weight have weight 1 and weight 0 gets nothing;
-a leaf without tokens gives no rows; rows that repeat a doc_id are taken together
-at the cut; rounding down loses less than one token per node; an empty table
+a leaf without tokens gives no rows; rows that share a doc_id, or have none, share a
+place in the order, and at the cut the rest of the budget goes to them one after
+the other, by a hash of their texts (equal texts in any order; those without a token stay); rounding down loses less than one token per node; an empty table
 gives no rows. Other columns are carried along.
 """
 
@@ -42,10 +43,12 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(text, r"(?<=\S)(?=\s)"), F.lit(1), n.cast("int")), "")
 
 
-def placed(docs: DataFrame, domain: Column | str) -> DataFrame:
+def placed(docs: DataFrame, domain: Column | str, *more: Column) -> DataFrame:
+    """doc_id, the leaf of every row, and ``more``."""
     domain = F.expr(domain) if isinstance(domain, str) else domain
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    return docs.withColumns({"_domain": name(domain), "_lang": name(F.col("lang")), "_source": name(F.col("source"))})
+    leaf = (domain, F.col("lang"), F.col("source"))
+    names = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(leaf, LEVELS, strict=True)]
+    return docs.select("doc_id", *names, *more)
 
 
 def weight(column: str, weights: dict[str, int]) -> Column:
@@ -119,14 +122,31 @@ def plan(slim: DataFrame, budget: int | float, max_epochs: int, weights: dict[st
         d.withColumn("range", F.substring("key", 1, 3))
         .join(small(cut, 128), [*LEVELS, "range"])
         .groupBy(*LEVELS, "rest", "base", "key")
-        .agg(F.sum("tokens").alias("n"))
+        .agg(F.sum("tokens").alias("n"), F.count("*").alias("cut_rows"))
     )
     before = F.coalesce(F.sum("n").over(W.partitionBy(*LEVELS).orderBy("key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ends = keys.withColumn("start", F.col("base") + before).where("start < rest and rest <= start + n")
-    ends = ends.select(*LEVELS, F.col("key").alias("cut"), (F.col("rest") - F.col("start")).alias("cut_tokens"))
+    ends = ends.select(*LEVELS, F.col("key").alias("cut"), (F.col("rest") - F.col("start")).alias("cut_tokens"), "cut_rows")
     return settle(b.join(ends, list(LEVELS), "left").where("whole > 0 or rest > 0"), "mixture")
 
 
+def shared_cut(rows: DataFrame) -> DataFrame:
+    """Rows (leaf, h, tokens, cut_tokens, …) that share the place of their leaf's cut, with the
+    tokens that are left for each (``_left``), in the order of ``h``.
+
+    They are sorted and numbered once; sums run over chunks of numbers, so many
+    rows without a doc_id are no window.
+    """
+    at = rows.orderBy(*LEVELS, "h", F.rand(seed=7)).withColumn("_at", F.monotonically_increasing_id())
+    at = settle(at.withColumn("_chunk", F.expr("_at div 4096")), "cut-rows")
+    earlier = W.partitionBy(*LEVELS).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    sums = at.groupBy(*LEVELS, "_chunk").agg(F.sum("tokens").alias("_sum"))
+    sums = sums.select(*LEVELS, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    above = W.partitionBy(*LEVELS, "_chunk").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("cut_tokens") - F.col("_base") - F.coalesce(F.sum("tokens").over(above), F.lit(0))
+    return at.join(sums, [*LEVELS, "_chunk"]).withColumn("_left", left).drop("_at", "_chunk", "_base")
+
+
 def mix(
     docs: DataFrame,
     domain: Column | str,
@@ -144,26 +164,32 @@ def mix(
     numbers by level ("domain", "lang", "source") and name. With ``only_counts``
     the rows have doc_id, domain, lang, source, epoch, tokens and kept_tokens.
     """
-    slim = settle(placed(docs, domain).select("doc_id", *LEVELS, tokens(F.col("text")).alias("tokens")), "token-counts")
-    p = small(plan(slim, budget, max_epochs, weights or {}, seed), 160)
+    count, digest = tokens(F.col("text")).alias("tokens"), F.xxhash64(F.col("text").cast("string")).alias("h")
+    slim = settle(placed(docs, domain, count, digest), "token-counts")
+    p = plan(slim, budget, max_epochs, weights or {}, seed)
     if not only_counts:
-        d = placed(docs, domain)
-        slim = d.select("doc_id", *LEVELS, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    rows = slim.join(p, list(LEVELS))
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+        slim = placed(docs, domain, count, digest, row)
+    rows = slim.join(small(p, 160), list(LEVELS))
     key = draw(seed, F.col("whole"))
     rows = rows.withColumn("_part", F.when(key < F.col("cut"), 1).when(key == F.col("cut"), 2).otherwise(0))
-    rows = rows.withColumn("_n", F.expr("whole + if(_part > 0, 1, 0)")).where("_n > 0")
+    shared = F.expr("_part = 2 and cut_rows > 1")
+    one = rows.withColumn("_left", F.col("cut_tokens"))
+    if not p.where("cut_rows > 1").isEmpty():
+        one = one.where(~shared).unionByName(shared_cut(rows.where(shared)))
+    rows = one.withColumn("_n", F.expr("whole + if(_part = 1 or (_part = 2 and (_left > 0 or tokens = 0)), 1, 0)")).where("_n > 0")
     rows = rows.withColumn("epoch", F.explode(F.expr("sequence(0, _n - 1)")))
     cut = F.expr("epoch = whole and _part = 2")
+    left = F.greatest(F.lit(0), "_left")
     if only_counts:
         return rows.select(
             "doc_id",
             *(F.col(c).alias(c[1:]) for c in LEVELS),
             "epoch",
             "tokens",
-            F.when(cut, F.least("tokens", "cut_tokens")).otherwise(F.col("tokens")).alias("kept_tokens"),
+            F.when(cut, F.least(F.col("tokens"), left)).otherwise(F.col("tokens")).alias("kept_tokens"),
         )
     own = [c for c in docs.columns if c not in ("epoch", "cut_document")]
     text = F.col("row.`text`").cast("string")
-    kept = F.when(cut & (tokens(text) > F.col("cut_tokens")), first_words(text, F.col("cut_tokens"))).otherwise(text).alias("text")
+    kept = F.when(cut & (F.col("tokens") > left), first_words(text, left)).otherwise(text).alias("text")
     return rows.select(*(kept if c == "text" else F.col(f"row.`{c}`") for c in own), "epoch", cut.alias("cut_document"))

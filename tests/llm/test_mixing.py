@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import mixing
@@ -28,8 +30,9 @@ def share(children, budget):
 def expected(rows, fraction, epochs, weights, seed=1, domain=lambda s: "a" if s in ("src0", "src1") else "b"):
     leaf = defaultdict(list)
     for d, t, lang, source in rows:
-        leaf[domain(source), lang or "", source or ""].append((d, len((t or "").split())))
-    tokens = {k: sum(n for _, n in v) for k, v in leaf.items() if sum(n for _, n in v)}
+        h = 42 if t is None else xxhash.xxh64(t.encode(), seed=42).intdigest()
+        leaf[domain(source), lang or "", source or ""].append((d, len((t or "").split()), h - (h >> 63 << 64)))
+    tokens = {k: sum(x[1] for x in v) for k, v in leaf.items() if sum(x[1] for x in v)}
     got = {(): int(sum(tokens.values()) * fraction)}
     for level, name in enumerate(("domain", "lang", "source")):
         new = {}
@@ -45,15 +48,17 @@ def expected(rows, fraction, epochs, weights, seed=1, domain=lambda s: "a" if s
         whole, rest = divmod(b, tokens[k])
         key = lambda d: hashlib.md5(f"{seed}:{whole}:{'' if d is None else d}".encode()).hexdigest()  # noqa: B023, E731
         at = defaultdict(int)
-        for d, n in leaf[k]:
+        for d, n, _ in leaf[k]:
             at[key(d)] += n
-        start, total = {}, 0
+        start, total, taken = {}, 0, defaultdict(int)
         for x in sorted(at):
             start[x], total = total, total + at[x]
-        for d, n in leaf[k]:
+        for d, n, _ in sorted(leaf[k], key=lambda x: x[2]):
             out += [(d, *k, e, n, n) for e in range(whole)]
-            if start[key(d)] < rest:
-                out.append((d, *k, whole, n, min(n, rest - start[key(d)])))
+            at_cut = start[key(d)] < rest <= start[key(d)] + at[key(d)]
+            if start[key(d)] < rest and (not at_cut or n == 0 or taken[key(d)] < rest - start[key(d)]):
+                out.append((d, *k, whole, n, min(n, rest - start[key(d)] - taken[key(d)]) if at_cut else n))
+            taken[key(d)] += n
     return sorted(out, key=repr)
 
 
@@ -98,3 +103,26 @@ def test_a_cut_document_ends_with_its_leaf_s_budget(spark):
             words = text.split()
             assert text.startswith(r.text) and r.text.split() == words[: n[r.doc_id]]
             assert r.text == text if n[r.doc_id] == len(words) else r.text.endswith(words[n[r.doc_id] - 1])
+
+
+def test_shared_places_keep_the_budget(spark):
+    """Rows without a doc_id or with a repeated one stand in one place: at the cut they share what is left."""
+    rng = random.Random(2)
+    rows = [(rng.choice([None, None, 1, 2, 3]), " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(12))), "en", f"src{i % 3}") for i in range(600)]
+    rows += [(None, "the same text again", "en", "src0")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+    for budget in (250, 1_111, 4_000):
+        counts = mixing.mix(df, DOMAIN, budget, 2, only_counts=True).collect()
+        assert budget - 3 <= sum(r.kept_tokens for r in counts) <= budget  # a token is lost to rounding for each of two nodes at most
+        texts = mixing.mix(df, DOMAIN, budget, 2).collect()
+        assert sum(len(r.text.split()) for r in texts) == sum(r.kept_tokens for r in counts) and len(texts) == len(counts)
+
+
+def test_columns_with_the_operator_s_own_names_come_back(spark):
+    names = ["_domain", "_lang", "_source", "row", "key", "cut", "whole", "rest", "h", "tokens", "_n", "_part", "_left", "cut_tokens", "cut_rows", "range"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i % 4 or None, "a b c", "en", "src0", *(f"mine {n} {i}" for n in names)) for i in range(20)]
+    out = mixing.mix(spark.createDataFrame(rows, schema), DOMAIN, 30, 1)
+    assert out.columns[:-2] == ["doc_id", "text", "lang", "source", *names]
+    got = {tuple(r)[2:-2] for r in out.collect()}
+    assert len(got) == 10 and got <= {r[2:] for r in rows}
