@@ -4,7 +4,10 @@ Stated rules (host, path) come first: the longest one whose host is the URL's ho
 a parent domain of it and whose path the URL's path starts with. For other URLs
 FP-growth mines frequent combinations of URL tokens from labelled pages; those
 that go along with the label "block" often enough (support, an absolute number
-of pages, confidence and lift) are rules. Each mined rule is listed in an index
+of pages, confidence and lift) are rules. Tokens on exactly the same labelled
+pages are mined as one item, so that a URL of many tokens on many pages does not
+make every combination of them a set of its own; a URL has the item if it has one of
+its tokens, which is what the rules of the single tokens would say. Each mined rule is listed in an index
 under its rarest token; a URL looks its tokens up there and a rule fires if the
 URL has all its tokens. A URL on which a rule fires is blocked, others are allowed.
 
@@ -20,8 +23,10 @@ doc_id, quality and toxic of labels; null labels count as good.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, small
@@ -58,19 +63,41 @@ def stated(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return fits.groupBy("url").agg(best.alias("best")).select("url", "best.*")
 
 
+def merged(pages: DataFrame, least: int) -> DataFrame:
+    """Tokens on at least ``least`` labelled pages (page, items): token, pages, item.
+
+    Tokens that are on exactly the same pages are one item, named by the first
+    of them: whatever one of them tells, each tells. Pages are compared by
+    two 64-bit sums of their numbers.
+    """
+    each = pages.select("page", F.explode("items").alias("token"))
+    place = [F.bit_xor(F.xxhash64(F.col("page"), F.lit(k))).alias(f"p{k}") for k in (1, 2)]
+    found = each.groupBy("token").agg(F.count("*").alias("pages"), *place).where(F.col("pages") >= least)
+    same = Window.partitionBy("pages", "p1", "p2")
+    return settle(found.select("token", "pages", F.min("token").over(same).alias("item")), "url-items")
+
+
 def mine(
     labelled: DataFrame, support: float = 0.002, least_pages: int = 20, confidence: float = 0.5, lift: float = 1.5
-) -> DataFrame:
-    """Rules from ``labelled`` (items: array of tokens, bad: boolean): antecedent, n, confidence, index token.
+) -> tuple[DataFrame, DataFrame]:
+    """Rules from ``labelled`` (items: array of tokens, bad: boolean): antecedent, n, confidence, index
+    token; and the items they speak of (``merged``), each for one or more tokens.
 
-    A rule that is as sure without one of its tokens is left to the shorter one, which fires wherever it would.
+    A rule that is as sure without one of its items is left to the shorter one, which fires wherever it would.
     """
-    rows = settle(labelled.select(F.when(F.col("bad"), F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items")), "transactions")
-    empty = "antecedent array<string>, n int, confidence double, token string"
-    n = rows.count()
+    spark = labelled.sparkSession
+    pages = settle(labelled.select("items", "bad", F.monotonically_increasing_id().alias("page")), "labelled-urls")
+    n = pages.count()
     if not n:
-        return labelled.sparkSession.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least_pages / n)), minConfidence=confidence).fit(rows)
+        rules = spark.createDataFrame([], "antecedent array<string>, n int, confidence double, token string")
+        return rules, spark.createDataFrame([], "token string, pages long, item string")
+    share = min(1.0, max(support, least_pages / n))
+    items = merged(pages, math.ceil(share * n))
+    own = pages.select("page", F.explode("items").alias("token")).join(small(items, 64), "token")
+    own = own.groupBy("page").agg(F.collect_set("item").alias("own"))
+    have = F.coalesce("own", F.array().cast("array<string>"))
+    rows = pages.join(own, "page", "left").select(F.when(F.col("bad"), F.array_append(have, F.lit(BLOCK))).otherwise(have).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(settle(rows, "transactions"))
     found = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.col("lift") >= lift))
     found = settle(found.select(F.array_sort("antecedent").alias("antecedent"), F.size("antecedent").alias("n"), "confidence"), "mined-rules")
     less = found.select("antecedent", "confidence", F.explode("antecedent").alias("t")).select(
@@ -79,18 +106,20 @@ def mine(
     short = found.select(F.col("antecedent").alias("less"), F.col("confidence").alias("short_confidence"))
     covered = less.join(short, "less").where("short_confidence >= confidence").select("antecedent").distinct()
     found = found.join(covered, "antecedent", "left_anti")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rare = found.select("antecedent", "n", "confidence", F.explode("antecedent").alias("token")).join(single, "token")
-    return (
+    rare = found.select("antecedent", "n", "confidence", F.explode("antecedent").alias("token")).join(items.select("token", "pages"), "token")
+    rules = (
         rare.groupBy("antecedent", "n", "confidence")
-        .agg(F.min_by("token", F.struct("freq", "token")).alias("token"))
+        .agg(F.min_by("token", F.struct("pages", "token")).alias("token"))
         .select("antecedent", "n", "confidence", "token")
     )
+    return rules, items
 
 
-def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, confidence) of the surest mined rule that fires, where one does."""
-    u = urls.where("url is not null").select("url", tokens(F.col("url")).alias("items"))
+def fired(urls: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
+    """(url, confidence) of the surest mined rule that fires, where one does: one whose
+    every item the URL has a token of."""
+    u = urls.where("url is not null").select("url", F.explode(tokens(F.col("url"))).alias("token"))
+    u = u.join(small(settle(items.select("token", "item"), "item-index"), 64), "token").groupBy("url").agg(F.collect_set("item").alias("items"))
     u = u.withColumn("token", F.explode("items")).join(small(settle(rules, "rule-index"), 256), "token")
     return u.where(F.size(F.array_except("antecedent", "items")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
@@ -102,7 +131,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     known = labels.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max(bad).alias("bad"))
     labelled = p.join(known, "page_id").select(tokens(F.col("url")).alias("items"), "bad")
     urls = p.select("url").distinct()
-    a, b = stated(urls, rules), fired(urls, mine(labelled, **how))
+    a, b = stated(urls, rules), fired(urls, *mine(labelled, **how))
     found = settle(a.join(b, "url", "full"), "url-verdicts")
     verdict = F.coalesce("verdict", F.when(F.col("confidence").isNotNull(), F.lit("block")), F.lit("allow"))
     return p.join(found, "url", "left").select(

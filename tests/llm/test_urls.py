@@ -75,4 +75,62 @@ def test_a_pattern_that_only_four_tokens_together_tell(spark):
     out = urls.judge(frame(spark, rows), labels, URL_RULES).collect()
     assert {r.page_id for r in out if r.verdict == "block"} == blocked
     known = spark.createDataFrame([(u.split("//")[1].replace(".", "/").split("/"), i in blocked) for i, u in rows], "items array<string>, bad boolean")
-    assert [r.antecedent for r in urls.mine(known).collect()] == [["bad0", "bad1", "bad2", "bad3"]]
+    assert [r.antecedent for r in urls.mine(known)[0].collect()] == [["bad0", "bad1", "bad2", "bad3"]]
+
+
+def plain_rules(known, support, least, confidence, lift):
+    """The same rules by counting every set of items, without merging: token sets that fire."""
+    n = len(known)
+    bad_all = sum(b for _, b in known)
+    need = max(support * n, min(least, n))
+    names = sorted({t for items, _ in known for t in items})
+    sure = {}
+    for size in range(1, 6):
+        for s in itertools.combinations(names, size):
+            pages = [b for items, b in known if set(s) <= set(items)]
+            if sum(pages) >= need and sum(pages) >= confidence * len(pages) and sum(pages) / len(pages) * n / bad_all >= lift:
+                sure[s] = sum(pages) / len(pages)
+    return sure
+
+
+def test_tokens_that_always_come_together_are_one_item(spark):
+    rng = random.Random(6)
+    known = []
+    for _ in range(400):
+        items = [t for group in (("a", "b"), ("c",), ("d", "e", "f")) if rng.random() < 0.4 for t in group]
+        known.append((items + [f"z{rng.randrange(3)}"], rng.random() < (0.95 if {"a", "c"} <= set(items) else 0.2)))
+    sure = plain_rules(known, 0.002, 20, 0.5, 1.5)
+    rules, items = urls.mine(spark.createDataFrame(known, "items array<string>, bad boolean"))
+    tokens = [*"abcdef", "z0", "z1", "z2", "other"]
+    texts = [rng.sample(tokens, rng.randrange(1, 8)) for _ in range(200)]
+    frame = spark.createDataFrame([(f"x://{'/'.join(t)}",) for t in texts], "url string").distinct()
+    got = {r.url: round(r.confidence, 9) for r in urls.fired(frame, rules, items).collect()}
+    for t in texts:
+        want = [c for s, c in sure.items() if set(s) <= set(t)]
+        assert got.get(f"x://{'/'.join(t)}") == (round(max(want), 9) if want else None)
+
+
+def test_a_url_of_forty_tokens_on_a_third_of_all_pages(spark):
+    long = "/".join(f"part{k}" for k in range(40))
+    rows = [(i, f"http://spam.net/{long}/{i}" if i % 3 == 0 else f"http://fine.net/{'/'.join(f'page{k}' for k in range(i % 3))}/{i}") for i in range(900)]
+    labels = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1, None) for i, _ in rows], LABELS)
+    out = urls.judge(frame(spark, rows), labels, URL_RULES).collect()
+    assert {r.page_id for r in out if r.verdict == "block"} == {i for i, _ in rows if i % 3 == 0}
+
+
+def test_mined_rules_of_one_to_five_tokens_reach_the_query(spark, tmp_path):
+    from plumbline.llm.queries import QUERIES
+
+    rng = random.Random(9)
+    rows, bad = [], set()
+    for size in range(1, 6):
+        for i in range(240):
+            have = [f"r{size}t{k}" for k in range(size) if rng.random() < 0.8]
+            rows.append((len(rows), f"http://h.net/{'/'.join(have)}/{len(rows)}"))
+            if len(have) == size:
+                bad.add(len(rows) - 1)
+    frame(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 0 if i in bad else 1, None) for i, _ in rows], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    out = QUERIES["op9_url_filters"](spark, str(tmp_path)).collect()
+    blocked = {r.page_id for r in out if r.verdict == "block"}
+    assert bad <= blocked
