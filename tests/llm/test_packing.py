@@ -96,3 +96,33 @@ def test_added_tokens_have_their_own_ids():
     for _ in range(300):
         t = "".join(rng.choice(parts) for _ in range(20))
         assert encode(t) == tok.encode(t, add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def blank_runs():
+    rng = random.Random(8)
+    runs = [" " * 1_000_000, "\t" * 300_000, "\n" * 300_000, "".join(rng.choice(" \t\n\r\x0b\x85\xa0\u2003\u3000") for _ in range(300_000))]
+    return [a + r + b for r in runs for a, b in (("", ""), ("a", "b"), ("é!", "1"), ("x ", "\n"))]
+
+
+def test_long_blank_runs_have_the_library_s_ids(blank_runs):
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(tokenizer_file()), packing.encoder(tokenizer_file())
+    for t in blank_runs:
+        assert encode(t) == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_long_blank_runs_are_packed(spark, blank_runs):
+    docs = spark.createDataFrame(list(enumerate(blank_runs)), "doc_id long, text string")
+    check(packing.pack_documents(docs, tokenizer_file()).collect(), list(enumerate(blank_runs)), 2048)
+
+
+def test_other_files_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(tokenizer_file(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="byte-level"):
+            packing.encoder(f"{tmp_path}/t.json")
