@@ -37,8 +37,8 @@ from plumbline.operators import (
 )
 from plumbline.plans import analyze, check
 from plumbline.schemas import SNAP
-from plumbline.session import settle, tune
-from plumbline.sources import readers
+from plumbline.session import new_folder, settle, tune
+from plumbline.sources import readers, writers
 from plumbline.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1819,3 +1819,48 @@ def _(v: Views):
     )
     taken = v.table("labels").select(F.lit("r").alias("repo"), F.lit("s1").alias("snapshot_id"), F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("id"))
     return contract.problems(ns, es, ms, taken)
+
+
+# --- files and stored tables, written from the derived tables first -------------
+
+
+def _files(rows: DataFrame, keys: list[str], label: str) -> str:
+    """A folder with one text file for each row (``keys, value``)."""
+    path = new_folder(rows.sparkSession, label)
+    rows.write.option("maxRecordsPerFile", 1).partitionBy(*keys).text(path)
+    return path
+
+
+@query("note_files", sql("SELECT repo, id, target, CAST(off AS INTEGER) AS line_offset, line_text, author, text, resolved FROM tnote"))
+def _(v: Views):
+    """Notes written as files of some hundred notes and read back."""
+    n = v.text_notes().select("repo", F.struct("id", "target", "line_offset", "line_text", "author", "text", "resolved").alias("n"))
+    part = F.pmod(F.xxhash64("n.id"), F.lit(8)).alias("part")
+    docs = n.groupBy("repo", part).agg(F.to_json(F.collect_list("n")).alias("value")).drop("part")
+    read, _ = readers.read_notes(docs.sparkSession, _files(docs, ["repo"], "note-files"))
+    return read.drop("created")
+
+
+@query("mutation_report_files", sql("SELECT repo, file, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, type, status FROM mutant"))
+def _(v: Views):
+    """Mutants written as an engine's reports and read back."""
+    m = v.file_mutants().groupBy(*SNAP, F.concat(F.lit("./x/../"), "file").alias("file_name")).agg(
+        F.collect_list(F.struct("type", "status", "line", F.col("col").alias("column"))).alias("mutations")
+    )
+    part = F.pmod(F.xxhash64("file_name"), F.lit(8)).alias("part")
+    files = F.collect_list(F.struct("file_name", "mutations")).alias("files")
+    docs = m.groupBy(*SNAP, part).agg(F.to_json(F.struct(F.lit("m").alias("go_module"), files)).alias("value")).drop("part")
+    read, _ = readers.read_mutation_reports(docs.sparkSession, _files(docs, SNAP, "mutation-reports"))
+    return read
+
+
+@query("stored_edges", sql('SELECT repo, f AS "from", t AS "to", kind FROM edge'))
+def _(v: Views):
+    """Edges of snapshots that were stored, then stored again, and swept."""
+    edges = v.stored("edges").select(*SNAP, "from", "to", "kind")
+    spark = edges.sparkSession
+    root = new_folder(spark, "stored-snapshots")
+    for rows in (edges.where("kind = 'calls'"), edges):
+        writers.write_snapshot({"edges": rows, "snapshots": edges.select(*SNAP).distinct().withColumn("schema", F.lit(1))}, root)
+    writers.snapshot_store(spark, root).sweep(0)
+    return writers.read_table(spark, root, "edges", edges.schema)
