@@ -35,7 +35,7 @@ from plumbline.operators import (
     search,
     views as pages,
 )
-from plumbline.plans import analyze, check
+from plumbline.plans import analyze, check, external
 from plumbline.schemas import SNAP
 from plumbline.session import new_folder, settle, tune
 from plumbline.sources import readers, writers
@@ -1864,3 +1864,30 @@ def _(v: Views):
         writers.write_snapshot({"edges": rows, "snapshots": edges.select(*SNAP).distinct().withColumn("schema", F.lit(1))}, root)
     writers.snapshot_store(spark, root).sweep(0)
     return writers.read_table(spark, root, "edges", edges.schema)
+
+
+@query(
+    "external_sources",
+    sql(
+        """SELECT repo, id, kind, parent, NULL AS error FROM (
+             SELECT repo, id, 'func' AS kind, parent FROM func WHERE p_type <> 'PROMO' UNION ALL
+             SELECT DISTINCT repo, parent, 'package', repo FROM func WHERE p_type <> 'PROMO' UNION ALL SELECT DISTINCT repo, repo, 'module', NULL FROM func)
+           UNION ALL SELECT repo, 'provider:promo', 'package', repo, 'provider promo broke the contract (' || count(*) || ' problems); its language is not measured'
+             FROM func WHERE p_type = 'PROMO' GROUP BY repo"""
+    ),
+)
+def _(v: Views):
+    """Each type of part is a source that delivers its packages and functions as one JSON file; one of them breaks the contract."""
+    func = v.functions().select(
+        *SNAP, F.split("dir", "/")[0].alias("source"), "id", "name", "parent", "file", F.expr("if(dir like 'promo/%', 0, line)").alias("line"), F.expr("if(dir like 'promo/%', 1, end_line)").alias("end_line"), F.lit("func").alias("kind")
+    )
+    package = func.select(*SNAP, "source", F.col("parent").alias("id"), F.lit("package").alias("kind"), F.col("parent").alias("name")).distinct()
+    given = ["id", "kind", "name", "parent", "file", "line", "end_line"]
+    node = F.struct(*given).alias("n")
+    nodes = func.unionByName(package, allowMissingColumns=True).select(*SNAP, "source", node)
+    docs = nodes.groupBy(*SNAP, "source").agg(F.to_json(F.struct(F.collect_list("n").alias("nodes"))).alias("value"))
+    graphs = readers.read_external_graphs(docs.sparkSession, _files(docs, [*SNAP, "source"], "external-graphs"))
+    module = func.select(*SNAP, F.col("repo").alias("id"), F.lit("module").alias("kind"), F.col("repo").alias("name")).distinct()
+    none = func.select(*SNAP, F.col("id").alias("from"), F.col("id").alias("to"), "kind").limit(0)
+    t = external.merge_external({"nodes": module, "edges": none}, graphs)
+    return t["nodes"].select(*SNAP, "id", "kind", "parent", F.col("errors")[0].alias("error"))
