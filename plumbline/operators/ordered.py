@@ -40,22 +40,29 @@ def running_total(df: DataFrame, keys: list[str], pos: str, value: Column, out:
 
 
 def running_last(
-    df: DataFrame, keys: list[str], pos: str, value: Column, out: str, tie: str | None = None, span: int = SPAN
+    df: DataFrame,
+    keys: list[str],
+    pos: str,
+    value: Column,
+    out: str,
+    tie: str | None = None,
+    span: int = SPAN,
+    before: bool = False,
 ) -> DataFrame:
-    """``out`` = the latest non-NULL ``value`` at or before this position.
+    """``out`` = the latest non-NULL ``value`` at or before this position; with ``before`` only of earlier rows.
 
     ``tie`` orders rows that share a position.
     """
     order = [pos] + ([tie] if tie else [])
     d = _spans(df.withColumn("_v", value), pos, span)
     cut = keys + ["_span"]
-    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         d.groupBy(*cut)
         .agg(F.max(F.when(F.col("_v").isNotNull(), F.struct(*order, "_v"))).alias("_m"))
-        .select(*cut, F.last("_m._v", ignorenulls=True).over(before).alias("_before"))
+        .select(*cut, F.last("_m._v", ignorenulls=True).over(earlier).alias("_before"))
     )
-    here = Window.partitionBy(*cut).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy(*cut).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     return (
         d.join(carried, cut)
         .withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(here), "_before"))

@@ -8,6 +8,8 @@ rows instead of failing the job or vanishing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -17,6 +19,7 @@ from plumbline.functions import paths
 from plumbline.operators import ordered
 from plumbline.schemas import SNAP
 from plumbline.session import settle
+from plumbline.sources import elements
 
 ID = SNAP + ["id"]
 
@@ -113,16 +116,55 @@ def flatten_metrics(rows: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def read_snapshots(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def _split_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Snapshot files read in splits: what they hold beside their lists, then nodes, edges and metrics
+    with the file's ``path``. A file with an element that cannot be read is broken as a whole."""
+    heads, rows = elements.read_elements(spark, path, SNAP)
+    rows = settle(rows, "json-elements")
+    lists = {f.name: f.dataType for f in S.GRAPH_JSON.fields}
+    keep = {"columnNameOfCorruptRecord": "_broken"}
+
+    def parsed(name: str) -> DataFrame:
+        shape = lists[name].valueType if name == "metrics" else lists[name].elementType
+        doc = F.from_json("value", StructType([*shape.fields, BROKEN]), keep).alias("_d")
+        return rows.where((F.col("section") == name) & (F.col("name").isNotNull() == F.lit(name == "metrics"))).select(*SNAP, "path", "name", doc)
+
+    found = {name: parsed(name) for name in lists}
+    misplaced = rows.where(F.col("section").isin(*lists) & ((F.col("section") == "metrics") == F.col("name").isNull()))
+    unread = [d.where("_d._broken IS NOT NULL") for d in found.values()]
+    bad = reduce(DataFrame.unionByName, [d.select("path") for d in [misplaced, *unread]]).distinct()
+    head = StructType([*[f for f in S.SNAPSHOT_JSON.fields if f.name not in lists], BROKEN])
+    raw = (
+        heads.select(*SNAP, "path", "torn", "value", F.from_json("value", head, keep).alias("_d"))
+        .select(*SNAP, "path", "torn", "value", "_d.*")
+        .join(bad.withColumn("_bad", F.lit(True)), "path", "left")
+        .withColumn("_broken", F.coalesce("_broken", F.when(F.col("torn") | F.col("_bad"), F.col("value"))))
+    )
+    fields = {name: [F.col(f"_d.{f}").alias(f) for f in d.schema["_d"].dataType.fieldNames() if f != "_broken"] for name, d in found.items()}
+    metrics = found["metrics"].select(*SNAP, "path", F.col("name").alias("id"), F.struct(*fields["metrics"]).alias("m"))
+    return raw, found["nodes"].select(*SNAP, "path", *fields["nodes"]), found["edges"].select(*SNAP, "path", *fields["edges"]), metrics
+
+
+def read_snapshots(spark: SparkSession, path: str, in_splits: bool = False) -> dict[str, DataFrame]:
     """Snapshot files as tables. Files that are no JSON or of another schema
-    version are in ``rejected`` with a reason."""
-    raw = _json(spark, path, S.SNAPSHOT_JSON, SNAP)
+    version are in ``rejected`` with a reason.
+
+    ``in_splits``: for files too large for one task; every file is read in
+    splits and no row holds more than one node, edge or metrics entry. The tables are the same,
+    but a file with a node, edge or entry of a wrong type is always rejected as a whole.
+    """
+    raw, *lists = _split_documents(spark, path) if in_splits else [_json(spark, path, S.SNAPSHOT_JSON, SNAP)]
     good = F.coalesce(F.col("schema") == S.SNAPSHOT_VERSION, F.lit(False)) & F.col("_broken").isNull()
     reason = F.when(F.col("_broken").isNotNull(), F.lit("not a snapshot")).otherwise(
         F.concat(F.lit("schema "), F.coalesce(F.col("schema").cast("string"), F.lit("missing")), F.lit(" is not supported"))
     )
     ok = raw.where(good)
-    metrics = ok.select(*SNAP, F.explode("metrics").alias("id", "m"))
+    if in_splits:
+        nodes, edges, metrics = (rows.join(ok.select("path"), "path", "left_semi").drop("path") for rows in lists)
+    else:
+        nodes = ok.select(*SNAP, F.explode("nodes").alias("_n")).select(*SNAP, "_n.*")
+        edges = ok.select(*SNAP, F.explode("edges").alias("_e")).select(*SNAP, "_e.*")
+        metrics = ok.select(*SNAP, F.explode("metrics").alias("id", "m"))
     return {
         "rejected": raw.where(~good).select(*SNAP, "path", reason.alias("reason")),
         "snapshots": ok.select(
@@ -137,8 +179,8 @@ def read_snapshots(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             F.col("runs.coverage").alias("coverage_at"),
             F.col("runs.mutation").alias("mutation_at"),
         ),
-        "nodes": ok.select(*SNAP, F.explode("nodes").alias("_n")).select(*SNAP, "_n.*"),
-        "edges": ok.select(*SNAP, F.explode("edges").alias("_e")).select(*SNAP, "_e.*"),
+        "nodes": nodes,
+        "edges": edges,
         **flatten_metrics(metrics),
     }
 
