@@ -898,6 +898,27 @@ def _(v: Views):
     return gate_tables(v, fast=True)["breaches"].select(*ID, "kind", "value")
 
 
+@query(
+    "gate_breach_changes",
+    sql(
+        """SELECT repo, id, kind, CASE WHEN b.id IS NULL THEN 'appeared' WHEN a.id IS NULL THEN 'resolved' ELSE 'kept' END AS change, b.value AS value_before, a.value AS value
+           FROM (SELECT repo, id, kind, value FROM breach) a FULL JOIN earlier b USING (repo, id, kind)""",
+        tops=_RANGES,
+        breach=_BREACH,
+        earlier="""SELECT x.repo, x.id, x.kind, x.value FROM breach x JOIN metric m ON m.repo = x.repo AND m.id = x.id WHERE m.cc IS DISTINCT FROM 7 AND (m.cc IS DISTINCT FROM 4 OR x.kind <> 'cognitive')
+          UNION ALL SELECT repo, id, 'cognitive', CAST(cognitive + 10 AS DOUBLE) FROM metric WHERE cc = 4 AND cognitive + 10 > 15""",
+    ),
+)
+def _(v: Views):
+    """Breaches after a change, from those before it: functions of complexity 7 are new, those of 4 were more complex."""
+    i = measured(v)
+    m = settle(analyze.function_table(i, AS_OF), "functions")
+    critical = v.stored("functions").select("repo").distinct().withColumn("pattern", F.lit("small/**/large.go"))
+    earlier = m.where(~F.col("cc").eqNullSafe(7)).withColumn("cognitive", F.when(F.col("cc") == 4, F.col("cognitive") + 10).otherwise(F.col("cognitive")))
+    before = check.check_change(None, earlier, i.line_states, critical_paths=critical)
+    return check.check_change(before, m, i.line_states, critical_paths=critical)["changes"]
+
+
 @query(
     "gate_survivor_details",
     sql(
@@ -1854,6 +1875,44 @@ def _(v: Views):
     return read
 
 
+@query(
+    "snapshot_documents",
+    sql(
+        """SELECT f.repo, f.id, f.parent, CAST(f.line AS INTEGER) AS line, CAST(m.cc AS INTEGER) AS cc, coalesce(e.n, 0) AS calls FROM func f JOIN metric m ON m.repo = f.repo AND m.id = f.id
+           LEFT JOIN (SELECT repo, f AS id, count(*) AS n FROM edge WHERE kind = 'calls' GROUP BY ALL) e ON e.repo = f.repo AND e.id = f.id"""
+    ),
+)
+def _(v: Views):
+    """Functions, facts and calls written as snapshot documents of about 20,000 functions and read back in splits of 256 KB."""
+    f, facts = v.stored("functions"), v.stored("facts")
+    calls = v.stored("edges").where("kind = 'calls'")
+    spark = f.sparkSession
+    parts = f.count() // 20_000 + 1
+    rows = (
+        f.select(*SNAP, "id", F.struct("id", "kind", "name", "parent", "file", "line", "end_line").alias("n"))
+        .unionByName(facts.select(*SNAP, "id", F.struct("id", F.struct("cc", "cognitive", "loc").alias("m")).alias("m")), allowMissingColumns=True)
+        .unionByName(calls.select(*SNAP, F.col("from").alias("id"), F.struct("from", "to", "kind").alias("e")), allowMissingColumns=True)
+        .withColumn("snapshot_id", F.concat("snapshot_id", F.lit("-"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("string")))
+    )
+    doc = F.struct(
+        F.collect_list("n").alias("nodes"),
+        F.map_from_entries(F.collect_list("m")).alias("metrics"),
+        F.collect_list("e").alias("edges"),
+        F.lit(1).alias("schema"),
+    )
+    path = _files(rows.groupBy(*SNAP).agg(F.to_json(doc).alias("value")), SNAP, "snapshot-documents")
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "256k")
+    try:
+        t = readers.read_snapshots(spark, path, in_splits=True)
+    finally:
+        spark.conf.set(size, before)
+    n = t["edges"].groupBy("repo", F.col("from").alias("id")).agg(F.count("*").alias("calls"))
+    found = t["nodes"].select(*ID, "parent", "line").join(t["facts"].select(*ID, "cc"), ID)
+    return found.join(n, ["repo", "id"], "left").select("repo", "id", "parent", "line", "cc", F.coalesce("calls", F.lit(0)).alias("calls"))
+
+
 @query("stored_edges", sql('SELECT repo, f AS "from", t AS "to", kind FROM edge'))
 def _(v: Views):
     """Edges of snapshots that were stored, then stored again, and swept."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import paths
 from plumbline.functions.text import joined_ranges
+from plumbline.operators.coverage import state_runs
 from plumbline.operators.ranking import first_per
 from plumbline.schemas import LIVED, SNAP
 
@@ -119,6 +120,58 @@ def breaches(
     ).select(*ID, "name", "_b.*")
 
 
+def breach_inputs(
+    metrics: DataFrame, thresholds: DataFrame, line_states: DataFrame, critical_files: DataFrame | None = None
+) -> DataFrame:
+    """A digest for each function of all that :func:`breaches` makes of it: ``…, id, digest``.
+
+    Uncovered lines go in by XOR, which merges in any order; a function has a line once.
+    """
+    limits = ["crap_max", "cognitive_max", "coverage_min", "mutation_min"]
+    own = ["file", "cognitive", "crap", "percent", "coverage_stale", "score", "mutation_stale"]
+    marks = [F.bit_xor(F.xxhash64("line", F.lit(i))).alias(f"lines_{i}") for i in range(2)]
+    lines = line_states.where("state = 'uncovered'").groupBy(*ID).agg(*marks, F.count("*").alias("lines"))
+    m = metrics.select(*ID, *own).join(thresholds.select("repo", *limits), "repo").join(lines, ID, "left")
+    parts = [*own, *limits, "lines_0", "lines_1", "lines"]
+    if critical_files is not None:
+        flag = critical_files.select("repo", "file").distinct().withColumn("critical", F.lit(True))
+        m = m.join(flag, ["repo", "file"], "left")
+        parts.append("critical")
+    return m.select(*ID, F.sha2(F.to_json(F.struct(*parts)), 256).alias("digest"))
+
+
+def renewed_breaches(
+    before: DataFrame,
+    inputs_before: DataFrame,
+    inputs: DataFrame,
+    metrics: DataFrame,
+    thresholds: DataFrame,
+    line_states: DataFrame,
+    critical_files: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`breaches` of a following snapshot, from those ``before`` it.
+
+    ``inputs_before`` and ``inputs`` are the digests of both (one snapshot of a repository in each). Only functions
+    with another digest, and their lines, are looked at again; those that are gone lose their breaches.
+    """
+    same = inputs.join(inputs_before.select("repo", "id", "digest"), ["repo", "id", "digest"], "left_semi")
+    other = inputs.join(inputs_before.select("repo", "id", "digest"), ["repo", "id", "digest"], "left_anti").select(*ID)
+    runs = state_runs(line_states.join(other, ID, "left_semi"), "uncovered")
+    new = breaches(metrics.join(other, ID, "left_semi"), thresholds, critical_files, runs)
+    kept = before.drop("snapshot_id").join(same.select(*ID), ["repo", "id"]).select(*new.columns)
+    return kept.unionByName(new)
+
+
+def breach_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What became of each breach from one snapshot of a repository to the next: ``repo, id, kind, change``
+    (``appeared``, ``resolved``, ``kept``), ``value_before, value``."""
+    key = ["repo", "id", "kind"]
+    old = before.select(*key, F.col("value").alias("value_before"), F.lit(True).alias("_old"))
+    new = after.select(*key, "value", F.lit(True).alias("_new"))
+    change = F.when(F.col("_old").isNull(), "appeared").when(F.col("_new").isNull(), "resolved").otherwise("kept")
+    return old.join(new, key, "full").select(*key, change.alias("change"), "value_before", "value")
+
+
 def survivor_details(breach_rows: DataFrame, mutants: DataFrame, files: DataFrame, shown: int = 5) -> DataFrame:
     """The first survivors of functions with a mutation breach:
     ``…, id, position, detail``. ``files``: ``…, id, file``."""
