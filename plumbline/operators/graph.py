@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.folding import fold, unfold_cyclic, unfold_ranks
 from plumbline.schemas import SNAP
 from plumbline.session import Rounds, settle
 
@@ -54,9 +55,9 @@ def _numbered(edges: DataFrame) -> DataFrame:
     return _arrows(edges).withColumns({"a": _number("from"), "b": _number("to")})
 
 
-def _ways(edges: DataFrame, both: bool = False) -> DataFrame:
-    """Where a node's state goes: ``node, next, way`` (1 on, -1 back, 0 itself)."""
-    on = edges.selectExpr("a as node", "b as next", "1 as way")
+def _ways(edges: DataFrame, both: bool = False, length: str = "1") -> DataFrame:
+    """Where a node's state goes: ``node, next, way`` (1 or the length on, -1 back, 0 itself)."""
+    on = edges.selectExpr("a as node", "b as next", f"{length} as way")
     if both:
         on = on.unionByName(edges.selectExpr("b as node", "a as next", "-1 as way"))
     ends = edges.selectExpr("a as node").unionByName(edges.selectExpr("b as node")).distinct()
@@ -93,17 +94,15 @@ def _extremes(edges: DataFrame, turn: int) -> DataFrame:
         total = now
 
 
-def cyclic_edges(edges: DataFrame) -> DataFrame:
-    """Edges whose ends reach each other, self-loops included.
+def _by_extremes(core: DataFrame) -> DataFrame:
+    """Edges ``a, b`` whose ends reach each other; no loops are given.
 
     In a turn all nodes learn the largest label before and behind them. Where both
     are the same, the node is in one component with the label's own node; nodes
     of one component always agree in both, so edges between nodes that differ
     are on no cycle. What is left undecided goes into the next turn.
     """
-    arrows = settle(_numbered(edges), "arrows")
-    found = [arrows.where("a = b")]
-    core, turn = settle(arrows.where("a <> b").select("a", "b"), "core"), 0
+    found, turn = [core.limit(0)], 0
     while not core.isEmpty():
         at = _extremes(core, turn)
         same = settle(
@@ -113,12 +112,42 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
             .selectExpr("a", "b", "f = g as cyclic"),
             "same-extremes",
         )
-        found.append(arrows.join(same.where("cyclic"), ["a", "b"], "left_semi"))
+        found.append(same.where("cyclic").select("a", "b"))
         core, turn = _trim(same.where("not cyclic").select("a", "b")), turn + 1
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.select(*EDGE)
+    return out
+
+
+# A graph is folded on as long as this share of its edges, at most, is left.
+WORTH = 0.7
+
+
+def _turned(edges: DataFrame, back: bool) -> DataFrame:
+    return edges.selectExpr("b as a", "a as b") if back else edges.select("a", "b")
+
+
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """Edges whose ends reach each other, self-loops included.
+
+    The graph is trimmed and folded along its edges and against them, as long as that makes it
+    much smaller; what is left is decided by labels, and the answer is unfolded.
+    """
+    arrows = settle(_numbered(edges), "arrows")
+    core = _trim(arrows.where("a <> b").select("a", "b"))
+    size, before, levels = core.count(), None, []
+    while size and (before is None or size <= WORTH * before):
+        for back in (False, True):
+            way = _turned(core, back)
+            folded = fold(way.withColumn("w", F.lit(1)))
+            levels.append((way, folded, back))
+            core = _trim(_turned(folded.edges.where("a <> b"), back))
+        size, before = core.count(), size
+    found = _by_extremes(core)
+    for way, folded, back in reversed(levels):
+        found = _turned(unfold_cyclic(way, folded, _turned(found, back)), back)
+    return arrows.where("a = b").unionByName(arrows.where("a <> b").join(found, ["a", "b"], "left_semi")).select(*EDGE)
 
 
 def _trim(edges: DataFrame) -> DataFrame:
@@ -141,15 +170,15 @@ def acyclic(edges: DataFrame) -> DataFrame:
 
 
 def _peeled(dag: DataFrame) -> DataFrame:
-    """Longest path to each node (``node, rank``) of numbered edges, by in-degree.
+    """Longest path to each node (``node, rank``) of numbered edges with lengths ``w``, by in-degree.
 
     A node sends its rank on once, when everything before it has done so. Nodes
     on or behind a cycle never come to that and have no row.
     """
-    ways = _ways(dag)
+    ways = _ways(dag, length="w")
     into = dag.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("open"))
     state = (
-        ways.where("way = 0").select("node").join(into, "node", "left").selectExpr("node", "coalesce(open, 0L) as open", "0 as rank", "false as sent")
+        ways.where("way = 0").select("node").join(into, "node", "left").selectExpr("node", "coalesce(open, 0L) as open", "0L as rank", "false as sent")
     )
     done: list[DataFrame] = []
     while True:
@@ -171,12 +200,30 @@ def _peeled(dag: DataFrame) -> DataFrame:
             break
         done.append(sent)
         state = state.where("not sent")
-    out = done[0] if done else dag.selectExpr("a as node", "0 as rank").limit(0)
+    out = done[0] if done else dag.selectExpr("a as node", "0L as rank").limit(0)
     for x in done[1:]:
         out = out.unionByName(x)
     return out
 
 
+def _longest(edges: DataFrame) -> DataFrame:
+    """Longest path to each node (``node, rank``) of numbered edges, folded first.
+
+    Nodes on or behind a cycle have no row.
+    """
+    core, levels = settle(edges.select("a", "b", F.lit(1).alias("w")), "core"), []
+    size, before = core.count(), None
+    while size and (before is None or size <= WORTH * before):
+        folded = fold(core)
+        levels.append(folded)
+        core = folded.edges
+        size, before = core.count(), size
+    rank = _peeled(core)
+    for folded in reversed(levels):
+        rank = unfold_ranks(folded, rank)
+    return rank
+
+
 def ranks(dag: DataFrame) -> DataFrame:
     """Longest path from an entry (a node nothing points to): ``…, node, rank``.
 
@@ -184,13 +231,13 @@ def ranks(dag: DataFrame) -> DataFrame:
     node left without edges is an entry.
     """
     edges = settle(_numbered(dag), "dag")
-    r = _peeled(edges)
+    r = _longest(edges)
     ends = settle(_as(edges, "from").unionByName(_as(edges, "to")).distinct().withColumn("_n", _number("node")), "ends")
     rank = settle(r.withColumnRenamed("node", "_n"), "ranks-found")
     if not ends.join(rank, "_n", "left_anti").isEmpty():  # a cycle: without its edges
         edges = settle(_numbered(acyclic(edges)), "dag")
-        rank = settle(_peeled(edges).withColumnRenamed("node", "_n"), "ranks-found")
-    return ends.join(rank, "_n", "left").select(*NODE, F.coalesce("rank", F.lit(0)).alias("rank"))
+        rank = settle(_longest(edges).withColumnRenamed("node", "_n"), "ranks-found")
+    return ends.join(rank, "_n", "left").select(*NODE, F.coalesce("rank", F.lit(0)).cast("int").alias("rank"))
 
 
 def rank_groups(nodes: DataFrame, dag: DataFrame) -> DataFrame:
