@@ -70,25 +70,31 @@ def _steps(state: DataFrame, step: Callable[[DataFrame], DataFrame], label: str,
     return settle(state, label)
 
 
+# Labels that a node has at once. Each splits the graph elsewhere, and none costs a step more.
+LABELS = 4
+
+
 def _extremes(edges: DataFrame, turn: int) -> DataFrame:
-    """Per node the largest label that reaches it (``f``) and that it reaches (``g``).
+    """Per node and kind of label the largest label that reaches it (``f0``, …) and that it reaches (``g0``, …).
 
-    Labels are numbers hashed anew in each turn, so no order of names is bad.
+    Labels are numbers hashed anew for each kind and turn, so no order of names is bad.
     """
     ways = _ways(edges, both=True)
-    label = F.xxhash64("node", F.lit(turn))
-    state = ways.where("way = 0").select("node", label.alias("f"), label.alias("g"))
+    kinds = range(LABELS)
+    label = [F.xxhash64("node", F.lit(turn * LABELS + i)) for i in kinds]
+    state = ways.where("way = 0").select("node", *[label[i].alias(f"f{i}") for i in kinds], *[label[i].alias(f"g{i}") for i in kinds])
+    largest = [F.max(F.expr(f"if(way >= 0, f{i}, null)")).alias(f"f{i}") for i in kinds] + [
+        F.max(F.expr(f"if(way <= 0, g{i}, null)")).alias(f"g{i}") for i in kinds
+    ]
     total = None
     while True:
         state = _steps(
             state,
-            lambda x: ways.join(x, "node")  # noqa: B023
-            .groupBy(F.col("next").alias("node"))
-            .agg(F.max(F.expr("if(way >= 0, f, null)")).alias("f"), F.max(F.expr("if(way <= 0, g, null)")).alias("g")),
+            lambda x: ways.join(x, "node").groupBy(F.col("next").alias("node")).agg(*largest),
             "extremes",
         )
         # labels only grow, so equal sums mean that nothing has changed
-        now = state.agg(F.sum(F.col("f").cast("decimal(20,0)")), F.sum(F.col("g").cast("decimal(20,0)"))).first()
+        now = state.agg(*[F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in state.columns if c != "node"]).first()
         if now == total:
             return state
         total = now
@@ -97,19 +103,22 @@ def _extremes(edges: DataFrame, turn: int) -> DataFrame:
 def _by_extremes(core: DataFrame) -> DataFrame:
     """Edges ``a, b`` whose ends reach each other; no loops are given.
 
-    In a turn all nodes learn the largest label before and behind them. Where both
-    are the same, the node is in one component with the label's own node; nodes
-    of one component always agree in both, so edges between nodes that differ
+    In a turn all nodes learn the largest labels before and behind them. Where those of
+    one kind are the same, the node is in one component with the label's own node; nodes
+    of one component agree in all, so edges between nodes that differ in any
     are on no cycle. What is left undecided goes into the next turn.
     """
+    names = [f"{c}{i}" for c in "fg" for i in range(LABELS)]
+    agree = " and ".join(f"x.{c} = y.{c}" for c in names)
+    cyclic = " or ".join(f"x.f{i} = x.g{i}" for i in range(LABELS))
     found, turn = [core.limit(0)], 0
     while not core.isEmpty():
         at = _extremes(core, turn)
         same = settle(
-            core.join(at.selectExpr("node as a", "f", "g"), "a")
-            .join(at.selectExpr("node as b", "f as f2", "g as g2"), "b")
-            .where("f = f2 and g = g2")
-            .selectExpr("a", "b", "f = g as cyclic"),
+            core.join(at.withColumnRenamed("node", "a").alias("x"), "a")
+            .join(at.withColumnRenamed("node", "b").alias("y"), "b")
+            .where(agree)
+            .selectExpr("a", "b", f"({cyclic}) as cyclic"),
             "same-extremes",
         )
         found.append(same.where("cyclic").select("a", "b"))
