@@ -671,6 +671,31 @@ def _(v: Views):
     return rollup.green_share(packages_modules(v)[0]).select(*SNAP, "package", "green", "functions", "green_percent")
 
 
+@query(
+    "rollup_after_change",
+    sql(
+        """SELECT p.repo, p.id AS package, g_crap AS grade_crap, g_mut AS grade_mutation, g_cov AS grade_coverage, g_all AS grade_combined,
+             crap_max, crap_avg, worst, stmts, covered, percent, killed, survived, not_covered, timed_out, score,
+             coalesce(functions, 0) AS functions, coalesce(green, 0) AS green, coalesce(c.n, 0) AS changes
+           FROM pkg p LEFT JOIN roll r ON r.repo = p.repo AND r.package = p.id
+           LEFT JOIN (SELECT repo, parent, count(*) AS n FROM metric WHERE cc = 7 OR (cc = 4 AND crap IS NOT NULL) GROUP BY repo, parent) c ON c.repo = p.repo AND c.parent = p.id"""
+    ),
+)
+def _(v: Views):
+    """Packages after a change, from the state before it: functions of complexity 7 are new, those of 4 had more risk."""
+    m = settle(analyze.function_table(measured(v), AS_OF), "functions")
+    earlier = m.where(~F.col("cc").eqNullSafe(7)).withColumn("crap", F.when(F.col("cc") == 4, F.col("crap") + 10).otherwise(F.col("crap")))
+    changes = settle(rollup.changes_between(earlier, m), "changes")
+    state = rollup.change_state(rollup.start_state(earlier), m, changes)
+    packages = rollup.roll_up_state(state, v.nodes())[0]
+    n = changes.groupBy("repo", F.col("parent").alias("package")).agg(F.count(F.lit(1)).alias("changes"))
+    return (
+        packages.join(n, ["repo", "package"], "left")
+        .withColumn("changes", F.coalesce("changes", F.lit(0)))
+        .drop("snapshot_id", "name", "dir", "churn", "coverage_stale", "mutation_stale", "coverage_error", "mutation_error")
+    )
+
+
 @query(
     "group_rollup",
     sql(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import paths, scores
 from plumbline.schemas import FUNC, MODULE, PACKAGE, SNAP, TYPE
+from plumbline.session import settle
 
 GRADES = ["grade_crap", "grade_mutation", "grade_coverage", "grade_combined"]
 COUNTS = ["killed", "survived", "not_covered", "timed_out"]
@@ -82,8 +85,18 @@ def roll_up(
 
     The module row merges the package rows, so functions are read once.
     """
-    packages = nodes.where(F.col("kind") == PACKAGE).select(*SNAP, F.col("id").alias("package"), "name", "dir")
     acc = _accumulate(metrics.withColumnRenamed("parent", "package"), SNAP + ["package"])
+    return _rows(acc, nodes, directory_churn, coverage_errors, mutation_errors)
+
+
+def _rows(
+    acc: DataFrame,
+    nodes: DataFrame,
+    directory_churn: DataFrame | None,
+    coverage_errors: DataFrame | None,
+    mutation_errors: DataFrame | None,
+) -> tuple[DataFrame, DataFrame]:
+    packages = nodes.where(F.col("kind") == PACKAGE).select(*SNAP, F.col("id").alias("package"), "name", "dir")
     kept = packages.join(acc, SNAP + ["package"], "left")
     out = _finish(kept, SNAP + ["package", "name", "dir"]).withColumns(
         {c: F.coalesce(c, F.lit(0)) for c in ["functions", "green"]}
@@ -111,6 +124,79 @@ def roll_up(
     return out, modules
 
 
+class RollUpState(NamedTuple):
+    """Accumulated functions of one snapshot a repository, to be stored and renewed:
+    ``slices`` (``repo, package, slice, …``, a slice being a share of a package's ids
+    by hash) and ``packages`` (``repo, package, …``)."""
+
+    slices: DataFrame
+    packages: DataFrame
+
+
+# Slices of a package; a change renews those it touches, whatever the package's size.
+SLICES = 16
+
+
+def _in_slices(rows: DataFrame) -> DataFrame:
+    return rows.withColumnRenamed("parent", "package").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
+
+
+def start_state(metrics: DataFrame) -> RollUpState:
+    """The state of a snapshot that has none yet; functions without a package are left out."""
+    slices = settle(_accumulate(_in_slices(metrics.where("parent is not null")), ["repo", "package", "slice"]), "rollup-slices")
+    return RollUpState(slices, settle(_merge(slices, ["repo", "package"]), "rollup-packages"))
+
+
+def changes_between(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a roll-up must renew (``repo, parent, id``): functions that appeared, vanished, changed
+    in a measured value, or moved, which lists the package they left as well."""
+    columns = [*GRADES, "crap", "stmts", "covered", "coverage_stale", *COUNTS, "mutation_stale"]
+    key = ["repo", "parent", "id"]
+
+    def digests(rows: DataFrame, sign: int) -> DataFrame:
+        # struct fields keep their place in the text, so that NULLs are told apart
+        digest = F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})).cast("decimal(20,0)")
+        return rows.select(*key, digest.alias("digest"), F.lit(sign).alias("sign"))
+
+    return (
+        digests(before, -1)
+        .unionByName(digests(after, 1))
+        .groupBy(*key)
+        .agg(F.sum(F.col("digest") * F.col("sign")).alias("digest"), F.sum("sign").alias("n"))
+        .where("digest <> 0 or n <> 0")
+        .select(*key)
+    )
+
+
+def change_state(state: RollUpState, metrics: DataFrame, changes: DataFrame) -> RollUpState:
+    """The state after a change, from the state before it.
+
+    ``changes`` (``repo, parent, id``) lists functions that changed, appeared or vanished, with
+    the package each was in and is in. The slices they are in are accumulated anew from ``metrics``,
+    packages with such a slice are merged anew, and all else is taken over. Nothing is
+    subtracted, so extremes that vanish and sums of decimals are as exact as from scratch.
+    """
+    touched = settle(_in_slices(changes.where("parent is not null")).select("repo", "package", "slice").distinct(), "rollup-touched")
+    key = ["repo", "package", "slice"]
+    fresh = _accumulate(_in_slices(metrics.where("parent is not null")).join(touched, key, "left_semi"), key)
+    slices = settle(state.slices.join(touched, key, "left_anti").unionByName(fresh), "rollup-slices")
+    some = touched.select("repo", "package").distinct()
+    merged = _merge(slices.join(some, ["repo", "package"], "left_semi"), ["repo", "package"])
+    return RollUpState(slices, settle(state.packages.join(some, ["repo", "package"], "left_anti").unionByName(merged), "rollup-packages"))
+
+
+def roll_up_state(
+    state: RollUpState,
+    nodes: DataFrame,
+    directory_churn: DataFrame | None = None,
+    coverage_errors: DataFrame | None = None,
+    mutation_errors: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``(packages, modules)`` as ``roll_up`` gives them, of a state and its snapshot's nodes."""
+    snapshots = nodes.select(*SNAP).distinct()
+    return _rows(state.packages.join(snapshots, "repo"), nodes, directory_churn, coverage_errors, mutation_errors)
+
+
 def group_roll_up(packages: DataFrame, groups: DataFrame) -> DataFrame:
     """Packages to path groups (``repo, snapshot_id, package, prefix``): worst
     grades, highest CRAP and its function (first package on ties)."""
