@@ -231,6 +231,15 @@ class Views:
         p = self.part_functions()
         return self.table("lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
 
+    @view
+    def measurements(self) -> DataFrame:
+        """Line items with their functions. What comes of them is read several
+        times by one query, so they meet once and are written."""
+        keys = ["l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"]
+        return settle(
+            self._lineitem_functions().select(*keys, "repo", "p_type", "p_name", "size", "file", "line"), "measurements"
+        )
+
     @view
     def import_paths(self) -> DataFrame:
         """A package imports the suppliers of its parts: ``importer, path``."""
@@ -333,7 +342,7 @@ class Views:
         start = F.col("line") + q % (F.col("size") + 1)
         n = F.col("l_linenumber").cast("int")
         return (
-            self._lineitem_functions()
+            self.measurements()
             .select(
                 "repo",
                 F.lit("s1").alias("snapshot_id"),
@@ -359,7 +368,7 @@ class Views:
         )
         kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("l_suppkey") % len(TYPES) + 1).cast("int"))
         return (
-            self._lineitem_functions()
+            self.measurements()
             .select(
                 "repo",
                 F.lit("s1").alias("snapshot_id"),
@@ -382,7 +391,7 @@ class Views:
         q = F.col("l_quantity").cast("int")
         start = F.col("line") + q
         n = F.col("l_linenumber").cast("int") - 1
-        return self._lineitem_functions().select(
+        return self.measurements().select(
             "repo",
             F.lit("s1").alias("snapshot_id"),
             F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("commit"),
@@ -397,7 +406,7 @@ class Views:
         o = self.table("orders").select(
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp").alias("ts")
         )
-        return self._lineitem_functions().join(o, "l_orderkey").select(
+        return self.measurements().join(o, "l_orderkey").select(
             "repo", F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("commit"), "ts", "file"
         )
 
