@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.paths import strip
 from plumbline.operators.ordered import nearest
 from plumbline.schemas import SNAP
+from plumbline.session import settle
 
 
 def open_notes(notes: DataFrame, target: str | None = None, include_resolved: bool = False) -> DataFrame:
@@ -23,34 +24,36 @@ def place(notes: DataFrame, function_lines: DataFrame) -> DataFrame:
     first line number ``base``. A note sits on its recorded offset while the
     trimmed text is unchanged, else on the nearest line with that text (the
     lower one on ties), else on the old offset within the function, outdated.
+
+    Texts are compared by digest, and only distinct places are looked for, so a
+    text goes through no shuffle here and a note through the last joins alone.
     """
     key = SNAP + ["target"]
-    lines = function_lines.select(
-        *SNAP, F.col("id").alias("target"), F.col("offset").cast("long").alias("offset"), strip("text").alias("_t"), "base"
+    place = key + ["_t", "_off"]
+    lines = settle(
+        function_lines.select(
+            *SNAP, F.col("id").alias("target"), F.col("offset").cast("long").alias("offset"), _digest(strip("text")).alias("_t"), "base"
+        ),
+        "note-lines",
     )
     span = lines.groupBy(*key).agg(F.max("base").alias("_base"), (F.max("offset") + 1).alias("_size"))
-    n = notes.join(span, key, "left").withColumn("_off", F.col("line_offset").cast("long"))
-    unplaced = n.where("line_offset IS NULL")
-    anchored = n.where("line_offset IS NOT NULL")
-    still = lines.select(*key, F.col("offset").alias("_off"), F.col("_t").alias("line_text"), F.lit(True).alias("_still"))
-    first = anchored.join(still, key + ["_off", "line_text"], "left")
-    same = first.where("_still").withColumn("_at", F.col("_off"))
-    moved = nearest(
-        first.where("_still IS NULL"),
-        lines.withColumnRenamed("_t", "line_text"),
-        key + ["line_text"],
-        "_off",
-        "offset",
-        "_at",
-    )
+    n = notes.withColumns({"_t": _digest(F.col("line_text")), "_off": F.col("line_offset").cast("long")})
+    # an unchanged line is the nearest one, at no distance
+    asked = n.where("_t IS NOT NULL AND _off IS NOT NULL").select(*place).distinct()
+    found = nearest(asked, lines, key + ["_t"], "_off", "offset", "_at").where("_at IS NOT NULL")
     clamped = F.least(F.col("_off"), F.greatest(F.coalesce("_size", F.lit(0)) - 1, F.lit(0)))
-    cols = [*notes.columns, "_base", "_off", "_size", "_at"]
-    found = same.select(*cols).unionByName(moved.select(*cols))
-    base = F.coalesce("_base", F.lit(0))
-    placed = found.select(
-        *notes.columns,
-        (base + F.coalesce("_at", clamped)).cast("long").alias("line"),
-        F.col("_at").isNull().alias("outdated"),
+    line = F.coalesce("_base", F.lit(0)) + F.coalesce("_at", clamped)
+    anchored = F.col("line_offset").isNotNull()
+    return (
+        n.join(found, place, "left")
+        .join(span, key, "left")
+        .select(
+            *notes.columns,
+            F.when(anchored, line).otherwise(0).cast("long").alias("line"),
+            (anchored & F.col("_at").isNull()).alias("outdated"),
+        )
     )
-    rest = unplaced.select(*notes.columns, F.lit(0).cast("long").alias("line"), F.lit(False).alias("outdated"))
-    return placed.unionByName(rest)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))

@@ -71,6 +71,12 @@ def test_note_placing(spark):
     assert got == {"same": (9, False), "moved": (21, False), "tie": (22, False), "low": (22, False), "gone": (14, True), "shrunk": (25, True), "none": (0, False)}
 
 
+def test_note_without_text_is_kept(spark):
+    lines = spark.createDataFrame([("r", "s", "f", i, f"l{i}", 9) for i in range(3)], KEY + "id string, offset int, text string, base int")
+    d = spark.createDataFrame([("r", "s", "f", "a", 1, None), ("r", "s", "f", "b", 1, "l1"), ("r", "s", "f", "c", 1, "l1")], KEY + "target string, id string, line_offset int, line_text string")
+    assert pairs(notes.place(d, lines), "id", "line", "outdated") == [("a", 10, True), ("b", 10, False), ("c", 10, False)]
+
+
 def test_annotations(spark):
     src = ["func f() {", "\tif a && b {", "\t\tx()", "", "\t\ty()", "\t}", "\treturn a >= b", "}"]
     f = nodes(spark, ("p.f", "func", "f", "p", "a.go", 3, 10)).withColumn("doc_line", F.lit(None).cast("int"))
