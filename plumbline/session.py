@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
-    # Broadcasts by measured size alone: before a job the planner only knows how
+    # No broadcasts by estimated size: before a job the planner only knows how
     # large a file is compressed, and rows of repeated names grow thirtyfold in
-    # the driver. Loops broadcast in every round, so the measured limit is low.
+    # the driver. Nor by the measured size of a shuffle: both sides have moved by
+    # then, that size is compressed too, and a loop would send every round's new
+    # rows through the driver. What is proven small is broadcast by name.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "1m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Joins here are often followed by an aggregate on the same key; without
     # this flag the skew split is given up to save that second shuffle.

@@ -14,3 +14,11 @@ def test_a_table_small_on_disk_but_not_in_memory_is_not_broadcast(spark):
     assert joined.first()["n"] == 200_000 * 240
     joined.collect()
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_sides_of_a_loop_do_not_pass_the_driver(spark):
+    """The new rows of a round are few; sent through the driver they add up over the rounds."""
+    front = settle(spark.range(100), "front")
+    joined = settle(spark.range(50_000), "edges").join(front, "id").groupBy("id").count()
+    assert len(joined.collect()) == 100
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
