@@ -74,6 +74,10 @@ class Views:
             self._built[key] = df.repartition(cores) if len(df.inputFiles()) < cores else df
         return self._built[key]
 
+    def source(self, name: str) -> DataFrame:
+        """A supplied table as its files lie, for what is shuffled by a key next."""
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
     def stored(self, name: str) -> DataFrame:
         """A derived table written once, as a job finds it on disk."""
         key = f"stored:{name}"
@@ -228,8 +232,8 @@ class Views:
 
     @view
     def _lineitem_functions(self) -> DataFrame:
-        p = self.part_functions()
-        return self.table("lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+        p = self.part_functions().hint("shuffle_hash")
+        return self.source("lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
 
     @view
     def measurements(self) -> DataFrame:
@@ -237,7 +241,8 @@ class Views:
         times by one query, so they meet once and are written."""
         keys = ["l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"]
         return settle(
-            self._lineitem_functions().select(*keys, "repo", "p_type", "p_name", "size", "file", "line"), "measurements"
+            self._lineitem_functions().select(*keys, "repo", F.lit("s1").alias("snapshot_id"), "p_type", "p_name", "size", "file", "line"),
+            "measurements",
         )
 
     @view
@@ -258,7 +263,7 @@ class Views:
             F.col("p_partkey").alias("l_partkey"), "repo", F.col("id").alias("_from"), F.col("k").alias("_k")
         )
         there = p.select("repo", F.col("k").alias("_to_k"), F.col("id").alias("_to"))
-        li = self.table("lineitem").select("l_partkey", "l_linenumber", "l_quantity", "l_linestatus").distinct()
+        li = self.source("lineitem").select("l_partkey", "l_linenumber", "l_quantity", "l_linestatus").distinct()
         c = (
             li.join(here, "l_partkey")
             .withColumn("_to_k", (F.col("_k") * 2 + F.col("l_linenumber")).cast("int"))
@@ -345,7 +350,7 @@ class Views:
             self.measurements()
             .select(
                 "repo",
-                F.lit("s1").alias("snapshot_id"),
+                "snapshot_id",
                 F.expr("if(p_type = 'PROMO' OR startswith(p_name, 'small '), concat('unlisted/', file), file)").alias("file"),
                 start.alias("start_line"),
                 n.alias("start_col"),
@@ -371,7 +376,7 @@ class Views:
             self.measurements()
             .select(
                 "repo",
-                F.lit("s1").alias("snapshot_id"),
+                "snapshot_id",
                 F.expr("if(p_type = 'LARGE', concat('unlisted/', file), file)").alias("file"),
                 (F.col("line") + q % 60).cast("int").alias("line"),
                 (F.col("l_suppkey") % 40 + 1).cast("int").alias("col"),
@@ -393,7 +398,7 @@ class Views:
         n = F.col("l_linenumber").cast("int") - 1
         return self.measurements().select(
             "repo",
-            F.lit("s1").alias("snapshot_id"),
+            "snapshot_id",
             F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("commit"),
             "file",
             start.cast("int").alias("start"),
@@ -403,9 +408,9 @@ class Views:
 
     @view
     def commit_files(self) -> DataFrame:
-        o = self.table("orders").select(
+        o = self.source("orders").select(
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp").alias("ts")
-        )
+        ).hint("shuffle_hash")
         return self.measurements().join(o, "l_orderkey").select(
             "repo", F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("commit"), "ts", "file"
         )

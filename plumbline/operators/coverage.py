@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.paths import clean_path, dirname
 from plumbline.functions.scores import coverage_percent
-from plumbline.operators.intervals import FILE, contained_spans
+from plumbline.operators.intervals import FILE, contained_spans, slice_of
 from plumbline.operators.ordered import runs
 from plumbline.schemas import SNAP
 
@@ -56,11 +56,18 @@ def relativize(blocks: DataFrame, modules: DataFrame) -> DataFrame:
 def spans_inside(funcs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Per function: the distinct line spans of blocks inside it, with the
     statements and hits of all blocks on the span. Coverage and line states
-    both start from it, so a job that needs both settles it once."""
+    both start from it, so a job that needs both settles it once.
+
+    Blocks move once: what is merged and what meets a function starts on the
+    same line, so it lies in one slice."""
     hit = F.col("count") > 0
+    place = [*FILE, "_slice"]
     spans = (
-        merge_blocks(blocks)
-        .groupBy(*FILE, "start_line", "end_line")
+        blocks.select(*FILE, *POSITION, "count", slice_of("start_line").alias("_slice"))
+        .repartition(*[F.col(c) for c in place])
+        .groupBy(*place, *POSITION)
+        .agg(F.sum("count").alias("count"))
+        .groupBy(*place, "start_line", "end_line")
         .agg(
             F.sum("num_stmt").alias("stmts"),
             F.sum(F.when(hit, F.col("num_stmt")).otherwise(0)).alias("covered"),

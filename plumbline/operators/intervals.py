@@ -29,11 +29,15 @@ def _slices(start: Column, end: Column) -> Column:
 
 
 def function_slices(funcs: DataFrame) -> DataFrame:
-    """``repo, snapshot_id, file, _slice, id, line, end_line``."""
+    """``repo, snapshot_id, file, _slice, id, line, end_line``.
+
+    Functions are far fewer than what meets them, so a join hashes them and
+    need not sort the other side."""
     return (
         funcs.select(*FILE, "id", "line", "end_line")
         .where("line <= end_line")
         .withColumn("_slice", _slices(F.col("line"), F.col("end_line")))
+        .hint("shuffle_hash")
     )
 
 
@@ -43,7 +47,7 @@ def contained_spans(funcs: DataFrame, spans: DataFrame) -> DataFrame:
     A contained span starts inside the function, so only the slice of its
     first line can match and no pair appears twice.
     """
-    s = spans.withColumn("_slice", slice_of("start_line"))
+    s = spans if "_slice" in spans.columns else spans.withColumn("_slice", slice_of("start_line"))
     f = function_slices(funcs).withColumnRenamed("end_line", "_to")
     return (
         s.join(f, FILE + ["_slice"])
@@ -60,8 +64,9 @@ def owners(funcs: DataFrame, points: DataFrame) -> DataFrame:
     return (
         p.join(function_slices(funcs), FILE + ["_slice"])
         .where(F.col("at").between(F.col("line"), F.col("end_line")))
-        .groupBy(*FILE, F.col("at").alias("line"))
+        .groupBy(*FILE, "_slice", "at")  # the slice spares a shuffle
         .agg(F.min("id").alias("id"))
+        .select(*FILE, F.col("at").alias("line"), "id")
     )
 
 

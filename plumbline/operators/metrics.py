@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scores
-from plumbline.operators.mutation import testable_not_covered
+from plumbline.operators.mutation import not_covered_on_states, testable
 from plumbline.schemas import SNAP
 
 ID = SNAP + ["id"]
@@ -66,11 +66,14 @@ def function_metrics(
     ).join(facts.select(*ID, "cc", "cognitive", "loc"), ID, "left")
     cov = coverage.withColumnRenamed("stale", "coverage_stale").select(*ID, *COVERAGE_COLS)
     mut = mutation.withColumnRenamed("stale", "mutation_stale").select(*ID, *MUTATION_COLS)
-    test = testable_not_covered(mutation, coverage, mutants, states)
+    # what is testable follows from columns that are there by then: neither table is made twice
     m = (
         base.join(cov, ID, "left")
         .withColumn("crap", scores.crap("cc", "stmts", "covered"))
-        .join(mut.join(test, ID), ID, "left")
+        .join(mut.withColumn("_mutated", F.lit(True)), ID, "left")
+        .join(not_covered_on_states(mutants, states), ID, "left")
+        .withColumn("testable", F.when(F.col("_mutated"), testable()))
+        .drop("_mutated", "on_state")
     )
     if given is not None:
         m = _fill_given(m, given)

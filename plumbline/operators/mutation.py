@@ -167,24 +167,31 @@ def testable_not_covered(mutation: DataFrame, coverage: DataFrame, mutants: Data
     In a function that ran, a mutant on a line without any coverage block can
     never be tested. Without line data, or where nothing ran, all count.
     """
-    per_line = mutants.where(F.col("status") == NOT_COVERED).groupBy(*ID, "line").count()
-    on_state = (
-        per_line.join(states.select(*ID, "line").distinct(), ID + ["line"], "left_semi")
-        .groupBy(*ID)
-        .agg(F.sum("count").alias("_on_state"))
-    )
-    known = coverage.select(*ID, (F.col("lines_known") & F.col("reached")).alias("_ran"))
+    known = coverage.select(*ID, "lines_known", "reached")
     return (
         mutation.select(*ID, "not_covered")
         .join(known, ID, "left")
-        .join(on_state, ID, "left")
-        .select(
-            *ID,
-            F.when(F.col("_ran"), F.coalesce("_on_state", F.lit(0))).otherwise(F.col("not_covered")).alias("testable"),
-        )
+        .join(not_covered_on_states(mutants, states), ID, "left")
+        .select(*ID, testable().alias("testable"))
+    )
+
+
+def not_covered_on_states(mutants: DataFrame, states: DataFrame) -> DataFrame:
+    """NOT COVERED mutants on lines with a state: ``…, id, on_state``."""
+    per_line = mutants.where(F.col("status") == NOT_COVERED).groupBy(*ID, "line").count()
+    return (
+        per_line.join(states.select(*ID, "line"), ID + ["line"], "left_semi")
+        .groupBy(*ID)
+        .agg(F.sum("count").alias("on_state"))
     )
 
 
+def testable() -> Column:
+    """From a function's coverage and mutation and its mutants ``on_state``."""
+    ran = F.col("lines_known") & F.col("reached")
+    return F.when(ran, F.coalesce("on_state", F.lit(0))).otherwise(F.col("not_covered"))
+
+
 def survivors(mutants: DataFrame) -> DataFrame:
     return mutants.where(F.col("status") == LIVED)
 

@@ -11,6 +11,7 @@ from plumbline.functions.paths import glob_regex
 from plumbline.operators.intervals import lines_of, touched_functions
 from plumbline.operators.ordered import running_total
 from plumbline.schemas import CALLS_DYNAMIC, EXTERNAL, FUNC, IMPORTS, PACKAGE, SNAP
+from plumbline.session import settle
 
 ID = SNAP + ["id"]
 
@@ -44,9 +45,11 @@ def files_matching(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """``repo, file`` pairs matched by any glob of the same repository.
 
     ``patterns``: ``repo, pattern``. Only the pattern table is compiled row by
-    row; the match itself is a semi join on the repository.
+    row, and written first, or the optimizer compiles a pattern for every row it
+    came from; the match itself is a semi join on the repository.
     """
-    rx = patterns.select("repo", _regex_column(F.col("pattern")).alias("_rx")).withColumnRenamed("repo", "_repo")
+    known = settle(patterns.select("repo", "pattern").distinct(), "patterns")
+    rx = known.select(F.col("repo").alias("_repo"), _regex_column(F.col("pattern")).alias("_rx"))
     f = files.select("repo", "file").distinct()
     return f.join(rx, (f["repo"] == rx["_repo"]) & F.expr("file rlike _rx"), "left_semi")
 
