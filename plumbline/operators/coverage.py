@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.paths import clean_path, dirname
 from plumbline.functions.scores import coverage_percent
-from plumbline.operators.intervals import FILE, contained_spans, slice_of
+from plumbline.operators.intervals import FILE, contained_spans
 from plumbline.operators.ordered import runs
 from plumbline.schemas import SNAP
 
@@ -59,12 +59,12 @@ def spans_inside(funcs: DataFrame, blocks: DataFrame) -> DataFrame:
     both start from it, so a job that needs both settles it once.
 
     Blocks move once: what is merged and what meets a function starts on the
-    same line, so it lies in one slice."""
+    same line, so it lies in one slice. They meet functions first, and only
+    those inside one are merged."""
     hit = F.col("count") > 0
-    place = [*FILE, "_slice"]
-    spans = (
-        blocks.select(*FILE, *POSITION, "count", slice_of("start_line").alias("_slice"))
-        .repartition(*[F.col(c) for c in place])
+    place = [*FILE, "_slice", "id"]  # the slice spares a shuffle
+    return (
+        contained_spans(funcs, blocks.select(*FILE, *POSITION, "count"))
         .groupBy(*place, *POSITION)
         .agg(F.sum("count").alias("count"))
         .groupBy(*place, "start_line", "end_line")
@@ -74,8 +74,8 @@ def spans_inside(funcs: DataFrame, blocks: DataFrame) -> DataFrame:
             F.bool_or(hit).alias("ran"),
             F.bool_or(~hit).alias("missed"),
         )
+        .drop("_slice")
     )
-    return contained_spans(funcs, spans)
 
 
 def function_coverage(funcs: DataFrame, blocks: DataFrame, spans: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ own few functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.schemas import SNAP
@@ -42,41 +42,66 @@ def function_slices(funcs: DataFrame) -> DataFrame:
 
 
 def contained_spans(funcs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans (``start_line``, ``end_line`` …) that lie inside a function.
+    """Spans (``start_line``, ``end_line`` …) that lie inside a function, with its ``id`` and their ``_slice``.
 
     A contained span starts inside the function, so only the slice of its
     first line can match and no pair appears twice.
     """
-    s = spans if "_slice" in spans.columns else spans.withColumn("_slice", slice_of("start_line"))
     f = function_slices(funcs).withColumnRenamed("end_line", "_to")
     return (
-        s.join(f, FILE + ["_slice"])
+        spans.withColumn("_slice", slice_of("start_line"))
+        .join(f, FILE + ["_slice"])
         .where((F.col("start_line") >= F.col("line")) & (F.col("end_line") <= F.col("_to")))
-        .drop("_slice", "line", "_to")
+        .drop("line", "_to")
     )
 
 
-def owners(funcs: DataFrame, points: DataFrame) -> DataFrame:
-    """The function around each distinct (file, line); the first id wins where
-    functions overlap. Lines outside every function are absent."""
-    p = points.select(*FILE, F.col("line").alias("at")).distinct()
-    p = p.withColumn("_slice", slice_of("at"))
+def owner_ranges(funcs: DataFrame) -> DataFrame:
+    """Disjoint ranges of lines with their function: ``…, file, _slice, _lo, _hi, id``; the
+    first id wins where functions overlap.
+
+    Functions are clipped to their slices and cut wherever one of the slice starts or ends, so a
+    slice has as many ranges as lines, at most. Functions move once for all of it.
+    """
+    first = F.col("_slice") * SLICE
+    f = (
+        function_slices(funcs)
+        .select(
+            *FILE,
+            "_slice",
+            "id",
+            F.greatest("line", first).alias("_from"),
+            F.least("end_line", first + (SLICE - 1)).alias("_to"),
+            F.xxhash64(*FILE, "_slice").alias("_part"),
+        )
+        .repartition("_part")
+    )
+    place = ["_part", *FILE, "_slice"]
+    cuts = f.select(*place, F.explode(F.array(F.col("_from"), F.col("_to") + 1)).alias("_lo")).distinct()
+    following = F.lead("_lo").over(Window.partitionBy(*place).orderBy("_lo"))
     return (
-        p.join(function_slices(funcs), FILE + ["_slice"])
-        .where(F.col("at").between(F.col("line"), F.col("end_line")))
-        .groupBy(*FILE, "_slice", "at")  # the slice spares a shuffle
+        cuts.withColumn("_hi", following - 1)
+        .join(f, place)
+        .where((F.col("_from") <= F.col("_lo")) & (F.col("_hi") <= F.col("_to")))
+        .groupBy(*place, "_lo", "_hi")
         .agg(F.min("id").alias("id"))
-        .select(*FILE, F.col("at").alias("line"), "id")
+        .drop("_part")
+        .hint("shuffle_hash")
     )
 
 
 def with_owner(funcs: DataFrame, rows: DataFrame, spread: list[str], salts: int = 1) -> DataFrame:
-    """Rows (``file``, ``line`` …) with the ``id`` of their function.
+    """Rows (``file``, ``line`` …) with the ``id`` of their function; rows outside every function are absent.
 
-    Owners are found for distinct lines, so a line that holds a large part of
-    all rows meets the functions once.
+    Rows move once, by file and slice, and meet ranges that hold each line once, so a line that
+    holds a large part of all rows is joined to a single one.
     """
-    return spread_join(rows, owners(funcs, rows), FILE + ["line"], spread, salts)
+    r = rows.withColumn("_slice", slice_of("line"))
+    return (
+        spread_join(r, owner_ranges(funcs), FILE + ["_slice"], ["line", *spread], salts)
+        .where(F.col("line").between(F.col("_lo"), F.col("_hi")))
+        .drop("_slice", "_lo", "_hi")
+    )
 
 
 def lines_of(spans: DataFrame, source_lines: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scores import mutation_score, run_efficacy
-from plumbline.operators.intervals import FILE, owners, with_owner
+from plumbline.operators.intervals import FILE, with_owner
 from plumbline.schemas import COUNTED, KILLED, LIVED, NOT_COVERED, SNAP, TIMED_OUT
 from plumbline.session import spread_join
 
@@ -136,7 +136,7 @@ def tally(funcs: DataFrame, file_mutants: DataFrame) -> DataFrame:
     Mutants are counted per file, line and status before any join.
     """
     per_line = countable(file_mutants).groupBy(*FILE, "line", "status").count()
-    sums = per_line.join(owners(funcs, per_line), FILE + ["line"]).groupBy(*ID).agg(*_counts(F.col("count")))
+    sums = with_owner(funcs, per_line, ["status"]).groupBy(*ID).agg(*_counts(F.col("count")))
     return _scored(funcs, sums)
 
 

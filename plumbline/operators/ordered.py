@@ -73,15 +73,30 @@ def running_last(
 def runs(df: DataFrame, keys: list[str], line: str = "line", span: int = SPAN) -> DataFrame:
     """Maximal runs of consecutive lines: ``keys, start, end``.
 
-    Consecutive lines share ``line − (number of lines so far)``.
+    Consecutive lines share ``line − (number of lines so far)``. Runs are found within each span,
+    by one shuffle of the lines; only those that touch a border of their span, at most two of a span,
+    are then put together.
     """
-    lines = df.select(*keys, line).distinct()
-    counted = running_total(lines, keys, line, F.lit(1), "_seen", span)
-    return (
-        counted.groupBy(*keys, (F.col(line) - F.col("_seen")).alias("_run"))
+    cut = keys + ["_span"]
+    here = Window.partitionBy(*cut).orderBy(line)
+    found = (
+        _spans(df.select(*keys, line), line, span)
+        .withColumn("_run", F.col(line) - F.dense_rank().over(here))
+        .groupBy(*cut, "_run")
         .agg(F.min(line).alias("start"), F.max(line).alias("end"))
-        .drop("_run")
     )
+    first = F.col("_span") * span
+    at_border = (F.col("start") == first) | (F.col("end") == first + (span - 1))
+    order = Window.partitionBy(*keys).orderBy("start")
+    opens = F.when(F.col("start") - F.lag("end").over(order) == 1, 0).otherwise(1)
+    whole = (
+        found.where(at_border)
+        .withColumn("_opens", opens)
+        .withColumn("_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*keys, "_run")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    )
+    return found.where(~at_border).select(*keys, "start", "end").unionByName(whole.drop("_run"))
 
 
 def runs_skipping_gaps(

@@ -75,7 +75,8 @@ def function_table(i: Inputs, as_of: str | None = None, months: int = 12) -> Dat
     """The metrics of every function."""
     funcs = scopes.functions(i.nodes)
     by_function = None if i.hunks is None else intervals.commits_touching(funcs, i.hunks)
-    by_file = None if i.commit_files is None else history.file_churn(i.commit_files, as_of, months)
+    # every function has a count of its own where there are hunks, so a file's count is never shown then
+    by_file = None if i.commit_files is None or i.hunks is not None else history.file_churn(i.commit_files, as_of, months)
     return metrics.function_metrics(
         funcs, i.facts, i.coverage, i.mutation, i.mutants, i.line_states, by_function, by_file, i.given
     )
