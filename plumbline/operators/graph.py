@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.folding import fold, unfold_cyclic, unfold_ranks
 from plumbline.schemas import SNAP
-from plumbline.session import Rounds, settle
+from plumbline.session import Rounds, joined_by_some_keys, settle
 
 EDGE = SNAP + ["from", "to"]
 NODE = SNAP + ["node"]
@@ -70,37 +70,76 @@ def _steps(state: DataFrame, step: Callable[[DataFrame], DataFrame], label: str,
     return settle(state, label)
 
 
+# Edges of a repository that are kept together, about. A larger one has several homes.
+HOME = 1 << 17
+
+
+def _homes(arrows: DataFrame) -> DataFrame:
+    """Nodes with the number of their repository and how many homes its nodes are dealt over: ``node, g, parts``."""
+    repo = F.xxhash64(*SNAP).alias("g")
+    ends = arrows.select(repo, F.col("a").alias("node")).unionByName(arrows.select(repo, F.col("b").alias("node"))).distinct()
+    parts = arrows.groupBy(repo).agg(F.ceil(F.count(F.lit(1)) / HOME).alias("parts"))
+    return settle(ends.join(parts, "g"), "homes")
+
+
+def _homed_ways(edges: DataFrame, homes: DataFrame) -> DataFrame:
+    """As :func:`_ways` in both directions, with the homes of both ends, which lie in one repository."""
+    e = edges.join(homes.withColumnRenamed("node", "a"), "a").selectExpr(
+        "a", "b", "xxhash64(g, pmod(a, parts)) as ha", "xxhash64(g, pmod(b, parts)) as hb"
+    )
+    on = e.selectExpr("ha as home", "a as node", "hb as next_home", "b as next", "1 as way")
+    back = e.selectExpr("hb as home", "b as node", "ha as next_home", "a as next", "-1 as way")
+    ways = on.unionByName(back)
+    stay = ways.select("home", "node").distinct().selectExpr("home", "node", "home as next_home", "node as next", "0 as way")
+    return settle(ways.unionByName(stay).repartition("home").sortWithinPartitions("home", "node"), "ways")
+
+
+def _homed_step(ways: DataFrame, state: DataFrame, values: list[str]) -> DataFrame:
+    """Largest values that reach a node in one step; those with an ``f`` go on, those with a ``g`` back.
+
+    States and ways lie by home. What a home sends to a node is made one row there, before it moves,
+    so a step moves about a row for a node and not one for an edge, and rows of a repository, which
+    come to be alike, lie side by side.
+    """
+    taken = [F.max(F.expr(f"if(way {'>=' if c[0] == 'f' else '<='} 0, {c}, null)")).alias(c) for c in values]
+    return (
+        ways.repartition("home")
+        .join(state.repartition("home"), ["home", "node"])
+        .groupBy("home", "next_home", "next")
+        .agg(*taken)
+        .select(F.col("next_home").alias("home"), F.col("next").alias("node"), *values)
+        .repartition("home")
+        .groupBy("home", "node")
+        .agg(*[F.max(c).alias(c) for c in values])
+    )
+
+
 # Labels that a node has at once. Each splits the graph elsewhere, and none costs a step more.
 LABELS = 4
 
 
-def _extremes(edges: DataFrame, turn: int) -> DataFrame:
+def _extremes(edges: DataFrame, homes: DataFrame, turn: int) -> DataFrame:
     """Per node and kind of label the largest label that reaches it (``f0``, …) and that it reaches (``g0``, …).
 
     Labels are numbers hashed anew for each kind and turn, so no order of names is bad.
     """
-    ways = _ways(edges, both=True)
+    ways = _homed_ways(edges, homes)
     kinds = range(LABELS)
     label = [F.xxhash64("node", F.lit(turn * LABELS + i)) for i in kinds]
-    state = ways.where("way = 0").select("node", *[label[i].alias(f"f{i}") for i in kinds], *[label[i].alias(f"g{i}") for i in kinds])
-    largest = [F.max(F.expr(f"if(way >= 0, f{i}, null)")).alias(f"f{i}") for i in kinds] + [
-        F.max(F.expr(f"if(way <= 0, g{i}, null)")).alias(f"g{i}") for i in kinds
-    ]
+    values = [f"{c}{i}" for c in "fg" for i in kinds]
+    state = ways.where("way = 0").select("home", "node", *[(label[int(c[1:])]).alias(c) for c in values])
     total = None
     while True:
-        state = _steps(
-            state,
-            lambda x: ways.join(x, "node").groupBy(F.col("next").alias("node")).agg(*largest),
-            "extremes",
-        )
+        with joined_by_some_keys(edges.sparkSession):
+            state = _steps(state, lambda x: _homed_step(ways, x, values), "extremes")
         # labels only grow, so equal sums mean that nothing has changed
-        now = state.agg(*[F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in state.columns if c != "node"]).first()
+        now = state.agg(*[F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in values]).first()
         if now == total:
-            return state
+            return state.drop("home")
         total = now
 
 
-def _by_extremes(core: DataFrame) -> DataFrame:
+def _by_extremes(core: DataFrame, homes: DataFrame) -> DataFrame:
     """Edges ``a, b`` whose ends reach each other; no loops are given.
 
     In a turn all nodes learn the largest labels before and behind them. Where those of
@@ -113,7 +152,7 @@ def _by_extremes(core: DataFrame) -> DataFrame:
     cyclic = " or ".join(f"x.f{i} = x.g{i}" for i in range(LABELS))
     found, turn = [core.limit(0)], 0
     while not core.isEmpty():
-        at = _extremes(core, turn)
+        at = _extremes(core, homes, turn)
         same = settle(
             core.join(at.withColumnRenamed("node", "a").alias("x"), "a")
             .join(at.withColumnRenamed("node", "b").alias("y"), "b")
@@ -153,7 +192,7 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
             levels.append((way, folded, back))
             core = _trim(_turned(folded.edges.where("a <> b"), back))
         size, before = core.count(), size
-    found = _by_extremes(core)
+    found = _by_extremes(core, _homes(arrows))
     for way, folded, back in reversed(levels):
         found = _turned(unfold_cyclic(way, folded, _turned(found, back)), back)
     return arrows.where("a = b").unionByName(arrows.where("a <> b").join(found, ["a", "b"], "left_semi")).select(*EDGE)

@@ -6,6 +6,7 @@ Everything iterative writes its rounds as Parquet below the cluster's
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import time
 import uuid
@@ -105,6 +106,18 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def joined_by_some_keys(spark: SparkSession):
+    """Joins planned inside need not be dealt by all of their keys, if both sides lie by the same some."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Rounds:
     """The written rounds of an iteration: ``<folder>/round=<i>``."""
 

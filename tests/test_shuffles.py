@@ -7,10 +7,10 @@ import re
 from pyspark.sql import functions as F
 
 from conftest import pairs
-from plumbline.operators import coverage, intervals, metrics, mutation, ordered
+from plumbline.operators import coverage, graph, intervals, metrics, mutation, ordered
 from plumbline.plans import analyze
 from plumbline.schemas import SNAP
-from plumbline.session import settle
+from plumbline.session import joined_by_some_keys, settle
 
 FUNC = "repo string, snapshot_id string, id string, name string, parent string, file string, line int, end_line int"
 BLOCK = "repo string, snapshot_id string, file string, start_line int, start_col int, end_line int, end_col int, num_stmt int, count long"
@@ -105,3 +105,20 @@ def test_commits_of_files_are_not_counted_where_functions_have_their_own(spark):
     assert (read_of(with_hunks, "commits"), read_of(without, "commits")) == (0, 1)
     assert pairs(with_hunks, "name", "churn", "churn_scope") == [("F0", 1, "function"), *[(f"F{i}", 0, "function") for i in range(1, 5)]]
     assert pairs(without, "name", "churn", "churn_scope") == [(f"F{i}", 2, "file") for i in range(5)]
+
+
+def test_labels_move_once_for_a_node_and_not_for_each_edge(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOME", 8)  # the larger repository has several homes
+    names = [("r", i, j) for i in range(12) for j in range(i)] + [("q", 0, 1), ("q", 1, 0), ("q", 1, 2), ("q", 2, 2)]
+    edges = settle(spark.createDataFrame([(r, "s", f"{i}", f"{j}") for r, i, j in names] + [("r", "s", "3", "7")], "repo string, snapshot_id string, from string, to string"), "edges")
+    arrows = settle(graph._numbered(edges), "arrows")
+    homes = graph._homes(arrows)
+    assert {(r.g, r.parts) for r in homes.collect()} == {(r.g, 9 if r.repo == "r" else 1) for r in arrows.selectExpr("repo", "xxhash64(repo, snapshot_id) as g").distinct().collect()}
+    ways = graph._homed_ways(arrows.where("a <> b").select("a", "b"), homes)
+    state = settle(ways.where("way = 0").selectExpr("home", "node", "node as f0", "node as g0"), "state")
+    with joined_by_some_keys(spark):
+        dealt = re.findall(r"Exchange hashpartitioning\((\w+)#", plan_of(graph._homed_step(ways, state, ["f0", "g0"])))
+    assert dealt == ["home"] * 3  # ways, states, and what a home sends to a node
+    want = [("q", "0", "1"), ("q", "1", "0"), ("q", "2", "2"), ("r", "3", "7")]
+    want += [("r", f"{i}", f"{j}") for r, i, j in names if r == "r" and i <= 7 and j >= 3]
+    assert pairs(graph.cyclic_edges(edges), "repo", "from", "to") == sorted(want, key=repr)
