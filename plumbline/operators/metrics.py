@@ -11,7 +11,9 @@ from plumbline.schemas import SNAP
 
 ID = SNAP + ["id"]
 COVERAGE_COLS = ["stmts", "covered", "percent", "coverage_stale", "lines_known", "reached"]
+COVERAGE_TYPES = ["long", "long", "double", "boolean", "boolean", "boolean"]
 MUTATION_COLS = ["killed", "survived", "not_covered", "timed_out", "score", "mutation_stale"]
+MUTATION_TYPES = ["long", "long", "long", "long", "double", "boolean"]
 
 
 def churn_columns(
@@ -47,15 +49,16 @@ def grade_columns(m: DataFrame) -> DataFrame:
 def function_metrics(
     funcs: DataFrame,
     facts: DataFrame,
-    coverage: DataFrame,
-    mutation: DataFrame,
-    mutants: DataFrame,
-    states: DataFrame,
+    coverage: DataFrame | None,
+    mutation: DataFrame | None,
+    mutants: DataFrame | None,
+    states: DataFrame | None,
     function_churn: DataFrame | None = None,
     file_churn: DataFrame | None = None,
     given: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per function with every metric; NULL where not measured.
+    """One row per function with every metric; NULL where not measured, for all
+    functions where a table is None.
 
     ``given`` holds metrics that came with an external graph (``crap`` plus
     the coverage and mutation columns); they are used as they are where
@@ -64,22 +67,32 @@ def function_metrics(
     base = churn_columns(
         funcs.select(*ID, "name", "parent", "file", "line", "end_line"), function_churn, file_churn
     ).join(facts.select(*ID, "cc", "cognitive", "loc"), ID, "left")
-    cov = coverage.withColumnRenamed("stale", "coverage_stale").select(*ID, *COVERAGE_COLS)
-    mut = mutation.withColumnRenamed("stale", "mutation_stale").select(*ID, *MUTATION_COLS)
-    # what is testable follows from columns that are there by then: neither table is made twice
-    m = (
-        base.join(cov, ID, "left")
-        .withColumn("crap", scores.crap("cc", "stmts", "covered"))
-        .join(mut.withColumn("_mutated", F.lit(True)), ID, "left")
-        .join(not_covered_on_states(mutants, states), ID, "left")
-        .withColumn("testable", F.when(F.col("_mutated"), testable()))
-        .drop("_mutated", "on_state")
-    )
+    m = _with_coverage(base, coverage).withColumn("crap", scores.crap("cc", "stmts", "covered"))
+    m = _with_mutation(m, mutation, mutants, states)
     if given is not None:
         m = _fill_given(m, given)
     return grade_columns(m)
 
 
+def _with_coverage(m: DataFrame, coverage: DataFrame | None) -> DataFrame:
+    if coverage is None:
+        return m.withColumns({c: F.lit(None).cast(t) for c, t in zip(COVERAGE_COLS, COVERAGE_TYPES)})
+    return m.join(coverage.withColumnRenamed("stale", "coverage_stale").select(*ID, *COVERAGE_COLS), ID, "left")
+
+
+def _with_mutation(m: DataFrame, mutation: DataFrame | None, mutants: DataFrame | None, states: DataFrame | None) -> DataFrame:
+    """What is testable follows from columns that are there by then: neither table is made twice."""
+    if mutation is None:
+        none = {c: F.lit(None).cast(t) for c, t in zip(MUTATION_COLS, MUTATION_TYPES)}
+        return m.withColumns({**none, "testable": F.lit(None).cast("long")})
+    out = m.join(mutation.withColumnRenamed("stale", "mutation_stale").select(*ID, *MUTATION_COLS, F.lit(True).alias("_mutated")), ID, "left")
+    if mutants is None or states is None:
+        out = out.withColumn("on_state", F.lit(None).cast("long"))
+    else:
+        out = out.join(not_covered_on_states(mutants, states), ID, "left")
+    return out.withColumn("testable", F.when(F.col("_mutated"), testable())).drop("_mutated", "on_state")
+
+
 def _fill_given(m: DataFrame, given: DataFrame) -> DataFrame:
     extra = COVERAGE_COLS + ["crap"] + MUTATION_COLS + ["testable"]
     g = given.select(*ID, *[F.col(c).alias(f"_g_{c}") for c in extra])

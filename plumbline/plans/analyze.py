@@ -21,10 +21,10 @@ class Inputs:
     nodes: DataFrame
     edges: DataFrame | None
     facts: DataFrame
-    coverage: DataFrame
-    line_states: DataFrame
-    mutation: DataFrame
-    mutants: DataFrame
+    coverage: DataFrame | None
+    line_states: DataFrame | None
+    mutation: DataFrame | None
+    mutants: DataFrame | None
     commit_files: DataFrame | None = None
     hunks: DataFrame | None = None
     coverage_errors: DataFrame | None = None
@@ -38,32 +38,34 @@ def from_measurements(
     nodes: DataFrame,
     edges: DataFrame | None,
     facts: DataFrame,
-    blocks: DataFrame,
-    file_mutants: DataFrame,
+    blocks: DataFrame | None,
+    file_mutants: DataFrame | None,
     mutated: DataFrame | None = None,
+    lines: bool = True,
     **more,
 ) -> Inputs:
     """Inputs from a profile and engine reports of the same snapshots.
 
     Line states and mutants are tables of the snapshot that several later
-    steps read, so they are written once here.
+    steps read, so they are written once here. A job that shows nothing of the
+    profile or the reports leaves them out; one that needs no line of its own
+    (``lines``: what is testable, uncovered lines) spares the states.
     """
     funcs = scopes.functions(nodes)
-    spans = settle(cov.spans_inside(funcs, blocks), "spans")
-    found = mut.attribute(mutated if mutated is not None else funcs, file_mutants)
-    if "description" not in found.columns:
-        found = found.withColumn("description", F.col("type"))
-    mutants = settle(found.select(*SNAP, "id", "line", "col", "type", "status", "description"), "mutants")
-    return Inputs(
-        nodes=nodes,
-        edges=edges,
-        facts=facts,
-        coverage=cov.function_coverage(funcs, blocks, spans),
-        line_states=settle(cov.line_states(funcs, blocks, spans), "line-states"),
-        mutation=mut.count_mutants(mutated if mutated is not None else funcs, mutants),
-        mutants=mutants,
-        **more,
-    )
+    out = Inputs(nodes, edges, facts, None, None, None, None, **more)
+    if blocks is not None and not lines:
+        out.coverage = cov.function_coverage(funcs, blocks)
+    elif blocks is not None:
+        spans = settle(cov.spans_inside(funcs, blocks), "spans")
+        out.coverage = cov.function_coverage(funcs, blocks, spans)
+        out.line_states = settle(cov.line_states(funcs, blocks, spans), "line-states")
+    if file_mutants is not None:
+        found = mut.attribute(mutated if mutated is not None else funcs, file_mutants)
+        if "description" not in found.columns:
+            found = found.withColumn("description", F.col("type"))
+        out.mutants = settle(found.select(*SNAP, "id", "line", "col", "type", "status", "description"), "mutants")
+        out.mutation = mut.count_mutants(mutated if mutated is not None else funcs, out.mutants)
+    return out
 
 
 def effect_rows(nodes: DataFrame) -> DataFrame:
