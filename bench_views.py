@@ -196,17 +196,10 @@ class Views:
             *tail[3:],
             F.when(F.col("_t") == "I", F.lit("interface")).otherwise(F.lit("struct")).alias("type_kind"),
         )
-        repos = base.select(*SNAP).distinct()
-        ext = (
-            self.external_modules()
-            .select(F.explode(F.array("module")).alias("id"), "ext_name")
-            .distinct()
-        )
-        ext = repos.join(
-            self.import_paths().select("repo", F.col("module").alias("id")).distinct(), "repo"
-        ).join(ext, "id").select(
-            *SNAP,
-            "id",
+        ext = self.imported_modules().select(
+            "repo",
+            F.lit("s1").alias("snapshot_id"),
+            F.col("module").alias("id"),
             F.lit("external").alias("kind"),
             F.col("ext_name").alias("name"),
             none.alias("parent"),
@@ -253,6 +246,16 @@ class Views:
             "repo", F.lit("s1").alias("snapshot_id"), "importer", "path", "module"
         )
 
+    @view
+    def imported_modules(self) -> DataFrame:
+        """What a repository imports: ``repo, module, ext_name``. Its line items are
+        made distinct suppliers before these meet their modules, and read where a
+        query has already written them with their functions."""
+        li = self._built.get("measurements")
+        li = self._lineitem_functions() if li is None else li
+        used = li.select("repo", F.col("l_suppkey").alias("s_suppkey")).distinct()
+        return used.join(self.external_modules(), "s_suppkey").select("repo", "module", "ext_name").distinct()
+
     @view
     def raw_calls(self) -> DataFrame:
         """Function k calls function 2k + l_linenumber of its repository; with

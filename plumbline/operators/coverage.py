@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.paths import clean_path, dirname
 from plumbline.functions.scores import coverage_percent
-from plumbline.operators.intervals import FILE, contained_spans
+from plumbline.operators.intervals import FILE, contained_spans, function_slices, slice_of
 from plumbline.operators.ordered import runs
 from plumbline.schemas import SNAP
+from plumbline.session import joined_by_some_keys, settle
 
 ID = SNAP + ["id"]
 POSITION = ["start_line", "start_col", "end_line", "end_col", "num_stmt"]
@@ -78,6 +79,86 @@ def spans_inside(funcs: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
+# Lines of a word, as a power of two.
+WORD_BITS = 6
+
+
+def state_words(funcs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Per function and word of 64 lines, written once: ``…, id, _word, stmts, covered, ran, ran_lines, missed_lines``.
+
+    The last two have a bit for every line that a block with hits, or one without, overlaps; statements are
+    counted where their block starts. Functions are numbered when they are written, so the many rows of blocks
+    are merged by numbers, where they met functions; ids come back to what is left.
+    """
+    numbered = settle(
+        funcs.select(*FILE, "id", "line", "end_line").withColumn("_number", F.monotonically_increasing_id()), "numbered"
+    )
+    place = [*FILE, "_slice"]
+    f = function_slices(numbered, "_number").select(
+        *place, "_number", F.col("line").alias("_from"), F.col("end_line").alias("_to"), F.xxhash64(*place).alias("_part")
+    )
+    b = blocks.select(*FILE, *POSITION, "count", slice_of("start_line").alias("_slice"))
+    merged = (
+        b.withColumn("_part", F.xxhash64(*place))
+        .repartition("_part")
+        .join(f.repartition("_part").hint("shuffle_hash"), ["_part", *place])
+        .where("start_line >= _from AND end_line <= _to")
+        .groupBy("_part", "_number", *POSITION)
+        .agg(F.sum("count").alias("count"))
+    )
+    first, last = F.shiftright("start_line", WORD_BITS), F.shiftright("end_line", WORD_BITS)
+    words = F.when(first < last, F.sequence(first, last)).otherwise(F.array(first))
+    hit, opens = F.col("count") > 0, F.col("_word") == first
+    rest = (1 << WORD_BITS) - 1
+    low = F.when(opens, F.col("start_line").bitwiseAND(rest)).otherwise(0).alias("_low")
+    high = F.when(F.col("_word") == last, F.col("end_line").bitwiseAND(rest)).otherwise(rest).alias("_high")
+    bits = F.expr("if(start_line <= end_line, shiftleft(-1L, _low) & shiftrightunsigned(-1L, 63 - _high), 0L)")
+    found = (
+        merged.withColumn("_word", F.explode(words))
+        .select("*", low, high)
+        .withColumn("_bits", bits)
+        .groupBy("_part", "_number", "_word")
+        .agg(
+            F.sum(F.when(opens, F.col("num_stmt")).otherwise(0)).alias("stmts"),
+            F.sum(F.when(opens & hit, F.col("num_stmt")).otherwise(0)).alias("covered"),
+            F.bool_or(hit).alias("ran"),
+            F.bit_or(F.when(hit, F.col("_bits")).otherwise(0)).alias("ran_lines"),
+            F.bit_or(F.when(hit, 0).otherwise(F.col("_bits"))).alias("missed_lines"),
+        )
+        # slices of a function meet
+        .repartition("_number")
+        .groupBy("_number", "_word")
+        .agg(
+            F.sum("stmts").alias("stmts"),
+            F.sum("covered").alias("covered"),
+            F.bool_or("ran").alias("ran"),
+            F.bit_or("ran_lines").alias("ran_lines"),
+            F.bit_or("missed_lines").alias("missed_lines"),
+        )
+        .join(numbered.select(*ID, "_number"), "_number")
+        .drop("_number")
+    )
+    with joined_by_some_keys(funcs.sparkSession):
+        return settle(found.select(*ID, "_word", "stmts", "covered", "ran", "ran_lines", "missed_lines"), "state-words")
+
+
+def has_line(mask: Column, line: Column) -> Column:
+    """Whether a word's ``mask`` has the bit of one of its lines."""
+    return F.call_function("shiftright", mask, line.bitwiseAND((1 << WORD_BITS) - 1).cast("int")).bitwiseAND(1) == 1
+
+
+def lines_of_words(words: DataFrame) -> DataFrame:
+    """:func:`line_states` from :func:`state_words`; no line moves."""
+    line = F.col("line")
+    return (
+        words.select(*ID, "_word", "ran_lines", "missed_lines", F.explode(F.sequence(F.lit(0), F.lit((1 << WORD_BITS) - 1))).alias("_bit"))
+        .withColumn("line", F.shiftleft("_word", WORD_BITS) + F.col("_bit"))
+        .select(*ID, "line", has_line(F.col("ran_lines"), line).alias("ran"), has_line(F.col("missed_lines"), line).alias("missed"))
+        .where("ran OR missed")
+        .select(*ID, "line", state_of("ran", "missed").alias("state"))
+    )
+
+
 def function_coverage(funcs: DataFrame, blocks: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """Statement coverage per function.
 

@@ -28,13 +28,13 @@ def _slices(start: Column, end: Column) -> Column:
     return F.explode(F.sequence(slice_of(start), slice_of(end)))
 
 
-def function_slices(funcs: DataFrame) -> DataFrame:
-    """``repo, snapshot_id, file, _slice, id, line, end_line``.
+def function_slices(funcs: DataFrame, *more: str) -> DataFrame:
+    """``repo, snapshot_id, file, _slice, id, line, end_line`` and the columns ``more``.
 
     Functions are far fewer than what meets them, so a join hashes them and
     need not sort the other side."""
     return (
-        funcs.select(*FILE, "id", "line", "end_line")
+        funcs.select(*FILE, "id", "line", "end_line", *more)
         .where("line <= end_line")
         .withColumn("_slice", _slices(F.col("line"), F.col("end_line")))
         .hint("shuffle_hash")

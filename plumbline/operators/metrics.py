@@ -56,9 +56,11 @@ def function_metrics(
     function_churn: DataFrame | None = None,
     file_churn: DataFrame | None = None,
     given: DataFrame | None = None,
+    on_state: DataFrame | None = None,
 ) -> DataFrame:
     """One row per function with every metric; NULL where not measured, for all
-    functions where a table is None.
+    functions where a table is None. ``on_state``: what ``not_covered_on_states``
+    makes of mutants and states, if that is there already.
 
     ``given`` holds metrics that came with an external graph (``crap`` plus
     the coverage and mutation columns); they are used as they are where
@@ -68,7 +70,9 @@ def function_metrics(
         funcs.select(*ID, "name", "parent", "file", "line", "end_line"), function_churn, file_churn
     ).join(facts.select(*ID, "cc", "cognitive", "loc"), ID, "left")
     m = _with_coverage(base, coverage).withColumn("crap", scores.crap("cc", "stmts", "covered"))
-    m = _with_mutation(m, mutation, mutants, states)
+    if on_state is None and mutants is not None and states is not None:
+        on_state = not_covered_on_states(mutants, states)
+    m = _with_mutation(m, mutation, on_state)
     if given is not None:
         m = _fill_given(m, given)
     return grade_columns(m)
@@ -80,16 +84,16 @@ def _with_coverage(m: DataFrame, coverage: DataFrame | None) -> DataFrame:
     return m.join(coverage.withColumnRenamed("stale", "coverage_stale").select(*ID, *COVERAGE_COLS), ID, "left")
 
 
-def _with_mutation(m: DataFrame, mutation: DataFrame | None, mutants: DataFrame | None, states: DataFrame | None) -> DataFrame:
+def _with_mutation(m: DataFrame, mutation: DataFrame | None, on_state: DataFrame | None) -> DataFrame:
     """What is testable follows from columns that are there by then: neither table is made twice."""
     if mutation is None:
         none = {c: F.lit(None).cast(t) for c, t in zip(MUTATION_COLS, MUTATION_TYPES)}
         return m.withColumns({**none, "testable": F.lit(None).cast("long")})
     out = m.join(mutation.withColumnRenamed("stale", "mutation_stale").select(*ID, *MUTATION_COLS, F.lit(True).alias("_mutated")), ID, "left")
-    if mutants is None or states is None:
+    if on_state is None:
         out = out.withColumn("on_state", F.lit(None).cast("long"))
     else:
-        out = out.join(not_covered_on_states(mutants, states), ID, "left")
+        out = out.join(on_state, ID, "left")
     return out.withColumn("testable", F.when(F.col("_mutated"), testable())).drop("_mutated", "on_state")
 
 

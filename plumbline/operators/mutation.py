@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scores import mutation_score, run_efficacy
+from plumbline.operators.coverage import WORD_BITS, has_line
 from plumbline.operators.intervals import FILE, with_owner
 from plumbline.schemas import COUNTED, KILLED, LIVED, NOT_COVERED, SNAP, TIMED_OUT
 from plumbline.session import spread_join
@@ -186,6 +187,23 @@ def not_covered_on_states(mutants: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
+def not_covered_on_words(mutants: DataFrame, words: DataFrame) -> DataFrame:
+    """:func:`not_covered_on_states` from ``coverage.state_words``, 64 lines to a row."""
+    per_line = (
+        mutants.where(F.col("status") == NOT_COVERED)
+        .groupBy(*ID, "line")
+        .count()
+        .withColumn("_word", F.shiftright("line", WORD_BITS))
+    )
+    lines = words.select(*ID, "_word", F.col("ran_lines").bitwiseOR(F.col("missed_lines")).alias("_lines"))
+    return (
+        per_line.join(lines, [*ID, "_word"])
+        .where(has_line(F.col("_lines"), F.col("line")))
+        .groupBy(*ID)
+        .agg(F.sum("count").alias("on_state"))
+    )
+
+
 def testable() -> Column:
     """From a function's coverage and mutation and its mutants ``on_state``."""
     ran = F.col("lines_known") & F.col("reached")

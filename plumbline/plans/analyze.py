@@ -32,6 +32,7 @@ class Inputs:
     local_effects: DataFrame | None = None
     allow: DataFrame | None = None
     given: DataFrame | None = None
+    on_state: DataFrame | None = None
 
 
 def from_measurements(
@@ -46,25 +47,26 @@ def from_measurements(
 ) -> Inputs:
     """Inputs from a profile and engine reports of the same snapshots.
 
-    Line states and mutants are tables of the snapshot that several later
-    steps read, so they are written once here. A job that shows nothing of the
-    profile or the reports leaves them out; one that needs no line of its own
-    (``lines``: what is testable, uncovered lines) spares the states.
+    Mutants and line states are tables of the snapshot that several later
+    steps read, so they are written once here; the states only for a job that
+    shows ``lines``, since metrics follow from their words. A job that shows
+    nothing of the profile or the reports leaves them out.
     """
     funcs = scopes.functions(nodes)
     out = Inputs(nodes, edges, facts, None, None, None, None, **more)
-    if blocks is not None and not lines:
-        out.coverage = cov.function_coverage(funcs, blocks)
-    elif blocks is not None:
-        spans = settle(cov.spans_inside(funcs, blocks), "spans")
-        out.coverage = cov.function_coverage(funcs, blocks, spans)
-        out.line_states = settle(cov.line_states(funcs, blocks, spans), "line-states")
+    if blocks is not None:
+        words = cov.state_words(funcs, blocks)
+        out.coverage = cov.function_coverage(funcs, blocks, words)
+        if lines:
+            out.line_states = settle(cov.lines_of_words(words), "line-states")
     if file_mutants is not None:
         found = mut.attribute(mutated if mutated is not None else funcs, file_mutants)
         if "description" not in found.columns:
             found = found.withColumn("description", F.col("type"))
         out.mutants = settle(found.select(*SNAP, "id", "line", "col", "type", "status", "description"), "mutants")
         out.mutation = mut.count_mutants(mutated if mutated is not None else funcs, out.mutants)
+        if blocks is not None:
+            out.on_state = mut.not_covered_on_words(out.mutants, words)
     return out
 
 
@@ -80,7 +82,7 @@ def function_table(i: Inputs, as_of: str | None = None, months: int = 12) -> Dat
     # every function has a count of its own where there are hunks, so a file's count is never shown then
     by_file = None if i.commit_files is None or i.hunks is not None else history.file_churn(i.commit_files, as_of, months)
     return metrics.function_metrics(
-        funcs, i.facts, i.coverage, i.mutation, i.mutants, i.line_states, by_function, by_file, i.given
+        funcs, i.facts, i.coverage, i.mutation, i.mutants, i.line_states, by_function, by_file, i.given, i.on_state
     )
 
 
