@@ -244,7 +244,8 @@ def parse_profile_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     keys = [c for c in lines.columns if c not in ("path", "value")]
     src = [*keys, "path"]
-    t = lines.select(*src, paths.strip("value").alias("value")).where("value <> ''")
+    every = lines.select(*src, F.coalesce(paths.strip("value"), F.lit("")).alias("value"))
+    t = every.where("value <> ''")
     is_mode = F.col("value").startswith(_MODE)
     tail = F.substring_index("value", ":", -1)
     fields = F.filter(F.split(tail, "[., ]"), lambda x: x != "")
@@ -266,11 +267,11 @@ def parse_profile_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         .otherwise(F.lit("not a number"))
         .alias("reason"),
     )
-    moded = t.where(is_mode).select(*src).distinct()
+    # a profile of blank lines has none either
     no_mode = (
-        t.select(*src)
-        .distinct()
-        .join(moded, src, "left_anti")
+        every.groupBy(*src)
+        .agg(F.max(is_mode).alias("moded"))
+        .where("not moded")
         .select(*src, F.lit(None).cast("string").alias("value"), F.lit("no mode line").alias("reason"))
     )
     rejected = bad.unionByName(no_mode)

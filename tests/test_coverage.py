@@ -57,6 +57,14 @@ def test_bad_profiles_are_rejected_whole(spark):
     assert b.count() == 4
 
 
+def test_a_blank_profile_has_no_mode_line(spark):
+    lines = profile(spark, GOOD, "good").unionByName(profile(spark, " \n\t\n", "blank"))
+    lines = lines.unionByName(lines.limit(1).withColumns({"path": F.lit("null"), "value": F.lit(None).cast("string")}))
+    b, rejected = readers.parse_profile_lines(lines)
+    assert pairs(rejected, "path", "value", "reason") == [("blank", None, "no mode line"), ("null", None, "no mode line")]
+    assert b.count() == 4
+
+
 def test_three_kinds_of_coverage(spark):
     f = funcs(spark, ("p.a", "a.go", 1, 10, "p", "h"), ("p.b", "a.go", 20, 30, "p", "h"), ("p.c", "c.go", 1, 5, "p", "h"))
     b = blocks(spark, ("a.go", 2, 1, 4, 2, 2, 1), ("a.go", 5, 1, 6, 2, 1, 0), ("a.go", 9, 1, 11, 2, 7, 1), ("a.go", 4, 3, 5, 1, 1, 0))
