@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.schemas import SNAP
-from plumbline.session import settle
+from plumbline.session import joined_by_some_keys, settle
 
 AS_OF = "2001-08-01 00:00:00"
 REPO_SIZE = 1000
@@ -282,21 +282,59 @@ class Views:
             back.alias("back"),
         )
 
+    @view
+    def called(self) -> DataFrame:
+        """The pairs of functions in ``raw_calls``, one row each, written once: ``…, from, to`` and whether
+        some call is static, dynamic or forward. Line items are made distinct by numbers, and those
+        that call nobody left out, before they meet functions, which they do by repository."""
+        k = (F.col("l_partkey") % REPO_SIZE).cast("int")
+        li = (
+            self.source("lineitem")
+            .select(
+                F.expr(f"l_partkey div {REPO_SIZE}").alias("g"),
+                k.alias("k"),
+                (k * 2 + F.col("l_linenumber")).cast("int").alias("to_k"),
+                (F.col("l_quantity") == 50).alias("back"),
+                F.coalesce(F.col("l_linestatus") == "F", F.lit(False)).alias("static"),
+            )
+            .where(f"to_k < {REPO_SIZE}")
+            .distinct()
+        )
+        p = self.part_functions().select("repo", "id", F.expr(f"p_partkey div {REPO_SIZE}").alias("g"), "k").repartition("g")
+        here = p.withColumnRenamed("id", "_from").hint("shuffle_hash")
+        there = p.select("g", F.col("k").alias("to_k"), F.col("id").alias("_to")).hint("shuffle_hash")
+        back = F.col("back")
+        with joined_by_some_keys(self.spark):
+            return settle(
+                li.repartition("g")
+                .join(here, ["g", "k"])
+                .join(there, ["g", "to_k"])
+                .groupBy(
+                    "g",
+                    "repo",
+                    F.when(back, F.col("_to")).otherwise(F.col("_from")).alias("from"),
+                    F.when(back, F.col("_from")).otherwise(F.col("_to")).alias("to"),
+                )
+                .agg(F.bool_or("static").alias("static"), F.bool_or(~F.col("static")).alias("dynamic"), F.bool_or(~back).alias("forward"))
+                .select("repo", F.lit("s1").alias("snapshot_id"), "from", "to", "static", "dynamic", "forward"),
+                "called",
+            )
+
     @view
     def calls(self) -> DataFrame:
-        r = self.raw_calls()
-        through = (F.col("kind") == "calls_dynamic") & F.instr("to", ".T.").cast("boolean")
-        to = F.when(through, F.replace("to", F.lit(".T."), F.lit(".I."))).otherwise(F.col("to"))
-        return r.withColumn("to", to).select(*SNAP, "from", "to", "kind").distinct()
+        c = self.called()
+        to = F.replace("to", F.lit(".T."), F.lit(".I.")).alias("to")
+        static = c.where("static").select(*SNAP, "from", "to", F.lit("calls").alias("kind"))
+        return static.unionByName(c.where("dynamic").select(*SNAP, "from", to, F.lit("calls_dynamic").alias("kind")))
 
     @view
     def dag(self) -> DataFrame:
         """Forward calls only: a graph without cycles."""
-        return self.raw_calls().where("NOT back").select(*SNAP, "from", "to").distinct()
+        return self.called().where("forward").select(*SNAP, "from", "to")
 
     @view
     def cyclic(self) -> DataFrame:
-        return self.raw_calls().select(*SNAP, "from", "to").distinct()
+        return self.called().select(*SNAP, "from", "to")
 
     @view
     def implements(self) -> DataFrame:
@@ -330,9 +368,14 @@ class Views:
         )
         return inner.unionByName(outer).distinct()
 
+    @view
+    def effect_edges(self) -> DataFrame:
+        """The edges that effects travel along."""
+        return self.calls().unionByName(self.implements())
+
     @view
     def edges(self) -> DataFrame:
-        return self.calls().unionByName(self.implements()).unionByName(self.imports())
+        return self.effect_edges().unionByName(self.imports())
 
     @view
     def effectful(self) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import paths
 from plumbline.schemas import CALLS, CALLS_DYNAMIC, FUNC, IMPLEMENTS, SNAP
-from plumbline.session import Rounds, settle
+from plumbline.session import Rounds, kept_by, settle
 
 ID = SNAP + ["id"]
 
@@ -119,26 +119,39 @@ def implementations(edges: DataFrame) -> DataFrame:
     )
 
 
-def _dependencies(funcs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Effects travel along ``(from → on)``; callers of interface methods with
-    no or an unknown implementation are effectful at once."""
-    ids = funcs.select(*ID)
-    on_ids = ids.withColumnRenamed("id", "on")
-    from_ids = ids.withColumnRenamed("id", "from")
-    e = edges.where(F.col("kind").isin(CALLS, CALLS_DYNAMIC)).select(*SNAP, "from", "to", "kind").distinct()
-    e = e.join(from_ids, SNAP + ["from"], "left_semi")
-    direct = e.withColumn("on", F.col("to")).join(on_ids, SNAP + ["on"], "left_semi")
-    iface = (
+# Joins on functions are on their numbers, which sort and move faster than names do.
+AT = ["node", *SNAP]
+
+
+def _number(name: str) -> Column:
+    """The number of a function in its repository; two numbers are the same in one repository only by a chance of n²/2⁶⁵."""
+    return F.when(F.col(f"`{name}`").isNotNull(), F.xxhash64("repo", F.col(f"`{name}`")))
+
+
+def _dependencies(funcs: DataFrame, markable: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Effects travel along ``(from → on)`` to whoever may get one (``markable``); callers of
+    interface methods with no or an unknown implementation are effectful at once. An edge given twice is listed twice."""
+    ids = funcs.select(*AT).hint("shuffle_hash")
+    callers = markable.select(F.col("node").alias("a"), *SNAP).hint("shuffle_hash")
+    e = (
+        edges.where(F.col("kind").isin(CALLS, CALLS_DYNAMIC))
+        .select(*SNAP, "from", "to", "kind", _number("from").alias("a"), _number("to").alias("node"))
+        .join(callers, ["a", *SNAP], "left_semi")
+    )
+    cols = [*SNAP, "from", "to", "kind", "on", "a", "b"]
+    direct = e.join(ids, AT, "left_semi").withColumns({"on": F.col("to"), "b": F.col("node")}).select(*cols)
+    methods = implementations(edges).select(*SNAP, _number("method").alias("node"), "implementation")
+    # few of all calls, and read for both results
+    iface = settle(
         e.where(F.col("kind") == CALLS_DYNAMIC)
-        .join(ids.withColumnRenamed("id", "to"), SNAP + ["to"], "left_anti")
-        .join(implementations(edges).withColumnRenamed("method", "to"), SNAP + ["to"], "left")
+        .join(ids, AT, "left_anti")
+        .join(methods, AT, "left")
+        .select(*SNAP, "from", "to", "a", F.col("implementation").alias("on"), _number("implementation").alias("node")),
+        "interface-calls",
     )
-    known = iface.withColumn("on", F.col("implementation")).join(on_ids, SNAP + ["on"], "left_semi")
-    unknown = iface.join(ids.withColumnRenamed("id", "implementation"), SNAP + ["implementation"], "left_anti")
-    cols = [*SNAP, "from", "to", "kind", "on"]
-    through = F.lit("interface").alias("kind")
-    deps = direct.select(*cols).unionByName(known.select(*SNAP, "from", "to", through, "on")).distinct()
-    return deps, unknown.select(*SNAP, "from", "to").distinct()
+    known = iface.join(ids, AT, "left_semi").withColumns({"kind": F.lit("interface"), "b": F.col("node")})
+    unknown = iface.join(ids, AT, "left_anti")
+    return direct.unionByName(known.select(*cols)), unknown.select(*SNAP, "from", "to", F.col("a").alias("node"))
 
 
 def _reason(kind: str, to: str):
@@ -155,23 +168,83 @@ def effect_inputs(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What effects spread over: functions (``…, id``), dependencies (``…, from,
     to, kind, on``: whoever may get an effect, and from where) and seeds (``…,
-    id, reason``: effectful whatever they call; NULL: by themselves)."""
-    funcs = nodes.where(F.col("kind") == FUNC).select(*ID).distinct()
-    open_ids = funcs if allow is None else funcs.join(allow.select(*ID), ID, "left_anti")
-    deps, unknown = _dependencies(funcs, edges)
-    markable = open_ids.withColumnRenamed("id", "from")
-    deps = deps.join(markable, SNAP + ["from"], "left_semi")
-    own = open_ids.join(effectful.select(*ID).distinct(), ID, "left_semi").withColumn("reason", F.lit(None).cast("string"))
+    id, reason``: effectful whatever they call; NULL: by themselves). Functions and
+    seeds have their number (``node``), dependencies those of both ends (``a, b``)."""
+    flag = lambda ids, name: ids.select(_number("id").alias("node"), *SNAP, F.lit(True).alias(name)).distinct()
+    names = nodes.where(F.col("kind") == FUNC).select(*ID).distinct().withColumn("node", _number("id"))
+    names = names.join(flag(effectful, "_own"), AT, "left")
+    names = names.withColumn("_allowed", F.lit(None).cast("boolean")) if allow is None else names.join(flag(allow, "_allowed"), AT, "left")
+    names = settle(names.select(*ID, "node", "_own", "_allowed"), "function-numbers")
+    funcs = names.select(*ID, "node")
+    markable = names.where("_allowed is null")
+    deps, unknown = _dependencies(funcs, markable, edges)
+    own = markable.where("_own").select(*ID, "node", F.lit(None).cast("string").alias("reason"))
     blind = (
-        unknown.join(markable, SNAP + ["from"], "left_semi")
-        .groupBy(*SNAP, F.col("from").alias("id"))
-        .agg(F.min("to").alias("to"))
-        .join(own.select(*ID), ID, "left_anti")
-        .select(*ID, F.concat(F.lit("calls "), paths.short("to"), F.lit(" through an interface")).alias("reason"))
+        unknown.groupBy(*AT)
+        .agg(F.min("from").alias("id"), F.min("to").alias("to"))
+        .join(own.select(*AT), AT, "left_anti")
+        .select(*ID, "node", F.concat(F.lit("calls "), paths.short("to"), F.lit(" through an interface")).alias("reason"))
     )
     return funcs, deps, own.unionByName(blind)
 
 
+# A function in a search: its number, and one of its repository (and snapshot).
+NODE = ["node", "g"]
+
+
+def _here(key: list[str]) -> Column:
+    return F.xxhash64(*key).alias("g")
+
+
+def _arrows(deps: DataFrame, key: list[str]) -> DataFrame:
+    """Dependencies by numbers, written: ``g, a, b``, where ``a`` depends on ``b``."""
+    return settle(deps.select(_here(key), "a", "b").distinct(), "arrows")
+
+
+def _at(marks: DataFrame, end: str, name: str = "at") -> DataFrame:
+    return marks.select(F.col("node").alias(end), "g", F.col("at").alias(name))
+
+
+def _search(arrows: DataFrame, front: DataFrame, label: str) -> DataFrame:
+    """Marks ``node, g, at`` of a search from ``front`` against the arrows.
+
+    The arrows stay where they are. A round moves the last round's new marks to
+    them, and what these hit; the new ones of it are written to the shared folder.
+    """
+    rounds, cores = Rounds(arrows.sparkSession, label), arrows.sparkSession.sparkContext.defaultParallelism
+    with kept_by(arrows, "b", "g") as kept:
+        front = rounds.add(front.select(*NODE, F.col("at").cast("int").alias("at")))
+        while not front.isEmpty():
+            hit = (
+                kept.join(_at(front, "b").hint("shuffle_hash"), ["b", "g"])
+                .coalesce(cores)  # few rows are hit, and each task that sends some opens a file for each partition
+                .groupBy(F.col("a").alias("node"), "g")
+                .agg((F.min("at") + 1).alias("at"))
+            )
+            front = rounds.add(hit.join(rounds.all().select(*NODE), NODE, "left_anti"))
+    return rounds.all().select(*NODE, "at")
+
+
+def _purity(funcs: DataFrame, deps: DataFrame, seeds: DataFrame, marks: DataFrame, key: list[str]) -> DataFrame:
+    """``…, id, pure, reason, round`` of all functions. Who does not ask for reasons does not pay for them."""
+    below = (
+        deps.select(_here(key), "a", "b", "to", "kind")
+        .join(_at(marks, "b", "below"), ["b", "g"])
+        .join(_at(marks, "a"), ["a", "g"])
+        .where("below < at")
+        .groupBy(F.col("a").alias("node"), "g")
+        .agg(F.min(F.struct("below", "to", "kind")).alias("_e"))
+        .select(*NODE, _reason("_e.kind", "_e.to").alias("reason"))
+    )
+    reasons = below.unionByName(seeds.select("node", _here(key), "reason")).groupBy(*NODE).agg(F.min("reason").alias("reason"))
+    return (
+        funcs.select(*ID, "node", _here(key))
+        .join(marks, NODE, "left")
+        .join(reasons, NODE, "left")
+        .select(*ID, F.col("at").isNull().alias("pure"), "reason", F.col("at").alias("round"))
+    )
+
+
 def propagate(nodes: DataFrame, edges: DataFrame, effectful: DataFrame, allow: DataFrame | None = None) -> DataFrame:
     """Purity of every function: ``…, id, pure, reason, round``.
 
@@ -182,29 +255,54 @@ def propagate(nodes: DataFrame, edges: DataFrame, effectful: DataFrame, allow: D
     and only extends the last round's new functions. ``reason`` names the
     smallest edge of the round that marked a function (NULL: its own effects).
     """
-    funcs, deps, seeds = effect_inputs(nodes, edges, effectful, allow)
-    deps = settle(deps, "effect-edges")
-    rounds = Rounds(nodes.sparkSession, "effects")
-    front = rounds.add(seeds)
-    while not front.isEmpty():
-        marked = rounds.all().select(*ID)
-        hit = (
-            deps.join(front.select(*SNAP, F.col("id").alias("on")), SNAP + ["on"])
-            .groupBy(*SNAP, F.col("from").alias("id"))
-            .agg(F.min(F.struct("to", "kind")).alias("_e"))
-        )
-        new = hit.join(marked, ID, "left_anti").select(*ID, _reason("_e.kind", "_e.to").alias("reason"))
-        front = rounds.add(new)
-    marked = rounds.all()
-    return funcs.join(marked, ID, "left").select(*ID, F.col("round").isNull().alias("pure"), "reason", "round")
+    return spread(*effect_inputs(nodes, edges, effectful, allow))
+
+
+def spread(funcs: DataFrame, deps: DataFrame, seeds: DataFrame) -> DataFrame:
+    """As :func:`propagate`, from ``effect_inputs``."""
+    start = seeds.select("node", _here(SNAP), F.lit(0).alias("at"))
+    marks = _search(_arrows(deps, SNAP), start, "effects")
+    return _purity(funcs, deps, seeds, marks, SNAP)
 
 
-RID = ["repo", "id"]
-MARK = RID + ["round", "reason"]
+REPO = ["repo"]
 
 
-def _on(marks: DataFrame, name: str = "at") -> DataFrame:
-    return marks.select("repo", F.col("id").alias("on"), F.col("round").alias(name))
+def _unmark(arrows: DataFrame, marks: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Marks (``node, g``) without a support. A support is an arrow to a mark of a lower round, and seeds need none.
+
+    Supports are counted once. A mark that goes takes its arrows from those that lean on it, and whoever
+    has lost all goes too; what some have lost so far is carried from round to round.
+    """
+    supports = (
+        arrows.join(_at(marks, "b", "below"), ["b", "g"])
+        .join(_at(marks, "a"), ["a", "g"])
+        .where("below < at")
+        .select("a", "b", "g")
+        .join(seeds.select(F.col("node").alias("a"), "g"), ["a", "g"], "left_anti")
+    )
+    supports = settle(supports, "supports")
+    count = supports.groupBy("a", "g").agg(F.count(F.lit(1)).alias("had"))
+    loose = (
+        marks.select(*NODE)
+        .join(seeds, NODE, "left_anti")
+        .join(count.select(F.col("a").alias("node"), "g"), NODE, "left_anti")
+        .select(*NODE, F.lit(0).cast("long").alias("lost"), F.lit(0).cast("long").alias("had"))
+    )
+    rounds, cores = Rounds(arrows.sparkSession, "unmarked"), arrows.sparkSession.sparkContext.defaultParallelism
+    with kept_by(supports.join(count, ["a", "g"]), "b", "g") as kept:
+        asked = rounds.add(loose)
+        while not (gone := asked.where("lost = had")).isEmpty():
+            lost = kept.join(gone.select(F.col("node").alias("b"), "g").hint("shuffle_hash"), ["b", "g"]).select(
+                F.col("a").alias("node"), "g", F.lit(1).cast("long").alias("lost"), "had"
+            )
+            asked = rounds.add(
+                lost.coalesce(cores)
+                .unionByName(asked.where("lost < had"))
+                .groupBy(*NODE)
+                .agg(F.sum("lost").alias("lost"), F.max("had").alias("had"))
+            )
+    return rounds.all().where("lost = had").select(*NODE)
 
 
 def repropagate(
@@ -218,93 +316,43 @@ def repropagate(
     repository is read beyond its key. Delete, then derive again:
 
     * A mark stands while the function is a seed or depends on a marked function
-      of a lower round. Where a seed or a dependency went, that is asked again;
-      a mark without such a support goes, and asks those that lean on it.
-    * New seeds, new dependencies on a standing mark, and functions that lost
-      their mark but still depend on one start a search as in ``propagate``.
-
-    Only functions around changes are asked, each once for every support that it
-    loses. ``pure`` is that of a run from scratch; ``round`` is one more than that of some
-    function it depends on, not always of the nearest, and ``reason`` names an
-    edge to one of the lowest round among those that marked it.
+      of a lower round. Where it depends on none any more, its mark goes, and those
+      that lean on it have lost a support. What went is seen by what is left, so ``old`` is not read.
+    * New seeds, and functions that lost their mark or had none but depend on a
+      standing one, start a search as in ``propagate``.
+
+    A change is searched only as far as it goes: each function is asked once for every
+    support that it loses. ``pure`` is that of a run from scratch; ``round`` is one more than that of some
+    function it depended on, not always of the nearest, and ``reason`` names the smallest
+    edge to a function of the lowest round.
     """
-    spark = funcs.sparkSession
     touched = settle(funcs.select("repo").distinct(), "changed-repositories")
     # always true; with a predicate on this side, the folders of other repositories are pruned
     here = touched.where("repo >= ''")
     here = F.broadcast(here) if touched.count() <= 100_000 else here
-    arrow = ["repo", "from", "on"]
-    old_deps = settle(old[0].join(here, "repo", "left_semi").select(*arrow).distinct(), "old-dependencies")
-    old_seeds = old[1].join(here, "repo", "left_semi").select(*RID)
-    deps = settle(deps.select("repo", "from", "to", "kind", "on"), "dependencies")
-    seeds = settle(seeds.select(*RID, "reason"), "seeds")
-    names = settle(funcs.select(*RID), "functions")
-    marks = settle(
-        before.where(~F.col("pure")).join(here, "repo", "left_semi").select(*MARK).join(names, RID, "left_semi"), "marks"
+    arrows = _arrows(deps, REPO)
+    roots = settle(seeds.select("node", _here(REPO)), "seeds")
+    marks = (
+        before.where(~F.col("pure"))
+        .join(here, "repo", "left_semi")
+        .select(_number("id").alias("node"), _here(REPO), F.col("round").alias("at"))
+        .join(funcs.select("node", _here(REPO)), NODE, "left_semi")
     )
-    arrows = deps.select(*arrow).distinct()
-    gained = settle(arrows.join(old_deps, arrow, "left_anti"), "gained")
-    lost = old_deps.join(arrows, arrow, "left_anti").select("repo", F.col("from").alias("id"))
-    lost = lost.unionByName(old_seeds.join(seeds, RID, "left_anti"))
-
-    # delete
-    deleted = Rounds(spark, "unmarked")
-    asked = marks.select(*RID, "round").join(lost.distinct(), RID, "left_semi").join(seeds, RID, "left_anti")
-    gone = None
-    while gone is None or not gone.isEmpty():
-        asked = settle(asked, "asked")
-        out = asked if gone is None else asked.join(deleted.all().select(*RID), RID, "left_anti")
-        held = (
-            deps.join(out.select("repo", F.col("id").alias("from"), "round"), ["repo", "from"])
-            .join(_on(marks), ["repo", "on"])
-            .where("at < round")
-            .select("repo", F.col("from").alias("id"), "on")
-        )
-        if gone is not None:
-            held = held.join(deleted.all().select("repo", F.col("id").alias("on")), ["repo", "on"], "left_anti")
-        gone = deleted.add(out.join(held.select(*RID).distinct(), RID, "left_anti"))
-        asked = (
-            deps.join(_on(gone), ["repo", "on"])
-            .select("repo", F.col("from").alias("id"), "at")
-            .join(marks, RID)
-            .where("round > at")
-            .select(*RID, "round")
-            .distinct()
-            .join(seeds, RID, "left_anti")
-        )
-    none = deleted.all().select(*RID)
-    stand = marks.join(none, RID, "left_anti")
+    marks = settle(marks, "marks")
     # a mark that is a seed now needs no support any more
     stand = settle(
-        stand.join(seeds.select(*RID, F.col("reason").alias("_r"), F.lit(True).alias("_seed")), RID, "left").select(
-            *RID, F.expr("if(_seed, 0, round)").alias("round"), F.expr("if(_seed, _r, reason)").alias("reason")
-        ),
+        marks.join(_unmark(arrows, marks, roots), NODE, "left_anti")
+        .join(roots.withColumn("_seed", F.lit(True)), NODE, "left")
+        .select(*NODE, F.expr("if(_seed, 0, at)").alias("at")),
         "standing",
     )
-
-    # derive again
-    found = Rounds(spark, "marked-again")
-    asks = gained.select("repo", F.col("from").alias("id")).unionByName(none).distinct().join(stand, RID, "left_anti")
-    edge = F.min(F.struct(F.col("at"), F.col("to"), F.col("kind"))).alias("_e")
-    marked = [*RID, (F.col("_e.at") + 1).alias("round"), _reason("_e.kind", "_e.to").alias("reason")]
-    start = seeds.join(stand, RID, "left_anti").select(*RID, F.lit(0).alias("round"), "reason")
+    bare = settle(arrows.join(_at(stand, "a"), ["a", "g"], "left_anti"), "arrows-without-mark")
     again = (
-        deps.join(asks.select("repo", F.col("id").alias("from")), ["repo", "from"], "left_semi")
-        .join(_on(stand), ["repo", "on"])
-        .groupBy("repo", F.col("from").alias("id"))
-        .agg(edge)
-        .join(seeds, RID, "left_anti")
-        .select(*marked)
-    )
-    front = found.add(start.unionByName(again))
-    while not front.isEmpty():
-        known = stand.select(*RID).unionByName(found.all().select(*RID))
-        hit = deps.join(_on(front), ["repo", "on"]).groupBy("repo", F.col("from").alias("id")).agg(edge)
-        front = found.add(hit.join(known, RID, "left_anti").select(*marked))
-    new = spark.read.schema(found.schema).parquet(f"{found.folder}/round=*")
-    now = stand.unionByName(new)
-    return (
-        funcs.select(*SNAP, "id")
-        .join(now, RID, "left")
-        .select(*ID, F.col("round").isNull().alias("pure"), "reason", "round")
+        bare.join(_at(stand, "b"), ["b", "g"])
+        .groupBy(F.col("a").alias("node"), "g")
+        .agg((F.min("at") + 1).alias("at"))
+        .join(roots, NODE, "left_anti")
     )
+    start = roots.join(stand, NODE, "left_anti").withColumn("at", F.lit(0))
+    found = _search(bare, start.unionByName(again), "marked-again")
+    return _purity(funcs, deps, seeds, stand.unionByName(found), REPO)

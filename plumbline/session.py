@@ -118,6 +118,18 @@ def joined_by_some_keys(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def kept_by(df: DataFrame, *keys: str):
+    """``df`` dealt by its keys and kept by the executors, in memory and on disk, as long as a loop lasts:
+    its rounds join it where it lies. Lineage is not cut; what is lost with an executor is made again."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = df.repartition(parts, *keys).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 class Rounds:
     """The written rounds of an iteration: ``<folder>/round=<i>``."""
 

@@ -5,6 +5,7 @@ import duckdb
 import bench_queries
 from bench_views import Views
 from conftest import pairs
+from test_shuffles import plan_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +34,14 @@ def test_documents_of_blanks_and_stops_are_rejected_as_in_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = con.execute(bench_queries.SQL["coverage_profile_rejects"]).fetchall()
     assert len(want) == 14 and pairs(got, "repo", "path", "reason") == sorted(want, key=repr)
+
+
+def test_pairs_of_functions_are_those_of_the_calls(spark):
+    v = Views(spark, SF)
+    raw, ends = v.raw_calls(), ["repo", "from", "to"]
+    assert pairs(v.cyclic(), *ends) == pairs(raw.select(*ends).distinct(), *ends)
+    assert pairs(v.dag(), *ends) == pairs(raw.where("not back").select(*ends).distinct(), *ends)
+    kinds = raw.selectExpr("repo", "from", "if(kind = 'calls', to, replace(to, '.T.', '.I.')) as to", "kind").distinct()
+    assert pairs(v.calls(), *ends, "kind") == pairs(kinds, *ends, "kind")
+    # written once, whatever reads it
+    assert "lineitem.parquet" not in plan_of(v.effect_edges())

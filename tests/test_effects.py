@@ -6,7 +6,8 @@ from conftest import pairs
 from pyspark.sql import functions as F
 
 from plumbline.operators import effects
-from plumbline.session import settle
+from plumbline.session import kept_by, settle
+from test_shuffles import exchanges
 
 KEY = "repo string, snapshot_id string, "
 
@@ -159,3 +160,21 @@ def test_incremental_purity_reads_no_unchanged_repository(spark, tmp_path):
     after = code_frames(spark, "s1", {"r0": changed(rng, codes["r0"], 30)})
     got = effects.repropagate(stored["before"], (stored["deps"], stored["seeds"]), *effects.effect_inputs(*after))
     assert pairs(got, "id", "pure") == pairs(effects.propagate(*after), "id", "pure")
+
+
+def test_arrows_stay_where_they_are_in_a_loop(spark):
+    arrows = settle(spark.range(100).selectExpr("id as a", "id % 7 as b", "1L as g"), "t")
+    front = settle(spark.range(3).selectExpr("id as b", "1L as g"), "t")
+    with kept_by(arrows, "b", "g") as kept:
+        assert kept.count() == 100
+        hit = kept.join(front.hint("shuffle_hash"), ["b", "g"])
+        assert exchanges(hit) - exchanges(kept) == 1  # that of the front
+        assert hit.count() == 44
+    assert not kept.is_cached
+
+
+def test_who_asks_for_flags_does_not_pay_for_reasons(spark):
+    frames = code_frames(spark, "s0", {"r0": random_code(random.Random(3), 40)})
+    got = effects.propagate(*frames)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan(got.select("id", "pure")) and "Aggregate" in plan(got)

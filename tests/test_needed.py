@@ -37,6 +37,7 @@ def test_crap_needs_no_mutants_and_no_line_states(spark):
         ("gate_fast_breaches", ["file_mutants", "hunks", "commit_files"]),
         ("rank_worst_cc", ["blocks", "file_mutants", "hunks", "commit_files"]),
         ("grade_bands", ["hunks", "commit_files"]),
+        ("purity_after_change", ["raw_calls", "imports", "imported_modules", "nodes"]),
     ],
 )
 def test_a_query_measures_what_it_shows(spark, monkeypatch, query, unread):
